@@ -1,6 +1,7 @@
 """Named query plans over the test tables, and their independent SQL oracles."""
 
-from quire.plans.catalog import QUERIES, FLAGSHIP
+from quire.plans.catalog import FLAGSHIP, QUERIES
 from quire.plans.oracle import ORACLE
+from quire.plans import q_tables  # noqa: F401  (registers queries)
 
 __all__ = ["QUERIES", "ORACLE", "FLAGSHIP"]
