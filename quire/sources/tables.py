@@ -139,3 +139,21 @@ def log_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def union_all(dfs: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), dfs)
+
+
+def generation_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generation-log records (the fields the later stages read), one per example.
+
+    Difficulty is the example's characteristic map as JSON text; the two judge scores
+    are the raw replies of the ``model_a`` zero-shot runs for each context type.
+    """
+    ex = examples(spark, sf_dir)
+    cm = characteristics(spark, sf_dir).groupBy("example_id").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("characteristic", "score")))).alias("_m"))
+    ev = evaluations(spark, sf_dir).where((F.col("model") == "model_a") & (F.col("prompt_type") == "zero-shot"))
+    scores = ev.groupBy("example_id").agg(
+        F.max(F.when(F.col("reasoning_type") == "documents", F.col("judge_raw"))).alias("document_score"),
+        F.max(F.when(F.col("reasoning_type") == "table", F.col("judge_raw"))).alias("table_score"))
+    j = ex.join(cm, "example_id", "left").join(scores, "example_id", "left")
+    return j.select("example_id", "question", F.col("ground_truth").alias("answer"), "documents",
+                    F.to_json("_m").alias("difficulty_json"), "validity_scalar", "document_score", "table_score")
