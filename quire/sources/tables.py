@@ -157,3 +157,12 @@ def generation_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = ex.join(cm, "example_id", "left").join(scores, "example_id", "left")
     return j.select("example_id", "question", F.col("ground_truth").alias("answer"), "documents",
                     F.to_json("_m").alias("difficulty_json"), "validity_scalar", "document_score", "table_score")
+
+
+def examples_with_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Examples with their table: the indexed text of the size-gated table whose id is
+    the example id (NULL when there is none)."""
+    from quire.operators import tables as tt
+
+    texts = tt.render_tables(tt.gated(table_cells(spark, sf_dir)), "indexed")
+    return examples(spark, sf_dir).join(texts.withColumnRenamed("table_id", "example_id"), "example_id", "left")
