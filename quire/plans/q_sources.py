@@ -43,7 +43,7 @@ def s2_tolerant_read(spark, d):
     tb.raw_json(spark, d).select(F.col("raw").alias("value")).write.text(path)
     good, bad = fs.read_json_tolerant(spark, path, "k bigint", multiline=False, glob="*.txt")
     return good.select("k", F.lit(None).cast("string").alias("corrupt")).unionByName(
-        bad.select("k", F.col(fs.CORRUPT).alias("corrupt")))
+        bad.select(F.lit(None).cast("bigint").alias("k"), F.col(fs.CORRUPT).alias("corrupt")))
 
 
 @query("s7_partitioned_runs")

@@ -37,15 +37,19 @@ def read_json_dir(spark: SparkSession, path: str, schema: str, multiline: bool =
 
 def read_json_tolerant(spark: SparkSession, path: str, schema: str, multiline: bool = True,
                        glob: str = "*.json") -> tuple[DataFrame, DataFrame]:
-    """(good rows, quarantined rows) — files or lines that do not decode do not fail the read."""
-    full = f"{schema}, {CORRUPT} string"
-    df = (spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-          .option("multiLine", multiline).option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-          .json(path).withColumn("source_file", F.col("_metadata.file_path")))
-    good = df.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    # the data columns stay in the quarantine projection: a read that references only
-    # the corrupt-record column is rejected by the JSON source
-    bad = df.where(F.col(CORRUPT).isNotNull())
+    """(good rows, quarantined rows) — files (or lines) that do not decode do not
+    fail the read; they come back in the second DataFrame with their text.
+
+    Files are read as text (whole files when ``multiline``) and decoded with
+    ``from_json``; validity is ``try_parse_json``. No corrupt-record column is involved,
+    so either side can be queried on its own.
+    """
+    raw = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+           .text(path, wholetext=multiline)
+           .select(F.col("_metadata.file_path").alias("source_file"), F.col("value")))
+    ok = F.try_parse_json(F.col("value")).isNotNull()
+    good = raw.where(ok).select("source_file", F.from_json("value", schema).alias("_j")).select("source_file", "_j.*")
+    bad = raw.where(~ok).select("source_file", F.col("value").alias(CORRUPT))
     return good, bad
 
 
@@ -80,8 +84,9 @@ def read_seed_tables(spark: SparkSession, path: str, delimiter: str = "#", glob:
     """
     from quire.operators.tables import parse_tables
 
-    raw = (spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-           .text(path).select(F.col("_metadata.file_path").alias("table_id"), F.col("value").alias("text")))
+    # ``wholetext`` must go through ``text()``: its default argument overrides an ``option``
+    raw = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+           .text(path, wholetext=True).select(F.col("_metadata.file_path").alias("table_id"), F.col("value").alias("text")))
     return parse_tables(raw, "text", "table_id", delimiter)
 
 

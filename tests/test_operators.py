@@ -1,0 +1,261 @@
+"""Edge cases on small literal frames (nulls, ties, malformed input, the known defects)."""
+
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from quire.constants import NO_RESPONSE
+from quire.functions import text as tx
+from quire.operators import characteristics as ch
+from quire.operators import completions as cp
+from quire.operators import conversations as cv
+from quire.operators import logs as lg
+from quire.operators import reports as rp
+from quire.operators import sampling as sm
+from quire.operators import scoring as sc
+from quire.operators import tables as tt
+from quire.sources import files as fs
+
+
+def rows(df, *cols):
+    return sorted(tuple(r) for r in df.select(*cols).collect()) if cols else sorted(tuple(r) for r in df.collect())
+
+
+def test_score_parse_is_strict(spark):
+    df = spark.createDataFrame([(s,) for s in ["9", " 7 ", "+5", "-1", " 9.0", "abc", "10\n", None]], "raw string")
+    got = [r[0] for r in df.select(tx.parse_int("raw")).collect()]
+    assert got == [9, 7, 5, -1, None, None, 10, None]
+
+
+def test_em_flag_null_when_unparsed(spark):
+    df = spark.createDataFrame([("9",), ("8",), ("x",)], "judge_raw string")
+    assert [tuple(r) for r in sc.parse_scores(df).select("accuracy", "em_accuracy").collect()] == \
+        [(9, 1), (8, 0), (None, None)]
+
+
+def test_validity_modes_keep_or_drop_unlabelled(spark):
+    df = spark.createDataFrame([(1, 1), (2, 0), (3, None)], "example_id int, table_validity int")
+    assert rows(sc.validity_filter(df, "all"), "example_id") == [(1,), (2,), (3,)]
+    assert rows(sc.validity_filter(df, "no_invalid"), "example_id") == [(1,), (3,)]
+    assert rows(sc.validity_filter(df, "only_valid"), "example_id") == [(1,)]
+
+
+def test_run_statistics_exact_median_and_sample_stdev(spark):
+    df = spark.createDataFrame([("r", v) for v in [1, 2, 3, 10]] + [("s", 4)], "run string, accuracy int")
+    df = df.withColumn("em_accuracy", sc.em_flag("accuracy"))
+    st = {r["run"]: r for r in sc.run_statistics(df, ["run"]).collect()}
+    assert st["r"]["median"] == 2.5 and st["r"]["mean"] == 4.0 and st["r"]["max"] == 10 and st["r"]["min"] == 1
+    assert st["r"]["stdev"] == pytest.approx(4.082483, abs=1e-6)
+    assert st["r"]["em_accuracy"] == 0.25
+    assert st["s"]["stdev"] is None and st["s"]["median"] == 4.0
+
+
+def test_run_statistics_independent_of_partitioning(spark):
+    df = spark.range(0, 997).select(F.lit("r").alias("run"), (F.col("id") * 7 % 11).cast("int").alias("accuracy"))
+    df = df.withColumn("em_accuracy", sc.em_flag("accuracy"))
+    a = rows(sc.run_statistics(df.repartition(1), ["run"]))
+    b = rows(sc.run_statistics(df.repartition(17), ["run"]))
+    assert a == b
+
+
+def test_overall_is_mean_of_present_cells(spark):
+    st = spark.createDataFrame([("documents", "m", "zero-shot", 5.0), ("documents", "m", "few-shot", 7.0)],
+                               "reasoning_type string, model string, prompt_type string, mean double")
+    r = rp.score_report(st).collect()[0]
+    assert r["zero-shot"] == 50.0 and r["zero-shot-CoT"] is None and r["Overall"] == 60.0
+
+
+def test_overall_breakdown_needs_all_four(spark):
+    bd = spark.createDataFrame([("documents", "c", p, 0, 1.0, None if p == "few-shot-CoT" else 2.0)
+                                for p in ["zero-shot", "zero-shot-CoT", "few-shot", "few-shot-CoT"]],
+                               "reasoning_type string, characteristic string, prompt_type string, level int, "
+                               "a double, b double")
+    r = rp.overall_breakdown(bd, ["a", "b"]).collect()[0]
+    assert r["a"] == 1.0 and r["b"] is None
+
+
+def test_balanced_binning_both_rules(spark):
+    # c1: n0=1, n1=1, n2=4 -> |2-4|=2 < |5-1|=4 -> x<2 -> 0 ; c2: n0=4, n1=1, n2=1 -> second rule
+    data = [(i, "c1", s) for i, s in enumerate([0, 1, 2, 2, 2, 2])] + [(i, "c2", s) for i, s in enumerate([0, 0, 0, 0, 1, 2])]
+    df = spark.createDataFrame(data, "example_id int, characteristic string, score int")
+    got = {(r[0], r[1]): r[3] for r in ch.balanced_binning(df).collect()}
+    assert [got[(i, "c1")] for i in range(6)] == [0, 0, 1, 1, 1, 1]
+    assert [got[(i, "c2")] for i in range(6)] == [0, 0, 0, 0, 1, 1]
+
+
+def _table(spark, text):
+    return spark.createDataFrame([(1, text)], "table_id int, table string")
+
+
+def test_parse_strips_one_pipe_per_end(spark):
+    t = tt.parse_tables(_table(spark, "|a|b|c|\n||x|y|\n|1|2||"), "table").orderBy("row_idx").collect()
+    assert t[0]["header"] == ["a", "b", "c"]
+    assert t[0]["cells"] == [None, "x", "y"]          # a leading empty cell stays in place
+    assert t[1]["cells"] == ["1", "2", None]          # a trailing empty cell is kept (as NULL)
+
+
+def test_parse_no_strip_when_one_line_lacks_pipes(spark):
+    t = tt.parse_tables(_table(spark, "|a|b|\n|1|2"), "table").orderBy("row_idx").collect()
+    assert t[0]["header"] == ["", "a", "b", ""]
+
+
+def test_parse_rejects_long_rows_and_pads_short(spark):
+    bad = tt.parse_tables(_table(spark, "a|b\n1|2|3"), "table").collect()
+    assert bad[0]["error"] is not None and bad[0]["cells"] is None
+    ok = tt.parse_tables(_table(spark, "a|b|c\n1\n\n4|5|6"), "table").orderBy("row_idx").collect()
+    assert [r["cells"] for r in ok] == [["1", None, None], ["4", "5", "6"]]
+
+
+def test_render_parse_roundtrip_and_gate(spark):
+    rows_ = [(t, i, ["x", "y"], [f"{t}{i}", None if i == 2 else "v|w"]) for t in (1, 2) for i in range(1, 4)]
+    rows_ += [(3, i, ["x", "y"], ["a", "b"]) for i in range(1, 13)]   # 12 rows: rejected by the gate
+    df = spark.createDataFrame(rows_, "table_id int, row_idx int, header array<string>, cells array<string>")
+    gate = {r["table_id"]: r for r in tt.size_gate(df).collect()}
+    assert gate[3]["accepted"] is False and gate[3]["reason"] == "rows 12 > 11"
+    texts = tt.render_tables(tt.gated(df), "plain")
+    t1 = [r["table"] for r in texts.where("table_id = 1").collect()][0]
+    assert t1 == 'x|y\n11|"v|w"\n12|\n13|"v|w"\n'
+    md = tt.render_tables(tt.gated(df), "markdown")
+    back = tt.parse_markdown_tables(md, "table").where("table_id = 2").orderBy("row_idx").collect()
+    assert back[0]["header"] == ["", "x", "y"] and back[1]["cells"] == ["1", "22", ""]
+
+
+def test_answer_extraction_rules(spark):
+    df = spark.createDataFrame([("zero-shot-CoT", "why ANSWER: yes ANSWER: again"), ("zero-shot", "a ANSWER: b"),
+                                ("few-shot-CoT", "no marker")], "prompt_type string, r string")
+    rat, ans = tx.answer_parts("r", "prompt_type")
+    assert [tuple(x) for x in df.select(rat, ans).collect()] == [
+        ("why ", "yes "), (None, "a ANSWER: b"), (None, "no marker")]
+
+
+def test_after_last_and_html(spark):
+    df = spark.createDataFrame([("Q: x A: first A:\n second \n", "<a & 'b'>\n")], "t string, h string")
+    r = df.select(tx.after_last("t", "A:"), tx.html_escape("h")).collect()[0]
+    assert r[0] == "second" and r[1] == "&lt;a &amp; &#x27;b&#x27;&gt;<br>"
+
+
+def test_fill_template_never_rescans_values(spark):
+    df = spark.createDataFrame([("{b}", "B")], "a string, b string")
+    got = df.select(tx.fill_template("<{a}|{b}|{{b}}>", a=F.col("a"), b=F.col("b"))).collect()[0][0]
+    assert got == "<{b}|B|{b}>"
+
+
+def test_dense_index_is_a_permutation_and_partition_independent(spark):
+    df = spark.range(0, 5000).withColumnRenamed("id", "k")
+    a = sm.dense_index(df.repartition(1), "k", seed=3).select("k", "idx")
+    b = sm.dense_index(df.repartition(17), "k", seed=3).select("k", "idx")
+    assert rows(a) == rows(b)
+    assert sorted(r[0] for r in a.select("idx").collect()) == list(range(5000))
+
+
+def test_sample_exact_or_nothing(spark):
+    df = spark.range(0, 120).withColumnRenamed("id", "k")
+    assert sm.seeded_sample(df, "k", k=50).count() == 50
+    assert sm.seeded_sample(df.limit(10), "k", k=50).count() == 0
+
+
+def test_ring_wraps_around(spark):
+    df = spark.range(0, 5).withColumnRenamed("id", "k")
+    r = rows(sm.ring_neighbours(df, "k", seed=1), "idx", "k", "cand1_id", "cand2_id")
+    by_idx = {x[0]: x[1] for x in r}
+    for idx, k, c1, c2 in r:
+        assert c1 == by_idx[(idx + 1) % 5] and c2 == by_idx[(idx + 2) % 5]
+
+
+def test_few_shot_draw_distinct(spark):
+    test = spark.range(0, 40).withColumnRenamed("id", "k")
+    train = spark.range(100, 105).withColumnRenamed("id", "k")
+    d = sm.few_shot_draw(test, train, "k", k=3, seed=0)
+    per = d.groupBy("k").agg(F.countDistinct("train_id").alias("n")).collect()
+    assert len(per) == 40 and all(r["n"] == 3 for r in per)
+
+
+def test_transition_violations(spark):
+    conv = spark.createDataFrame([(1, 0, "system"), (1, 1, "assistant"), (1, 2, "user"), (2, 0, "user")],
+                                 "conv_id int, turn int, role string")
+    edges = cv.edges_from_map(spark, {"system": ["user"], "user": ["assistant"], "assistant": ["user"]})
+    assert rows(cv.transition_violations(conv, edges)) == [(1, 1, "system", "assistant")]
+
+
+def test_final_answer_skips_terminate_and_falls_back(spark):
+    conv = spark.createDataFrame([(1, 0, "a", "x"), (1, 1, "b", "TERMINATE"), (2, 0, "a", "TERMINATE")],
+                                 "conv_id int, turn int, role string, text string")
+    got = dict(rows(cv.final_answers(conv)))
+    assert got[1] == "x" and got[2].startswith("I don't know")
+
+
+def test_scorer_failures_fall_back_per_row(spark):
+    def flaky(s: pd.Series) -> pd.Series:
+        if any("bad" in x for x in s):
+            if len(s) > 1:
+                raise RuntimeError("batch failed")
+            raise RuntimeError("row failed")
+        return s.str.upper()
+
+    df = spark.createDataFrame([(1, "ok"), (2, "bad"), (3, "fine")], "id int, prompt string").coalesce(1)
+    got = dict(rows(cp.score_batches(df, flaky), "id", "reply"))
+    assert got == {1: "OK", 2: NO_RESPONSE, 3: "FINE"}
+
+
+def test_lookup_done_and_pending(spark):
+    p = spark.createDataFrame([(1, "p1"), (2, "p2")], "id int, prompt string")
+    p = p.withColumn("prompt_key", cp.prompt_key(F.lit("m"), F.col("prompt")))
+    store = p.where("id = 1").select("prompt_key", F.lit("r1").alias("reply"))
+    done, pending = cp.lookup(p, store)
+    assert rows(done, "id", "reply") == [(1, "r1")] and rows(pending, "id") == [(2,)]
+    assert rows(cp.with_fallback(p, store), "id", "reply") == [(1, "r1"), (2, NO_RESPONSE)]
+
+
+def test_latest_duplicate_wins(spark):
+    outs = spark.createDataFrame([(1, 0, "old"), (1, 5, "new"), (2, 1, "only")], "k int, seq int, v string")
+    assert rows(cp.latest_per_key(outs, "k", "seq"), "k", "v") == [(1, "new"), (2, "only")]
+
+
+def test_log_section_edits(spark):
+    text = "**A**\n{\"x\": 1}\n\n**B**\nbody: 1\n\n**C**\n[1]"
+    df = spark.createDataFrame([(1, text)], "log_id int, log_text string")
+    secs = rows(lg.sections(df), "section_idx", "section", "body")
+    assert secs == [(1, "A", '{"x": 1}'), (2, "B", "body: 1"), (3, "C", "[1]")]
+    fenced = lg.fence_json(df, "log_text", ["A"]).collect()[0][1]
+    assert fenced.startswith('**A**\n```json\n{"x": 1}\n```\n\n**B**')
+    d = df.select(lg.delete_section(F.col("log_text"), "B")).collect()[0][0]
+    assert d == "**A**\n{\"x\": 1}\n\n**C**\n[1]"
+    s = df.select(lg.strip_table_colons(F.col("log_text"), "B")).collect()[0][0]
+    assert "**B**\n\nbody 1\n\n**C**" in s
+    assert df.select(lg.delete_section(F.col("log_text"), "Z")).collect()[0][0] == text
+
+
+def test_upsert_replaces_by_key(spark):
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    new = spark.createDataFrame([(2, "B"), (3, "C")], "k int, v string")
+    assert rows(fs.upsert(old, new, "k")) == [(1, "a"), (2, "B"), (3, "C")]
+
+
+def test_seed_tables_and_tracker_files(spark, tmp_path):
+    d = tmp_path / "seed"
+    (d / "g").mkdir(parents=True)
+    (d / "g" / "t1.csv").write_text("name#score\nann#3\nbob#4\n")
+    (d / "t2.csv").write_text("city#pop#year\nx#1#2000\n")
+    t = fs.read_seed_tables(spark, str(d))
+    got = sorted((r["table_id"].split("/")[-1], r["row_idx"], tuple(r["header"]), tuple(r["cells"])) for r in t.collect())
+    assert got == [("t1.csv", 1, ("name", "score"), ("ann", "3")), ("t1.csv", 2, ("name", "score"), ("bob", "4")),
+                   ("t2.csv", 1, ("city", "pop", "year"), ("x", "1", "2000"))]
+    (tmp_path / "tr.csv").write_text("Example ID,Valid Table [0: no, 1: yes],Valid Docs [0: no, 1: yes]\n"
+                                     "a,1,\nb,,0\n")
+    tr = rows(fs.read_tracker(spark, str(tmp_path / "tr.csv")))
+    assert tr == [("a", 1, None), ("b", None, 0)]
+
+
+def test_tolerant_json_read(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"example_id": "1", "question": "q"}')
+    (tmp_path / "b.json").write_text('{"example_id": "2", "question": ')
+    good, bad = fs.read_json_tolerant(spark, str(tmp_path), "example_id string, question string")
+    assert rows(good, "example_id", "question") == [("1", "q")]
+    assert bad.count() == 1
+
+
+def test_run_params_and_example_id_from_path(spark):
+    df = spark.createDataFrame([("eval_output/all/main/table/gpt-4o/few-shot-CoT_score.json",
+                                 "data/raw_data/v3/t_12.run/full_log.json")], "p string, q string")
+    r = df.select(*fs.run_params("p"), fs.example_id_from_path("q")).collect()[0]
+    assert tuple(r) == ("table", "gpt-4o", "few-shot-CoT", "v3_t_12")
