@@ -175,3 +175,29 @@ WHERE r <= 50 AND n >= 50"""
 ORACLE["u3_characteristic_names"] = W("characteristics") + "SELECT DISTINCT characteristic FROM characteristics"
 ORACLE["j2_examples_tracker"] = W("examples", "tracker") + """
 SELECT e.example_id, e.validity_scalar, t.table_validity FROM examples e JOIN tracker t ON t.example_id = e.example_id"""
+
+
+@query("s8_stream_append")
+def s8_stream_append(spark, d):
+    """Two deliveries of judge outputs through the incremental stream; the second one
+    adds the table runs and re-delivers model_a zero-shot document scores, corrected."""
+    from quire.streaming import current_evaluations, run_incremental_scoring
+
+    src, table = fs.scratch_dir(spark, "judge-src"), fs.scratch_dir(spark, "judge-table")
+    ev = tb.evaluations(spark, d)
+    ev.where("reasoning_type = 'documents'").write.mode("append").json(src)
+    run_incremental_scoring(spark, src, table)
+    fix = ev.where("reasoning_type = 'documents' AND model = 'model_a' AND prompt_type = 'zero-shot'") \
+            .withColumn("judge_raw", F.lit("10"))
+    ev.where("reasoning_type = 'table'").unionByName(fix).write.mode("append").json(src)
+    run_incremental_scoring(spark, src, table)
+    return current_evaluations(spark, table).select(
+        "example_id", "model", "prompt_type", "reasoning_type", "judge_raw", "accuracy", "em_accuracy")
+
+
+ORACLE["s8_stream_append"] = W("scored") + """
+SELECT example_id, model, prompt_type, reasoning_type,
+       CASE WHEN fix THEN '10' ELSE judge_raw END AS judge_raw,
+       CASE WHEN fix THEN 10 ELSE accuracy END AS accuracy,
+       CASE WHEN fix THEN 1 ELSE em_accuracy END AS em_accuracy
+FROM (SELECT *, reasoning_type = 'documents' AND model = 'model_a' AND prompt_type = 'zero-shot' AS fix FROM scored) s"""
