@@ -78,18 +78,27 @@ def few_shot_draw(test: DataFrame, train: DataFrame, key: str, k: int = 1, seed=
     return t.join(tr, "idx").select(key, F.col("shot").cast("int").alias("shot"), "train_id")
 
 
-def ring_neighbours(df: DataFrame, key: str, seed=12345, offsets: tuple[int, ...] = (1, 2)) -> DataFrame:
+def ring_neighbours(df: DataFrame, key: str, seed=12345, offsets: tuple[int, ...] = (1, 2),
+                    payload: tuple[str, ...] = ()) -> DataFrame:
     """After a seeded shuffle, row ``i`` is paired with rows ``(i + o) mod n``.
 
-    Dense index, then one equi-join per offset on the shifted position.
+    One dense index, then each row is sent once per role to the position it serves
+    (itself, and ``i - o`` for each offset) and grouped by that position: one shuffle,
+    exactly ``1 + len(offsets)`` rows per group, no self-join. ``payload`` columns travel
+    with the rows (``cand{o}_<col>`` for the candidates), so callers need no join back.
     """
-    x = dense_index(df.select(key), key, seed)
-    base = x.select(key, "idx", "_n")
-    out = base
+    x = dense_index(df.select(key, *payload), key, seed)
+    roles = (0, *offsets)
+    targets = F.array(*[F.struct(F.lit(o).alias("o"), F.pmod(F.col("idx") - o, F.col("_n")).alias("t"))
+                        for o in roles])
+    rec = F.struct(F.col(key).alias("k"), *[F.col(c) for c in payload])
+    e = x.select(rec.alias("_v"), F.explode(targets).alias("_r"))
+    g = e.groupBy(F.col("_r.t").alias("idx")).agg(
+        *[F.max(F.when(F.col("_r.o") == o, F.col("_v"))).alias(f"_v{o}") for o in roles])
+    cols = [F.col("idx"), F.col("_v0.k").alias(key), *[F.col(f"_v0.{c}").alias(c) for c in payload]]
     for o in offsets:
-        other = x.select(F.col("idx").alias(f"_i{o}"), F.col(key).alias(f"cand{o}_id"))
-        out = out.withColumn(f"_i{o}", F.pmod(F.col("idx") + o, F.col("_n"))).join(other, f"_i{o}").drop(f"_i{o}")
-    return out.drop("_n")
+        cols += [F.col(f"_v{o}.k").alias(f"cand{o}_id"), *[F.col(f"_v{o}.{c}").alias(f"cand{o}_{c}") for c in payload]]
+    return g.select(*cols)
 
 
 def refresh_subset(src: DataFrame, dst: DataFrame, key: str) -> DataFrame:

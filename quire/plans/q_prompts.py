@@ -70,13 +70,10 @@ def j9_ring_neighbours(spark, d):
 @query("x10_comparison_prompt")
 def x10_comparison_prompt(spark, d):
     t = _test(spark, d).select("example_id", "documents", "question")
-    ring = sm.ring_neighbours(t, "example_id", seed=12345)
-    c1 = t.select(F.col("example_id").alias("cand1_id"), F.col("documents").alias("d1"), F.col("question").alias("q1"))
-    c2 = t.select(F.col("example_id").alias("cand2_id"), F.col("documents").alias("d2"), F.col("question").alias("q2"))
-    j = ring.join(t, "example_id").join(c1, "cand1_id").join(c2, "cand2_id")
-    return j.select("example_id", pr.comparison_prompt(
-        COMPARE_INSTRUCTION, [F.col("documents"), F.col("d1"), F.col("d2")],
-        [F.col("question"), F.col("q1"), F.col("q2")]).alias("prompt"))
+    ring = sm.ring_neighbours(t, "example_id", seed=12345, payload=("documents", "question"))
+    return ring.select("example_id", pr.comparison_prompt(
+        COMPARE_INSTRUCTION, [F.col("documents"), F.col("cand1_documents"), F.col("cand2_documents")],
+        [F.col("question"), F.col("cand1_question"), F.col("cand2_question")]).alias("prompt"))
 
 
 @query("j10_refresh_subset")
