@@ -57,30 +57,33 @@ def shot_strings(test: DataFrame, train: DataFrame, k: int = 1, seed=0, key: str
                     F.array_join(F.transform("_s", lambda x: x["t"]), "").alias("shots_table"))
 
 
-def _prompt_inputs(examples: DataFrame, k: int, seed, key: str) -> DataFrame:
+def _prompt_inputs(examples: DataFrame, k: int, seed, key: str, extra: tuple[str, ...] = ()) -> DataFrame:
     test = examples.where(F.col("split") == "test")
     train = examples.where(F.col("split") == "train")
     shots = shot_strings(test, train, k, seed, key)
-    g = run_grid(test.select(key, "question", "documents", "table")).join(shots, key, "left")
+    # join once per example, then fan out to the grid: the texts cross the shuffle once, not 8 times
+    g = run_grid(test.select(key, "question", "documents", "table", *extra).join(shots, key, "left"))
     rt, pt = F.col("reasoning_type"), F.col("prompt_type")
-    return g.select(key, "reasoning_type", "prompt_type", "question",
+    return g.select(key, "reasoning_type", "prompt_type", "question", *extra,
                     F.coalesce(context_for(rt), F.lit("")).alias("context"),
                     F.when(pt.contains("few"), F.coalesce(
                         F.when(rt == "table", F.col("shots_table")).otherwise(F.col("shots_documents")), F.lit("")))
                     .otherwise(F.lit("")).alias("shots"))
 
 
-def text_prompts(examples: DataFrame, k: int = 1, seed=0, key: str = "example_id") -> DataFrame:
+def text_prompts(examples: DataFrame, k: int = 1, seed=0, key: str = "example_id",
+                 extra: tuple[str, ...] = ()) -> DataFrame:
     """X1 (+P4, J7, W4): the text prompt of every test example for every grid cell.
 
     ``instruction\\n`` + few-shot block + ``Context: c\\nQ: q\\n`` + (CoT line) + ``A:``.
+    ``extra`` example columns are carried along.
     """
-    p = _prompt_inputs(examples, k, seed, key)
+    p = _prompt_inputs(examples, k, seed, key, extra)
     pt = F.col("prompt_type")
     prompt = F.concat(instruction_for(pt), F.lit("\n"), F.col("shots"), F.lit(f"{CONTEXT_KEY} "), F.col("context"),
                       F.lit(f"\n{INPUT_KEY} "), F.col("question"), F.lit("\n"),
                       F.when(pt.contains("CoT"), F.lit(COT + "\n")).otherwise(F.lit("")), F.lit(OUTPUT_KEY))
-    return p.select(key, "reasoning_type", "prompt_type", prompt.alias("prompt"))
+    return p.select(key, "reasoning_type", "prompt_type", *extra, prompt.alias("prompt"))
 
 
 def _msg(role: str, content: Column) -> Column:
@@ -97,7 +100,7 @@ def chat_prompts(examples: DataFrame, k: int = 1, seed=0, key: str = "example_id
     tr = train.select(F.col(key).alias("train_id"), "question", "ground_truth", "documents", "table")
     shots = draw.join(tr, "train_id").groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("shot", "documents", "table", "question", "ground_truth"))).alias("_s"))
-    g = run_grid(test.select(key, "question", "documents", "table")).join(shots, key, "left")
+    g = run_grid(test.select(key, "question", "documents", "table").join(shots, key, "left"))
     rt, pt = F.col("reasoning_type"), F.col("prompt_type")
 
     def shot_msgs(s):

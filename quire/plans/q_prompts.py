@@ -104,8 +104,7 @@ def x1_text_prompts(spark, d):
 
 @query("a9_token_totals")
 def a9_token_totals(spark, d):
-    ex = tb.examples_with_tables(spark, d)
-    p = pr.text_prompts(ex, k=1, seed=0).join(ex.select("example_id", "ground_truth"), "example_id")
+    p = pr.text_prompts(tb.examples_with_tables(spark, d), k=1, seed=0, extra=("ground_truth",))
     pt, at = token_count("prompt"), token_count("ground_truth")
     return p.groupBy("reasoning_type", "prompt_type").agg(
         F.count(F.lit(1)).alias("n_prompts"), F.sum(pt).cast("bigint").alias("total_prompt_tokens"),
