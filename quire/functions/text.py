@@ -26,8 +26,14 @@ def _c(x) -> Column:
 
 
 def token_count(text) -> Column:
-    """Number of word runs plus single punctuation marks."""
-    return F.regexp_count(_c(text), F.lit(TOKEN_PATTERN))
+    """Number of matches of :data:`TOKEN_PATTERN` (word runs plus single marks).
+
+    Computed without materialising the matches (``regexp_count`` builds an array of
+    every token): each word run collapses to one character, whitespace is removed, and
+    every remaining character is one token.
+    """
+    runs = F.regexp_replace(_c(text), r"[\p{L}\p{N}_]+", "a")
+    return F.length(F.regexp_replace(runs, r"\s+", ""))
 
 
 def strip_ws(text) -> Column:

@@ -18,8 +18,13 @@ from quire.constants import ANSWER_KEY, NO_RESPONSE
 
 
 def prompt_key(model: Column, prompt: Column) -> Column:
-    """Cache key of a prompt for a model."""
-    return F.sha2(F.concat(model, F.lit("\u001f"), prompt), 256)
+    """Cache key of a prompt for a model.
+
+    Declared non-nullable (``coalesce``): a nullable join key makes the optimizer infer
+    an ``IS NOT NULL`` filter and push it below the projections, which would build every
+    prompt a second time just to test it.
+    """
+    return F.coalesce(F.sha2(F.concat(model, F.lit("\u001f"), prompt), 256), F.lit(""))
 
 
 def lookup(prompts: DataFrame, store: DataFrame, key: str = "prompt_key") -> tuple[DataFrame, DataFrame]:

@@ -23,7 +23,9 @@ def dense_index(df: DataFrame, key: str, seed=0, digits: int = 3, out: str = "id
     """Add ``out`` = 0-based position of each row in ``(sha256(seed || key), key)`` order,
     and ``_n`` = total row count."""
     h = seeded_hash(seed, key)
-    x = df.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, digits))
+    # non-nullable bucket: no inferred IS NOT NULL filter re-hashing below the join, and a
+    # NULL key is indexed (bucket "") instead of being dropped by the join
+    x = df.withColumn("_h", h).withColumn("_b", F.coalesce(F.substring("_h", 1, digits), F.lit("")))
     x = x.withColumn("_rn", F.row_number().over(Window.partitionBy("_b").orderBy("_h", key)))
     counts = x.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
     # at most 16**digits rows: the one-task window over it is bounded

@@ -127,19 +127,25 @@ def render_tables(rows: DataFrame, mode: str = "plain", delimiter: str = "|") ->
 # ---------------------------------------------------------------- R2 / R3: text -> rows
 
 
-def _parse_arrays(text: Column, delimiter: str = "|") -> tuple[Column, Column, Column]:
-    """(header, body rows, error) of a delimited text, without exploding."""
+def _parsed(df: DataFrame, text: str, keep: list[str], delimiter: str = "|") -> DataFrame:
+    """Add ``header``, ``_body`` (rows of cells) and ``error`` for a delimited text column.
+
+    One projection per step (lines, outer-delimiter test, cells, header/body): every
+    intermediate array is computed once per row, never re-derived inside a lambda.
+    """
     d = delimiter
     split_re = "\\" + d if not d.isalnum() else d
-    lines_all = F.split(strip_ws(text), "\n")
-    outer = F.forall(lines_all, lambda ln: ln.startswith(d) & ln.endswith(d))
-    lines = F.filter(lines_all, lambda ln: ln != "")
-    lines = F.when(outer, F.transform(lines, lambda ln: ln.substr(F.lit(2), F.length(ln) - F.lit(2)))).otherwise(lines)
-    cells = F.transform(lines, lambda ln: F.split(ln, split_re, -1))
-    header = F.element_at(cells, 1)
-    body = F.slice(cells, 2, F.greatest(F.size(cells) - 1, F.lit(0)))
-    error = F.when(F.exists(body, lambda r: F.size(r) > F.size(header)), F.lit("row longer than header"))
-    return header, body, error
+    x = df.select(*keep, F.split(strip_ws(F.col(text)), "\n").alias("_all"))
+    # every line (blank ones included) must carry the outer delimiters
+    x = x.select(*keep, F.filter("_all", lambda ln: ln != "").alias("_lines"),
+                 F.forall("_all", lambda ln: ln.startswith(d) & ln.endswith(d)).alias("_outer"))
+    x = x.select(*keep, F.transform("_lines", lambda ln: F.split(
+        F.when(F.col("_outer"), ln.substr(F.lit(2), F.length(ln) - F.lit(2))).otherwise(ln), split_re, -1))
+        .alias("_cells"))
+    x = x.select(*keep, F.element_at("_cells", 1).alias("header"),
+                 F.slice("_cells", 2, F.greatest(F.size("_cells") - 1, F.lit(0))).alias("_body"))
+    return x.withColumn("error", F.when(F.exists("_body", lambda r: F.size(r) > F.size("header")),
+                                        F.lit("row longer than header")))
 
 
 def parse_tables(texts: DataFrame, text: str = "table", key: str = "table_id", delimiter: str = "|") -> DataFrame:
@@ -151,8 +157,7 @@ def parse_tables(texts: DataFrame, text: str = "table", key: str = "table_id", d
     cells read as NULL. A row longer than the header rejects the table: it yields one
     row with ``error`` set and no cells (filter ``error IS NOT NULL`` to report them).
     """
-    header, body, error = _parse_arrays(F.col(text), delimiter)
-    p = texts.select(key, header.alias("header"), body.alias("_body"), error.alias("error"))
+    p = _parsed(texts, text, [key], delimiter)
     ex = p.select(key, "header", "error", F.posexplode_outer(F.when(F.col("error").isNull(), F.col("_body")))
                   .alias("_pos", "_row"))
     ncol = F.size("header")
@@ -230,7 +235,10 @@ def document_prompts(tables: DataFrame, template: str, seed: int = DOC_RANDOM_SE
     from quire.functions.text import fill_template
 
     n = F.size(F.filter(F.slice(F.split(strip_ws(F.col("table")), "\n"), 2, 1 << 20), lambda ln: ln != ""))
-    ex = tables.select("*", F.explode(F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).alias("doc_row")).where(n > 0)
+    # outer generator + filter on its output: an inner one (or a filter on ``n``) would be
+    # pushed below the projections and re-render the table text
+    ex = tables.select("*", F.explode_outer(F.when(n > 0, F.sequence(F.lit(1), n))).alias("doc_row"))
+    ex = ex.where(F.col("doc_row").isNotNull())
     doc_len = hash_choice(seeded_hash(seed, "table", "doc_row"), 1, 5)
     prompt = fill_template(template, table=F.col("table"), doc_row=F.col("doc_row"), doc_len=doc_len,
                            description=description if description is not None else F.lit(""),
@@ -242,18 +250,21 @@ def document_prompts(tables: DataFrame, template: str, seed: int = DOC_RANDOM_SE
 
 def table_profile(ex: DataFrame, key: str = "table_id", table: str = "table",
                   documents: str = "documents") -> DataFrame:
-    """A10: rows, columns (index excluded), table tokens, document tokens, document tokens per row.
+    """A10 + F8: rows, columns (index excluded), table tokens, document tokens, document
+    tokens per row; a table that does not parse keeps its row with ``error`` set and NULL
+    metrics (filter ``error IS NULL`` to leave it out).
 
-    Computed per row of ``ex`` from the parsed arrays: no explode, no shuffle.
-    Tables that do not parse (F8) are left out.
+    Computed per row of ``ex`` from the parsed arrays: no explode, no shuffle. No filter
+    is applied here on purpose: a filter on a parse result would be pushed below the
+    projections and re-evaluate the text expression feeding it.
     """
-    header, body, error = _parse_arrays(F.col(table))
-    p = ex.select(key, table, documents, F.size(body).alias("num_rows"), (F.size(header) - 1).alias("num_cols"),
-                  error.alias("_err"))
-    p = p.where(F.col("_err").isNull() & (F.col("num_rows") > 0))
-    doc_tokens = token_count(documents)
-    return p.select(key, F.col("num_rows").cast("bigint").alias("num_rows"),
-                    F.col("num_cols").cast("bigint").alias("num_cols"),
-                    token_count(table).cast("bigint").alias("num_tab_tokens"),
-                    doc_tokens.cast("bigint").alias("num_doc_tokens"),
-                    F.round(doc_tokens / F.col("num_rows"), 6).alias("avg_doc_tokens"))
+    t = ex.select(key, table, token_count(table).alias("_tt"), token_count(documents).alias("_dt"))
+    p = _parsed(t, table, [key, "_tt", "_dt"])
+    ok = F.col("error").isNull() & (F.size("_body") > 0)
+    err = F.when(F.col("error").isNotNull(), F.col("error")).when(F.size("_body") == 0, F.lit("no rows"))
+    return p.select(key, F.when(ok, F.size("_body")).cast("bigint").alias("num_rows"),
+                    F.when(ok, F.size("header") - 1).cast("bigint").alias("num_cols"),
+                    F.when(ok, F.col("_tt")).cast("bigint").alias("num_tab_tokens"),
+                    F.when(ok, F.col("_dt")).cast("bigint").alias("num_doc_tokens"),
+                    F.when(ok, F.round(F.col("_dt") / F.size("_body"), 6)).alias("avg_doc_tokens"),
+                    err.alias("error"))

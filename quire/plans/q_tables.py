@@ -169,7 +169,8 @@ EX = ("ex", f"SELECT g.table_id, g.n, g.t, s.documents FROM (SELECT table_id, co
             "GROUP BY table_id) s ON s.table_id = g.table_id")
 ORACLE["a10_table_profile"] = W("table_rows", extra=[GATED, SHUF, EX]) + f"""
 SELECT table_id, n AS num_rows, CAST(6 AS BIGINT) AS num_cols, {tokens('t')} AS num_tab_tokens,
-       {tokens('documents')} AS num_doc_tokens, round({tokens('documents')} / n, 6) AS avg_doc_tokens
+       {tokens('documents')} AS num_doc_tokens, round({tokens('documents')} / n, 6) AS avg_doc_tokens,
+       CAST(NULL AS VARCHAR) AS error
 FROM ex"""
 
 ORACLE["x3_token_estimate"] = f"SELECT doc_id, {tokens('text')} AS n_tokens FROM documents"
