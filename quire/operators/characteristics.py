@@ -31,12 +31,15 @@ def balanced_binning(chars: DataFrame, score: str = "score") -> DataFrame:
     return j.select("example_id", "characteristic", score, level.cast("int").alias("level"))
 
 
-def scores_to_map(chars: DataFrame, value: str = "score") -> DataFrame:
-    """N4 (rows -> map): one ``characteristic -> value`` map per example.
+def _one_per_pair(chars: DataFrame, value: str) -> DataFrame:
+    """One value per (example, characteristic): repeated rows are combined map-side first,
+    so the per-example collect below is bounded by the number of characteristic names."""
+    return chars.groupBy("example_id", "characteristic").agg(F.max(value).alias(value))
 
-    The group is one example: bounded by the number of characteristic names.
-    """
-    return chars.groupBy("example_id").agg(
+
+def scores_to_map(chars: DataFrame, value: str = "score") -> DataFrame:
+    """N4 (rows -> map): one ``characteristic -> value`` map per example."""
+    return _one_per_pair(chars, value).groupBy("example_id").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("characteristic", value)))).alias("scores"))
 
 
@@ -49,7 +52,7 @@ def render_replies(chars: DataFrame) -> DataFrame:
     """Characteristic replies as JSON text ``{"scores": {c: {"rationale", "score"}}}``."""
     entry = F.struct(F.concat(F.lit("level "), F.col("score").cast("string")).alias("rationale"),
                      F.col("score").alias("score"))
-    m = chars.groupBy("example_id").agg(F.map_from_entries(
+    m = _one_per_pair(chars, "score").groupBy("example_id").agg(F.map_from_entries(
         F.array_sort(F.collect_list(F.struct("characteristic", entry)))).alias("scores"))
     return m.select("example_id", F.to_json(F.struct(F.lit("").alias("concise_answers"), "scores")).alias("reply"))
 

@@ -43,11 +43,9 @@ def edges_from_map(spark, graph: dict[str, list[str]]) -> DataFrame:
     return spark.createDataFrame([(s, d) for s, ds in graph.items() for d in ds], "src string, dst string")
 
 
-def flatten_batches(conv: DataFrame, key: str = "conv_id") -> DataFrame:
-    """Nested per-batch outputs (``array<array<string>>``) flattened one level,
-    keeping order, then one row per output."""
-    g = conv.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("turn", F.array("text").alias("batch"))))
-                              .alias("_b"))
-    flat = g.select(key, F.flatten(F.transform("_b", lambda b: b["batch"])).alias("_f"))
-    ex = flat.select(key, F.posexplode_outer("_f").alias("_i", "text")).where(F.col("_i").isNotNull())
-    return ex.select(key, (F.col("_i") + 1).cast("int").alias("position"), "text")
+def flatten_batches(df: DataFrame, nested: str, keep: list[str]) -> DataFrame:
+    """An ``array<array<T>>`` column flattened one level (order kept), one row per
+    element with its 1-based position. Row-local: no grouping."""
+    flat = df.select(*keep, F.flatten(F.col(nested)).alias("_f"))
+    ex = flat.select(*keep, F.posexplode_outer("_f").alias("_i", "value")).where(F.col("_i").isNotNull())
+    return ex.select(*keep, (F.col("_i") + 1).cast("int").alias("position"), "value")

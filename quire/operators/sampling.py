@@ -74,7 +74,8 @@ def few_shot_draw(test: DataFrame, train: DataFrame, key: str, k: int = 1, seed=
     tr = dense_index(train.select(F.col(key).alias("train_id")), "train_id", seed).drop("_n")
     n = train.select(F.count(F.lit(1))).scalar()
     start = hash_int32(seeded_hash(seed, key))
-    t = test.select(F.col(key).alias(key), start.alias("_s"))
+    # one draw per distinct test id: repeated ids cannot inflate a per-example group downstream
+    t = test.select(key).distinct().select(key, start.alias("_s"))
     t = t.select(key, F.explode(F.sequence(F.lit(0), F.least(F.lit(k), n) - 1)).alias("shot"), "_s")
     t = t.withColumn("idx", F.pmod(F.col("_s") + F.col("shot"), n))
     return t.join(tr, "idx").select(key, F.col("shot").cast("int").alias("shot"), "train_id")

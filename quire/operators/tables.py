@@ -4,9 +4,9 @@ Table form: ``(table_id, row_idx INT, header ARRAY<STRING>, cells ARRAY<STRING>)
 one row per table row; many tables live in one DataFrame.
 
 Per-table text is assembled with one ``groupBy(table_id)`` whose group is a single
-table. Tables are size-gated first (F3): the gate is a partial aggregate (safe under
-skew) and a left-semi join keeps only accepted tables, so no collected group can
-exceed ``max_rows`` rows however large or skewed the input is.
+table. Every function that collects a table size-gates it first (F3): the gate is a
+partial aggregate (safe under skew) and a left-semi join keeps only accepted tables,
+so no collected group can exceed ``max_rows`` rows however large or skewed the input.
 """
 
 from __future__ import annotations
@@ -105,12 +105,14 @@ def markdown_text(grid: Column, widths: Column) -> Column:
     return F.array_join(F.concat(F.slice(lines, 1, 1), F.array(ruler), F.slice(lines, 2, F.size(lines))), "\n")
 
 
-def render_tables(rows: DataFrame, mode: str = "plain", delimiter: str = "|") -> DataFrame:
+def render_tables(rows: DataFrame, mode: str = "plain", delimiter: str = "|", max_rows: int = MAX_TABLE_ROWS,
+                  max_cols: int = MAX_TABLE_COLS) -> DataFrame:
     """One text per table (``plain``, ``indexed`` or ``markdown``).
 
-    Callers gate first (:func:`gated`); the collected group is one table.
+    Only tables that pass the size gate are rendered, so the collected group (one
+    table) never exceeds ``max_rows`` rows; :func:`size_gate` reports the others.
     """
-    g = _collected(rows)
+    g = _collected(gated(rows, max_rows, max_cols))
     if mode == "plain":
         text = plain_text(F.col("header"), F.col("_rows"), delimiter)
     elif mode == "indexed":
@@ -201,7 +203,8 @@ def row_document(header: Column, cells: Column) -> Column:
         h, F.lit(": "), F.coalesce(F.try_element_at(cells, i + 1), F.lit("")))), "; ")
 
 
-def table_examples(rows: DataFrame, seed: int = DOC_RANDOM_SEED) -> DataFrame:
+def table_examples(rows: DataFrame, seed: int = DOC_RANDOM_SEED, max_rows: int = MAX_TABLE_ROWS,
+                   max_cols: int = MAX_TABLE_COLS) -> DataFrame:
     """Indexed table text and its assembled document set, from one collect per table.
 
     W5: rows are shuffled by a seeded hash per table (a stable order independent of
@@ -211,17 +214,18 @@ def table_examples(rows: DataFrame, seed: int = DOC_RANDOM_SEED) -> DataFrame:
     h = seeded_hash(seed, "table_id", "row_idx")
     docs = F.array_sort(F.collect_list(F.struct(h.alias("_h"), F.col("row_idx"),
                                                 row_document(F.col("header"), F.col("cells")).alias("doc"))))
-    g = _collected(rows, {"_docs": docs})
+    g = _collected(gated(rows, max_rows, max_cols), {"_docs": docs})
     doc_set = F.array_join(F.transform("_docs", lambda x, i: F.concat(
         F.lit("Document "), (i + 1).cast("string"), F.lit(": "), x["doc"])), "\n\n")
     return g.select("table_id", indexed_text(F.col("header"), F.col("_rows")).alias("table"),
                     doc_set.alias("documents"))
 
 
-def shuffle_positions(rows: DataFrame, seed: int = DOC_RANDOM_SEED) -> DataFrame:
-    """Per table, the shuffled position of each original row (both 1-based)."""
+def shuffle_positions(rows: DataFrame, seed: int = DOC_RANDOM_SEED, max_rows: int = MAX_TABLE_ROWS,
+                      max_cols: int = MAX_TABLE_COLS) -> DataFrame:
+    """Per (size-gated) table, the shuffled position of each original row (both 1-based)."""
     h = seeded_hash(seed, "table_id", "row_idx")
-    g = rows.groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct(h.alias("_h"), F.col("row_idx")))).alias("_o"))
+    g = gated(rows, max_rows, max_cols).groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct(h.alias("_h"), F.col("row_idx")))).alias("_o"))
     ex = g.select("table_id", F.posexplode("_o").alias("_p", "_x"))
     return ex.select("table_id", (F.col("_p") + 1).cast("int").alias("position"),
                      F.col("_x.row_idx").alias("row_idx"))

@@ -149,7 +149,9 @@ def z3_transition_violations(spark, d):
 
 @query("r5_flatten_batches")
 def r5_flatten_batches(spark, d):
-    return cv.flatten_batches(tb.table(spark, d, "conversations"))
+    # each message is a batch of outputs, one per line, wrapped one level deeper
+    c = tb.table(spark, d, "conversations").select("conv_id", "turn", F.array(F.split("text", "\n")).alias("batches"))
+    return cv.flatten_batches(c, "batches", ["conv_id", "turn"])
 
 
 # ============================================================== oracle SQL
@@ -253,5 +255,6 @@ FROM (SELECT conv_id, turn, lag(role) OVER (PARTITION BY conv_id ORDER BY turn)
 WHERE src IS NOT NULL
   AND (src, dst) NOT IN (SELECT * FROM (VALUES ('system', 'user'), ('user', 'assistant'), ('assistant', 'user')) e(s, d))"""
 ORACLE["r5_flatten_batches"] = """
-SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS position, text
+SELECT conv_id, turn, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS INTEGER) AS position,
+       unnest(string_split(text, chr(10))) AS value
 FROM conversations"""

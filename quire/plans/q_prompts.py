@@ -53,7 +53,7 @@ def w4_few_shot_draw(spark, d):
 
 @query("w6_reasoning_types")
 def w6_reasoning_types(spark, d):
-    texts = tt.render_tables(tt.gated(tb.table_cells(spark, d)), "indexed")
+    texts = tt.render_tables(tb.table_cells(spark, d), "indexed")
     return sm.reasoning_type_choice(texts, "table", seed=0).drop("types")
 
 

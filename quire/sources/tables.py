@@ -168,5 +168,5 @@ def examples_with_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     # render only the tables some example points at: semi-join the rows to the example ids first
     ids = ex.select(F.col("example_id").alias("table_id"))
     cells = table_cells(spark, sf_dir).join(ids, "table_id", "left_semi")
-    texts = tt.render_tables(tt.gated(cells), "indexed")
+    texts = tt.render_tables(cells, "indexed")
     return ex.join(texts.withColumnRenamed("table_id", "example_id"), "example_id", "left")
