@@ -258,3 +258,28 @@ ORACLE["r5_flatten_batches"] = """
 SELECT conv_id, turn, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS INTEGER) AS position,
        unnest(string_split(text, chr(10))) AS value
 FROM conversations"""
+
+# Sections as in the R6 oracle, each escaped (JSON bodies inside <pre>), joined in section order
+_HTML_HEAD_SQL = lg._HTML_HEAD.replace("'", "''")
+
+
+def _esc(x: str) -> str:
+    return (f"replace(replace(replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), "
+            f"'\"', '&quot;'), '''', '&#x27;'), chr(10), '<br>')")
+
+
+ORACLE["a15_html_report"] = W("log_text", extra=[("secs", r"""
+SELECT log_id, i, regexp_extract(piece, '^\*\*([^\n]*?)\*\*\n', 1) AS section,
+       substr(piece, strpos(piece, chr(10)) + 1) AS body
+FROM (SELECT log_id, CASE WHEN i = 1 THEN p ELSE '**' || p END AS piece, i
+      FROM (SELECT log_id, unnest(string_split(log_text, chr(10) || chr(10) || '**')) AS p,
+                   generate_subscripts(string_split(log_text, chr(10) || chr(10) || '**'), 1) AS i
+            FROM log_text) a) b""")]) + f"""
+SELECT log_id, '{_HTML_HEAD_SQL}' || string_agg('<div><strong>' || section || '</strong><p>'
+       || CASE WHEN json_valid(body) THEN '<pre>' || {_esc('body')} || '</pre>' ELSE {_esc('body')} END
+       || '</p></div>', '' ORDER BY i) || '</body></html>' AS html
+FROM secs GROUP BY log_id"""
+
+ORACLE["n5_pretty_json"] = W("raw_json") + """
+SELECT event_id, '{' || chr(10) || '  "k" : ' || CAST(CAST(json_extract(raw, '$.k') AS BIGINT) AS VARCHAR) || chr(10) || '}' AS pretty
+FROM raw_json WHERE json_valid(raw)"""

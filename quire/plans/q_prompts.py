@@ -398,3 +398,10 @@ SELECT b.item_id, g.ci AS complexity_idx, g.di AS domain_idx,
        '{q(SKILL_PREAMBLE)}' || chr(10) || replace(replace(replace(replace(replace('{q(SKILL_INSTRUCTION)}',
        '{{{{', '{{'), '}}}}', '}}'), '{{skill}}', b.text), '{{complexity}}', g.c), '{{domain}}', g.d) AS prompt
 FROM benchmark b CROSS JOIN (VALUES {CELLS}) g(ci, c, di, d)"""
+
+# Z1 with the offline scorer: the reply quotes the prompt's last "Q: " line (the question's first line)
+ORACLE["z1_batch_scorer"] = W(*SFIX, extra=[GATED, EXT] + PROMPT_INPUTS + STORE) + """
+SELECT k.example_id, k.reasoning_type, k.prompt_type, k.prompt,
+       'ANSWER: ' || substr(split_part(e.question, chr(10), 1), 1, 80) AS reply
+FROM kp k JOIN examples e ON e.example_id = k.example_id
+WHERE k.prompt_key NOT IN (SELECT prompt_key FROM store)"""
