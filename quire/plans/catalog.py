@@ -145,3 +145,13 @@ def p9_llm_validity(spark, d):
 
 
 FLAGSHIP = "v1_score_report"
+
+
+@query("v3_reports_from_checkpoint")
+def v3_reports_from_checkpoint(spark, d):
+    """V3 through the evaluate-and-report flow (scored table materialized once)."""
+    from quire.operators.evaluation import evaluate_and_report
+
+    out = evaluate_and_report(tb.evaluations(spark, d), tb.tracker(spark, d), _binned(spark, d), tb.FIXTURE_MODELS)
+    return out["scores"].withColumn("report", F.lit("score")).unionByName(
+        out["em"].withColumn("report", F.lit("em")))

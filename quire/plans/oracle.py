@@ -152,3 +152,4 @@ FROM examples WHERE human_validity IS NOT NULL"""
 
 ORACLE["p9_llm_validity"] = W("examples") + """
 SELECT example_id, validity_scalar IN (4, 5) AS llm_valid FROM examples"""
+ORACLE["v3_reports_from_checkpoint"] = ORACLE["v3_all_reports"]

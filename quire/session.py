@@ -61,3 +61,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     local = tempfile.mkdtemp(prefix="quire-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
+
+
+def materialize(df, name: str = "table"):
+    """Cut lineage: write ``df`` as a parquet table in the shared checkpoint folder and
+    read it back.
+
+    Used where one intermediate feeds several reports: it is computed once, the reports
+    read a columnar table (with pushdown and pruning), and a lost executor restarts
+    from the table instead of the whole plan.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/quire-tables/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
