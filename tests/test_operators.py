@@ -259,3 +259,34 @@ def test_run_params_and_example_id_from_path(spark):
                                  "data/raw_data/v3/t_12.run/full_log.json")], "p string, q string")
     r = df.select(*fs.run_params("p"), fs.example_id_from_path("q")).collect()[0]
     assert tuple(r) == ("table", "gpt-4o", "few-shot-CoT", "v3_t_12")
+
+
+def test_provider_routing_order_and_strictness(spark):
+    from quire.operators import prompts as pr
+    df = spark.createDataFrame([("gpt-4o",), ("claude-3",), ("Gemini-pro",), ("llama-3-8b",), ("MultiAgent_x",),
+                                ("other",)], "model string")
+    got = [r[0] for r in df.select(pr.provider_for(F.col("model"), strict=False)).collect()]
+    assert got == ["azure_openai", "anthropic", "google", "replicate", "multiagent", None]
+    with pytest.raises(Exception):
+        df.select(pr.provider_for(F.col("model"), strict=True)).collect()
+
+
+def test_evaluate_and_report_materializes_once(spark):
+    from quire.operators.evaluation import evaluate_and_report
+    ev = spark.createDataFrame([(i, m, p, r, str((i + len(m) + len(p)) % 11))
+                                for i in range(40) for m in ("ma", "mb") for p in ("zero-shot", "few-shot")
+                                for r in ("documents", "table")],
+                               "example_id int, model string, prompt_type string, reasoning_type string, judge_raw string")
+    tr = spark.createDataFrame([(i, i % 2) for i in range(0, 40, 3)], "example_id int, table_validity int")
+    chars = spark.createDataFrame([(i, "multi-hop", i % 3, i % 2) for i in range(40)],
+                                  "example_id int, characteristic string, score int, level int")
+    out = evaluate_and_report(ev, tr, chars, ["ma", "mb"])
+    assert set(out) == {"run_stats", "scores", "em", "breakdown", "overall_breakdown"}
+    assert out["scores"].count() == 4 and out["run_stats"].count() == 8
+    # the reports read a parquet table, not the original plan
+    assert "parquet" in out["em"]._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_flatten_batches_keeps_order(spark):
+    df = spark.createDataFrame([(1, [["a", "b"], ["c"]])], "k int, batches array<array<string>>")
+    assert rows(cv.flatten_batches(df, "batches", ["k"])) == [(1, 1, "a"), (1, 2, "b"), (1, 3, "c")]
