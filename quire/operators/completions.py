@@ -43,12 +43,14 @@ def with_fallback(prompts: DataFrame, store: DataFrame, key: str = "prompt_key")
 
 
 def offline_scorer(prompts: pd.Series) -> pd.Series:
-    """Deterministic stand-in scorer: answers with the question line of the prompt."""
+    """Deterministic stand-in scorer: answers with the prompt's last ``Q: `` line."""
     def one(p: str) -> str:
-        q = ""
-        for line in p.split("\n"):
-            if line.startswith("Q: "):
-                q = line[3:]
+        i = p.rfind("\nQ: ")
+        start = i + 4 if i >= 0 else (3 if p.startswith("Q: ") else -1)
+        if start < 0:
+            return ANSWER_KEY
+        end = p.find("\n", start)
+        q = p[start:] if end < 0 else p[start:end]
         return f"{ANSWER_KEY}{q[:80]}"
     return prompts.map(one)
 
@@ -63,7 +65,8 @@ def score_batches(pending: DataFrame, scorer: Callable[[pd.Series], pd.Series] =
     """
     keep = keep or [c for c in pending.columns if c != prompt]
     cols = keep + [prompt]
-    schema = pending.select(*cols).schema.add("reply", "string")
+    # the prompt goes to Python but does not come back: only the keys and the reply do
+    schema = pending.select(*keep).schema.add("reply", "string")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -78,7 +81,7 @@ def score_batches(pending: DataFrame, scorer: Callable[[pd.Series], pd.Series] =
                         replies.append(list(scorer(pd.Series([p])))[0])
                     except Exception:  # noqa: BLE001
                         replies.append(NO_RESPONSE)
-            out = pdf[cols].copy()
+            out = pdf[keep].copy()
             out["reply"] = replies
             yield out
 

@@ -104,14 +104,7 @@ def x1_text_prompts(spark, d):
 
 @query("a9_token_totals")
 def a9_token_totals(spark, d):
-    p = pr.text_prompts(tb.examples_with_tables(spark, d), k=1, seed=0, extra=("ground_truth",))
-    pt, at = token_count("prompt"), token_count("ground_truth")
-    return p.groupBy("reasoning_type", "prompt_type").agg(
-        F.count(F.lit(1)).alias("n_prompts"), F.sum(pt).cast("bigint").alias("total_prompt_tokens"),
-        F.round(F.avg(pt), 6).alias("avg_prompt_tokens"), F.max(pt).cast("bigint").alias("max_prompt_tokens"),
-        F.sum(at).cast("bigint").alias("total_answer_tokens"),
-        F.round(F.sum(at) / F.count(F.lit(1)), 6).alias("avg_answer_tokens"),
-        F.max(at).cast("bigint").alias("max_answer_tokens"))
+    return pr.prompt_token_stats(tb.examples_with_tables(spark, d), k=1, seed=0)
 
 
 @query("x2_chat_prompts")
@@ -401,7 +394,7 @@ FROM benchmark b CROSS JOIN (VALUES {CELLS}) g(ci, c, di, d)"""
 
 # Z1 with the offline scorer: the reply quotes the prompt's last "Q: " line (the question's first line)
 ORACLE["z1_batch_scorer"] = W(*SFIX, extra=[GATED, EXT] + PROMPT_INPUTS + STORE) + """
-SELECT k.example_id, k.reasoning_type, k.prompt_type, k.prompt,
+SELECT k.example_id, k.reasoning_type, k.prompt_type,
        'ANSWER: ' || substr(split_part(e.question, chr(10), 1), 1, 80) AS reply
 FROM kp k JOIN examples e ON e.example_id = k.example_id
 WHERE k.prompt_key NOT IN (SELECT prompt_key FROM store)"""

@@ -100,9 +100,16 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
                     resp.alias("model_response"))
 
 
-def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Small tables: one per order; all rendered columns take part in the row order."""
+def table_rows(spark: SparkSession, sf_dir: str, ids: DataFrame | None = None) -> DataFrame:
+    """Small tables: one per order; all rendered columns take part in the row order.
+
+    ``ids`` (a one-column frame of table ids) restricts the tables before the row
+    numbering, so only the needed orders are sorted.
+    """
     li = table(spark, sf_dir, "lineitem")
+    if ids is not None:
+        li = li.join(ids.select(ids.columns[0]).withColumnRenamed(ids.columns[0], "l_orderkey"), "l_orderkey",
+                     "left_semi")
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey",
                                                  "l_quantity", "l_extendedprice")
     return li.select(
@@ -113,9 +120,9 @@ def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_returnflag").alias("flag"), F.col("l_shipdate").cast("date").cast("string").alias("shipped"))
 
 
-def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+def table_cells(spark: SparkSession, sf_dir: str, ids: DataFrame | None = None) -> DataFrame:
     """table_rows in the engine's table form: ``(table_id, row_idx, header, cells)``."""
-    tr = table_rows(spark, sf_dir)
+    tr = table_rows(spark, sf_dir, ids)
     return tr.select("table_id", "row_idx",
                      F.array(*[F.lit(c) for c in TABLE_COLUMNS]).alias("header"),
                      F.array(*[F.col(c) for c in TABLE_COLUMNS]).alias("cells"))
@@ -165,8 +172,8 @@ def examples_with_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.operators import tables as tt
 
     ex = examples(spark, sf_dir)
-    # render only the tables some example points at: semi-join the rows to the example ids first
-    ids = ex.select(F.col("example_id").alias("table_id"))
-    cells = table_cells(spark, sf_dir).join(ids, "table_id", "left_semi")
+    # render only the tables some example points at: the rows are restricted to the
+    # example ids before they are numbered and collected
+    cells = table_cells(spark, sf_dir, ids=ex.select("example_id"))
     texts = tt.render_tables(cells, "indexed")
     return ex.join(texts.withColumnRenamed("table_id", "example_id"), "example_id", "left")
