@@ -60,53 +60,60 @@ def sections(logs: DataFrame, text: str = "log_text", key: str = "log_id") -> Da
                      F.col("_x.header").alias("section"), F.col("_x.body").alias("body"))
 
 
-def _span(text: Column, name: str) -> tuple[Column, Column, Column, Column]:
-    """(found, before, body, after) of the first ``**name**`` section.
+def _with_span(df: DataFrame, col: str, name: str) -> DataFrame:
+    """Add ``_found, _before, _body, _after`` for the first ``**name**`` section of ``col``.
 
-    The body starts after the ``**name**`` line and ends before the next blank line
-    that precedes a ``**`` header (or at the end of the text); ``after`` keeps that
-    separator. ``before`` ends just before the header.
+    The body starts after the ``**name**`` line and ends before the next blank line that
+    precedes a ``**`` header (or at the end of the text); ``_after`` keeps that separator
+    and ``_before`` ends just before the header. Positions and pieces are computed in
+    their own projections, once per row.
     """
     marker = f"**{name}**\n"
-    pos = F.instr(text, marker)
-    found = pos > 0
-    rest = text.substr(pos + F.lit(len(marker)), F.length(text) + F.lit(1))
-    rel = F.instr(rest, "\n\n**")
-    body = F.when(rel > 0, rest.substr(F.lit(1), rel - F.lit(1))).otherwise(rest)
-    after = F.when(rel > 0, rest.substr(rel, F.length(rest) + F.lit(1))).otherwise(F.lit(""))
-    before = text.substr(F.lit(1), pos - F.lit(1))
-    return found, before, body, after
+    t = F.col(col)
+    x = df.withColumn("_pos", F.instr(t, marker))
+    x = x.withColumn("_rest", F.when(F.col("_pos") > 0, t.substr(F.col("_pos") + F.lit(len(marker)),
+                                                                 F.length(t) + F.lit(1))))
+    x = x.withColumn("_rel", F.instr(F.col("_rest"), "\n\n**"))
+    rest, rel = F.col("_rest"), F.col("_rel")
+    return x.select(
+        *df.columns, (F.col("_pos") > 0).alias("_found"),
+        t.substr(F.lit(1), F.col("_pos") - F.lit(1)).alias("_before"),
+        F.when(rel > 0, rest.substr(F.lit(1), rel - F.lit(1))).otherwise(rest).alias("_body"),
+        F.when(rel > 0, rest.substr(rel, F.length(rest) + F.lit(1))).otherwise(F.lit("")).alias("_after"))
 
 
-def fence_section(text: Column, name: str) -> Column:
+_SPAN = ["_found", "_before", "_body", "_after"]
+
+
+def fence_section(df: DataFrame, col: str, name: str) -> DataFrame:
     """X13 for one section: wrap its body in a json fence when it starts with ``{`` or ``[``."""
-    found, before, body, after = _span(text, name)
-    return F.when(found & body.rlike(r"^[\[{]"), F.concat(
-        before, F.lit(f"**{name}**\n```json\n"), body, F.lit("\n```"), after)).otherwise(text)
+    x = _with_span(df, col, name)
+    b = F.col("_body")
+    return x.withColumn(col, F.when(F.col("_found") & b.rlike(r"^[\[{]"), F.concat(
+        F.col("_before"), F.lit(f"**{name}**\n```json\n"), b, F.lit("\n```"), F.col("_after")))
+        .otherwise(F.col(col))).drop(*_SPAN)
 
 
 def fence_json(df: DataFrame, col: str, names: list[str] = JSON_FENCED_SECTIONS) -> DataFrame:
-    """Fence each named section in turn.
-
-    One projection per section: an edit refers to its input several times, so nesting
-    the edits in one expression would grow it multiplicatively.
-    """
+    """Fence each named section in turn (one set of projections per section)."""
     for name in names:
-        df = df.withColumn(col, fence_section(F.col(col), name))
+        df = fence_section(df, col, name)
     return df
 
 
-def delete_section(text: Column, name: str = BAR_TABLE_SECTION) -> Column:
+def delete_section(df: DataFrame, col: str, name: str = BAR_TABLE_SECTION) -> DataFrame:
     """Drop one section (header, body and the blank line after it); unchanged if absent."""
-    found, before, _body, after = _span(text, name)
-    return F.when(found, F.concat(before, F.regexp_replace(after, r"^\n\n", ""))).otherwise(text)
+    x = _with_span(df, col, name)
+    return x.withColumn(col, F.when(F.col("_found"), F.concat(
+        F.col("_before"), F.regexp_replace(F.col("_after"), r"^\n\n", ""))).otherwise(F.col(col))).drop(*_SPAN)
 
 
-def strip_table_colons(text: Column, name: str) -> Column:
+def strip_table_colons(df: DataFrame, col: str, name: str) -> DataFrame:
     """Remove ``:`` from a section body and put a blank line before it."""
-    found, before, body, after = _span(text, name)
-    return F.when(found, F.concat(before, F.lit(f"**{name}**\n\n"), F.replace(body, F.lit(":"), F.lit("")),
-                                  after)).otherwise(text)
+    x = _with_span(df, col, name)
+    return x.withColumn(col, F.when(F.col("_found"), F.concat(
+        F.col("_before"), F.lit(f"**{name}**\n\n"), F.replace(F.col("_body"), F.lit(":"), F.lit("")),
+        F.col("_after"))).otherwise(F.col(col))).drop(*_SPAN)
 
 
 def normalize_header(text: Column, bad: str, good: str) -> Column:
@@ -120,9 +127,9 @@ def clean_logs(df: DataFrame, col: str, table_sections: list[str] | None = None)
                                              "**DOCUMENT Reasoning Results -- GPTEval Prediction Evaluation **",
                                              "**DOCUMENT Reasoning Results -- GPTEval Prediction Evaluation**"))
     df = fence_json(df, col)
-    df = df.withColumn(col, delete_section(F.col(col)))
+    df = delete_section(df, col)
     for name in table_sections or []:
-        df = df.withColumn(col, strip_table_colons(F.col(col), name))
+        df = strip_table_colons(df, col, name)
     return df
 
 

@@ -78,12 +78,22 @@ def text_prompts(examples: DataFrame, k: int = 1, seed=0, key: str = "example_id
     ``instruction\\n`` + few-shot block + ``Context: c\\nQ: q\\n`` + (CoT line) + ``A:``.
     ``extra`` example columns are carried along.
     """
-    p = _prompt_inputs(examples, k, seed, key, extra)
+    return assemble_text_prompts(prompt_inputs(examples, k, seed, key, extra), key, extra)
+
+
+def prompt_inputs(examples: DataFrame, k: int = 1, seed=0, key: str = "example_id",
+                  extra: tuple[str, ...] = ()) -> DataFrame:
+    """Grid rows with the chosen context and few-shot block, before assembly."""
+    return _prompt_inputs(examples, k, seed, key, extra)
+
+
+def assemble_text_prompts(inputs: DataFrame, key: str = "example_id", extra: tuple[str, ...] = ()) -> DataFrame:
+    """The X1 string from :func:`prompt_inputs` rows (one projection)."""
     pt = F.col("prompt_type")
     prompt = F.concat(instruction_for(pt), F.lit("\n"), F.col("shots"), F.lit(f"{CONTEXT_KEY} "), F.col("context"),
                       F.lit(f"\n{INPUT_KEY} "), F.col("question"), F.lit("\n"),
                       F.when(pt.contains("CoT"), F.lit(COT + "\n")).otherwise(F.lit("")), F.lit(OUTPUT_KEY))
-    return p.select(key, "reasoning_type", "prompt_type", *extra, prompt.alias("prompt"))
+    return inputs.select(key, "reasoning_type", "prompt_type", *extra, prompt.alias("prompt"))
 
 
 def _msg(role: str, content: Column) -> Column:

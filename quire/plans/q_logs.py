@@ -63,14 +63,12 @@ def x13_json_fence(spark, d):
 
 @query("x14_delete_section")
 def x14_delete_section(spark, d):
-    return tb.log_text(spark, d).select("log_id", lg.delete_section(F.col("log_text"), "Generated Edits Rationale")
-                                        .alias("log_text"))
+    return lg.delete_section(tb.log_text(spark, d).select("log_id", "log_text"), "log_text", "Generated Edits Rationale")
 
 
 @query("x15_table_section_strip")
 def x15_table_section_strip(spark, d):
-    return tb.log_text(spark, d).select("log_id", lg.strip_table_colons(F.col("log_text"), "Existing Table Info")
-                                        .alias("log_text"))
+    return lg.strip_table_colons(tb.log_text(spark, d).select("log_id", "log_text"), "log_text", "Existing Table Info")
 
 
 @query("r6_log_sections")

@@ -218,11 +218,11 @@ def test_log_section_edits(spark):
     assert secs == [(1, "A", '{"x": 1}'), (2, "B", "body: 1"), (3, "C", "[1]")]
     fenced = lg.fence_json(df, "log_text", ["A"]).collect()[0][1]
     assert fenced.startswith('**A**\n```json\n{"x": 1}\n```\n\n**B**')
-    d = df.select(lg.delete_section(F.col("log_text"), "B")).collect()[0][0]
+    d = lg.delete_section(df, "log_text", "B").collect()[0][1]
     assert d == "**A**\n{\"x\": 1}\n\n**C**\n[1]"
-    s = df.select(lg.strip_table_colons(F.col("log_text"), "B")).collect()[0][0]
+    s = lg.strip_table_colons(df, "log_text", "B").collect()[0][1]
     assert "**B**\n\nbody 1\n\n**C**" in s
-    assert df.select(lg.delete_section(F.col("log_text"), "Z")).collect()[0][0] == text
+    assert lg.delete_section(df, "log_text", "Z").collect()[0][1] == text
 
 
 def test_upsert_replaces_by_key(spark):
