@@ -94,8 +94,17 @@ def latest_per_key(outputs: DataFrame, key: str, order: str) -> DataFrame:
     ``max_by`` is a partial aggregate: a key holding many duplicates is combined
     map-side instead of being sorted in one task.
     """
+    from pyspark.sql.types import MapType
+
     others = [c for c in outputs.columns if c != key]
-    g = outputs.groupBy(key).agg(F.max_by(F.struct(*others), F.col(order)).alias("_x"))
+    orderable = not any(isinstance(f.dataType, MapType) for f in outputs.schema.fields if f.name in others)
+    if orderable:
+        # max of (order, row): rows tied on ``order`` are broken by content, so a recomputed
+        # task (after an executor loss) always keeps the same row
+        rest = [c for c in others if c != order]
+        g = outputs.groupBy(key).agg(F.max(F.struct(F.col(order).alias(order), *rest)).alias("_x"))
+    else:
+        g = outputs.groupBy(key).agg(F.max_by(F.struct(*others), F.col(order)).alias("_x"))
     return g.select(key, *[F.col(f"_x.{c}").alias(c) for c in others])
 
 

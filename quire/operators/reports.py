@@ -37,7 +37,7 @@ def mean_of_present(cols: list[Column]) -> Column:
 def wide_by_prompt_type(long: DataFrame, value: str, index: list[str], scale: float,
                         prompt_types: list[str] = PROMPT_TYPES, digits: int | None = 6) -> DataFrame:
     """V1/V2: pivot prompt types into columns (fixed order), add Overall, scale."""
-    wide = long.groupBy(*index).pivot("prompt_type", prompt_types).agg(F.first(value))
+    wide = long.groupBy(*index).pivot("prompt_type", prompt_types).agg(F.max(value))  # one value per cell
     cells = [F.col(f"`{p}`") for p in prompt_types]
     return wide.select(*index, *[_round(c * scale, digits).alias(p) for c, p in zip(cells, prompt_types)],
                        _round(mean_of_present(cells) * scale, digits).alias("Overall"))

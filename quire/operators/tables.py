@@ -56,7 +56,7 @@ def letter_columns(rows: DataFrame, k: int = MIN_ALPHA_COLUMNS, max_cols: int =
 
 def _collected(rows: DataFrame, extra: dict[str, Column] | None = None) -> DataFrame:
     """One row per table: header and the row cells ordered by ``row_idx``."""
-    aggs = [F.first("header").alias("header"),
+    aggs = [F.max("header").alias("header"),  # one header per table; max keeps it deterministic
             F.array_sort(F.collect_list(F.struct("row_idx", "cells"))).alias("_rows")]
     aggs += [v.alias(k) for k, v in (extra or {}).items()]
     return rows.groupBy("table_id").agg(*aggs)
