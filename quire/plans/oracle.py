@@ -141,7 +141,7 @@ SELECT count(*) AS n_labelled,
        round(CASE WHEN sum(CASE WHEN validity_scalar IN (4, 5) THEN 1 ELSE 0 END) > 0 THEN
              sum(CASE WHEN human_validity <> 0 AND validity_scalar IN (4, 5) THEN 1 ELSE 0 END) * 1.0
              / sum(CASE WHEN validity_scalar IN (4, 5) THEN 1 ELSE 0 END) END, 6) AS valid_proportion_matching,
-       sum(CASE WHEN human_validity <> 0 AND validity_scalar IN (4, 5) THEN 1 ELSE 0 END) AS n_both_valid
+       CAST(sum(CASE WHEN human_validity <> 0 AND validity_scalar IN (4, 5) THEN 1 ELSE 0 END) AS BIGINT) AS n_both_valid
 FROM examples WHERE human_validity IS NOT NULL"""
 
 ORACLE["n6_validity_records"] = W("examples") + """

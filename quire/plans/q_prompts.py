@@ -94,7 +94,7 @@ def p4_context_choice(spark, d):
     ex = pr.run_grid(tb.examples_with_tables(spark, d).select("example_id", "documents", "table"),
                      prompt_types=["zero-shot"])
     return ex.select("example_id", "reasoning_type",
-                     F.length(pr.context_for(F.col("reasoning_type"))).alias("context_chars"))
+                     F.length(pr.context_for(F.col("reasoning_type"))).cast("bigint").alias("context_chars"))
 
 
 @query("x1_text_prompts")
@@ -301,9 +301,9 @@ SELECT example_id, reasoning_type, prompt_type, prompt FROM prompts"""
 
 TOK = r"len(regexp_extract_all({x}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]'))"
 ORACLE["a9_token_totals"] = W(*PFIX, extra=[GATED, EXT] + PROMPT_INPUTS) + f"""
-SELECT reasoning_type, prompt_type, count(*) AS n_prompts, sum({TOK.format(x='prompt')}) AS total_prompt_tokens,
+SELECT reasoning_type, prompt_type, count(*) AS n_prompts, CAST(sum({TOK.format(x='prompt')}) AS BIGINT) AS total_prompt_tokens,
        round(avg({TOK.format(x='prompt')}), 6) AS avg_prompt_tokens, max({TOK.format(x='prompt')}) AS max_prompt_tokens,
-       sum({TOK.format(x='ground_truth')}) AS total_answer_tokens,
+       CAST(sum({TOK.format(x='ground_truth')}) AS BIGINT) AS total_answer_tokens,
        round(sum({TOK.format(x='ground_truth')}) / count(*), 6) AS avg_answer_tokens,
        max({TOK.format(x='ground_truth')}) AS max_answer_tokens
 FROM prompts GROUP BY reasoning_type, prompt_type"""
