@@ -191,3 +191,22 @@ ORACLE["x16_html_escape"] = """
 SELECT doc_id, replace(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'),
        '"', '&quot;'), '''', '&#x27;'), chr(10), '<br>') AS html
 FROM documents"""
+
+
+@query("a12_generated_document_sets")
+def a12_generated_document_sets(spark, d):
+    """Document sets written row by row through the batch writer (offline stand-in)."""
+    from quire.operators.documents import generate_document_sets
+
+    texts = tt.render_tables(_gated_cells(spark, d), "indexed")
+    return generate_document_sets(texts, description=F.concat(F.lit("order "), F.col("table_id").cast("string")))
+
+
+ORACLE["a12_generated_document_sets"] = W("table_rows", extra=[GATED, TEXTS, (
+    "rowdocs", """SELECT table_id, r.doc_row, split_part(t, chr(10), CAST(r.doc_row AS INTEGER) + 1) AS doc,
+                  row_number() OVER (PARTITION BY table_id ORDER BY sha256(concat('0', CAST(table_id AS VARCHAR),
+                  CAST(r.doc_row AS VARCHAR))), r.doc_row) AS pos
+                  FROM texts, LATERAL (SELECT unnest(range(1, n + 1)) AS doc_row) r""")]) + """
+SELECT table_id, string_agg('Document ' || CAST(pos AS VARCHAR) || ': ' || doc, chr(10) || chr(10) ORDER BY pos) AS documents,
+       count(*) AS n_documents, CAST(0 AS BIGINT) AS n_failed
+FROM rowdocs GROUP BY table_id"""

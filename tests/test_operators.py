@@ -290,3 +290,17 @@ def test_evaluate_and_report_materializes_once(spark):
 def test_flatten_batches_keeps_order(spark):
     df = spark.createDataFrame([(1, [["a", "b"], ["c"]])], "k int, batches array<array<string>>")
     assert rows(cv.flatten_batches(df, "batches", ["k"])) == [(1, 1, "a"), (1, 2, "b"), (1, 3, "c")]
+
+
+def test_generated_document_sets_skip_bad_replies(spark):
+    from quire.operators.documents import generate_document_sets, offline_document_writer
+
+    def writer(prompts: pd.Series) -> pd.Series:
+        out = offline_document_writer(prompts)
+        return out.where(~prompts.str.contains("for Row 2\\."), "not json")
+
+    texts = spark.createDataFrame([(7, "|index|a|\n|1|x|\n|2|y|\n|3|z|")], "table_id int, table string")
+    r = generate_document_sets(texts, writer=writer).collect()[0]
+    assert r["n_documents"] == 2 and r["n_failed"] == 1
+    assert sorted(r["documents"].split("\n\n")) == ["Document 1: |1|x|", "Document 2: |3|z|"] or \
+        sorted(d.split(": ", 1)[1] for d in r["documents"].split("\n\n")) == ["|1|x|", "|3|z|"]
