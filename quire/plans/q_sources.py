@@ -201,3 +201,24 @@ SELECT example_id, model, prompt_type, reasoning_type,
        CASE WHEN fix THEN 10 ELSE accuracy END AS accuracy,
        CASE WHEN fix THEN 1 ELSE em_accuracy END AS em_accuracy
 FROM (SELECT *, reasoning_type = 'documents' AND model = 'model_a' AND prompt_type = 'zero-shot' AS fix FROM scored) s"""
+
+
+@query("s10_rebuild_and_append")
+def s10_rebuild_and_append(spark, d):
+    """Rebuild the dataset (W1 split, overwrite), then append the last 25 examples, edited."""
+    ex = tb.examples(spark, d).select("example_id", "question")
+    path = fs.scratch_dir(spark, "dataset")
+    fs.rebuild_dataset(ex, path, "example_id", n_train=1, seed=0)
+    new = sm.last_n(ex, "example_id", 25).withColumn("question", F.concat(F.lit("v2: "), F.col("question")))
+    fs.append_to_dataset(new, path, batch_id=1)
+    return fs.read_dataset(spark, path, "example_id").select("split", "example_id", "question")
+
+
+ORACLE["s10_rebuild_and_append"] = W("examples") + """
+SELECT split, example_id, question FROM (
+  SELECT CASE WHEN row_number() OVER (ORDER BY sha256(concat('0', CAST(example_id AS VARCHAR))), example_id) <= 1
+              THEN 'train' ELSE 'test' END AS split, example_id, question
+  FROM examples) base
+WHERE NOT (split = 'test' AND example_id IN (SELECT example_id FROM examples ORDER BY example_id DESC LIMIT 25))
+UNION ALL
+SELECT 'test', example_id, 'v2: ' || question FROM (SELECT * FROM examples ORDER BY example_id DESC LIMIT 25) n"""

@@ -132,3 +132,27 @@ def example_id_from_path(path) -> Column:
     parent = F.regexp_replace(p, "/[^/]*$", "")
     cut = F.substring_index(parent, ".", 1)
     return F.replace(F.try_element_at(F.split(cut, "raw_data/"), F.lit(2)), F.lit("/"), F.lit("_"))
+
+
+def rebuild_dataset(df: DataFrame, path: str, key: str, n_train: int = 1, seed=0) -> None:
+    """S10 (rebuild): split with W1 and overwrite the dataset, partitioned by split."""
+    from quire.operators.sampling import train_test_split
+
+    out = train_test_split(df, key, n_train=n_train, seed=seed).withColumn("batch_id", F.lit(0).cast("bigint"))
+    out.write.mode("overwrite").partitionBy("split").parquet(path)
+
+
+def append_to_dataset(df: DataFrame, path: str, batch_id: int) -> None:
+    """S10 (append): new examples all go to the test split, tagged with their batch."""
+    (df.withColumn("split", F.lit("test")).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+       .write.mode("append").partitionBy("split").parquet(path))
+
+
+def read_dataset(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """The dataset as of now: per (split, key) the row of the latest batch (an appended
+    example replaces the test copy with the same id; a train copy stays)."""
+    from quire.operators.completions import latest_per_key
+
+    t = spark.read.parquet(path).withColumn("_k", F.struct("split", key))
+    latest = latest_per_key(t.drop("split", key), "_k", "batch_id")
+    return latest.select("_k.*", *[c for c in latest.columns if c not in ("_k", "batch_id")])
