@@ -57,12 +57,17 @@ def shot_strings(test: DataFrame, train: DataFrame, k: int = 1, seed=0, key: str
                     F.array_join(F.transform("_s", lambda x: x["t"]), "").alias("shots_table"))
 
 
-def _prompt_inputs(examples: DataFrame, k: int, seed, key: str, extra: tuple[str, ...] = ()) -> DataFrame:
-    test = examples.where(F.col("split") == "test")
-    train = examples.where(F.col("split") == "train")
-    shots = shot_strings(test, train, k, seed, key)
-    # join once per example, then fan out to the grid: the texts cross the shuffle once, not 8 times
-    g = run_grid(test.select(key, "question", "documents", "table", *extra).join(shots, key, "left"))
+def _prompt_inputs(examples: DataFrame, k: int, seed, key: str, extra: tuple[str, ...] = (),
+                   reasoning_types: list[str] = REASONING_TYPES, prompt_types: list[str] = PROMPT_TYPES) -> DataFrame:
+    test = examples.where(F.col("split") == "test").select(key, "question", "documents", "table", *extra)
+    if any("few" in p for p in prompt_types):
+        train = examples.where(F.col("split") == "train")
+        # join once per example, then fan out to the grid: the texts cross the shuffle once, not 8 times
+        test = test.join(shot_strings(test, train, k, seed, key), key, "left")
+    else:  # no few-shot cell: no draw, no join
+        test = test.select("*", F.lit(None).cast("string").alias("shots_documents"),
+                           F.lit(None).cast("string").alias("shots_table"))
+    g = run_grid(test, reasoning_types, prompt_types)
     rt, pt = F.col("reasoning_type"), F.col("prompt_type")
     return g.select(key, "reasoning_type", "prompt_type", "question", *extra,
                     F.coalesce(context_for(rt), F.lit("")).alias("context"),
@@ -72,19 +77,22 @@ def _prompt_inputs(examples: DataFrame, k: int, seed, key: str, extra: tuple[str
 
 
 def text_prompts(examples: DataFrame, k: int = 1, seed=0, key: str = "example_id",
-                 extra: tuple[str, ...] = ()) -> DataFrame:
+                 extra: tuple[str, ...] = (), reasoning_types: list[str] = REASONING_TYPES,
+                 prompt_types: list[str] = PROMPT_TYPES) -> DataFrame:
     """X1 (+P4, J7, W4): the text prompt of every test example for every grid cell.
 
     ``instruction\\n`` + few-shot block + ``Context: c\\nQ: q\\n`` + (CoT line) + ``A:``.
-    ``extra`` example columns are carried along.
+    ``extra`` example columns are carried along; the grid defaults to all cells.
     """
-    return assemble_text_prompts(prompt_inputs(examples, k, seed, key, extra), key, extra)
+    return assemble_text_prompts(prompt_inputs(examples, k, seed, key, extra, reasoning_types, prompt_types),
+                                 key, extra)
 
 
 def prompt_inputs(examples: DataFrame, k: int = 1, seed=0, key: str = "example_id",
-                  extra: tuple[str, ...] = ()) -> DataFrame:
+                  extra: tuple[str, ...] = (), reasoning_types: list[str] = REASONING_TYPES,
+                  prompt_types: list[str] = PROMPT_TYPES) -> DataFrame:
     """Grid rows with the chosen context and few-shot block, before assembly."""
-    return _prompt_inputs(examples, k, seed, key, extra)
+    return _prompt_inputs(examples, k, seed, key, extra, reasoning_types, prompt_types)
 
 
 def assemble_text_prompts(inputs: DataFrame, key: str = "example_id", extra: tuple[str, ...] = ()) -> DataFrame:

@@ -29,6 +29,14 @@ def _test(spark, d):
     return tb.examples(spark, d).where(F.col("split") == "test")
 
 
+def _examples_table(spark, d):
+    """Examples with tables as a stored table (written once to the shared checkpoint
+    folder): the prompt grid reads it for the test side and again for the few-shot side."""
+    from quire.session import materialize
+
+    return materialize(tb.examples_with_tables(spark, d), "examples")
+
+
 @query("w1_train_test_split")
 def w1_train_test_split(spark, d):
     return sm.train_test_split(tb.examples(spark, d).select("example_id"), "example_id", n_train=1, seed=0)
@@ -99,17 +107,17 @@ def p4_context_choice(spark, d):
 
 @query("x1_text_prompts")
 def x1_text_prompts(spark, d):
-    return pr.text_prompts(tb.examples_with_tables(spark, d), k=1, seed=0)
+    return pr.text_prompts(_examples_table(spark, d), k=1, seed=0)
 
 
 @query("a9_token_totals")
 def a9_token_totals(spark, d):
-    return pr.prompt_token_stats(tb.examples_with_tables(spark, d), k=1, seed=0)
+    return pr.prompt_token_stats(_examples_table(spark, d), k=1, seed=0)
 
 
 @query("x2_chat_prompts")
 def x2_chat_prompts(spark, d):
-    c = pr.chat_prompts(tb.examples_with_tables(spark, d), k=1, seed=0)
+    c = pr.chat_prompts(_examples_table(spark, d), k=1, seed=0)
     return c.select("example_id", "reasoning_type", "prompt_type", F.size("messages").alias("n_messages"),
                     F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"])),
                                  "\n").alias("chat_text"))
@@ -158,13 +166,19 @@ def j4_outputs_by_key(spark, d):
 
 
 def _keyed_prompts(spark, d):
-    p = pr.text_prompts(tb.examples_with_tables(spark, d), k=1, seed=0)
+    p = pr.text_prompts(_examples_table(spark, d), k=1, seed=0)
     return p.withColumn("prompt_key", cp.prompt_key(F.lit(MODEL), F.col("prompt")))
 
 
-def _store(spark, d, prompts):
-    """Stored replies: the responses table answered the zero-shot document prompts of its ids."""
-    z = prompts.where("prompt_type = 'zero-shot' AND reasoning_type = 'documents'")
+def _store(spark, d, prompts=None):
+    """Stored replies: the responses table answered the zero-shot document prompts of its ids.
+
+    Those prompts are rebuilt for just that cell (no few-shot draw, no tables), not taken
+    from the full grid, so the grid is built once per query.
+    """
+    ex = tb.examples(spark, d).withColumn("table", F.lit(None).cast("string"))
+    z = pr.text_prompts(ex, k=1, seed=0, reasoning_types=["documents"], prompt_types=["zero-shot"])
+    z = z.withColumn("prompt_key", cp.prompt_key(F.lit(MODEL), F.col("prompt")))
     return z.join(tb.responses(spark, d).select("example_id", F.col("model_response").alias("reply")),
                   "example_id").select("prompt_key", "reply")
 
