@@ -25,8 +25,10 @@ def summarise(plan: str) -> dict:
         "sort_merge_joins": len(re.findall(r"SortMergeJoin", plan)),
         "nested_loop": len(re.findall(r"BroadcastNestedLoopJoin|CartesianProduct", plan)),
         "python": len(re.findall(r"MapInPandas|ArrowEvalPython|BatchEvalPython", plan)),
-        "scans": sorted(set(re.findall(r"FileScan parquet [^\n]*?Location: InMemoryFileIndex\(1 paths\)\[file:[^\]]*/(\w+)\.parquet\]"
-                                       r"[^\n]*?ReadSchema: (struct<[^\n]*?>)(?:\n|$)", plan))),
+        "scans": sorted({(m.group(1), r.group(1))
+                         for line in plan.split("\n") if "FileScan parquet" in line
+                         for m in [re.search(r"/(\w+?)(?:\.parquet)?(?:-[0-9a-f]{12})?\]", line)]
+                         for r in [re.search(r"ReadSchema: (struct<.*>)\s*$", line)] if m and r}),
     }
 
 
@@ -35,7 +37,7 @@ def main() -> None:
     from quire.plans import QUERIES
 
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    spark = get_spark("local[8]", 16)
+    spark = get_spark("local[8]", 16, extra={"spark.sql.maxMetadataStringLength": "2000"})
     print("# Physical plans\n")
     print(f"Generated by `tools/plan_report.py` at `{sf_dir}` (static plans, before adaptive re-planning;")
     print("adaptive execution may still turn a sort-merge join into a broadcast after measuring a side).\n")
@@ -46,7 +48,7 @@ def main() -> None:
             continue
         plan = fn(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         s = summarise(plan)
-        scans = "; ".join(f"{t}: {re.sub(r'struct<|>$', '', rs).replace(':', ' ')[:80]}" for t, rs in s["scans"])
+        scans = "; ".join(f"{t}: {re.sub(r'struct<|>$', '', rs).replace(':', ' ')[:200]}" for t, rs in s["scans"])
         print(f"| `{name}` | {s['shuffles']} | {s['single']} | {s['broadcast_joins']} | {s['sort_merge_joins']} | "
               f"{s['nested_loop']} | {s['python']} | {scans} |")
 
