@@ -137,7 +137,7 @@ def _parsed(df: DataFrame, text: str, keep: list[str], delimiter: str = "|") ->
     """
     d = delimiter
     split_re = "\\" + d if not d.isalnum() else d
-    x = df.select(*keep, F.split(strip_ws(F.col(text)), "\n").alias("_all"))
+    x = df.select(*keep, F.split(strip_ws(F.col(text)), "\r?\n").alias("_all"))
     # every line (blank ones included) must carry the outer delimiters
     x = x.select(*keep, F.filter("_all", lambda ln: ln != "").alias("_lines"),
                  F.forall("_all", lambda ln: ln.startswith(d) & ln.endswith(d)).alias("_outer"))
@@ -172,7 +172,7 @@ def parse_tables(texts: DataFrame, text: str = "table", key: str = "table_id", d
 def parse_markdown_tables(texts: DataFrame, text: str = "table", key: str = "table_id") -> DataFrame:
     """Markdown grid to table form; ruler lines ``^[+-|= ]+$`` are dropped, the
     first and last pipe-split pieces are discarded and cells are trimmed."""
-    lines = F.filter(F.split(F.col(text), "\n"), lambda ln: ~ln.rlike(r"^[+\-|= ]+$"))
+    lines = F.filter(F.split(F.col(text), "\r?\n"), lambda ln: ~ln.rlike(r"^[+\-|= ]+$"))
     pieces = F.transform(lines, lambda ln: F.split(ln, "\\|", -1))
     split = F.transform(pieces, lambda p: F.transform(
         F.slice(p, 2, F.greatest(F.size(p) - 2, F.lit(0))), lambda c: strip_ws(c)))

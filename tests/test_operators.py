@@ -305,3 +305,8 @@ def test_generated_document_sets_skip_bad_replies(spark):
     docs = r["documents"].split("\n\n")
     assert [d.split(": ", 1)[0] for d in docs] == ["Document 1", "Document 2"]   # numbered in shuffled order
     assert sorted(d.split(": ", 1)[1] for d in docs) == ["|1|x|", "|3|z|"]
+
+
+def test_parse_accepts_crlf_lines(spark):
+    t = tt.parse_tables(_table(spark, "|a|b|\r\n|1|2|\r\n"), "table").collect()
+    assert t[0]["header"] == ["a", "b"] and t[0]["cells"] == ["1", "2"]
