@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.constants import COMPLEXITY_LEVELS, COT, DOMAINS, JUDGE_COMPRESS, JUDGE_NORM, JUDGE_SCALAR, PROMPTS
 from quire.constants import SKILL_INSTRUCTION, SKILL_PREAMBLE
 from quire.functions.ids import content_id, seeded_hash
-from quire.functions.text import answer_parts, parse_int, token_count
+from quire.functions.text import answer_parts
 from quire.operators import completions as cp
 from quire.operators import prompts as pr
 from quire.operators import sampling as sm
