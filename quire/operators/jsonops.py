@@ -6,6 +6,10 @@ malformed text never fails the job, it lands in a quarantine DataFrame instead.
 
 from __future__ import annotations
 
+import functools
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +32,27 @@ def quarantine(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return df.where(~is_json(text)).select(*keep, F.col(text), F.lit("malformed json").alias("reason"))
 
 
-def pretty_json(text: str, schema: str) -> Column:
-    """Re-serialise JSON text pretty-printed (fields in schema order)."""
-    return F.to_json(F.from_json(F.col(text), schema), {"pretty": "true"})
+def _pretty_batch(texts: pd.Series) -> pd.Series:
+    def one(t):
+        try:
+            return json.dumps(json.loads(t), indent=4, sort_keys=True)
+        except (TypeError, ValueError):
+            return None
+    return texts.map(one)
+
+
+@functools.lru_cache(maxsize=1)
+def _pretty():
+    # built on first use: declaring a pandas UDF needs an active session
+    return F.pandas_udf(_pretty_batch, "string")
+
+
+def pretty_json(text) -> Column:
+    """JSON text re-serialised with sorted keys and four-space indent (the exact layout
+    of the original reports); NULL when the text is not JSON.
+
+    A vectorised helper (Arrow batches): only JSON bodies of reports reach it, so callers
+    apply it under a JSON test.
+    """
+    t = F.col(text) if isinstance(text, str) else text
+    return _pretty()(t)

@@ -143,11 +143,14 @@ _HTML_HEAD = ("\n<html>\n<head>\n<title>Example</title>\n<style>\npre {\n    whi
 def html_report(items: DataFrame, key: str, order: str, title: str = "title", content: str = "content") -> DataFrame:
     """One HTML page per key from ordered ``(title, content)`` items.
 
-    JSON content goes in a ``<pre>`` block (escaped, kept as written); other content is
-    escaped with ``<br>`` line breaks. The group is one report's items.
+    JSON content is pretty-printed (sorted keys, four-space indent) into a ``<pre>`` block;
+    all content is HTML-escaped with ``<br>`` line breaks. The group is one report's items.
     """
+    from quire.operators.jsonops import pretty_json
+
     is_json = F.try_parse_json(F.col(content)).isNotNull()
-    body = F.when(is_json, F.concat(F.lit("<pre>"), html_escape(content), F.lit("</pre>"))).otherwise(html_escape(content))
+    pretty = pretty_json(F.when(is_json, F.col(content)))
+    body = F.when(is_json, F.concat(F.lit("<pre>"), html_escape(pretty), F.lit("</pre>"))).otherwise(html_escape(content))
     div = F.concat(F.lit("<div><strong>"), F.col(title), F.lit("</strong><p>"), body, F.lit("</p></div>"))
     g = items.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), div.alias("d")))).alias("_d"))
     return g.select(key, F.concat(F.lit(_HTML_HEAD), F.array_join(F.transform("_d", lambda x: x["d"]), ""),

@@ -116,7 +116,7 @@ def n2_json_quarantine(spark, d):
 @query("n5_pretty_json")
 def n5_pretty_json(spark, d):
     r = tb.raw_json(spark, d)
-    return r.where(js.is_json("raw")).select("event_id", js.pretty_json("raw", "k bigint").alias("pretty"))
+    return r.where(js.is_json("raw")).select("event_id", js.pretty_json("raw").alias("pretty"))
 
 
 @query("n3_reply_scores")
@@ -261,6 +261,10 @@ FROM conversations"""
 _HTML_HEAD_SQL = lg._HTML_HEAD.replace("'", "''")
 
 
+# the JSON bodies of the log fixture are {"lang": "<code>"}: their four-space pretty form
+PRETTY_LANG = """('{' || chr(10) || '    "lang": ' || to_json(json_extract_string(body, '$.lang')) || chr(10) || '}')"""
+
+
 def _esc(x: str) -> str:
     return (f"replace(replace(replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), "
             f"'\"', '&quot;'), '''', '&#x27;'), chr(10), '<br>')")
@@ -274,10 +278,10 @@ FROM (SELECT log_id, CASE WHEN i = 1 THEN p ELSE '**' || p END AS piece, i
                    generate_subscripts(string_split(log_text, chr(10) || chr(10) || '**'), 1) AS i
             FROM log_text) a) b""")]) + f"""
 SELECT log_id, '{_HTML_HEAD_SQL}' || string_agg('<div><strong>' || section || '</strong><p>'
-       || CASE WHEN json_valid(body) THEN '<pre>' || {_esc('body')} || '</pre>' ELSE {_esc('body')} END
+       || CASE WHEN json_valid(body) THEN '<pre>' || {_esc(PRETTY_LANG)} || '</pre>' ELSE {_esc('body')} END
        || '</p></div>', '' ORDER BY i) || '</body></html>' AS html
 FROM secs GROUP BY log_id"""
 
 ORACLE["n5_pretty_json"] = W("raw_json") + """
-SELECT event_id, '{' || chr(10) || '  "k" : ' || CAST(CAST(json_extract(raw, '$.k') AS BIGINT) AS VARCHAR) || chr(10) || '}' AS pretty
+SELECT event_id, '{' || chr(10) || '    "k": ' || CAST(CAST(json_extract(raw, '$.k') AS BIGINT) AS VARCHAR) || chr(10) || '}' AS pretty
 FROM raw_json WHERE json_valid(raw)"""
