@@ -129,6 +129,12 @@ def render_tables(rows: DataFrame, mode: str = "plain", delimiter: str = "|", ma
 # ---------------------------------------------------------------- R2 / R3: text -> rows
 
 
+def _unquote(cell: Column) -> Column:
+    """A CSV-quoted cell (``"..."``, quotes doubled inside) back to its text."""
+    return F.when(cell.rlike('^"(?:[^"]|"")*"$'),
+                  F.replace(cell.substr(F.lit(2), F.length(cell) - F.lit(2)), F.lit('""'), F.lit('"'))).otherwise(cell)
+
+
 def _parsed(df: DataFrame, text: str, keep: list[str], delimiter: str = "|") -> DataFrame:
     """Add ``header``, ``_body`` (rows of cells) and ``error`` for a delimited text column.
 
@@ -136,13 +142,18 @@ def _parsed(df: DataFrame, text: str, keep: list[str], delimiter: str = "|") ->
     intermediate array is computed once per row, never re-derived inside a lambda.
     """
     d = delimiter
-    split_re = "\\" + d if not d.isalnum() else d
+    esc = "\\" + d if not d.isalnum() else d
+    # a delimiter splits only outside double quotes (an even number of quotes follows it)
+    split_re = esc + '(?=(?:[^"]*"[^"]*")*[^"]*$)'
     x = df.select(*keep, F.split(strip_ws(F.col(text)), "\r?\n").alias("_all"))
     # every line (blank ones included) must carry the outer delimiters
     x = x.select(*keep, F.filter("_all", lambda ln: ln != "").alias("_lines"),
                  F.forall("_all", lambda ln: ln.startswith(d) & ln.endswith(d)).alias("_outer"))
-    x = x.select(*keep, F.transform("_lines", lambda ln: F.split(
-        F.when(F.col("_outer"), ln.substr(F.lit(2), F.length(ln) - F.lit(2))).otherwise(ln), split_re, -1))
+    x = x.select(*keep, F.transform("_lines", lambda ln: F.when(F.col("_outer"), ln.substr(
+        F.lit(2), F.length(ln) - F.lit(2))).otherwise(ln)).alias("_lines"))
+    # the quote-aware split (and unquoting) only for lines that hold a quote
+    x = x.select(*keep, F.transform("_lines", lambda ln: F.when(
+        ln.contains('"'), F.transform(F.split(ln, split_re, -1), _unquote)).otherwise(F.split(ln, esc, -1)))
         .alias("_cells"))
     x = x.select(*keep, F.element_at("_cells", 1).alias("header"),
                  F.slice("_cells", 2, F.greatest(F.size("_cells") - 1, F.lit(0))).alias("_body"))
@@ -155,8 +166,9 @@ def parse_tables(texts: DataFrame, text: str = "table", key: str = "table_id", d
 
     If every line (after trimming the text) starts and ends with the delimiter,
     exactly one delimiter is removed from each end of each line. Blank lines are
-    skipped, the first line is the header, short rows are padded with NULL and empty
-    cells read as NULL. A row longer than the header rejects the table: it yields one
+    skipped, the first line is the header, delimiters inside double quotes do not split
+    and quoted cells are unquoted (as R1 writes them), short rows are padded with NULL
+    and empty cells read as NULL. A row longer than the header rejects the table: it yields one
     row with ``error`` set and no cells (filter ``error IS NOT NULL`` to report them).
     """
     p = _parsed(texts, text, [key], delimiter)

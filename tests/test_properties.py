@@ -12,7 +12,7 @@ from quire.operators import tables as tt
 
 SETTINGS = settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
-cell = st.text(alphabet="abcXYZ019 .-:", min_size=1, max_size=6).map(str.strip).filter(lambda s: s != "")
+cell = st.text(alphabet='abcXYZ019 .-:|"', min_size=1, max_size=6).map(str.strip).filter(lambda s: s != "")
 table = st.integers(min_value=1, max_value=4).flatmap(
     lambda ncol: st.lists(st.lists(cell, min_size=ncol, max_size=ncol), min_size=1, max_size=5))
 
