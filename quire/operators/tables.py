@@ -276,8 +276,9 @@ def table_profile(ex: DataFrame, key: str = "table_id", table: str = "table",
     """
     t = ex.select(key, table, token_count(table).alias("_tt"), token_count(documents).alias("_dt"))
     p = _parsed(t, table, [key, "_tt", "_dt"])
-    ok = F.col("error").isNull() & (F.size("_body") > 0)
-    err = F.when(F.col("error").isNotNull(), F.col("error")).when(F.size("_body") == 0, F.lit("no rows"))
+    ok = F.col("_tt").isNotNull() & F.col("error").isNull() & (F.coalesce(F.size("_body"), F.lit(0)) > 0)
+    err = (F.when(F.col("_tt").isNull(), F.lit("no table")).when(F.col("error").isNotNull(), F.col("error"))
+           .when(F.coalesce(F.size("_body"), F.lit(0)) <= 0, F.lit("no rows")))
     return p.select(key, F.when(ok, F.size("_body")).cast("bigint").alias("num_rows"),
                     F.when(ok, F.size("header") - 1).cast("bigint").alias("num_cols"),
                     F.when(ok, F.col("_tt")).cast("bigint").alias("num_tab_tokens"),

@@ -210,3 +210,24 @@ ORACLE["a12_generated_document_sets"] = W("table_rows", extra=[GATED, TEXTS, (
 SELECT table_id, string_agg('Document ' || CAST(pos AS VARCHAR) || ': ' || doc, chr(10) || chr(10) ORDER BY pos) AS documents,
        count(*) AS n_documents, CAST(0 AS BIGINT) AS n_failed
 FROM rowdocs GROUP BY table_id"""
+
+
+@query("f8_example_table_profile")
+def f8_example_table_profile(spark, d):
+    """A10 over the examples themselves (their table text and documents); an example whose
+    table is missing or does not parse keeps its row with ``error`` set (F8)."""
+    ex = tb.examples_with_tables(spark, d).select(F.col("example_id"), "table", "documents")
+    return tt.table_profile(ex, key="example_id")
+
+
+ORACLE["f8_example_table_profile"] = W("examples", "table_rows", extra=[GATED, (
+    "et", f"""SELECT e.example_id, e.documents, t.n, t.t FROM examples e
+              LEFT JOIN (SELECT table_id, count(*) AS n, {INDEXED} AS t FROM gated GROUP BY table_id) t
+              ON t.table_id = e.example_id""")]) + f"""
+SELECT example_id, CASE WHEN t IS NOT NULL THEN n END AS num_rows,
+       CASE WHEN t IS NOT NULL THEN CAST(6 AS BIGINT) END AS num_cols,
+       CASE WHEN t IS NOT NULL THEN {tokens('t')} END AS num_tab_tokens,
+       CASE WHEN t IS NOT NULL THEN {tokens('documents')} END AS num_doc_tokens,
+       CASE WHEN t IS NOT NULL THEN round({tokens('documents')} / n, 6) END AS avg_doc_tokens,
+       CASE WHEN t IS NULL THEN 'no table' END AS error
+FROM et"""
