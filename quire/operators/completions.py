@@ -10,7 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import sys as _sys
+
 import pandas as pd
+from pyspark import cloudpickle as _cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -111,3 +114,8 @@ def latest_per_key(outputs: DataFrame, key: str, order: str) -> DataFrame:
 def key_outputs(outputs: DataFrame, prompts: DataFrame, key: str, order: str) -> DataFrame:
     """Model outputs joined to prompt metadata by key, never by position."""
     return latest_per_key(outputs, key, order).join(prompts, key)
+
+
+# functions of this module run on executors (Arrow batches): ship them by value, so the
+# workers need no installed copy of the package
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])

@@ -12,7 +12,10 @@ from __future__ import annotations
 import json
 import re
 
+import sys as _sys
+
 import pandas as pd
+from pyspark import cloudpickle as _cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,3 +59,8 @@ def generate_document_sets(tables: DataFrame, writer=offline_document_writer, te
         F.lit("Document "), (i + 1).cast("string"), F.lit(": "), x["doc"])), "\n\n")
     return g.select("table_id", text.alias("documents"), F.size(ok).cast("bigint").alias("n_documents"),
                     F.col("n_failed").cast("bigint").alias("n_failed"))
+
+
+# functions of this module run on executors (Arrow batches): ship them by value, so the
+# workers need no installed copy of the package
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])

@@ -9,7 +9,10 @@ from __future__ import annotations
 import functools
 import json
 
+import sys as _sys
+
 import pandas as pd
+from pyspark import cloudpickle as _cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,3 +59,8 @@ def pretty_json(text) -> Column:
     """
     t = F.col(text) if isinstance(text, str) else text
     return _pretty()(t)
+
+
+# functions of this module run on executors (Arrow batches): ship them by value, so the
+# workers need no installed copy of the package
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
