@@ -27,15 +27,16 @@ def dense_index(df: DataFrame, key: str, seed=0, digits: int = 4, out: str = "id
     h = seeded_hash(seed, key)
     # non-nullable bucket: no inferred IS NOT NULL filter re-hashing below the join, and a
     # NULL key is indexed (bucket "") instead of being dropped by the join
-    x = df.withColumn("_h", h).withColumn("_b", F.coalesce(F.substring("_h", 1, digits), F.lit("")))
-    x = x.withColumn("_rn", F.row_number().over(Window.partitionBy("_b").orderBy("_h", key)))
+    x = df.select("*", h.alias("_h")).select("*", F.coalesce(F.substring("_h", 1, digits), F.lit("")).alias("_b"))
+    x = x.select("*", F.row_number().over(Window.partitionBy("_b").orderBy("_h", key)).alias("_rn"))
     counts = x.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
     # at most 16**digits rows: the one-task window over it is bounded
     w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_b", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_off"),
                             F.sum("_c").over(Window.partitionBy()).alias("_n"))
     j = x.join(F.broadcast(offsets), "_b")
-    return j.withColumn(out, (F.col("_off") + F.col("_rn") - 1).cast("bigint")).drop("_h", "_b", "_rn", "_off")
+    keep = [c for c in j.columns if c not in ("_h", "_b", "_rn", "_off", out)]
+    return j.select(*keep, (F.col("_off") + F.col("_rn") - 1).cast("bigint").alias(out))
 
 
 def train_test_split(df: DataFrame, key: str, n_train: int = 1, seed=0, append: bool = False) -> DataFrame:

@@ -27,8 +27,8 @@ def em_flag(score) -> Column:
 
 def parse_scores(evals: DataFrame, raw: str = "judge_raw") -> DataFrame:
     """X7 + P10: add ``accuracy`` (strict int or NULL) and ``em_accuracy``."""
-    return (evals.withColumn("accuracy", parse_int(raw))
-                 .withColumn("em_accuracy", em_flag("accuracy")))
+    acc = parse_int(raw)
+    return evals.select("*", acc.alias("accuracy"), em_flag(acc).alias("em_accuracy"))
 
 
 def llm_valid(validity_scalar) -> Column:
@@ -79,8 +79,8 @@ def histogram_statistics(hist: DataFrame, keys: list[str], score: str = "accurac
     """Exact mean, median (interpolated), sample stdev, max, min and EM rate per key."""
     s = F.col(score)
     w_cum = Window.partitionBy(*keys).orderBy(s).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    h = (hist.withColumn("_cum", F.sum("_n").over(w_cum))
-             .withColumn("_tot", F.sum("_n").over(Window.partitionBy(*keys))))
+    h = hist.select("*", F.sum("_n").over(w_cum).alias("_cum"),
+                    F.sum("_n").over(Window.partitionBy(*keys)).alias("_tot"))
     n = F.col("_tot")
     lo_k = F.floor((n - 1) / 2)  # 0-based ranks of the middle pair
     hi_k = F.floor(n / 2)
@@ -95,17 +95,16 @@ def histogram_statistics(hist: DataFrame, keys: list[str], score: str = "accurac
     nn = F.col("n").cast("double")
     s1 = F.col("_s1").cast("double")
     var = (nn * F.col("_s2").cast("double") - s1 * s1) / (nn * (nn - 1))
-    out = agg.select(
+    def r(c: Column) -> Column:
+        return F.round(c, digits) if digits is not None else c
+
+    return agg.select(
         *keys, "n",
-        (s1 / nn).alias("mean"),
-        ((F.col("_m_lo") + F.col("_m_hi")) / 2.0).alias("median"),
-        F.when(F.col("n") > 1, F.sqrt(F.greatest(var, F.lit(0.0)))).alias("stdev"),
+        r(s1 / nn).alias("mean"),
+        r((F.col("_m_lo") + F.col("_m_hi")) / 2.0).alias("median"),
+        r(F.when(F.col("n") > 1, F.sqrt(F.greatest(var, F.lit(0.0))))).alias("stdev"),
         F.col("max").cast("int").alias("max"), F.col("min").cast("int").alias("min"),
-        (F.col("_em") / nn).alias("em_accuracy"))
-    if digits is not None:
-        for c in ("mean", "median", "stdev", "em_accuracy"):
-            out = out.withColumn(c, F.round(c, digits))
-    return out
+        r(F.col("_em") / nn).alias("em_accuracy"))
 
 
 def run_statistics(evals: DataFrame, keys: list[str] = RUN_KEYS, score: str = "accuracy",

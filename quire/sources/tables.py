@@ -22,28 +22,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _grid(*axes: list[tuple[int, str]], names: list[tuple[str, str]]):
-    """Literal array of structs for the cartesian product of small config lists."""
-    combos = [[]]
-    for axis in axes:
-        combos = [c + [v] for c in combos for v in axis]
-    structs = []
-    for combo in combos:
-        fields = []
-        for (i, s), (iname, sname) in zip(combo, names):
-            fields += [F.lit(i).alias(iname), F.lit(s).alias(sname)]
-        structs.append(F.struct(*fields))
-    return combos, structs
+def _sql_str(v: str) -> str:
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def literal_rows(rows: list[tuple], names: list[str]):
+    """An ``array<struct>`` literal of small config rows, built as one SQL expression
+    (one call, rather than one per field)."""
+    def val(v):
+        return _sql_str(v) if isinstance(v, str) else repr(v)
+    structs = ", ".join("named_struct(" + ", ".join(f"'{n}', {val(v)}" for n, v in zip(names, r)) + ")"
+                        for r in rows)
+    return F.expr(f"array({structs})")
 
 
 def evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judge scores: 3 models x 4 prompt types x 2 context types per example."""
     d = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    combos, structs = _grid(list(enumerate(FIXTURE_MODELS)), list(enumerate(PROMPT_TYPES)),
-                            list(enumerate(REASONING_TYPES)),
-                            names=[("mi", "model"), ("pi", "prompt_type"), ("ri", "reasoning_type")])
-    keep = [s for c, s in zip(combos, structs) if not (c[0][0] == 2 and c[1][0] == 3)]
-    g = d.select("doc_id", "n_chars", F.explode(F.array(*keep)).alias("g"))
+    grid = [(mi, m, pi, p, ri, r) for mi, m in enumerate(FIXTURE_MODELS) for pi, p in enumerate(PROMPT_TYPES)
+            for ri, r in enumerate(REASONING_TYPES) if not (mi == 2 and pi == 3)]
+    arr = literal_rows(grid, ["mi", "model", "pi", "prompt_type", "ri", "reasoning_type"])
+    g = d.select("doc_id", "n_chars", F.explode(arr).alias("g"))
     n, i, mi, pi, ri = (F.col("n_chars"), F.col("doc_id"), F.col("g.mi"), F.col("g.pi"), F.col("g.ri"))
     raw = (F.when((n + i * 3 + mi + pi * 2 + ri) % 19 == 0, F.lit("No Response"))
            .when((n + i + mi * 3 + pi + ri) % 23 == 0, F.lit(" 9.0"))
@@ -75,8 +74,7 @@ def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def characteristics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long-form characteristic scores (0-2 for two names, 0-1 for three, ~3% missing)."""
     d = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    arr = F.array(*[F.struct(F.lit(i).alias("ci"), F.lit(c).alias("characteristic"))
-                    for i, c in enumerate(CHARACTERISTICS)])
+    arr = literal_rows(list(enumerate(CHARACTERISTICS)), ["ci", "characteristic"])
     g = d.select("doc_id", "n_chars", F.explode(arr).alias("c"))
     ci = F.col("c.ci")
     return (g.where((F.col("n_chars") + ci) % 29 != 0)
