@@ -310,3 +310,21 @@ def test_generated_document_sets_skip_bad_replies(spark):
 def test_parse_accepts_crlf_lines(spark):
     t = tt.parse_tables(_table(spark, "|a|b|\r\n|1|2|\r\n"), "table").collect()
     assert t[0]["header"] == ["a", "b"] and t[0]["cells"] == ["1", "2"]
+
+
+def test_stream_processes_only_new_files(spark, tmp_path):
+    from quire.streaming import current_evaluations, run_incremental_scoring
+
+    src, table, ckpt = str(tmp_path / "src"), str(tmp_path / "table"), str(tmp_path / "ckpt")
+    first = spark.createDataFrame([(i, "m", "zero-shot", "documents", str(i % 11)) for i in range(20)],
+                                  "example_id bigint, model string, prompt_type string, reasoning_type string, "
+                                  "judge_raw string")
+    first.write.mode("append").json(src)
+    run_incremental_scoring(spark, src, table, checkpoint_location=ckpt)
+    second = first.where("example_id < 5").withColumn("judge_raw", F.lit("10"))
+    second.write.mode("append").json(src)
+    run_incremental_scoring(spark, src, table, checkpoint_location=ckpt)
+    raw = spark.read.parquet(table)
+    assert raw.count() == 25                       # 20 + 5: the first files were not read again
+    cur = {r["example_id"]: r["accuracy"] for r in current_evaluations(spark, table).collect()}
+    assert len(cur) == 20 and all(cur[i] == 10 for i in range(5)) and cur[7] == 7
