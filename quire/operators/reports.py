@@ -13,8 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.constants import CHARACTERISTICS, LEVELS, PROMPT_TYPES
-from quire.operators.scoring import RUN_KEYS, llm_valid, run_statistics
+from quire.constants import ALL, CHARACTERISTICS, LEVELS, PROMPT_TYPES
+from quire.operators.scoring import RUN_KEYS, llm_valid, run_statistics, validity_filter
 
 
 def _round(c: Column, digits: int | None) -> Column:
@@ -49,17 +49,24 @@ def score_report(run_stats: DataFrame, prompt_types: list[str] = PROMPT_TYPES,
     return wide_by_prompt_type(run_stats, "mean", ["reasoning_type", "model"], 10.0, prompt_types, digits)
 
 
-def em_report(evals: DataFrame, prompt_types: list[str] = PROMPT_TYPES, digits: int | None = 6) -> DataFrame:
-    """V2 (+V3): model x prompt-type EM rate x100 per context type, from all rows."""
-    return wide_by_prompt_type(em_rates(evals, digits=None), "em", ["reasoning_type", "model"], 100.0,
+def em_report(evals: DataFrame, prompt_types: list[str] = PROMPT_TYPES, digits: int | None = 6,
+              validity: str = ALL) -> DataFrame:
+    """V2 (+V3): model x prompt-type EM rate x100 per context type.
+
+    By default from all rows, as the original report (its EM table ignores the validity
+    filter the score table applies); ``validity`` applies F1 here too (``evals`` then
+    needs the ``table_validity`` column, see :func:`quire.operators.scoring.with_validity`).
+    """
+    ev = evals if validity == ALL else validity_filter(evals, validity)
+    return wide_by_prompt_type(em_rates(ev, digits=None), "em", ["reasoning_type", "model"], 100.0,
                                prompt_types, digits)
 
 
 def all_reports(run_stats: DataFrame, evals: DataFrame, prompt_types: list[str] = PROMPT_TYPES,
-                digits: int | None = 6) -> DataFrame:
+                digits: int | None = 6, em_validity: str = ALL) -> DataFrame:
     """V3: both reports for both context types, tagged by ``report``."""
     a = score_report(run_stats, prompt_types, digits).withColumn("report", F.lit("score"))
-    b = em_report(evals, prompt_types, digits).withColumn("report", F.lit("em"))
+    b = em_report(evals, prompt_types, digits, em_validity).withColumn("report", F.lit("em"))
     return a.unionByName(b)
 
 

@@ -155,3 +155,10 @@ def v3_reports_from_checkpoint(spark, d):
     out = evaluate_and_report(tb.evaluations(spark, d), tb.tracker(spark, d), _binned(spark, d), tb.FIXTURE_MODELS)
     return out["scores"].withColumn("report", F.lit("score")).unionByName(
         out["em"].withColumn("report", F.lit("em")))
+
+
+@query("v2_em_report_only_valid")
+def v2_em_report_only_valid(spark, d):
+    """V2 with the validity filter applied (the optional filtered EM population)."""
+    ev = sc.with_validity(_scored(spark, d), tb.tracker(spark, d))
+    return rp.em_report(ev, validity=ONLY_VALID)
