@@ -146,12 +146,14 @@ def html_report(items: DataFrame, key: str, order: str, title: str = "title", co
     JSON content is pretty-printed (sorted keys, four-space indent) into a ``<pre>`` block;
     all content is HTML-escaped with ``<br>`` line breaks. The group is one report's items.
     """
+    from quire.operators.jsonops import is_json as json_test
     from quire.operators.jsonops import pretty_json
 
-    is_json = F.try_parse_json(F.col(content)).isNotNull()
-    pretty = pretty_json(F.when(is_json, F.col(content)))
+    is_json = json_test(content)
+    pretty = pretty_json(F.when(is_json, F.col(content)))  # only JSON bodies reach Python
     body = F.when(is_json, F.concat(F.lit("<pre>"), html_escape(pretty), F.lit("</pre>"))).otherwise(html_escape(content))
-    div = F.concat(F.lit("<div><strong>"), F.col(title), F.lit("</strong><p>"), body, F.lit("</p></div>"))
+    div = F.concat(F.lit("<div><strong>"), F.coalesce(F.col(title), F.lit("")), F.lit("</strong><p>"),
+                   F.coalesce(body, F.lit("")), F.lit("</p></div>"))
     g = items.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), div.alias("d")))).alias("_d"))
     return g.select(key, F.concat(F.lit(_HTML_HEAD), F.array_join(F.transform("_d", lambda x: x["d"]), ""),
                                   F.lit("</body></html>")).alias("html"))

@@ -41,13 +41,15 @@ def read_json_tolerant(spark: SparkSession, path: str, schema: str, multiline: b
     fail the read; they come back in the second DataFrame with their text.
 
     Files are read as text (whole files when ``multiline``) and decoded with
-    ``from_json``; validity is ``try_parse_json``. No corrupt-record column is involved,
-    so either side can be queried on its own.
+    ``from_json``; validity is the strict JSON test of :func:`quire.operators.jsonops.is_json`.
+    No corrupt-record column is involved, so either side can be queried on its own.
     """
     raw = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
            .text(path, wholetext=multiline)
            .select(F.col("_metadata.file_path").alias("source_file"), F.col("value")))
-    ok = F.try_parse_json(F.col("value")).isNotNull()
+    from quire.operators.jsonops import is_json
+
+    ok = is_json("value")
     good = raw.where(ok).select("source_file", F.from_json("value", schema).alias("_j")).select("source_file", "_j.*")
     bad = raw.where(~ok).select("source_file", F.col("value").alias(CORRUPT))
     return good, bad

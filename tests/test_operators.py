@@ -328,3 +328,20 @@ def test_stream_processes_only_new_files(spark, tmp_path):
     assert raw.count() == 25                       # 20 + 5: the first files were not read again
     cur = {r["example_id"]: r["accuracy"] for r in current_evaluations(spark, table).collect()}
     assert len(cur) == 20 and all(cur[i] == 10 for i in range(5)) and cur[7] == 7
+
+
+def test_is_json_is_strict_like_a_decoder(spark):
+    import json as _json
+    from quire.operators.jsonops import is_json
+    vals = ["4501 Anth", '{"a":1} x', "[1,2] y", "true x", "NaN", '{"a":1}', "12", '"s" t', '  {"a": 1}  ',
+            "1.5e3", '{"a":1}}', "", "   ", "null", '{"k"', "01"]
+
+    def py(v):
+        try:
+            _json.loads(v)
+            return True
+        except ValueError:
+            return False
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i int, v string")
+    got = [r[0] for r in df.orderBy("i").select(is_json("v")).collect()]
+    assert got == [py(v) for v in vals]
