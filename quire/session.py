@@ -77,3 +77,27 @@ def materialize(df, name: str = "table"):
     path = f"{checkpoint_dir(spark).rstrip('/')}/quire-tables/{name}-{uuid.uuid4().hex[:12]}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def cluster_conf(input_bytes: int, executor_memory_bytes: int = 16 << 30, executor_cores: int = 4,
+                 target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Settings sized for a cluster run over ``input_bytes`` of input.
+
+    Shuffle partitions are sized so that the widest shuffle (at most about the input,
+    since text columns are pruned and aggregations combine map-side) lands near
+    ``target_partition_bytes`` per partition, and a task's share of executor memory holds
+    several such partitions before spilling; adaptive execution then coalesces the small
+    shuffles (reports, histograms) down to a few partitions and splits skewed ones.
+    Pass the result as ``extra`` to :func:`get_spark`.
+    """
+    per_task = executor_memory_bytes // max(executor_cores, 1)
+    part = min(target_partition_bytes, max(per_task // 4, 32 << 20))
+    shuffle_partitions = max(200, -(-input_bytes // part))
+    return {
+        "spark.sql.shuffle.partitions": str(shuffle_partitions),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(shuffle_partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(part),
+        "spark.sql.files.maxPartitionBytes": str(min(part, 512 << 20)),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * part),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+    }
