@@ -92,6 +92,9 @@ def cluster_conf(input_bytes: int, executor_memory_bytes: int = 16 << 30, execut
     """
     per_task = executor_memory_bytes // max(executor_cores, 1)
     part = min(target_partition_bytes, max(per_task // 4, 32 << 20))
+    # at most 100k shuffle partitions (shuffle metadata grows with mappers x reducers):
+    # beyond that the partitions grow instead, up to half a task's memory share
+    part = min(max(part, -(-input_bytes // 100_000)), max(per_task // 2, part))
     shuffle_partitions = max(200, -(-input_bytes // part))
     return {
         "spark.sql.shuffle.partitions": str(shuffle_partitions),
