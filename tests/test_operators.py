@@ -345,3 +345,11 @@ def test_is_json_is_strict_like_a_decoder(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i int, v string")
     got = [r[0] for r in df.orderBy("i").select(is_json("v")).collect()]
     assert got == [py(v) for v in vals]
+
+
+def test_cluster_conf_sizes_partitions():
+    from quire.session import cluster_conf
+    small, big = cluster_conf(1 << 40), cluster_conf(100 << 40)
+    assert int(small["spark.sql.shuffle.partitions"]) == 4096
+    assert int(big["spark.sql.shuffle.partitions"]) == 100_000
+    assert int(big["spark.sql.adaptive.advisoryPartitionSizeInBytes"]) <= (16 << 30) // 4 // 2
