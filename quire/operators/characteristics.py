@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-REPLY_SCHEMA = "concise_answers string, scores map<string, struct<rationale: string, score: int>>"
+from quire import schemas
+
+REPLY_SCHEMA = schemas.CHARACTERISTIC_REPLY
 
 
 def balanced_binning(chars: DataFrame, score: str = "score") -> DataFrame:

@@ -14,11 +14,11 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire import schemas
 from quire.constants import TRACKER_DOCS, TRACKER_EXAMPLE, TRACKER_TABLE
 from quire.session import checkpoint_dir
 
-EXAMPLE_SCHEMA = ("question string, ground_truth string, documents string, table string, "
-                  "characteristic_breakdown map<string,int>, validity_scalar int, example_id string")
+EXAMPLE_SCHEMA = schemas.EXAMPLE
 CORRUPT = "_corrupt_record"
 
 
