@@ -38,17 +38,18 @@ def gated(rows: DataFrame, max_rows: int = MAX_TABLE_ROWS, max_cols: int = MAX_T
     return rows.join(ok, "table_id", "left_semi")
 
 
-def letter_columns(rows: DataFrame, k: int = MIN_ALPHA_COLUMNS, max_cols: int = MAX_TABLE_COLS) -> DataFrame:
+def letter_columns(rows: DataFrame, k: int = MIN_ALPHA_COLUMNS) -> DataFrame:
     """number of columns with a letter in some non-null cell, and the ``>= k`` gate.
 
-    One aggregate per table with one ``bool_or`` per column position (positions are
-    bounded by the column gate), so there is no per-cell explode and one shuffle.
+    Cells are exploded row-locally, then combined per (table, column) and per table; both
+    aggregates are partial (map-side), so a huge or skewed table costs no more than any
+    other, and tables of any width are counted exactly.
     """
-    flags = [F.bool_or(F.coalesce(F.try_element_at("cells", F.lit(i + 1)).rlike("[A-Za-z]"), F.lit(False)))
-             for i in range(max_cols)]
-    agg = rows.groupBy("table_id").agg(F.array(*flags).alias("_f"), F.max(F.size("header")).alias("_nc"))
-    n_alpha = F.size(F.filter(F.slice("_f", 1, F.least(F.col("_nc"), F.lit(max_cols))), lambda x: x))
-    return agg.select("table_id", n_alpha.alias("n_alpha_cols"), (n_alpha >= k).alias("passes"))
+    cells = rows.select("table_id", F.posexplode_outer("cells").alias("_j", "_c")).where(F.col("_j").isNotNull())
+    per_col = cells.groupBy("table_id", "_j").agg(
+        F.bool_or(F.coalesce(F.col("_c").rlike("[A-Za-z]"), F.lit(False))).alias("_alpha"))
+    per_table = per_col.groupBy("table_id").agg(F.count_if("_alpha").cast("int").alias("n_alpha_cols"))
+    return per_table.select("table_id", "n_alpha_cols", (F.col("n_alpha_cols") >= k).alias("passes"))
 
 
 # ---------------------------------------------------------------- R1: rows -> text

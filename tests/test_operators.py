@@ -353,3 +353,11 @@ def test_cluster_conf_sizes_partitions():
     assert int(small["spark.sql.shuffle.partitions"]) == 4096
     assert int(big["spark.sql.shuffle.partitions"]) == 100_000
     assert int(big["spark.sql.adaptive.advisoryPartitionSizeInBytes"]) <= (16 << 30) // 4 // 2
+
+
+def test_letter_columns_exact_for_wide_tables(spark):
+    header = [f"c{i}" for i in range(10)]
+    rows_ = [(1, 1, header, ["a" if i % 2 else "1" for i in range(10)]), (1, 2, header, [None] * 9 + ["z"])]
+    df = spark.createDataFrame(rows_, "table_id int, row_idx int, header array<string>, cells array<string>")
+    r = tt.letter_columns(df).collect()[0]
+    assert r["n_alpha_cols"] == 5 and r["passes"] is True
