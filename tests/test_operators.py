@@ -361,3 +361,17 @@ def test_letter_columns_exact_for_wide_tables(spark):
     df = spark.createDataFrame(rows_, "table_id int, row_idx int, header array<string>, cells array<string>")
     r = tt.letter_columns(df).collect()[0]
     assert r["n_alpha_cols"] == 5 and r["passes"] is True
+
+
+def test_skill_grid_and_refinement_prompt(spark):
+    from quire.constants import COMPLEXITY_LEVELS, DOMAINS
+    from quire.operators import prompts as pr
+    skills = spark.createDataFrame([(1, "multi-hop {domain}")], "item_id int, description string")
+    g = pr.skill_grid(skills).collect()
+    assert len(g) == len(COMPLEXITY_LEVELS) * len(DOMAINS)
+    p = g[0]["prompt"]
+    assert "proving out the following skill: multi-hop {domain}." in p    # values are never re-filled
+    assert "{'answer_1': <answer> ...}" in p                              # doubled braces unescaped
+    r = spark.createDataFrame([("P", "F")], "a string, b string").select(
+        pr.refinement_prompt(F.col("a"), F.col("b"))).collect()[0][0]
+    assert r.startswith("Here is an synthetic data example that I am trying to improve: P\n") and "\nF\n" in r
