@@ -2,7 +2,9 @@
 
 X7 -> J1/F1 -> A1 -> V1/V2 (V3), and J3 -> A3 -> V4 -> A4, from one scored table that is
 materialized once as a table in the shared checkpoint folder, so the reports do not
-each re-derive it and a lost executor restarts from that table.
+each re-derive it and a lost executor restarts from that table. The scored table and the
+characteristic levels are stored bucketed on ``example_id``, so the characteristic join
+is co-located (no shuffle of the largest table).
 """
 
 from __future__ import annotations
@@ -25,7 +27,11 @@ def evaluate_and_report(evals_raw: DataFrame, tracker: DataFrame, chars_binned:
     """
     scored = sc.with_validity(sc.parse_scores(evals_raw), tracker)
     if checkpoint:
-        scored = materialize(scored, "scored_evaluations")
+        # both sides of the characteristic join stored bucketed on example_id: the join
+        # (J3) then reads co-located buckets and shuffles neither side
+        scored = materialize(scored, "scored_evaluations", bucket_by=["example_id"])
+        chars_binned = materialize(chars_binned.select("example_id", "characteristic", "level"), "levels",
+                                   bucket_by=["example_id"])
     stats = sc.run_statistics(sc.validity_filter(scored, validity), digits=None)
     bd = rp.characteristic_breakdown(scored, chars_binned, models, digits=None)
     return {

@@ -63,20 +63,29 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or local
 
 
-def materialize(df, name: str = "table"):
+def materialize(df, name: str = "table", bucket_by: list[str] | None = None, buckets: int | None = None):
     """Cut lineage: write ``df`` as a parquet table in the shared checkpoint folder and
     read it back.
 
-    Used where one intermediate feeds several reports: it is computed once, the reports
-    read a columnar table (with pushdown and pruning), and a lost executor restarts
-    from the table instead of the whole plan.
+    Used where one intermediate feeds several readers: it is computed once, readers get a
+    columnar table (with pushdown and pruning), and a lost executor restarts from the
+    table instead of the whole plan. With ``bucket_by`` the table is bucketed (and sorted)
+    on those columns: later joins on them against a table bucketed the same way run
+    without a shuffle on either side. The bucketed table is an external table whose files
+    live in the same shared folder.
     """
     import uuid
 
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/quire-tables/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    tag = f"{name}_{uuid.uuid4().hex[:12]}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/quire-tables/{tag}"
+    if not bucket_by:
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (df.write.mode("overwrite").format("parquet").option("path", path)
+       .bucketBy(n, *bucket_by).sortBy(*bucket_by).saveAsTable(f"quire_{tag}"))
+    return spark.table(f"quire_{tag}")
 
 
 def cluster_conf(input_bytes: int, executor_memory_bytes: int = 16 << 30, executor_cores: int = 4,
