@@ -152,7 +152,8 @@ def v3_reports_from_checkpoint(spark, d):
     """V3 through the evaluate-and-report flow (scored table materialized once)."""
     from quire.operators.evaluation import evaluate_and_report
 
-    out = evaluate_and_report(tb.evaluations(spark, d), tb.tracker(spark, d), _binned(spark, d), tb.FIXTURE_MODELS)
+    out = evaluate_and_report(tb.evaluations(spark, d), tb.tracker(spark, d), _binned(spark, d), tb.FIXTURE_MODELS,
+                              reports=("scores", "em"))
     return out["scores"].withColumn("report", F.lit("score")).unionByName(
         out["em"].withColumn("report", F.lit("em")))
 
@@ -162,3 +163,14 @@ def v2_em_report_only_valid(spark, d):
     """V2 with the validity filter applied (the optional filtered EM population)."""
     ev = sc.with_validity(_scored(spark, d), tb.tracker(spark, d))
     return rp.em_report(ev, validity=ONLY_VALID)
+
+
+@query("a4_overall_from_checkpoint")
+def a4_overall_from_checkpoint(spark, d):
+    """A4 through the evaluate-and-report flow: scored evaluations and characteristic levels
+    stored bucketed on example_id, joined without a shuffle."""
+    from quire.operators.evaluation import evaluate_and_report
+
+    out = evaluate_and_report(tb.evaluations(spark, d), tb.tracker(spark, d), _binned(spark, d), tb.FIXTURE_MODELS,
+                              reports=("overall_breakdown",))
+    return out["overall_breakdown"]

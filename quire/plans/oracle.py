@@ -157,3 +157,4 @@ ORACLE["v3_reports_from_checkpoint"] = ORACLE["v3_all_reports"]
 ORACLE["v2_em_report_only_valid"] = W("scored", "tracker") + _wide(
     f"SELECT {RUN}, avg(CASE WHEN accuracy IN (9, 10) THEN 1.0 ELSE 0.0 END) AS v FROM scored s "
     "JOIN tracker t ON t.example_id = s.example_id WHERE t.table_validity <> 0 GROUP BY " + RUN, "100.0")
+ORACLE["a4_overall_from_checkpoint"] = ORACLE["a4_overall_breakdown"]
