@@ -14,7 +14,9 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 # queries that write scratch files while being built
 SIDE_EFFECTS = {"s1_json_roundtrip", "s2_tolerant_read", "s7_partitioned_runs", "s9_tracker_csv", "s8_stream_append",
-                "s10_rebuild_and_append", "v3_reports_from_checkpoint"}
+                "s10_rebuild_and_append", "v3_reports_from_checkpoint", "a4_overall_from_checkpoint",
+                "x1_text_prompts", "x2_chat_prompts", "a9_token_totals", "j11_completions_done",
+                "j11_completions_pending", "e1_reply_fallback", "z1_batch_scorer"}
 
 
 def summarise(plan: str) -> dict:
