@@ -2,6 +2,9 @@
 single-partition exchanges, and what every scan reads (columns, pushed filters).
 
 Usage: python tools/plan_report.py [sf_dir] > PLANS.md
+
+Queries that store an intermediate table (in the shared checkpoint folder) write it while
+their plan is built, as they do when run.
 """
 
 from __future__ import annotations
@@ -12,13 +15,6 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-# queries that write scratch files while being built
-SIDE_EFFECTS = {"s1_json_roundtrip", "s2_tolerant_read", "s7_partitioned_runs", "s9_tracker_csv", "s8_stream_append",
-                "s10_rebuild_and_append", "v3_reports_from_checkpoint", "a4_overall_from_checkpoint",
-                "x1_text_prompts", "x2_chat_prompts", "a9_token_totals", "j11_completions_done",
-                "j11_completions_pending", "e1_reply_fallback", "z1_batch_scorer"}
-
-
 def summarise(plan: str) -> dict:
     return {
         "shuffles": len(re.findall(r"Exchange hashpartitioning|Exchange rangepartitioning", plan)),
@@ -46,8 +42,6 @@ def main() -> None:
     print("| query | shuffles | single-partition | broadcast joins | sort-merge joins | nested loop | python | scans (table: columns read) |")
     print("|---|---|---|---|---|---|---|---|")
     for name, fn in QUERIES.items():
-        if name in SIDE_EFFECTS:
-            continue
         plan = fn(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         s = summarise(plan)
         scans = "; ".join(f"{t}: {re.sub(r'struct<|>$', '', rs).replace(':', ' ')[:200]}" for t, rs in s["scans"])
