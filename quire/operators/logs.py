@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.constants import BAR_TABLE_SECTION, JSON_FENCED_SECTIONS
+from quire.constants import BAR_TABLE_SECTION, JSON_FENCED_SECTIONS, TABLE_MARKDOWN_SECTIONS
 from quire.functions.text import html_escape, md_header_fix
 
 SEP = "\n\n"
@@ -121,14 +121,18 @@ def normalize_header(text: Column, bad: str, good: str) -> Column:
     return F.replace(text, F.lit(bad), F.lit(good))
 
 
-def clean_logs(df: DataFrame, col: str, table_sections: list[str] | None = None) -> DataFrame:
-    """X11 -> X12 -> X13 -> X14 -> X15: the whole cleanup chain, one projection per step."""
+def clean_logs(df: DataFrame, col: str, table_sections: list[str] = TABLE_MARKDOWN_SECTIONS) -> DataFrame:
+    """X11 -> X12 -> X13 -> X14 -> X15: the whole cleanup chain, one projection per step.
+
+    Meant for a text column read from data: on a constant (literal-only) column every
+    step is foldable and the optimizer inlines them into each other.
+    """
     df = df.withColumn(col, normalize_header(md_header_fix(F.col(col)),
                                              "**DOCUMENT Reasoning Results -- GPTEval Prediction Evaluation **",
                                              "**DOCUMENT Reasoning Results -- GPTEval Prediction Evaluation**"))
     df = fence_json(df, col)
     df = delete_section(df, col)
-    for name in table_sections or []:
+    for name in table_sections:
         df = strip_table_colons(df, col, name)
     return df
 

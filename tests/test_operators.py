@@ -375,3 +375,22 @@ def test_skill_grid_and_refinement_prompt(spark):
     r = spark.createDataFrame([("P", "F")], "a string, b string").select(
         pr.refinement_prompt(F.col("a"), F.col("b"))).collect()[0][0]
     assert r.startswith("Here is an synthetic data example that I am trying to improve: P\n") and "\nF\n" in r
+
+
+def test_clean_logs_whole_chain(spark):
+    fields = [("Existing Table Info", "|a:|b|"), ("Generated Edits Rationale", '{"e": 1}'),
+              ("Resultant Generated Table Markdown", "| x: | y |"),
+              ("Resultant Generated Table -- Bar-separated", "x|y"), ("Resultant Generated Question", "Q?"),
+              ("DOCUMENT Reasoning Results -- GPTEval Prediction Evaluation ", "fine")]
+    # the field values come from data (a literal-only input would make the whole chain
+    # constant-foldable, which the optimizer inlines step into step)
+    df = spark.createDataFrame([tuple([1] + [v for _, v in fields])],
+                               ["log_id"] + [f"f{i}" for i in range(len(fields))])
+    df = df.select("log_id", lg.report_text([(k, F.col(f"f{i}")) for i, (k, _) in enumerate(fields)])
+                   .alias("log_text"))
+    out = lg.clean_logs(df, "log_text").collect()[0]["log_text"]
+    assert out.startswith("\n**Existing Table Info**\n\n|a|b|")                    # X11 + X15
+    assert "**Generated Edits Rationale**\n```json\n{\"e\": 1}\n```" in out            # X13
+    assert "**Resultant Generated Table Markdown**\n\n| x | y |" in out                # X15
+    assert "Bar-separated" not in out                                                  # X14
+    assert "**DOCUMENT Reasoning Results -- GPTEval Prediction Evaluation**\nfine" in out  # X12
