@@ -231,3 +231,23 @@ SELECT example_id, CASE WHEN t IS NOT NULL THEN n END AS num_rows,
        CASE WHEN t IS NOT NULL THEN round({tokens('documents')} / n, 6) END AS avg_doc_tokens,
        CASE WHEN t IS NULL THEN 'no table' END AS error
 FROM et"""
+
+
+@query("x8_table_summary_prompts")
+def x8_table_summary_prompts(spark, d):
+    """The table-summary prompt of every (size-gated) table, from its plain-text render."""
+    from quire.constants import TABLE_SUMMARY_PROMPT
+
+    texts = tt.render_tables(_gated_cells(spark, d), "plain")
+    return texts.select("table_id", tx.fill_template(TABLE_SUMMARY_PROMPT, seed_table=F.col("table")).alias("prompt"))
+
+
+def _summary_sql() -> str:
+    from quire.constants import TABLE_SUMMARY_PROMPT
+    return TABLE_SUMMARY_PROMPT.replace("'", "''")
+
+
+ORACLE["x8_table_summary_prompts"] = W("table_rows", extra=[GATED]) + f"""
+SELECT table_id, replace('{_summary_sql()}', '{{seed_table}}',
+       '{PLAIN_HEAD}' || chr(10) || string_agg({PLAIN_ROW}, chr(10) ORDER BY row_idx) || chr(10)) AS prompt
+FROM gated GROUP BY table_id"""
