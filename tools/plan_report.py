@@ -25,8 +25,10 @@ def summarise(plan: str) -> dict:
         "python": len(re.findall(r"MapInPandas|ArrowEvalPython|BatchEvalPython", plan)),
         "scans": sorted({(m.group(1), r.group(1))
                          for line in plan.split("\n") if "FileScan parquet" in line
-                         for m in [re.search(r"/(\w+?)(?:\.parquet)?(?:-[0-9a-f]{12})?\]", line)]
-                         for r in [re.search(r"ReadSchema: (struct<.*>)\s*$", line)] if m and r}),
+                         for m in [re.search(r"spark_catalog\.default\.(\w+)", line)
+                                   or re.search(r"/(\w+?)(?:\.parquet)?(?:-[0-9a-f]{12})?\]", line)]
+                         for r in [re.search(r"ReadSchema: (struct<.*?>)(?:, SelectedBucketsCount.*)?\s*$", line)]
+                         if m and r}),
     }
 
 
