@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from quire.session import checkpoint_dir
 
@@ -42,3 +43,44 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
+
+
+def ordered(df: DataFrame, order: list, name: str, index: str = "_index") -> DataFrame:
+    """``df`` with a dense 0-based ``index`` in the given order, written to the shared folder.
+
+    Rows are range-partitioned and numbered within their partition, so no task sees them all; the
+    offsets are one row per partition. Pass narrow columns: this sorts and writes them.
+    """
+    spark = df.sparkSession
+    n = max(1, shuffle_partitions(spark))
+    at = F.monotonically_increasing_id()  # partition number above bit 33, row number below
+    t = written(df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+                  .withColumns({"_part": F.shiftright(at, 33), "_at": at.bitwiseAND(F.lit((1 << 33) - 1))}), name)
+    counts = t.groupBy("_part").agg(F.count("*").alias("_n"))  # one row per partition
+    before = counts.select("_part", F.coalesce(F.sum("_n").over(
+        W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return (t.join(F.broadcast(before), "_part")  # at most one row per shuffle partition
+             .withColumn(index, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before"))
+
+
+def components(edges: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:
+    """Connected components of undirected ``edges(a, b)``: (node, component), the component being its
+    smallest node. Alternating large-star and small-star rounds; each round is written to the shared
+    folder, hubs are split by adaptive execution, and only a checksum comes to the driver.
+    Nodes without edges do not appear."""
+    e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+    last = None
+    for _ in range(max_rounds):
+        mark = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if mark == last or mark[0] == 0:
+            return (e.select(F.col("a").alias("node"), F.col("b").alias("component"))
+                     .union(e.select(F.col("b"), F.col("b"))).distinct())
+        last = mark
+        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.where("b > a").join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = (large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+                      .union(low.select("a", F.col("m").alias("b"))).distinct())
+        e = written(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import decontaminate
+from quire.llm import decontaminate, mixing
 from quire.llm.frames import load
 from quire.llm.sql import ORACLE
 
@@ -24,4 +24,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+@query
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, mixed to the source weights."""
+    return mixing.digest(load(spark, sf_dir, "documents"))
+
+
 __all__ = ["QUERIES", "ORACLE"]

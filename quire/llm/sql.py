@@ -26,3 +26,31 @@ SELECT d.id AS doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n_hi
        coalesce(c.n_hit, 0) > 0 AND 20 * coalesce(c.n_hit, 0) >= len(d.w) AS contaminated
 FROM words d LEFT JOIN covered c ON c.doc_id = d.id LEFT JOIN items t ON t.doc_id = d.id WHERE d.side = 0
 """
+
+ORACLE["op8_mix_sources"] = r"""
+WITH sized AS MATERIALIZED (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
+  FROM documents),
+keyed AS (SELECT *, CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || CAST(size AS VARCHAR)), 1, 15)
+                    AS BIGINT) AS u FROM sized),
+src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+               (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM sized GROUP BY source),
+caps AS (SELECT *, 3 * source_size AS cap, row_number() OVER (ORDER BY 3.0 * source_size / weight, source NULLS LAST) AS k FROM src),
+levels AS (
+  SELECT k, cap, weight,
+         (sum(cap) OVER () / 3 - coalesce(sum(cap) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM caps),
+lev AS (SELECT coalesce(min(level) FILTER (WHERE level * weight <= cap), 0) AS level FROM
+        (SELECT * FROM levels WHERE level * weight <= cap ORDER BY k LIMIT 1)),
+targets AS (SELECT source, source_size,
+                   CASE WHEN level * weight > cap THEN CAST(cap AS DOUBLE) ELSE level * weight END AS target FROM caps, lev),
+parts AS (SELECT *, CASE WHEN source_size > 0 THEN least(CAST(floor(target / source_size) AS BIGINT), 3) ELSE 0 END AS whole FROM targets),
+rests AS (SELECT *, greatest(target - whole * source_size, 0.0) AS rest FROM parts),
+runs AS (
+  SELECT k.doc_id, k.size, r.source_size, r.target, r.whole, r.rest,
+         coalesce(sum(CASE WHEN k.size > 0 THEN k.size END) OVER (PARTITION BY k.source ORDER BY k.size = 0, k.u, k.doc_id
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM keyed k JOIN rests r ON k.source IS NOT DISTINCT FROM r.source)
+SELECT doc_id, size, source_size, target,
+       CAST(size * (whole + CASE WHEN rest > 0 AND 2 * before + size <= 2 * rest THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM runs
+"""
