@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import decontaminate, mixing
+from quire.llm import decontaminate, fingerprints, mixing, secrets, urlfilter
 from quire.llm.frames import load
 from quire.llm.sql import ORACLE
 
@@ -24,10 +24,28 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+@query
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page judged by rule, else by its aliases."""
+    return urlfilter.digest(load(spark, sf_dir, "pages"))
+
+
+@query
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's secrets through a blob ledger that starts empty."""
+    return secrets.digest(load(spark, sf_dir, "documents"))
+
+
 @query
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, mixed to the source weights."""
     return mixing.digest(load(spark, sf_dir, "documents"))
 
 
+@query
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's SimHash, its edited text's, and the neighbours of the query documents."""
+    return fingerprints.digest(load(spark, sf_dir, "documents"))
+
+
 __all__ = ["QUERIES", "ORACLE"]

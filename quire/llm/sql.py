@@ -54,3 +54,62 @@ runs AS (
 SELECT doc_id, size, source_size, target,
        CAST(size * (whole + CASE WHEN rest > 0 AND 2 * before + size <= 2 * rest THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM runs
 """
+
+ORACLE["op6_url_filter"] = r"""
+WITH RECURSIVE p AS MATERIALIZED (
+  SELECT page_id, url, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+found AS (
+  SELECT rest AS a_rest, url, regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'),
+           '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS link FROM p WHERE url IS NOT NULL AND html IS NOT NULL
+  UNION ALL
+  SELECT rest, url, regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'),
+           '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) FROM p WHERE url IS NOT NULL AND html IS NOT NULL),
+targets AS (
+  SELECT a_rest, CASE WHEN strpos(link, '://') > 0 THEN substr(link, strpos(link, '://') + 3)
+                      WHEN starts_with(link, '//') THEN substr(link, 3)
+                      WHEN starts_with(link, '/') THEN regexp_extract(a_rest, '^[^/?#]*') || link END AS b_rest
+  FROM found WHERE link <> ''),
+urls AS (SELECT DISTINCT rest FROM (SELECT rest FROM p UNION ALL SELECT b_rest FROM targets) WHERE rest IS NOT NULL),
+split AS MATERIALIZED (
+  SELECT rest, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '(?s)^[^?#]*(\?[^#]*)?', 1) AS q FROM urls),
+rules(r_host, r_path, r_verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'),
+  ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+best AS (
+  SELECT rest, arg_min(r_host || r_path, length(r_host || r_path) * -1) AS rule, arg_min(r_verdict, length(r_host || r_path) * -1) AS verdict
+  FROM split JOIN rules ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path) GROUP BY rest),
+nodes AS MATERIALIZED (SELECT rest, host, path, CASE WHEN host <> '' THEN host || path || q END AS node FROM split),
+edges AS (SELECT a.node AS a, b.node AS b FROM targets t JOIN nodes a ON t.a_rest = a.rest JOIN nodes b ON t.b_rest = b.rest
+          WHERE a.node IS NOT NULL AND b.node IS NOT NULL AND a.node <> b.node),
+both_ways AS MATERIALIZED (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+reach(node, other) AS (SELECT a, a FROM both_ways UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON r.other = e.a),
+said AS (SELECT r.node, max(CASE WHEN t.verdict = 'allow' THEN 1 ELSE 0 END) AS allowed
+         FROM reach r JOIN nodes n ON r.other = n.node JOIN best t ON n.rest = t.rest GROUP BY r.node)
+SELECT p.page_id, coalesce(n.host, '') AS host, coalesce(n.path, '') AS path, t.rule,
+       coalesce(t.verdict, CASE WHEN s.allowed = 0 THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN nodes n ON p.rest = n.rest LEFT JOIN best t ON p.rest = t.rest LEFT JOIN said s ON n.node = s.node
+"""
+
+_SECRET_KINDS = [
+    ("assign", 0, r'(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1, 6, True),
+    ("access", 1, r"(AKIA[A-Z0-9]+)", 1, 20, True),
+    ("hex", 2, r"([0-9a-f]+)", 1, 24, True),
+    ("pem", 3, r"(-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----)", 1, 1, False),
+    ("forge", 4, r"(\b(?:gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}))", 1, 1, False),
+]
+ORACLE["op7_secret_scan"] = "WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),\nm AS (\n" + "\nUNION ALL\n".join(
+    f"""  SELECT r, '{k}' AS kind, {o} AS o, {str(b).lower()} AS base, unnest(range(1, len(hits) + 2)) AS i,
+         unnest(hits) AS hit, unnest(groups) AS grp, unnest(pieces) AS piece, {n} AS least
+  FROM (SELECT r, regexp_extract_all(text, '{p}') AS hits, regexp_extract_all(text, '{p}', {g}) AS groups,
+               string_split_regex(text, '{p.replace("(AKIA", "(?:AKIA").replace("([", "(?:[").replace("(-----", "(?:-----").replace("(" + chr(92) + "b", "(?:" + chr(92) + "b")}') AS pieces FROM d)"""
+    for k, o, p, g, n, b in _SECRET_KINDS) + r"""),
+s AS (SELECT r, kind, o, base, length(hit) AS n, length(grp) >= least AS ok,
+             sum(length(piece) + length(hit)) OVER (PARTITION BY r, kind ORDER BY i) AS e FROM m WHERE hit IS NOT NULL),
+a AS (SELECT r, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access,
+             count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+             string_agg(kind || ':' || CAST(e - n AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY e - n, o) FILTER (WHERE base) AS base_spans,
+             string_agg(kind || ':' || CAST(e - n AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY e - n, o) AS spans
+      FROM s WHERE ok GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (r)
+"""
