@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import decontaminate, fingerprints, mixing, secrets, urlfilter
+from quire.llm import decontaminate, fingerprints, mixing, secrets, toxicity, urlfilter
 from quire.llm.frames import load
 from quire.llm.sql import ORACLE
 
@@ -48,4 +48,10 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.digest(load(spark, sf_dir, "documents"))
 
 
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by a classifier fitted on a bounded sample of the labels."""
+    return toxicity.digest(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 __all__ = ["QUERIES", "ORACLE"]

@@ -76,14 +76,15 @@ def chunks(offsets: np.ndarray, limit: int):
         a = min(b, n)
 
 
-def words(buf: np.ndarray, offsets: np.ndarray, table: np.ndarray, fold: bool = False, piece: int = 1 << 20):
+def words(buf: np.ndarray, offsets: np.ndarray, table: np.ndarray, fold: bool = False, piece: int = 1 << 20,
+          heads: tuple[int, ...] = ()):
     """Words of every text of the buffer: (start, end, hash, first) arrays, where texts ``i`` own
     the words first[i]:first[i+1]. ``table`` marks the bytes of words; ``fold`` lower-cases A-Z first.
+    With ``heads``, hash has a column more for each length: the hash of the word's first bytes.
     The buffer is taken piece by piece, cut between words, so temporaries stay small."""
     n = len(buf)
     ss, es, hs = [], [], []
-    inv = np.uint64(inverse(P_BYTE))
-    inv_int = int(inv)
+    inv_int = inverse(P_BYTE)
     a = 0
     while a < n:
         b = min(n, a + piece)
@@ -111,13 +112,15 @@ def words(buf: np.ndarray, offsets: np.ndarray, table: np.ndarray, fold: bool =
         end = np.flatnonzero(before & (~after | edge))
         sums = np.zeros(b - a + 1, np.uint64)
         np.cumsum((part.astype(np.uint64) + np.uint64(1)) * powers(P_BYTE, b - a), out=sums[1:])
-        hs.append(mix((sums[end] - sums[start]) * powers(inv_int, b - a + 1)[start]))
+        back = powers(inv_int, b - a + 1)[start]
+        h = mix((sums[end] - sums[start]) * back)
+        hs.append(np.stack([h] + [mix((sums[np.minimum(end, start + k)] - sums[start]) * back) for k in heads], 1) if heads else h)
         ss.append(start + a)
         es.append(end + a)
         a = b
     s = np.concatenate(ss) if ss else np.zeros(0, np.int64)
     e = np.concatenate(es) if es else np.zeros(0, np.int64)
-    h = np.concatenate(hs) if hs else np.zeros(0, np.uint64)
+    h = np.concatenate(hs) if hs else np.zeros((0, 1 + len(heads)) if heads else 0, np.uint64)
     return s, e, h, np.searchsorted(s, offsets)
 
 
