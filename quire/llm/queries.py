@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import decontaminate, fingerprints, mixing, secrets, toxicity, urlfilter
+from quire.llm import decontaminate, fingerprints, mixing, secrets, substrings, toxicity, urlfilter
 from quire.llm.frames import load
 from quire.llm.sql import ORACLE
 
@@ -24,6 +24,12 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+@query
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the windows that smaller documents hold."""
+    return substrings.digest(load(spark, sf_dir, "documents"))
+
+
 @query
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page judged by rule, else by its aliases."""

@@ -113,3 +113,16 @@ a AS (SELECT r, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FI
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
        sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (r)
 """
+
+ORACLE["op2_substring_dedup"] = r"""
+WITH w AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS MATERIALIZED (
+  SELECT r, doc_id, i, md5(array_to_string(w[i:i + 12], ' ')) AS g
+  FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w WHERE len(w) >= 13 AND doc_id IS NOT NULL)),
+low AS (SELECT g, min(doc_id) AS low FROM win GROUP BY g),
+gone AS MATERIALIZED (SELECT DISTINCT r, p FROM (SELECT r, unnest(range(i, i + 13)) AS p FROM win JOIN low USING (g) WHERE doc_id > low)),
+words AS (SELECT r, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM w),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM words ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (r)
+"""
