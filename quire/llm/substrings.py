@@ -39,7 +39,8 @@ from quire.llm.frames import pick
 from quire.llm.shipping import ship
 
 DEPTH = 13
-GROUP_SUFFIXES = 3_000_000
+GROUP_SUFFIXES = 2_000_000
+UNIT_BYTES = 8 << 20
 BUCKET_BYTES = 16 << 20
 WORD_BITS, MAX_WORDS = 6, 3
 DEEP_KEYS_FROM = 1 << 36  # suffixes from which path keys have 16 bytes
@@ -112,7 +113,7 @@ def _suffixes(depth, words, wide, plan_of):
     """Packed rows (group, kind, blob): kind 1 suffixes, kind 2 windows already known to be repeats."""
     def run(batches):
         first_group, parts, n_groups = plan_of()
-        for u, (ids, rows, texts) in enumerate(K.units(batches, 2)):
+        for u, (ids, rows, texts) in enumerate(K.units(batches, 2, UNIT_BYTES)):
             key, null, row = K.doc_keys(ids, rows)
             buf, off = T.flat(texts)
             first, lanes, h, ok = _windows(buf, off, depth, wide)
@@ -170,25 +171,19 @@ def deep_nodes(paths: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def _resolve(n_buckets):
     """A group's blobs to packed removed windows per bucket: (bucket, kind 1, blob)."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, rows, starts, known = [], [], [], []
-        paths: list[list[np.ndarray]] = []
-        for kind, blob in zip(pdf["kind"], pdf["blob"]):
-            d, r, first, n, at, *path = K.load(blob)
-            ids.append(np.repeat(d, n))
-            rows.append(np.repeat(r, n))
-            starts.append(at - np.repeat(first, n))
-            known.append(np.full(len(at), kind == 2))
-            if kind == 1:
-                paths.append(path)
-        ids, rows, starts, known = map(np.concatenate, (ids, rows, starts, known))
-        lost = known.copy()
-        leaf = np.flatnonzero(~known)
-        if len(leaf):
-            order, node = deep_nodes([np.concatenate(x) for x in zip(*paths)])
-            low = np.minimum.reduceat(ids[leaf][order], node)
-            lost[leaf[order]] = ids[leaf][order] > np.repeat(low, np.diff(np.append(node, len(order))))
-        i = np.flatnonzero(lost)
-        ids, rows, starts = ids[i], rows[i], starts[i]
+        known = [K.load(b) for b in pdf.loc[pdf["kind"] == 2, "blob"]]
+        leaves = [K.load(b) for b in pdf.loc[pdf["kind"] == 1, "blob"]]
+        lost = []
+        if leaves:
+            order, node = deep_nodes([np.concatenate(x) for x in zip(*(b[5:] for b in leaves))])
+            ids = np.concatenate([np.repeat(b[0], b[3]) for b in leaves])[order]
+            gone = np.empty(len(order), bool)
+            gone[order] = ids > np.repeat(np.minimum.reduceat(ids, node), np.diff(np.append(node, len(order))))
+            lost = np.split(gone, np.cumsum([len(b[4]) for b in leaves])[:-1])
+        fields = []
+        for (d, r, first, n, at, *_), gone in zip(known + leaves, [slice(None)] * len(known) + list(lost)):
+            fields.append((np.repeat(d, n)[gone], np.repeat(r, n)[gone], (at - np.repeat(first, n))[gone]))
+        ids, rows, starts = (np.concatenate(x) for x in zip(*fields))
         out = []
         for b, part in K.by_group(K.bucket_of(ids, np.zeros(len(ids), np.uint8), rows, n_buckets), n_buckets):
             part = part[np.lexsort((starts[part], rows[part], ids[part]))]
