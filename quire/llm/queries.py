@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import decontaminate, fingerprints, mixing, neardup, secrets, substrings, toxicity, urlfilter
+from quire.llm import decontaminate, fingerprints, mixing, neardup, secrets, substrings, tokens, toxicity, urlfilter
 from quire.llm.frames import load
 from quire.llm.sql import ORACLE
 
@@ -36,6 +36,12 @@ def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.digest(load(spark, sf_dir, "documents"))
 
 
+@query
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as token files, and read back."""
+    return tokens.digest(load(spark, sf_dir, "documents"))
+
+
 @query
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page judged by rule, else by its aliases."""
