@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import decontaminate, fingerprints, mixing, neardup, secrets, substrings, tokens, toxicity, urlfilter
+from quire.llm import bytespans, decontaminate, fingerprints, mixing, neardup, secrets, substrings, tokens, toxicity, urlfilter
 from quire.llm.frames import load
 from quire.llm.sql import ORACLE
 
@@ -30,6 +30,12 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(load(spark, sf_dir, "documents"))
 
 
+@query
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the byte strings that occur elsewhere."""
+    return bytespans.digest(load(spark, sf_dir, "documents"))
+
+
 @query
 def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's near-duplicate class."""
