@@ -43,9 +43,10 @@ def random_bits(doc_id, size, seed: str = SEED) -> F.Column:
 
 
 def pareto_rank(u, p) -> F.Column:
-    """Odds of the random number over odds of the inclusion probability."""
-    x = (u.cast("double") + 0.5) / float(1 << U_BITS)
-    return (x / (1 - x)) / (p / (1 - p))
+    """Odds of the random number over odds of the inclusion probability (null when nothing is to be
+    drawn, 0 when everything is)."""
+    x = (F.shiftright(u, U_BITS - 52).cast("double") + 0.5) / float(1 << 52)  # strictly between 0 and 1
+    return F.when(p >= 1, F.lit(0.0)).when(p > 0, (x / (1 - x)) / (p / (1 - p)))
 
 
 def source_targets(sized: DataFrame, cap: int = CAP, cycle: int = CYCLE) -> DataFrame:
