@@ -91,7 +91,7 @@ FROM p LEFT JOIN nodes n ON p.rest = n.rest LEFT JOIN best t ON p.rest = t.rest
 """
 
 _SECRET_KINDS = [
-    ("assign", 0, r'(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1, 6, True),
+    ("assign", 0, r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 1, 6, True),
     ("access", 1, r"(AKIA[A-Z0-9]+)", 1, 20, True),
     ("hex", 2, r"([0-9a-f]+)", 1, 24, True),
     ("pem", 3, r"(-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----)", 1, 1, False),
