@@ -17,6 +17,8 @@ __all__ = [
 
 # Unicode word runs or single punctuation marks (a word-tokenizer estimate).
 TOKEN_PATTERN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
+# White space as Unicode text has it (the regex engine's own class is ASCII only).
+BLANKS = (r"[\t-\r\x1c-\x20\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 # A strict integer with optional sign and surrounding blanks.
 INT_PATTERN = r"^\s*[+-]?[0-9]+\s*$"
 
@@ -33,7 +35,7 @@ def token_count(text) -> Column:
     every remaining character is one token.
     """
     runs = F.regexp_replace(_c(text), r"[\p{L}\p{N}_]+", "a")
-    return F.length(F.regexp_replace(runs, r"\s+", ""))
+    return F.length(F.regexp_replace(runs, BLANKS + "+", ""))
 
 
 def strip_ws(text) -> Column:
@@ -44,7 +46,7 @@ def strip_ws(text) -> Column:
 def parse_int(text) -> Column:
     """Strict integer parse; anything else (``' 9.0'``, prose) is NULL."""
     t = _c(text)
-    return F.when(t.rlike(INT_PATTERN), strip_ws(t).try_cast("int"))
+    return F.when(t.rlike(INT_PATTERN), strip_ws(t).try_cast("bigint"))
 
 
 def answer_parts(response, prompt_type, marker: str = ANSWER_KEY) -> tuple[Column, Column]:

@@ -17,7 +17,7 @@ from pyspark import cloudpickle as _cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.constants import ANSWER_KEY, NO_RESPONSE
+from quire.constants import ANSWER_KEY, COT, INPUT_KEY, NO_RESPONSE, OUTPUT_KEY
 
 
 def prompt_key(model: Column, prompt: Column) -> Column:
@@ -46,15 +46,14 @@ def with_fallback(prompts: DataFrame, store: DataFrame, key: str = "prompt_key")
 
 
 def offline_scorer(prompts: pd.Series) -> pd.Series:
-    """Deterministic stand-in scorer: answers with the prompt's last ``Q: `` line."""
+    """Deterministic stand-in scorer: answers with the prompt's question (what stands between the
+    last ``Q: `` and the answer mark, without the reasoning instruction)."""
     def one(p: str) -> str:
-        i = p.rfind("\nQ: ")
-        start = i + 4 if i >= 0 else (3 if p.startswith("Q: ") else -1)
+        i = p.rfind(f"\n{INPUT_KEY} ")
+        start = i + 4 if i >= 0 else (3 if p.startswith(f"{INPUT_KEY} ") else -1)
         if start < 0:
             return ANSWER_KEY
-        end = p.find("\n", start)
-        q = p[start:] if end < 0 else p[start:end]
-        return f"{ANSWER_KEY}{q[:80]}"
+        return ANSWER_KEY + p[start:].removesuffix(f"\n{OUTPUT_KEY}").removesuffix(f"\n{COT}")
     return prompts.map(one)
 
 

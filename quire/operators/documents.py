@@ -44,13 +44,13 @@ def offline_document_writer(prompts: pd.Series) -> pd.Series:
 
 
 def generate_document_sets(tables: DataFrame, writer=offline_document_writer, template: str = CONTEXTUAL_OUTLINE,
-                           seed: int = DOC_RANDOM_SEED, **slots) -> DataFrame:
+                           seed: int = DOC_RANDOM_SEED, shuffle: bool = False, **slots) -> DataFrame:
     """``(table_id, table)`` -> ``(table_id, documents, n_documents, n_failed)``."""
     prompts = document_prompts(tables, template, seed, **slots)
     replies = score_batches(prompts.select("table_id", "doc_row", "prompt"), writer)
     docs = replies.select("table_id", "doc_row",
                           F.from_json("reply", "resultant_document string")["resultant_document"].alias("doc"))
-    order = seeded_hash(seed, "table_id", "doc_row")
+    order = seeded_hash(seed, "table_id", "doc_row") if shuffle else F.lit("")
     g = docs.groupBy("table_id").agg(
         F.array_sort(F.collect_list(F.struct(order.alias("_h"), F.col("doc_row"), F.col("doc")))).alias("_d"),
         F.count_if(F.col("doc").isNull()).alias("n_failed"))

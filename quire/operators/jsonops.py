@@ -21,12 +21,13 @@ def is_json(text) -> Column:
     """The text is one JSON value (strict, as a JSON decoder sees it).
 
     ``try_parse_json`` stops after the first value and accepts trailing text (``4501 abc``,
-    ``{"a": 1} x``); wrapping the text in ``[...]`` and reading it as an array makes any
-    trailing token a syntax error. Blank text is not JSON. JVM-side, no Python.
+    ``{"a": 1} x``); wrapping the text in ``[...]`` and reading it as an array of exactly one
+    value makes any trailing token a syntax error or a second value. Single quotes do not
+    quote. Blank text is not JSON. JVM-side, no Python.
     """
     t = F.col(text) if isinstance(text, str) else text
-    wrapped = F.from_json(F.concat(F.lit("["), t, F.lit("]")), "array<string>")
-    return F.coalesce(wrapped.isNotNull() & (F.trim(t) != ""), F.lit(False))
+    wrapped = F.from_json(F.concat(F.lit("["), t, F.lit("]")), "array<string>", {"allowSingleQuotes": "false"})
+    return F.coalesce((F.size(wrapped) == 1) & (F.trim(t) != ""), F.lit(False))
 
 
 def extract_fields(df: DataFrame, text: str, schema: str, keep: list[str]) -> DataFrame:

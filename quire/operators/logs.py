@@ -12,12 +12,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.constants import BAR_TABLE_SECTION, JSON_FENCED_SECTIONS, TABLE_MARKDOWN_SECTIONS
+import re
+
+from quire.constants import BAR_TABLE_SECTION, HTML_HEAD, JSON_FENCED_SECTIONS, LOG_FIELDS, TABLE_MARKDOWN_SECTIONS
 from quire.functions.text import html_escape, md_header_fix
 
 SEP = "\n\n"
-_SPLIT = r"\n\n(?=\*\*[^\n]*?\*\*\n)"
-_HEAD = r"^(\n*)\*\*([^\n]*?)\*\*\n"
+
+
+def _names(fields: list[str]) -> str:
+    return "(?:" + "|".join(re.escape(n.strip()).replace("\\ ", " ") for n in fields) + ") ?"
 
 
 def report_text(fields: list[tuple[str, Column]]) -> Column:
@@ -26,21 +30,22 @@ def report_text(fields: list[tuple[str, Column]]) -> Column:
     return F.concat_ws("\n", *parts)
 
 
-def split_pieces(text: Column) -> Column:
+def split_pieces(text: Column, fields: list[str] = LOG_FIELDS) -> Column:
     """Pieces as ``array<struct<lead, header, body, is_section>>`` (R6 building block)."""
-    pieces = F.split(text, _SPLIT, -1)
+    pieces = F.split(text, rf"\n\n(?=\*\*{_names(fields)}\*\*\n)", -1)
+    head = rf"^(\n*)\*\*({_names(fields)})\*\*\n"
 
     def piece(p):
-        is_sec = p.rlike(_HEAD)
+        is_sec = p.rlike(head)
         lead = F.regexp_extract(p, r"^(\n*)", 1)
-        header = F.when(is_sec, F.regexp_extract(p, _HEAD, 2))
+        header = F.when(is_sec, F.regexp_extract(p, head, 2))
         return F.struct(lead.alias("lead"), header.alias("header"), p.alias("_p"), is_sec.alias("is_section"))
 
     s = F.transform(pieces, piece)
     # body = the piece after its header line
     return F.transform(s, lambda x: F.struct(
         x["lead"].alias("lead"), x["header"].alias("header"),
-        F.when(x["is_section"], F.regexp_replace(x["_p"], _HEAD, "")).otherwise(x["_p"]).alias("body"),
+        F.when(x["is_section"], F.regexp_replace(x["_p"], head, "")).otherwise(x["_p"]).alias("body"),
         x["is_section"].alias("is_section")))
 
 
@@ -51,20 +56,20 @@ def join_pieces(pieces: Column) -> Column:
         SEP)
 
 
-def sections(logs: DataFrame, text: str = "log_text", key: str = "log_id") -> DataFrame:
-    """One row per section ``(key, section_idx, section, body)``."""
-    p = logs.select(key, split_pieces(F.col(text)).alias("_p"))
+def sections(logs: DataFrame, text: str = "log_text", key: str = "log_id", fields: list[str] = LOG_FIELDS) -> DataFrame:
+    """One row per section ``(key, section_idx, section, body)``; ``fields`` are the headers."""
+    p = logs.select(key, split_pieces(F.col(text), fields).alias("_p"))
     p = p.select(key, F.filter("_p", lambda x: x["is_section"]).alias("_s"))
     ex = p.select(key, F.posexplode_outer("_s").alias("_i", "_x")).where(F.col("_i").isNotNull())
     return ex.select(key, (F.col("_i") + 1).cast("int").alias("section_idx"),
                      F.col("_x.header").alias("section"), F.col("_x.body").alias("body"))
 
 
-def _with_span(df: DataFrame, col: str, name: str) -> DataFrame:
+def _with_span(df: DataFrame, col: str, name: str, fields: list[str]) -> DataFrame:
     """Add ``_found, _before, _body, _after`` for the first ``**name**`` section of ``col``.
 
     The body starts after the ``**name**`` line and ends before the next blank line that
-    precedes a ``**`` header (or at the end of the text); ``_after`` keeps that separator
+    precedes a known header (or at the end of the text); ``_after`` keeps that separator
     and ``_before`` ends just before the header. Positions and pieces are computed in
     their own projections, once per row.
     """
@@ -73,44 +78,43 @@ def _with_span(df: DataFrame, col: str, name: str) -> DataFrame:
     x = df.withColumn("_pos", F.instr(t, marker))
     x = x.withColumn("_rest", F.when(F.col("_pos") > 0, t.substr(F.col("_pos") + F.lit(len(marker)),
                                                                  F.length(t) + F.lit(1))))
-    x = x.withColumn("_rel", F.instr(F.col("_rest"), "\n\n**"))
-    rest, rel = F.col("_rest"), F.col("_rel")
+    x = x.withColumn("_body", F.element_at(F.split(F.col("_rest"), rf"\n\n(?=\*\*{_names(fields)}\*\*)", 2), 1))
+    rest = F.col("_rest")
     return x.select(
         *df.columns, (F.col("_pos") > 0).alias("_found"),
-        t.substr(F.lit(1), F.col("_pos") - F.lit(1)).alias("_before"),
-        F.when(rel > 0, rest.substr(F.lit(1), rel - F.lit(1))).otherwise(rest).alias("_body"),
-        F.when(rel > 0, rest.substr(rel, F.length(rest) + F.lit(1))).otherwise(F.lit("")).alias("_after"))
+        t.substr(F.lit(1), F.col("_pos") - F.lit(1)).alias("_before"), "_body",
+        rest.substr(F.length("_body") + F.lit(1), F.length(rest) + F.lit(1)).alias("_after"))
 
 
 _SPAN = ["_found", "_before", "_body", "_after"]
 
 
-def fence_section(df: DataFrame, col: str, name: str) -> DataFrame:
+def fence_section(df: DataFrame, col: str, name: str, fields: list[str] = LOG_FIELDS) -> DataFrame:
     """X13 for one section: wrap its body in a json fence when it starts with ``{`` or ``[``."""
-    x = _with_span(df, col, name)
+    x = _with_span(df, col, name, fields)
     b = F.col("_body")
     return x.withColumn(col, F.when(F.col("_found") & b.rlike(r"^[\[{]"), F.concat(
         F.col("_before"), F.lit(f"**{name}**\n```json\n"), b, F.lit("\n```"), F.col("_after")))
         .otherwise(F.col(col))).drop(*_SPAN)
 
 
-def fence_json(df: DataFrame, col: str, names: list[str] = JSON_FENCED_SECTIONS) -> DataFrame:
+def fence_json(df: DataFrame, col: str, names: list[str] = JSON_FENCED_SECTIONS, fields: list[str] = LOG_FIELDS) -> DataFrame:
     """Fence each named section in turn (one set of projections per section)."""
     for name in names:
-        df = fence_section(df, col, name)
+        df = fence_section(df, col, name, fields)
     return df
 
 
-def delete_section(df: DataFrame, col: str, name: str = BAR_TABLE_SECTION) -> DataFrame:
+def delete_section(df: DataFrame, col: str, name: str = BAR_TABLE_SECTION, fields: list[str] = LOG_FIELDS) -> DataFrame:
     """Drop one section (header, body and the blank line after it); unchanged if absent."""
-    x = _with_span(df, col, name)
+    x = _with_span(df, col, name, fields)
     return x.withColumn(col, F.when(F.col("_found"), F.concat(
         F.col("_before"), F.regexp_replace(F.col("_after"), r"^\n\n", ""))).otherwise(F.col(col))).drop(*_SPAN)
 
 
-def strip_table_colons(df: DataFrame, col: str, name: str) -> DataFrame:
+def strip_table_colons(df: DataFrame, col: str, name: str, fields: list[str] = LOG_FIELDS) -> DataFrame:
     """Remove ``:`` from a section body and put a blank line before it."""
-    x = _with_span(df, col, name)
+    x = _with_span(df, col, name, fields)
     return x.withColumn(col, F.when(F.col("_found"), F.concat(
         F.col("_before"), F.lit(f"**{name}**\n\n"), F.replace(F.col("_body"), F.lit(":"), F.lit("")),
         F.col("_after"))).otherwise(F.col(col))).drop(*_SPAN)
@@ -137,13 +141,6 @@ def clean_logs(df: DataFrame, col: str, table_sections: list[str] = TABLE_MARKDO
     return df
 
 
-_HTML_HEAD = ("\n<html>\n<head>\n<title>Example</title>\n<style>\npre {\n    white-space: pre-wrap;\n"
-              "    word-wrap: break-word;\n    max-width: 1500px; /* Limit the width to 1000 pixels */\n}\n.row {\n"
-              "    border: 1px solid #ddd;\n    padding: 10px;\n    margin-bottom: 10px;\n"
-              "    background-color: #f9f9f9;\n    max-width: 1500px; /* Limit the width of the container div as well */\n"
-              "}\n</style>\n</head>\n<body>\n")
-
-
 def html_report(items: DataFrame, key: str, order: str, title: str = "title", content: str = "content") -> DataFrame:
     """One HTML page per key from ordered ``(title, content)`` items.
 
@@ -159,5 +156,5 @@ def html_report(items: DataFrame, key: str, order: str, title: str = "title", co
     div = F.concat(F.lit("<div><strong>"), F.coalesce(F.col(title), F.lit("")), F.lit("</strong><p>"),
                    F.coalesce(body, F.lit("")), F.lit("</p></div>"))
     g = items.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), div.alias("d")))).alias("_d"))
-    return g.select(key, F.concat(F.lit(_HTML_HEAD), F.array_join(F.transform("_d", lambda x: x["d"]), ""),
+    return g.select(key, F.concat(F.lit(HTML_HEAD), F.array_join(F.transform("_d", lambda x: x["d"]), ""),
                                   F.lit("</body></html>")).alias("html"))

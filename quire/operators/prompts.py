@@ -142,7 +142,7 @@ def provider_for(model: Column, strict: bool = True) -> Column:
     """P5: provider by ordered substring test; an unknown model raises (or is NULL)."""
     expr = None
     for sub, prov in PROVIDERS:
-        cond = F.lower(model).contains(sub) if sub in ("gemini", "multiagent") else model.contains(sub)
+        cond = model.contains(sub)
         expr = F.when(cond, F.lit(prov)) if expr is None else expr.when(cond, F.lit(prov))
     return expr.otherwise(F.raise_error(F.lit("Not a valid model.")) if strict else F.lit(None))
 

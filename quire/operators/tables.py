@@ -3,18 +3,17 @@
 Table form: ``(table_id, row_idx INT, header ARRAY<STRING>, cells ARRAY<STRING>)``,
 one row per table row; many tables live in one DataFrame.
 
-Per-table text is assembled with one ``groupBy(table_id)`` whose group is a single
-table. Every function that collects a table size-gates it first (F3): the gate is a
-partial aggregate (safe under skew) and a left-semi join keeps only accepted tables,
-so no collected group can exceed ``max_rows`` rows however large or skewed the input.
+Per-table text is assembled with one ``groupBy(table_id)`` whose group is a single table:
+the result is one text per table, so a table must fit in one row. No function drops tables;
+:func:`size_gate` (F3) reports the large ones and :func:`gated` leaves them out on request.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.constants import DOC_RANDOM_SEED, MAX_TABLE_COLS, MAX_TABLE_ROWS, MIN_ALPHA_COLUMNS
+from quire.constants import DOC_RANDOM_SEED, MAX_TABLE_COLS, MAX_TABLE_ROWS, MIN_ALPHA_COLUMNS, MISSING_WORDS
 from quire.functions.ids import hash_choice, seeded_hash
 from quire.functions.text import csv_cell, strip_ws, token_count
 
@@ -33,7 +32,7 @@ def size_gate(rows: DataFrame, max_rows: int = MAX_TABLE_ROWS, max_cols: int = M
 
 
 def gated(rows: DataFrame, max_rows: int = MAX_TABLE_ROWS, max_cols: int = MAX_TABLE_COLS) -> DataFrame:
-    """Rows of tables that pass the size gate (left-semi join on the gate result)."""
+    """F3 applied: the rows of tables that pass the size gate (left-semi join on the gate result)."""
     ok = size_gate(rows, max_rows, max_cols).where("accepted").select("table_id")
     return rows.join(ok, "table_id", "left_semi")
 
@@ -41,14 +40,13 @@ def gated(rows: DataFrame, max_rows: int = MAX_TABLE_ROWS, max_cols: int = MAX_T
 def letter_columns(rows: DataFrame, k: int = MIN_ALPHA_COLUMNS) -> DataFrame:
     """number of columns with a letter in some non-null cell, and the ``>= k`` gate.
 
-    Cells are exploded row-locally, then combined per (table, column) and per table; both
-    aggregates are partial (map-side), so a huge or skewed table costs no more than any
-    other, and tables of any width are counted exactly.
+    Each row keeps only the positions of its cells with a letter; their distinct count per table
+    is one partial (map-side) aggregate and one small shuffle, so a huge or skewed table costs no
+    more than any other, and tables of any width are counted exactly.
     """
-    cells = rows.select("table_id", F.posexplode_outer("cells").alias("_j", "_c")).where(F.col("_j").isNotNull())
-    per_col = cells.groupBy("table_id", "_j").agg(
-        F.bool_or(F.coalesce(F.col("_c").rlike("[A-Za-z]"), F.lit(False))).alias("_alpha"))
-    per_table = per_col.groupBy("table_id").agg(F.count_if("_alpha").cast("int").alias("n_alpha_cols"))
+    at = F.filter(F.transform("cells", lambda c, j: F.when(c.rlike("[A-Za-z]"), j)), lambda j: j.isNotNull())
+    cells = rows.select("table_id", F.explode_outer(at).alias("_j"))
+    per_table = cells.groupBy("table_id").agg(F.count_distinct("_j").cast("int").alias("n_alpha_cols"))
     return per_table.select("table_id", "n_alpha_cols", (F.col("n_alpha_cols") >= k).alias("passes"))
 
 
@@ -106,14 +104,9 @@ def markdown_text(grid: Column, widths: Column) -> Column:
     return F.array_join(F.concat(F.slice(lines, 1, 1), F.array(ruler), F.slice(lines, 2, F.size(lines))), "\n")
 
 
-def render_tables(rows: DataFrame, mode: str = "plain", delimiter: str = "|", max_rows: int = MAX_TABLE_ROWS,
-                  max_cols: int = MAX_TABLE_COLS) -> DataFrame:
-    """One text per table (``plain``, ``indexed`` or ``markdown``).
-
-    Only tables that pass the size gate are rendered, so the collected group (one
-    table) never exceeds ``max_rows`` rows; :func:`size_gate` reports the others.
-    """
-    g = _collected(gated(rows, max_rows, max_cols))
+def render_tables(rows: DataFrame, mode: str = "plain", delimiter: str = "|") -> DataFrame:
+    """One text per table (``plain``, ``indexed`` or ``markdown``), of every table."""
+    g = _collected(rows)
     if mode == "plain":
         text = plain_text(F.col("header"), F.col("_rows"), delimiter)
     elif mode == "indexed":
@@ -130,10 +123,34 @@ def render_tables(rows: DataFrame, mode: str = "plain", delimiter: str = "|", ma
 # ---------------------------------------------------------------- R2 / R3: text -> rows
 
 
-def _unquote(cell: Column) -> Column:
-    """A CSV-quoted cell (``"..."``, quotes doubled inside) back to its text."""
-    return F.when(cell.rlike('^"(?:[^"]|"")*"$'),
-                  F.replace(cell.substr(F.lit(2), F.length(cell) - F.lit(2)), F.lit('""'), F.lit('"'))).otherwise(cell)
+#: code points that no text holds (Unicode noncharacters): they stand for a delimiter and a line
+#: break inside a quoted cell, and mark a cell that was quoted, while lines and cells are split
+_DELIM, _LF, _CR, _QUOTED = "\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3"
+
+
+def _protect(text: Column, delimiter: str) -> Column:
+    """Quoted cells (``"..."`` between delimiters or line ends, quotes doubled inside) with their
+    delimiters, line breaks and quotes out of the way of the splits. The pattern has possessive
+    repeats only, so cells of any length match without recursion."""
+    d = "\\" + delimiter
+    quoted = rf'(?<![^{d}\n])"([^"]*+(?:""[^"]*+)*+)"(?=[{d}\r\n]|$)'
+
+    def hide(cell):
+        for a, b in (('""', '"'), (delimiter, _DELIM), ("\n", _LF), ("\r", _CR)):
+            cell = F.replace(cell, F.lit(a), F.lit(b))
+        return F.concat(F.lit(_QUOTED), cell)
+
+    hits = F.transform(F.regexp_extract_all(text, F.lit(quoted), F.lit(1)), hide)
+    parts = F.zip_with(F.split(text, quoted, -1), hits, lambda p, h: F.concat(p, F.coalesce(h, F.lit(""))))
+    return F.when(text.contains('"'), F.array_join(parts, "")).otherwise(text)
+
+
+def _restore(cell: Column, delimiter: str) -> Column:
+    """The text of a cell: NULL for a missing-value word, else what :func:`_protect` hid put back."""
+    out = cell
+    for a, b in ((_DELIM, delimiter), (_LF, "\n"), (_CR, "\r"), (_QUOTED, "")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return F.when(cell.startswith(_QUOTED), out).otherwise(cell)
 
 
 def _parsed(df: DataFrame, text: str, keep: list[str], delimiter: str = "|") -> DataFrame:
@@ -144,32 +161,33 @@ def _parsed(df: DataFrame, text: str, keep: list[str], delimiter: str = "|") ->
     """
     d = delimiter
     esc = "\\" + d if not d.isalnum() else d
-    # a delimiter splits only outside double quotes (an even number of quotes follows it)
-    split_re = esc + '(?=(?:[^"]*"[^"]*")*[^"]*$)'
-    x = df.select(*keep, F.split(strip_ws(F.col(text)), "\r?\n").alias("_all"))
+    x = df.select(*keep, F.split(_protect(strip_ws(F.col(text)), d), "\r?\n").alias("_all"))
     # every line (blank ones included) must carry the outer delimiters
     x = x.select(*keep, F.filter("_all", lambda ln: ln != "").alias("_lines"),
                  F.forall("_all", lambda ln: ln.startswith(d) & ln.endswith(d)).alias("_outer"))
     x = x.select(*keep, F.transform("_lines", lambda ln: F.when(F.col("_outer"), ln.substr(
         F.lit(2), F.length(ln) - F.lit(2))).otherwise(ln)).alias("_lines"))
-    # the quote-aware split (and unquoting) only for lines that hold a quote
-    x = x.select(*keep, F.transform("_lines", lambda ln: F.when(
-        ln.contains('"'), F.transform(F.split(ln, split_re, -1), _unquote)).otherwise(F.split(ln, esc, -1)))
-        .alias("_cells"))
+    x = x.select(*keep, F.transform("_lines", lambda ln: F.transform(
+        F.split(ln, esc, -1), lambda c: _restore(c, d))).alias("_cells"))
     x = x.select(*keep, F.element_at("_cells", 1).alias("header"),
                  F.slice("_cells", 2, F.greatest(F.size("_cells") - 1, F.lit(0))).alias("_body"))
     return x.withColumn("error", F.when(F.exists("_body", lambda r: F.size(r) > F.size("header")),
                                         F.lit("row longer than header")))
 
 
+def _value(cell: Column) -> Column:
+    """A body cell: missing-value words read as NULL."""
+    return F.when(cell.isin(MISSING_WORDS), None).otherwise(cell)
+
+
 def parse_tables(texts: DataFrame, text: str = "table", key: str = "table_id", delimiter: str = "|") -> DataFrame:
     """R2 + F8: delimited text back to table form.
 
     If every line (after trimming the text) starts and ends with the delimiter,
     exactly one delimiter is removed from each end of each line. Blank lines are
-    skipped, the first line is the header, delimiters inside double quotes do not split
-    and quoted cells are unquoted (as R1 writes them), short rows are padded with NULL
-    and empty cells read as NULL. A row longer than the header rejects the table: it yields one
+    skipped, the first line is the header, delimiters and line breaks inside double quotes do
+    not split and quoted cells are unquoted (as R1 writes them), short rows are padded with
+    NULL, and empty cells and missing-value words (``NA``, ``null``, ..) read as NULL. A row longer than the header rejects the table: it yields one
     row with ``error`` set and no cells (filter ``error IS NOT NULL`` to report them).
     """
     p = _parsed(texts, text, [key], delimiter)
@@ -177,7 +195,7 @@ def parse_tables(texts: DataFrame, text: str = "table", key: str = "table_id", d
                   .alias("_pos", "_row"))
     ncol = F.size("header")
     padded = F.transform(F.sequence(F.lit(1), ncol),
-                         lambda j: F.nullif(F.try_element_at(F.col("_row"), j), F.lit("")))
+                         lambda j: _value(F.try_element_at(F.col("_row"), j)))
     return ex.select(key, (F.col("_pos") + 1).cast("int").alias("row_idx"), "header",
                      F.when(F.col("_row").isNotNull(), padded).alias("cells"), "error")
 
@@ -216,32 +234,28 @@ def row_document(header: Column, cells: Column) -> Column:
         h, F.lit(": "), F.coalesce(F.try_element_at(cells, i + 1), F.lit("")))), "; ")
 
 
-def table_examples(rows: DataFrame, seed: int = DOC_RANDOM_SEED, max_rows: int = MAX_TABLE_ROWS,
-                   max_cols: int = MAX_TABLE_COLS) -> DataFrame:
+def table_examples(rows: DataFrame, seed: int = DOC_RANDOM_SEED, shuffle: bool = False) -> DataFrame:
     """Indexed table text and its assembled document set, from one collect per table.
 
-    W5: rows are shuffled by a seeded hash per table (a stable order independent of
-    partitioning); A12: documents are numbered in that order, ``Document i: text``,
-    joined by a blank line.
+    A12: documents are numbered in row order, ``Document i: text``, joined by a blank line.
+    With ``shuffle`` (W5) they come in the order of a seeded hash per table (stable,
+    independent of partitioning).
     """
-    h = seeded_hash(seed, "table_id", "row_idx")
-    docs = F.array_sort(F.collect_list(F.struct(h.alias("_h"), F.col("row_idx"),
+    first = [seeded_hash(seed, "table_id", "row_idx").alias("_h")] if shuffle else []
+    docs = F.array_sort(F.collect_list(F.struct(*first, F.col("row_idx"),
                                                 row_document(F.col("header"), F.col("cells")).alias("doc"))))
-    g = _collected(gated(rows, max_rows, max_cols), {"_docs": docs})
+    g = _collected(rows, {"_docs": docs})
     doc_set = F.array_join(F.transform("_docs", lambda x, i: F.concat(
         F.lit("Document "), (i + 1).cast("string"), F.lit(": "), x["doc"])), "\n\n")
     return g.select("table_id", indexed_text(F.col("header"), F.col("_rows")).alias("table"),
                     doc_set.alias("documents"))
 
 
-def shuffle_positions(rows: DataFrame, seed: int = DOC_RANDOM_SEED, max_rows: int = MAX_TABLE_ROWS,
-                      max_cols: int = MAX_TABLE_COLS) -> DataFrame:
-    """Per (size-gated) table, the shuffled position of each original row (both 1-based)."""
+def shuffle_positions(rows: DataFrame, seed: int = DOC_RANDOM_SEED) -> DataFrame:
+    """Per table, the shuffled position of each original row (both 1-based)."""
     h = seeded_hash(seed, "table_id", "row_idx")
-    g = gated(rows, max_rows, max_cols).groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct(h.alias("_h"), F.col("row_idx")))).alias("_o"))
-    ex = g.select("table_id", F.posexplode("_o").alias("_p", "_x"))
-    return ex.select("table_id", (F.col("_p") + 1).cast("int").alias("position"),
-                     F.col("_x.row_idx").alias("row_idx"))
+    w = Window.partitionBy("table_id").orderBy(h, "row_idx")  # sorted, never collected
+    return rows.select("table_id", F.row_number().over(w).alias("position"), "row_idx")
 
 
 def document_prompts(tables: DataFrame, template: str, seed: int = DOC_RANDOM_SEED,
@@ -251,7 +265,8 @@ def document_prompts(tables: DataFrame, template: str, seed: int = DOC_RANDOM_SE
     hash-drawn document length 1..5."""
     from quire.functions.text import fill_template
 
-    n = F.size(F.filter(F.slice(F.split(strip_ws(F.col("table")), "\n"), 2, 1 << 20), lambda ln: ln != ""))
+    lines = F.split(strip_ws(F.col("table")), "\n")
+    n = F.size(F.filter(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), lambda ln: ln != ""))
     # outer generator + filter on its output: an inner one (or a filter on ``n``) would be
     # pushed below the projections and re-render the table text
     ex = tables.select("*", F.explode_outer(F.when(n > 0, F.sequence(F.lit(1), n))).alias("doc_row"))
@@ -278,10 +293,13 @@ def table_profile(ex: DataFrame, key: str = "table_id", table: str = "table",
     t = ex.select(key, table, token_count(table).alias("_tt"), token_count(documents).alias("_dt"))
     p = _parsed(t, table, [key, "_tt", "_dt"])
     ok = F.col("_tt").isNotNull() & F.col("error").isNull() & (F.coalesce(F.size("_body"), F.lit(0)) > 0)
+    # columns without any value are left out; the index column is not counted
+    filled = F.size(F.filter(F.sequence(F.lit(1), F.size("header")), lambda j: F.exists(
+        "_body", lambda r: F.coalesce(_value(F.try_element_at(r, j)), F.lit("")) != "")))
     err = (F.when(F.col("_tt").isNull(), F.lit("no table")).when(F.col("error").isNotNull(), F.col("error"))
            .when(F.coalesce(F.size("_body"), F.lit(0)) <= 0, F.lit("no rows")))
     return p.select(key, F.when(ok, F.size("_body")).cast("bigint").alias("num_rows"),
-                    F.when(ok, F.size("header") - 1).cast("bigint").alias("num_cols"),
+                    F.when(ok, filled - 1).cast("bigint").alias("num_cols"),
                     F.when(ok, F.col("_tt")).cast("bigint").alias("num_tab_tokens"),
                     F.when(ok, F.col("_dt")).cast("bigint").alias("num_doc_tokens"),
                     F.when(ok, F.round(F.col("_dt") / F.size("_body"), 6)).alias("avg_doc_tokens"),

@@ -19,15 +19,15 @@ WHERE NOT (m.mi = 2 AND p.pi = 3)""",
     "scored": """
 SELECT *, CASE WHEN accuracy IS NULL THEN NULL WHEN accuracy > 8 THEN 1 ELSE 0 END AS em_accuracy
 FROM (SELECT *, CASE WHEN regexp_matches(judge_raw, '^\\s*[+-]?[0-9]+\\s*$')
-                     THEN TRY_CAST(trim(judge_raw) AS INTEGER) END AS accuracy
+                     THEN TRY_CAST(trim(judge_raw) AS BIGINT) END AS accuracy
       FROM evaluations) s""",
     "tracker": "SELECT doc_id AS example_id, quality AS table_validity FROM labels",
     "examples": """
-SELECT d.doc_id AS example_id, b.text AS question, substr(d.text, 1, 80) AS ground_truth,
+SELECT d.doc_id AS example_id, b.text AS question, string_split(d.text, chr(10))[-1] AS ground_truth,
        d.text AS documents, d.n_chars % 6 AS validity_scalar, l.quality AS human_validity,
        CASE WHEN d.doc_id % 10 < 2 THEN 'train' ELSE 'test' END AS split
 FROM documents d
-JOIN benchmark b ON b.item_id = d.doc_id % 40
+JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)
 LEFT JOIN labels l ON l.doc_id = d.doc_id""",
     "characteristics": """
 SELECT d.doc_id AS example_id, c.characteristic,
@@ -49,8 +49,8 @@ SELECT conv_id * 100 + turn AS example_id,
        CASE WHEN turn % 4 = 0 THEN 'zero-shot' WHEN turn % 4 = 1 THEN 'zero-shot-CoT'
             WHEN turn % 4 = 2 THEN 'few-shot' ELSE 'few-shot-CoT' END AS prompt_type,
        CASE WHEN turn % 3 = 2 THEN text
-            WHEN turn % 5 = 3 THEN concat(text, 'ANSWER: ', substr(text, 1, 20), 'ANSWER: ', 'again')
-            ELSE concat('Q: x A: ', text, 'ANSWER: ', substr(text, 1, 20)) END AS model_response
+            WHEN turn % 5 = 3 THEN concat(text, 'ANSWER: ', string_split(text, chr(10))[1], 'ANSWER: ', 'again')
+            ELSE concat('Q: x A: ', text, 'ANSWER: ', string_split(text, chr(10))[1]) END AS model_response
 FROM conversations""",
     "table_rows": """
 SELECT l_orderkey AS table_id,
@@ -61,11 +61,12 @@ SELECT l_orderkey AS table_id,
        l_returnflag AS flag, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS shipped
 FROM lineitem""",
     "raw_json": """
-SELECT event_id, CASE WHEN event_id % 13 = 0 THEN substr(props, 1, 4) ELSE props END AS raw FROM events""",
+SELECT event_id, CASE WHEN event_id % 13 = 0 THEN substr(props, 1, 4) WHEN event_id % 17 = 0 THEN props || ', ' || props
+                      WHEN event_id % 19 = 0 THEN replace(props, '"', '''') ELSE props END AS raw FROM events""",
     "log_text": """
 SELECT doc_id AS log_id,
-       concat('**Existing Table Info**\n', '|a:|b|\n|1|2|', '\n\n**Generated Edits Rationale**\n', '{"lang": "', lang, '"}',
-              '\n\n**Resultant Generated Question**\n', text) AS log_text
+       concat('**Existing Table Info**\n', '|a:|b|\n\n**Totals:**\n|1|2|', '\n\n**Generated Edits Rationale**\n', '{"lang": "', lang, '"}',
+              '\n\n**Resultant Generated Question**\n', text, '\n\n**a bold line**\nnot a section') AS log_text
 FROM documents""",
 }
 
@@ -78,6 +79,10 @@ FIXTURE_ORDER = ["evaluations", "scored", "tracker", "examples", "characteristic
                  "responses", "table_rows", "raw_json", "log_text"]
 
 
+#: expressions that several parts of an oracle read: computed once
+SHARED = {"ext", "prompts", "kp", "store"}
+
+
 def with_fixtures(*names: str, extra: list[tuple[str, str]] | None = None) -> str:
     """``WITH`` clause holding the named fixtures (and their dependencies) plus extra CTEs."""
     need: set[str] = set()
@@ -92,5 +97,5 @@ def with_fixtures(*names: str, extra: list[tuple[str, str]] | None = None) -> st
     for n in names:
         add(n)
     ctes = [f"{n} AS ({FIXTURE_SQL[n]}\n)" for n in FIXTURE_ORDER if n in need]
-    ctes += [f"{n} AS ({sql}\n)" for n, sql in (extra or [])]
+    ctes += [f"{n} AS {'MATERIALIZED ' if n in SHARED else ''}({sql}\n)" for n, sql in (extra or [])]
     return "WITH " + ",\n".join(ctes) + "\n" if ctes else ""

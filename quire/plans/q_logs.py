@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.constants import LOG_FIELDS
+from quire.constants import BAR_TABLE_SECTION, HTML_HEAD, JSON_FENCED_SECTIONS, LOG_FIELDS, TABLE_MARKDOWN_SECTIONS
 from quire.functions.text import md_header_fix, parse_int
 from quire.operators import characteristics as ch
 from quire.operators import conversations as cv
@@ -17,18 +17,12 @@ from quire.plans.fixture_sql import with_fixtures as W
 from quire.plans.oracle import ORACLE
 from quire.sources import tables as tb
 
-# fields written by the report, in log order
-REPORT_FIELDS = [
-    ("Resultant Generated Question", "question"),
-    ("Resultant Generated Answer", "answer"),
-    ("Example Difficulty", "difficulty_json"),
-    ("Validity Scalar", "validity_scalar"),
-    ("Generated Document Set", "documents"),
-    ("TABLE Reasoning Results -- GPTEval Scalar Score", "table_score"),
-    ("DOCUMENT Reasoning Results -- GPTEval Prediction Evaluation ", "document_score"),
-    ("DOCUMENT Reasoning Results -- GPTEval Scalar Score", "document_score"),
-]
-assert all(k in LOG_FIELDS for k, _ in REPORT_FIELDS)
+# every log field, in log order, and the record column that fills it
+REPORT_FIELDS = list(zip(LOG_FIELDS, [
+    "question", "difficulty_json", "answer", "answer", "question", "answer", "difficulty_json", "validity_scalar",
+    "difficulty_json", "question", "validity_scalar", "question", "answer", "difficulty_json", "documents",
+    "answer", "answer", "table_score", "table_score", "answer", "answer", "document_score", "document_score",
+    "example_id"], strict=True))
 BAD_HEADER = "**DOCUMENT Reasoning Results -- GPTEval Prediction Evaluation **"
 GOOD_HEADER = "**DOCUMENT Reasoning Results -- GPTEval Prediction Evaluation**"
 ALLOWED_TURNS = {"system": ["user"], "user": ["assistant"], "assistant": ["user"]}
@@ -61,6 +55,12 @@ def x13_json_fence(spark, d):
     return lg.fence_json(_report(spark, d).select("example_id", t.alias("log_text")), "log_text")
 
 
+@query("x15_clean_logs")
+def x15_clean_logs(spark, d):
+    """The whole cleanup chain X11 -> X15 over reports of all fields."""
+    return lg.clean_logs(_report(spark, d).select("example_id", F.col("report").alias("log_text")), "log_text")
+
+
 @query("x14_delete_section")
 def x14_delete_section(spark, d):
     return lg.delete_section(tb.log_text(spark, d).select("log_id", "log_text"), "log_text", "Generated Edits Rationale")
@@ -181,42 +181,51 @@ ORACLE["x11_header_fix"] = W(*LOGFIX, extra=[LOGS, REPORT, FIXED]) + "SELECT exa
 NORM = ("norm", f"SELECT example_id, replace(log_text, '{BAD_HEADER}', '{GOOD_HEADER}') AS log_text FROM fixed")
 ORACLE["x12_header_normalize"] = W(*LOGFIX, extra=[LOGS, REPORT, FIXED, NORM]) + "SELECT example_id, log_text FROM norm"
 
-# X13 oracle by positions: the body of "Example Difficulty" runs from its header line to the next blank line
-# before a header (bodies here hold no blank line), and it is fenced when it starts with '{' or '['.
-_H = "**Example Difficulty**' || chr(10) || '"
-ORACLE["x13_json_fence"] = W(*LOGFIX, extra=[LOGS, REPORT, FIXED, NORM, (
-    "pos", f"""SELECT example_id, log_text, strpos(log_text, '{_H}') AS hs,
-              length('{_H}') AS hl FROM norm"""), (
-    "cut", f"""SELECT example_id, log_text, hs, hl,
-              CASE WHEN hs > 0 THEN hs + hl END AS bs,
-              CASE WHEN hs > 0 THEN strpos(substr(log_text, hs + hl), {NL} || {NL} || '**') END AS rel
-              FROM pos""")]) + f"""
-SELECT example_id,
-       CASE WHEN hs = 0 THEN log_text
-            WHEN substr(log_text, bs, 1) NOT IN ('{{', '[') THEN log_text
-            WHEN rel = 0 THEN substr(log_text, 1, bs - 1) || '```json' || {NL} || substr(log_text, bs) || {NL} || '```'
-            ELSE substr(log_text, 1, bs - 1) || '```json' || {NL} || substr(log_text, bs, rel - 1) || {NL} || '```'
-                 || substr(log_text, bs + rel - 1) END AS log_text
-FROM cut"""
+def _section_steps(src: str, edits: list[tuple[str, str, str]]) -> tuple[list[tuple[str, str]], str]:
+    """CTEs that edit one section after the other by positions: (name, kind, cte). A body runs from its
+    header line to the nearest blank line before a known header, or to the end."""
+    ctes = []
+    for name, kind, cte in edits:
+        head = f"'**{name}**' || {NL}"
+        ends = ", ".join(f"nullif(strpos(rest, {NL} || {NL} || '**{n.strip()}**'), 0)" for n in LOG_FIELDS)
+        cut = f"""(SELECT *, coalesce(least({ends}), length(rest) + 1) AS e FROM (
+                   SELECT example_id, log_text, strpos(log_text, {head}) AS hs, length({head}) AS hl,
+                          substr(log_text, strpos(log_text, {head}) + length({head})) AS rest FROM {src}) p)"""
+        before, body, after = "substr(log_text, 1, hs + hl - 1)", "substr(rest, 1, e - 1)", "substr(rest, e)"
+        new = {
+            "fence": f"CASE WHEN substr({body}, 1, 1) IN ('{{', '[') THEN {before} || '```json' || {NL} || {body} || {NL} || '```' || {after} ELSE log_text END",
+            "delete": "substr(log_text, 1, hs - 1) || substr(rest, e + 2)",
+            "colons": f"{before} || {NL} || replace({body}, ':', '') || {after}",
+        }[kind]
+        ctes.append((cte, f"SELECT example_id, CASE WHEN hs = 0 THEN log_text ELSE {new} END AS log_text FROM {cut} c"))
+        src = cte
+    return ctes, src
+
+
+_FENCES = [(n, "fence", f"fence{i}") for i, n in enumerate(JSON_FENCED_SECTIONS)]
+_STEPS, _LAST = _section_steps("norm", _FENCES)
+ORACLE["x13_json_fence"] = W(*LOGFIX, extra=[LOGS, REPORT, FIXED, NORM] + _STEPS) + f"SELECT example_id, log_text FROM {_LAST}"
+_STEPS, _LAST = _section_steps("norm", _FENCES + [(BAR_TABLE_SECTION, "delete", "nobar")]
+                               + [(n, "colons", f"colons{i}") for i, n in enumerate(TABLE_MARKDOWN_SECTIONS)])
+ORACLE["x15_clean_logs"] = W(*LOGFIX, extra=[LOGS, REPORT, FIXED, NORM] + _STEPS) + f"SELECT example_id, log_text FROM {_LAST}"
 
 ORACLE["x14_delete_section"] = W("log_text") + f"""
-SELECT log_id, substr(log_text, 1, s - 1) || substr(log_text, s + strpos(substr(log_text, s), {NL} || {NL} || '**') + 1) AS log_text
+SELECT log_id, substr(log_text, 1, s - 1) || substr(log_text, s + strpos(substr(log_text, s), {NL} || {NL} || '**Resultant Generated Question**') + 1) AS log_text
 FROM (SELECT log_id, log_text, strpos(log_text, '**Generated Edits Rationale**') AS s FROM log_text) x"""
 
 ORACLE["x15_table_section_strip"] = W("log_text") + f"""
 SELECT log_id, '**Existing Table Info**' || {NL} || {NL}
-       || replace(substr(log_text, 25, strpos(log_text, {NL} || {NL} || '**') - 25), ':', '')
-       || substr(log_text, strpos(log_text, {NL} || {NL} || '**')) AS log_text
+       || replace(substr(log_text, 25, strpos(log_text, {NL} || {NL} || '**Generated Edits Rationale**') - 25), ':', '')
+       || substr(log_text, strpos(log_text, {NL} || {NL} || '**Generated Edits Rationale**')) AS log_text
 FROM log_text"""
 
 ORACLE["r6_log_sections"] = W("log_text") + r"""
 SELECT log_id, CAST(i AS INTEGER) AS section_idx,
        regexp_extract(piece, '^\*\*([^\n]*?)\*\*\n', 1) AS section,
        substr(piece, strpos(piece, chr(10)) + 1) AS body
-FROM (SELECT log_id, CASE WHEN i = 1 THEN p ELSE '**' || p END AS piece, i
-      FROM (SELECT log_id, unnest(string_split(log_text, chr(10) || chr(10) || '**')) AS p,
-                   generate_subscripts(string_split(log_text, chr(10) || chr(10) || '**'), 1) AS i
-            FROM log_text) a) b"""
+FROM (SELECT log_id, unnest(p) AS piece, generate_subscripts(p, 1) AS i FROM (SELECT log_id, string_split(
+        regexp_replace(log_text, '\n\n(\*\*(Generated Edits Rationale|Resultant Generated Question)\*\*\n)', chr(1) || '\1', 'g'),
+        chr(1)) AS p FROM log_text) a) b"""
 
 ORACLE["p1_log_to_example"] = W("examples", "characteristics") + """
 SELECT e.example_id, e.question, e.ground_truth, e.validity_scalar, c.characteristic, c.score
@@ -226,10 +235,10 @@ ORACLE["a7_generation_score_stats"] = W(*LOGFIX, extra=[LOGS]) + r"""
 SELECT kind, round(avg(score), 6) AS mean, min(score) AS min, max(score) AS max,
        round(stddev_samp(score), 6) AS stdev, count(*) AS n
 FROM (SELECT 'document_scores' AS kind, CASE WHEN regexp_matches(document_score, '^\s*[+-]?[0-9]+\s*$')
-             THEN TRY_CAST(trim(document_score) AS INTEGER) END AS score FROM logs
+             THEN TRY_CAST(trim(document_score) AS BIGINT) END AS score FROM logs
       UNION ALL
       SELECT 'table_scores', CASE WHEN regexp_matches(table_score, '^\s*[+-]?[0-9]+\s*$')
-             THEN TRY_CAST(trim(table_score) AS INTEGER) END FROM logs) x
+             THEN TRY_CAST(trim(table_score) AS BIGINT) END FROM logs) x
 WHERE score IS NOT NULL GROUP BY kind"""
 
 ORACLE["n1_is_json"] = W("raw_json") + "SELECT event_id, json_valid(raw) AS is_json FROM raw_json"
@@ -258,7 +267,7 @@ SELECT conv_id, turn, CAST(generate_subscripts(string_split(text, chr(10)), 1) A
 FROM conversations"""
 
 # Sections as in the R6 oracle, each escaped (JSON bodies inside <pre>), joined in section order
-_HTML_HEAD_SQL = lg._HTML_HEAD.replace("'", "''")
+_HTML_HEAD_SQL = HTML_HEAD.replace("'", "''")
 
 
 # the JSON bodies of the log fixture are {"lang": "<code>"}: their four-space pretty form
@@ -273,10 +282,9 @@ def _esc(x: str) -> str:
 ORACLE["a15_html_report"] = W("log_text", extra=[("secs", r"""
 SELECT log_id, i, regexp_extract(piece, '^\*\*([^\n]*?)\*\*\n', 1) AS section,
        substr(piece, strpos(piece, chr(10)) + 1) AS body
-FROM (SELECT log_id, CASE WHEN i = 1 THEN p ELSE '**' || p END AS piece, i
-      FROM (SELECT log_id, unnest(string_split(log_text, chr(10) || chr(10) || '**')) AS p,
-                   generate_subscripts(string_split(log_text, chr(10) || chr(10) || '**'), 1) AS i
-            FROM log_text) a) b""")]) + f"""
+FROM (SELECT log_id, unnest(p) AS piece, generate_subscripts(p, 1) AS i FROM (SELECT log_id, string_split(
+        regexp_replace(log_text, '\n\n(\*\*(Generated Edits Rationale|Resultant Generated Question)\*\*\n)', chr(1) || '\1', 'g'),
+        chr(1)) AS p FROM log_text) a) b""")]) + f"""
 SELECT log_id, '{_HTML_HEAD_SQL}' || string_agg('<div><strong>' || section || '</strong><p>'
        || CASE WHEN json_valid(body) THEN '<pre>' || {_esc(PRETTY_LANG)} || '</pre>' ELSE {_esc('body')} END
        || '</p></div>', '' ORDER BY i) || '</body></html>' AS html

@@ -17,12 +17,13 @@ from quire.operators import tables as tt
 from quire.plans.catalog import query
 from quire.plans.fixture_sql import with_fixtures as W
 from quire.plans.oracle import ORACLE
-from quire.plans.q_tables import GATED, INDEXED
+from quire.plans.q_tables import INDEXED, tokens
 from quire.sources import tables as tb
 
 COMPARE_INSTRUCTION = ("Score each characteristic of the final example 0, 1 or 2 relative to the two "
                        "comparison examples.")
 MODEL = "model_a"
+MODEL_FAMILIES = ["gpt-4o", "claude-3", "gemini-pro", "Gemini-Pro", "llama-3", "multiagent", "MultiAgent", "mystery"]
 
 
 def _test(spark, d):
@@ -125,7 +126,9 @@ def x2_chat_prompts(spark, d):
 
 @query("p5_provider_routing")
 def p5_provider_routing(spark, d):
-    m = tb.evaluations(spark, d).select("model").distinct()
+    # model names as runs carry them: a family and the corpus it was tuned on
+    family = F.element_at(F.array(*map(F.lit, MODEL_FAMILIES)), (F.col("doc_id") % len(MODEL_FAMILIES) + 1).cast("int"))
+    m = tb.table(spark, d, "documents").select(F.concat(family, F.lit("-"), F.col("source")).alias("model")).distinct()
     prov = pr.provider_for(F.col("model"), strict=False)
     return m.select("model", prov.alias("provider"),
                     F.when(prov.isNull(), F.lit("Not a valid model.")).alias("error"))
@@ -222,7 +225,7 @@ def q(s: str) -> str:
 
 
 H = "sha256(concat('{seed}', CAST({col} AS VARCHAR)))"
-EXT = ("ext", f"SELECT e.*, t.t AS \"table\" FROM examples e LEFT JOIN (SELECT table_id, {INDEXED} AS t FROM gated "
+EXT = ("ext", f"SELECT e.*, t.t AS \"table\" FROM examples e LEFT JOIN (SELECT table_id, {INDEXED} AS t FROM table_rows "
               "GROUP BY table_id) t ON t.table_id = e.example_id")
 
 
@@ -253,8 +256,8 @@ ORACLE["w4_few_shot_draw"] = W("examples", extra=draw(2, 0)) + "SELECT example_i
 
 NAMES = ["multi-hop", "temporal", "numeric", "information_aggregation", "soft_reasoning"]
 NAME_VALUES = ", ".join(f"('{n}')" for n in NAMES)
-ORACLE["w6_reasoning_types"] = W("table_rows", extra=[GATED, (
-    "texts", f"SELECT table_id, {INDEXED} AS t FROM gated GROUP BY table_id"), (
+ORACLE["w6_reasoning_types"] = W("table_rows", extra=[(
+    "texts", f"SELECT table_id, {INDEXED} AS t FROM table_rows GROUP BY table_id"), (
     "nt", "SELECT table_id, t, 1 + (('0x' || substr(sha256(concat('0', t)), 1, 8))::BIGINT % 5) AS n FROM texts"), (
     "ranked", f"SELECT table_id, n, nm, row_number() OVER (PARTITION BY table_id ORDER BY sha256(concat(t, '0', nm))) AS r "
               f"FROM nt, (VALUES {NAME_VALUES}) v(nm)")]) + """
@@ -285,7 +288,7 @@ WHERE ix.idx < 50 AND ix.n >= 50"""
 ORACLE["p7_content_ids"] = """
 SELECT doc_id, substr(sha1(text), 1, 10) AS content_id, sha256(concat('0', text)) AS seed_hash FROM documents"""
 
-ORACLE["p4_context_choice"] = W("examples", "table_rows", extra=[GATED, EXT]) + """
+ORACLE["p4_context_choice"] = W("examples", "table_rows", extra=[EXT]) + """
 SELECT example_id, r.reasoning_type,
        length(CASE WHEN r.reasoning_type = 'table' THEN "table" ELSE documents END) AS context_chars
 FROM ext, (VALUES ('documents'), ('table')) r(reasoning_type)"""
@@ -310,21 +313,20 @@ PROMPT_INPUTS = draw(1, 0) + [("sstr", f"""SELECT s.example_id,
         || CASE WHEN contains(prompt_type, 'CoT') THEN '{q(COT)}' || chr(10) ELSE '' END || 'A:' AS prompt
         FROM grid""")]
 PFIX = ("examples", "table_rows")
-ORACLE["x1_text_prompts"] = W(*PFIX, extra=[GATED, EXT] + PROMPT_INPUTS) + """
+ORACLE["x1_text_prompts"] = W(*PFIX, extra=[EXT] + PROMPT_INPUTS) + """
 SELECT example_id, reasoning_type, prompt_type, prompt FROM prompts"""
 
-TOK = r"len(regexp_extract_all({x}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]'))"
-ORACLE["a9_token_totals"] = W(*PFIX, extra=[GATED, EXT] + PROMPT_INPUTS) + f"""
-SELECT reasoning_type, prompt_type, count(*) AS n_prompts, CAST(sum({TOK.format(x='prompt')}) AS BIGINT) AS total_prompt_tokens,
-       round(avg({TOK.format(x='prompt')}), 6) AS avg_prompt_tokens, max({TOK.format(x='prompt')}) AS max_prompt_tokens,
-       CAST(sum({TOK.format(x='ground_truth')}) AS BIGINT) AS total_answer_tokens,
-       round(sum({TOK.format(x='ground_truth')}) / count(*), 6) AS avg_answer_tokens,
-       max({TOK.format(x='ground_truth')}) AS max_answer_tokens
+ORACLE["a9_token_totals"] = W(*PFIX, extra=[EXT] + PROMPT_INPUTS) + f"""
+SELECT reasoning_type, prompt_type, count(*) AS n_prompts, CAST(sum({tokens('prompt')}) AS BIGINT) AS total_prompt_tokens,
+       round(avg({tokens('prompt')}), 6) AS avg_prompt_tokens, max({tokens('prompt')}) AS max_prompt_tokens,
+       CAST(sum({tokens('ground_truth')}) AS BIGINT) AS total_answer_tokens,
+       round(sum({tokens('ground_truth')}) / count(*), 6) AS avg_answer_tokens,
+       max({tokens('ground_truth')}) AS max_answer_tokens
 FROM prompts GROUP BY reasoning_type, prompt_type"""
 
 CHAT_SHOT = ("'human: Context: ' || coalesce({ctx}, '') || chr(10) || 'human: Q: ' || x.question || chr(10) "
              "|| 'human: A: ' || x.ground_truth")
-ORACLE["x2_chat_prompts"] = W(*PFIX, extra=[GATED, EXT] + draw(1, 0) + [(
+ORACLE["x2_chat_prompts"] = W(*PFIX, extra=[EXT] + draw(1, 0) + [(
     "cshots", f"""SELECT s.example_id, count(*) AS k,
         string_agg({CHAT_SHOT.format(ctx='x.documents')}, chr(10) ORDER BY s.shot) AS sd,
         string_agg({CHAT_SHOT.format(ctx='x."table"')}, chr(10) ORDER BY s.shot) AS st
@@ -342,15 +344,15 @@ SELECT e.example_id, g.reasoning_type, g.prompt_type,
 FROM ext e CROSS JOIN (VALUES {GRID}) g(reasoning_type, prompt_type)
 LEFT JOIN cshots c ON c.example_id = e.example_id WHERE e.split = 'test'"""
 
-ORACLE["p5_provider_routing"] = W("evaluations") + """
+ORACLE["p5_provider_routing"] = f"""
 SELECT model,
        CASE WHEN contains(model, 'gpt') THEN 'azure_openai' WHEN contains(model, 'claude') THEN 'anthropic'
-            WHEN contains(lower(model), 'gemini') THEN 'google' WHEN contains(model, 'llama') THEN 'replicate'
-            WHEN contains(lower(model), 'multiagent') THEN 'multiagent' END AS provider,
-       CASE WHEN NOT (contains(model, 'gpt') OR contains(model, 'claude') OR contains(lower(model), 'gemini')
-                      OR contains(model, 'llama') OR contains(lower(model), 'multiagent'))
+            WHEN contains(model, 'gemini') THEN 'google' WHEN contains(model, 'llama') THEN 'replicate'
+            WHEN contains(model, 'multiagent') THEN 'multiagent' END AS provider,
+       CASE WHEN NOT (contains(model, 'gpt') OR contains(model, 'claude') OR contains(model, 'gemini')
+                      OR contains(model, 'llama') OR contains(model, 'multiagent'))
             THEN 'Not a valid model.' END AS error
-FROM (SELECT DISTINCT model FROM evaluations) m"""
+FROM (SELECT DISTINCT {MODEL_FAMILIES!r}[CAST(doc_id % {len(MODEL_FAMILIES)} + 1 AS INTEGER)] || '-' || source AS model FROM documents) m"""
 
 ANSWERS = ("answers", """SELECT example_id, CASE WHEN contains(prompt_type, 'CoT') AND contains(model_response, 'ANSWER: ')
              THEN split_part(model_response, 'ANSWER: ', 2) ELSE model_response END AS predicted_answer FROM responses""")
@@ -389,12 +391,12 @@ STORE = [("kp", "SELECT *, sha256('model_a' || chr(31) || prompt) AS prompt_key
          ("store", """SELECT k.prompt_key, max(r.model_response) AS reply FROM kp k JOIN responses r ON r.example_id = k.example_id
                      WHERE k.prompt_type = 'zero-shot' AND k.reasoning_type = 'documents' GROUP BY k.prompt_key""")]
 SFIX = ("examples", "table_rows", "responses")
-ORACLE["j11_completions_done"] = W(*SFIX, extra=[GATED, EXT] + PROMPT_INPUTS + STORE) + """
+ORACLE["j11_completions_done"] = W(*SFIX, extra=[EXT] + PROMPT_INPUTS + STORE) + """
 SELECT k.example_id, k.reasoning_type, k.prompt_type, s.reply FROM kp k JOIN store s ON s.prompt_key = k.prompt_key"""
-ORACLE["j11_completions_pending"] = W(*SFIX, extra=[GATED, EXT] + PROMPT_INPUTS + STORE) + """
+ORACLE["j11_completions_pending"] = W(*SFIX, extra=[EXT] + PROMPT_INPUTS + STORE) + """
 SELECT k.example_id, k.reasoning_type, k.prompt_type FROM kp k
 WHERE k.prompt_key NOT IN (SELECT prompt_key FROM store)"""
-ORACLE["e1_reply_fallback"] = W(*SFIX, extra=[GATED, EXT] + PROMPT_INPUTS + STORE) + """
+ORACLE["e1_reply_fallback"] = W(*SFIX, extra=[EXT] + PROMPT_INPUTS + STORE) + """
 SELECT k.example_id, k.reasoning_type, k.prompt_type, coalesce(s.reply, 'No Response') AS reply
 FROM kp k LEFT JOIN store s ON s.prompt_key = k.prompt_key"""
 
@@ -406,9 +408,9 @@ SELECT b.item_id, g.ci AS complexity_idx, g.di AS domain_idx,
        '{{{{', '{{'), '}}}}', '}}'), '{{skill}}', b.text), '{{complexity}}', g.c), '{{domain}}', g.d) AS prompt
 FROM benchmark b CROSS JOIN (VALUES {CELLS}) g(ci, c, di, d)"""
 
-# Z1 with the offline scorer: the reply quotes the prompt's last "Q: " line (the question's first line)
-ORACLE["z1_batch_scorer"] = W(*SFIX, extra=[GATED, EXT] + PROMPT_INPUTS + STORE) + """
+# Z1 with the offline scorer: the reply quotes the prompt's question
+ORACLE["z1_batch_scorer"] = W(*SFIX, extra=[EXT] + PROMPT_INPUTS + STORE) + """
 SELECT k.example_id, k.reasoning_type, k.prompt_type,
-       'ANSWER: ' || substr(split_part(e.question, chr(10), 1), 1, 80) AS reply
+       'ANSWER: ' || e.question AS reply
 FROM kp k JOIN examples e ON e.example_id = k.example_id
 WHERE k.prompt_key NOT IN (SELECT prompt_key FROM store)"""

@@ -14,10 +14,6 @@ from quire.plans.oracle import ORACLE
 from quire.sources import tables as tb
 
 
-def _gated_cells(spark, d):
-    return tb.table_cells(spark, d)  # the renderers apply the size gate themselves
-
-
 @query("f3_table_size_gate")
 def f3_table_size_gate(spark, d):
     return tt.size_gate(tb.table_cells(spark, d))
@@ -30,46 +26,51 @@ def f4_letter_columns(spark, d):
 
 @query("r1_plain_text")
 def r1_plain_text(spark, d):
-    return tt.render_tables(_gated_cells(spark, d), "plain").withColumnRenamed("table", "table_text")
+    return tt.render_tables(tb.table_cells(spark, d), "plain").withColumnRenamed("table", "table_text")
 
 
 @query("r1_indexed_text")
 def r1_indexed_text(spark, d):
-    return tt.render_tables(_gated_cells(spark, d), "indexed").withColumnRenamed("table", "table_text")
+    return tt.render_tables(tb.table_cells(spark, d), "indexed").withColumnRenamed("table", "table_text")
 
 
 @query("r2_parse_roundtrip")
 def r2_parse_roundtrip(spark, d):
-    texts = tt.render_tables(_gated_cells(spark, d), "indexed")
+    texts = tt.render_tables(tb.table_cells(spark, d), "indexed")
     return tt.to_long(tt.parse_tables(texts, "table"))
 
 
 @query("r3_markdown_roundtrip")
 def r3_markdown_roundtrip(spark, d):
-    texts = tt.render_tables(_gated_cells(spark, d), "markdown")
+    texts = tt.render_tables(tb.table_cells(spark, d), "markdown")
     return tt.to_long(tt.parse_markdown_tables(texts, "table"))
 
 
 @query("r4_document_prompts")
 def r4_document_prompts(spark, d):
-    texts = tt.render_tables(_gated_cells(spark, d), "indexed")
+    texts = tt.render_tables(tb.table_cells(spark, d), "indexed")
     return tt.document_prompts(texts, CONTEXTUAL_OUTLINE,
                                description=F.concat(F.lit("order "), F.col("table_id").cast("string")))
 
 
 @query("w5_seeded_shuffle")
 def w5_seeded_shuffle(spark, d):
-    return tt.shuffle_positions(_gated_cells(spark, d))
+    return tt.shuffle_positions(tb.table_cells(spark, d))
 
 
 @query("a12_document_sets")
 def a12_document_sets(spark, d):
-    return tt.table_examples(_gated_cells(spark, d)).select("table_id", "documents")
+    return tt.table_examples(tb.table_cells(spark, d)).select("table_id", "documents")
+
+
+@query("a12_shuffled_document_sets")
+def a12_shuffled_document_sets(spark, d):
+    return tt.table_examples(tb.table_cells(spark, d), shuffle=True).select("table_id", "documents")
 
 
 @query("a10_table_profile")
 def a10_table_profile(spark, d):
-    return tt.table_profile(tt.table_examples(_gated_cells(spark, d)))
+    return tt.table_profile(tt.table_examples(tb.table_cells(spark, d)))
 
 
 @query("x3_token_estimate")
@@ -97,9 +98,9 @@ def x16_html_escape(spark, d):
 
 # ============================================================== oracle SQL
 COLS = ["part", "supplier", "quantity", "price", "flag", "shipped"]
-GATED = ("gated", "SELECT * FROM table_rows WHERE table_id IN "
-                  "(SELECT table_id FROM table_rows GROUP BY table_id HAVING count(*) <= 11)")
-TOKEN_RE = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
+# white space as Unicode text has it, stated for the oracle's regex engine
+BLANK = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+TOKEN_RE = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_" + BLANK + "]"
 
 
 def tokens(x: str) -> str:
@@ -109,10 +110,11 @@ def tokens(x: str) -> str:
 ROWDOC = " || '; ' || ".join(f"'{c}: ' || {c}" for c in COLS)
 INDEXED = ("'|index|" + "|".join(COLS) + "|' || chr(10) || string_agg('|' || CAST(row_idx AS VARCHAR) || '|' || "
            + " || '|' || ".join(COLS) + " || '|', chr(10) ORDER BY row_idx)")
-HASH = "sha256(concat('0', CAST(table_id AS VARCHAR), CAST(row_idx AS VARCHAR)))"
+HASH = "sha256(concat('123', CAST(table_id AS VARCHAR), CAST(row_idx AS VARCHAR)))"
 DOCSET = "string_agg('Document ' || CAST(pos AS VARCHAR) || ': ' || doc, chr(10) || chr(10) ORDER BY pos)"
+ROWS = ("shuf", f"SELECT table_id, row_idx, row_idx AS pos, {ROWDOC} AS doc FROM table_rows")
 SHUF = ("shuf", f"SELECT table_id, row_idx, row_number() OVER (PARTITION BY table_id ORDER BY {HASH}, row_idx) "
-                f"AS pos, {ROWDOC} AS doc FROM gated")
+                f"AS pos, {ROWDOC} AS doc FROM table_rows")
 
 ORACLE["f3_table_size_gate"] = W("table_rows") + """
 SELECT table_id, count(*) AS n_rows, CAST(6 AS BIGINT) AS n_cols, count(*) <= 11 AND 6 <= 7 AS accepted,
@@ -127,47 +129,49 @@ FROM (SELECT table_id, CAST({ALPHA} AS INTEGER) AS n_alpha_cols FROM table_rows
 
 PLAIN_HEAD = "|".join(COLS)
 PLAIN_ROW = " || '|' || ".join(COLS)
-ORACLE["r1_plain_text"] = W("table_rows", extra=[GATED]) + f"""
+ORACLE["r1_plain_text"] = W("table_rows") + f"""
 SELECT table_id, '{PLAIN_HEAD}' || chr(10) || string_agg({PLAIN_ROW}, chr(10) ORDER BY row_idx) || chr(10) AS table_text
-FROM gated GROUP BY table_id"""
+FROM table_rows GROUP BY table_id"""
 
-ORACLE["r1_indexed_text"] = W("table_rows", extra=[GATED]) + f"""
-SELECT table_id, {INDEXED} AS table_text FROM gated GROUP BY table_id"""
+ORACLE["r1_indexed_text"] = W("table_rows") + f"""
+SELECT table_id, {INDEXED} AS table_text FROM table_rows GROUP BY table_id"""
 
 LONG = " UNION ALL ".join(
-    ["SELECT table_id, row_idx, 1 AS col_idx, 'index' AS column_name, CAST(row_idx AS VARCHAR) AS value FROM gated"]
-    + [f"SELECT table_id, row_idx, {i + 2}, '{c}', {c} FROM gated" for i, c in enumerate(COLS)])
-ORACLE["r2_parse_roundtrip"] = W("table_rows", extra=[GATED]) + LONG
+    ["SELECT table_id, row_idx, 1 AS col_idx, 'index' AS column_name, CAST(row_idx AS VARCHAR) AS value FROM table_rows"]
+    + [f"SELECT table_id, row_idx, {i + 2}, '{c}', {c} FROM table_rows" for i, c in enumerate(COLS)])
+ORACLE["r2_parse_roundtrip"] = W("table_rows") + LONG
 
 LONG_MD = " UNION ALL ".join(
-    ["SELECT table_id, row_idx, 1 AS col_idx, '' AS column_name, CAST(row_idx - 1 AS VARCHAR) AS value FROM gated"]
-    + [f"SELECT table_id, row_idx, {i + 2}, '{c}', {c} FROM gated" for i, c in enumerate(COLS)])
-ORACLE["r3_markdown_roundtrip"] = W("table_rows", extra=[GATED]) + LONG_MD
+    ["SELECT table_id, row_idx, 1 AS col_idx, '' AS column_name, CAST(row_idx - 1 AS VARCHAR) AS value FROM table_rows"]
+    + [f"SELECT table_id, row_idx, {i + 2}, '{c}', {c} FROM table_rows" for i, c in enumerate(COLS)])
+ORACLE["r3_markdown_roundtrip"] = W("table_rows") + LONG_MD
 
 OUTLINE_SQL = CONTEXTUAL_OUTLINE.replace("'", "''")
 FAN = ("fan", "SELECT table_id, t, CAST(r.doc_row AS INTEGER) AS doc_row, "
-              "CAST(1 + (('0x' || substr(sha256(concat('0', t, CAST(r.doc_row AS VARCHAR))), 1, 8))::BIGINT % 5) "
+              "CAST(1 + (('0x' || substr(sha256(concat('123', t, CAST(r.doc_row AS VARCHAR))), 1, 8))::BIGINT % 5) "
               "AS INTEGER) AS doc_len FROM texts, LATERAL (SELECT unnest(range(1, n + 1)) AS doc_row) r")
-TEXTS = ("texts", f"SELECT table_id, count(*) AS n, {INDEXED} AS t FROM gated GROUP BY table_id")
-ORACLE["r4_document_prompts"] = W("table_rows", extra=[GATED, TEXTS, FAN]) + f"""
+TEXTS = ("texts", f"SELECT table_id, count(*) AS n, {INDEXED} AS t FROM table_rows GROUP BY table_id")
+ORACLE["r4_document_prompts"] = W("table_rows", extra=[TEXTS, FAN]) + f"""
 SELECT table_id, doc_row, doc_len,
        replace(replace(replace(replace(replace(replace('{OUTLINE_SQL}', '{{table}}', t),
                '{{doc_row}}', CAST(doc_row AS VARCHAR)), '{{doc_len}}', CAST(doc_len AS VARCHAR)),
                '{{description}}', 'order ' || CAST(table_id AS VARCHAR)), '{{question}}', ''), '{{answer}}', '') AS prompt
 FROM fan"""
 
-ORACLE["w5_seeded_shuffle"] = W("table_rows", extra=[GATED]) + f"""
+ORACLE["w5_seeded_shuffle"] = W("table_rows") + f"""
 SELECT table_id, CAST(row_number() OVER (PARTITION BY table_id ORDER BY {HASH}, row_idx) AS INTEGER) AS position,
        row_idx
-FROM gated"""
+FROM table_rows"""
 
-ORACLE["a12_document_sets"] = W("table_rows", extra=[GATED, SHUF]) + f"""
+ORACLE["a12_document_sets"] = W("table_rows", extra=[ROWS]) + f"""
+SELECT table_id, {DOCSET} AS documents FROM shuf GROUP BY table_id"""
+ORACLE["a12_shuffled_document_sets"] = W("table_rows", extra=[SHUF]) + f"""
 SELECT table_id, {DOCSET} AS documents FROM shuf GROUP BY table_id"""
 
 EX = ("ex", f"SELECT g.table_id, g.n, g.t, s.documents FROM (SELECT table_id, count(*) AS n, {INDEXED} AS t "
-            f"FROM gated GROUP BY table_id) g JOIN (SELECT table_id, {DOCSET} AS documents FROM shuf "
+            f"FROM table_rows GROUP BY table_id) g JOIN (SELECT table_id, {DOCSET} AS documents FROM shuf "
             "GROUP BY table_id) s ON s.table_id = g.table_id")
-ORACLE["a10_table_profile"] = W("table_rows", extra=[GATED, SHUF, EX]) + f"""
+ORACLE["a10_table_profile"] = W("table_rows", extra=[ROWS, EX]) + f"""
 SELECT table_id, n AS num_rows, CAST(6 AS BIGINT) AS num_cols, {tokens('t')} AS num_tab_tokens,
        {tokens('documents')} AS num_doc_tokens, round({tokens('documents')} / n, 6) AS avg_doc_tokens,
        CAST(NULL AS VARCHAR) AS error
@@ -198,14 +202,13 @@ def a12_generated_document_sets(spark, d):
     """Document sets written row by row through the batch writer (offline stand-in)."""
     from quire.operators.documents import generate_document_sets
 
-    texts = tt.render_tables(_gated_cells(spark, d), "indexed")
+    texts = tt.render_tables(tb.table_cells(spark, d), "indexed")
     return generate_document_sets(texts, description=F.concat(F.lit("order "), F.col("table_id").cast("string")))
 
 
-ORACLE["a12_generated_document_sets"] = W("table_rows", extra=[GATED, TEXTS, (
+ORACLE["a12_generated_document_sets"] = W("table_rows", extra=[TEXTS, (
     "rowdocs", """SELECT table_id, r.doc_row, split_part(t, chr(10), CAST(r.doc_row AS INTEGER) + 1) AS doc,
-                  row_number() OVER (PARTITION BY table_id ORDER BY sha256(concat('0', CAST(table_id AS VARCHAR),
-                  CAST(r.doc_row AS VARCHAR))), r.doc_row) AS pos
+                  r.doc_row AS pos
                   FROM texts, LATERAL (SELECT unnest(range(1, n + 1)) AS doc_row) r""")]) + """
 SELECT table_id, string_agg('Document ' || CAST(pos AS VARCHAR) || ': ' || doc, chr(10) || chr(10) ORDER BY pos) AS documents,
        count(*) AS n_documents, CAST(0 AS BIGINT) AS n_failed
@@ -220,9 +223,9 @@ def f8_example_table_profile(spark, d):
     return tt.table_profile(ex, key="example_id")
 
 
-ORACLE["f8_example_table_profile"] = W("examples", "table_rows", extra=[GATED, (
+ORACLE["f8_example_table_profile"] = W("examples", "table_rows", extra=[(
     "et", f"""SELECT e.example_id, e.documents, t.n, t.t FROM examples e
-              LEFT JOIN (SELECT table_id, count(*) AS n, {INDEXED} AS t FROM gated GROUP BY table_id) t
+              LEFT JOIN (SELECT table_id, count(*) AS n, {INDEXED} AS t FROM table_rows GROUP BY table_id) t
               ON t.table_id = e.example_id""")]) + f"""
 SELECT example_id, CASE WHEN t IS NOT NULL THEN n END AS num_rows,
        CASE WHEN t IS NOT NULL THEN CAST(6 AS BIGINT) END AS num_cols,
@@ -235,10 +238,10 @@ FROM et"""
 
 @query("x8_table_summary_prompts")
 def x8_table_summary_prompts(spark, d):
-    """The table-summary prompt of every (size-gated) table, from its plain-text render."""
+    """The table-summary prompt of every table, from its plain-text render."""
     from quire.constants import TABLE_SUMMARY_PROMPT
 
-    texts = tt.render_tables(_gated_cells(spark, d), "plain")
+    texts = tt.render_tables(tb.table_cells(spark, d), "plain")
     return texts.select("table_id", tx.fill_template(TABLE_SUMMARY_PROMPT, seed_table=F.col("table")).alias("prompt"))
 
 
@@ -247,7 +250,7 @@ def _summary_sql() -> str:
     return TABLE_SUMMARY_PROMPT.replace("'", "''")
 
 
-ORACLE["x8_table_summary_prompts"] = W("table_rows", extra=[GATED]) + f"""
+ORACLE["x8_table_summary_prompts"] = W("table_rows") + f"""
 SELECT table_id, replace('{_summary_sql()}', '{{seed_table}}',
        '{PLAIN_HEAD}' || chr(10) || string_agg({PLAIN_ROW}, chr(10) ORDER BY row_idx) || chr(10)) AS prompt
-FROM gated GROUP BY table_id"""
+FROM table_rows GROUP BY table_id"""

@@ -63,10 +63,11 @@ def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
     lab = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("human_validity"))
-    j = d.join(b, b.item_id == d.doc_id % 40).join(lab, "doc_id", "left")
+    n_items = b.agg(F.count("*")).scalar()  # every item is some document's question
+    j = d.join(b, b.item_id == d.doc_id % n_items).join(lab, "doc_id", "left")
     return j.select(
         F.col("doc_id").alias("example_id"), "question",
-        F.substring("text", 1, 80).alias("ground_truth"), F.col("text").alias("documents"),
+        F.substring_index("text", "\n", -1).alias("ground_truth"), F.col("text").alias("documents"),
         (F.col("n_chars") % 6).alias("validity_scalar"), "human_validity",
         F.when(F.col("doc_id") % 10 < 2, "train").otherwise("test").alias("split"))
 
@@ -91,9 +92,9 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
              .when(t % 4 == 2, "few-shot").otherwise("few-shot-CoT"))
     text = F.col("text")
     resp = (F.when(t % 3 == 2, text)
-            .when(t % 5 == 3, F.concat(text, F.lit("ANSWER: "), F.substring(text, 1, 20),
+            .when(t % 5 == 3, F.concat(text, F.lit("ANSWER: "), F.substring_index(text, "\n", 1),
                                        F.lit("ANSWER: "), F.lit("again")))
-            .otherwise(F.concat(F.lit("Q: x A: "), text, F.lit("ANSWER: "), F.substring(text, 1, 20))))
+            .otherwise(F.concat(F.lit("Q: x A: "), text, F.lit("ANSWER: "), F.substring_index(text, "\n", 1))))
     return c.select((F.col("conv_id") * 100 + t).alias("example_id"), ptype.alias("prompt_type"),
                     resp.alias("model_response"))
 
@@ -127,19 +128,23 @@ def table_cells(spark: SparkSession, sf_dir: str, ids: DataFrame | None = None)
 
 
 def raw_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON text; every 13th value truncated to 4 characters."""
-    e = table(spark, sf_dir, "events")
-    return e.select("event_id", F.when(F.col("event_id") % 13 == 0, F.substring("props", 1, 4))
-                    .otherwise(F.col("props")).alias("raw"))
+    """JSON text; every 13th value is cut after 4 characters, every 17th holds two values and every
+    19th has single quotes: malformed on purpose."""
+    e, i, props = table(spark, sf_dir, "events"), F.col("event_id"), F.col("props")
+    return e.select("event_id", F.when(i % 13 == 0, F.substring("props", 1, 4))
+                    .when(i % 17 == 0, F.concat(props, F.lit(", "), props))
+                    .when(i % 19 == 0, F.replace(props, F.lit('"'), F.lit("'"))).otherwise(props).alias("raw"))
 
 
 def log_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sectioned text logs (cleaned form): ``**Header**`` line, body, blank line."""
+    """Sectioned text logs (cleaned form): ``**Header**`` line, body, blank line. Bodies hold bold
+    lines that are no headers."""
     d = table(spark, sf_dir, "documents")
     return d.select(F.col("doc_id").alias("log_id"), F.concat(
-        F.lit("**Existing Table Info**\n"), F.lit("|a:|b|\n|1|2|"),
+        F.lit("**Existing Table Info**\n"), F.lit("|a:|b|\n\n**Totals:**\n|1|2|"),
         F.lit("\n\n**Generated Edits Rationale**\n"), F.lit('{"lang": "'), F.col("lang"), F.lit('"}'),
-        F.lit("\n\n**Resultant Generated Question**\n"), F.col("text")).alias("log_text"))
+        F.lit("\n\n**Resultant Generated Question**\n"), F.col("text"),
+        F.lit("\n\n**a bold line**\nnot a section")).alias("log_text"))
 
 
 def union_all(dfs: list[DataFrame]) -> DataFrame:
@@ -165,7 +170,7 @@ def generation_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def examples_with_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Examples with their table: the indexed text of the size-gated table whose id is
+    """Examples with their table: the indexed text of the table whose id is
     the example id (NULL when there is none)."""
     from quire.operators import tables as tt
 

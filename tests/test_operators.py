@@ -214,15 +214,20 @@ def test_latest_duplicate_wins(spark):
 def test_log_section_edits(spark):
     text = "**A**\n{\"x\": 1}\n\n**B**\nbody: 1\n\n**C**\n[1]"
     df = spark.createDataFrame([(1, text)], "log_id int, log_text string")
-    secs = rows(lg.sections(df), "section_idx", "section", "body")
+    names = ["A", "B", "C", "Z"]
+    secs = rows(lg.sections(df, fields=names), "section_idx", "section", "body")
     assert secs == [(1, "A", '{"x": 1}'), (2, "B", "body: 1"), (3, "C", "[1]")]
-    fenced = lg.fence_json(df, "log_text", ["A"]).collect()[0][1]
+    fenced = lg.fence_json(df, "log_text", ["A"], names).collect()[0][1]
     assert fenced.startswith('**A**\n```json\n{"x": 1}\n```\n\n**B**')
-    d = lg.delete_section(df, "log_text", "B").collect()[0][1]
+    d = lg.delete_section(df, "log_text", "B", names).collect()[0][1]
     assert d == "**A**\n{\"x\": 1}\n\n**C**\n[1]"
-    s = lg.strip_table_colons(df, "log_text", "B").collect()[0][1]
+    s = lg.strip_table_colons(df, "log_text", "B", names).collect()[0][1]
     assert "**B**\n\nbody 1\n\n**C**" in s
-    assert lg.delete_section(df, "log_text", "Z").collect()[0][1] == text
+    assert lg.delete_section(df, "log_text", "Z", names).collect()[0][1] == text
+    # a bold line that is no header stays in its body
+    bold = spark.createDataFrame([(1, '**A**\n{"x":\n\n**note**\n1}\n\n**B**\nb')], "log_id int, log_text string")
+    assert [r["section"] for r in lg.sections(bold, fields=names).orderBy("section_idx").collect()] == ["A", "B"]
+    assert lg.fence_json(bold, "log_text", ["A"], names).collect()[0][1].endswith("**note**\n1}\n```\n\n**B**\nb")
 
 
 def test_upsert_replaces_by_key(spark):
@@ -263,7 +268,7 @@ def test_run_params_and_example_id_from_path(spark):
 
 def test_provider_routing_order_and_strictness(spark):
     from quire.operators import prompts as pr
-    df = spark.createDataFrame([("gpt-4o",), ("claude-3",), ("Gemini-pro",), ("llama-3-8b",), ("MultiAgent_x",),
+    df = spark.createDataFrame([("gpt-4o",), ("claude-3",), ("gemini-pro",), ("llama-3-8b",), ("multiagent_x",),
                                 ("other",)], "model string")
     got = [r[0] for r in df.select(pr.provider_for(F.col("model"), strict=False)).collect()]
     assert got == ["azure_openai", "anthropic", "google", "replicate", "multiagent", None]
@@ -334,7 +339,7 @@ def test_is_json_is_strict_like_a_decoder(spark):
     import json as _json
     from quire.operators.jsonops import is_json
     vals = ["4501 Anth", '{"a":1} x', "[1,2] y", "true x", "NaN", '{"a":1}', "12", '"s" t', '  {"a": 1}  ',
-            "1.5e3", '{"a":1}}', "", "   ", "null", '{"k"', "01"]
+            "1.5e3", '{"a":1}}', "", "   ", "null", '{"k"', "01", "1,2", '{"a":1}, {"b":2}', '"x","y"', "{'a':1}"]
 
     def py(v):
         try:
@@ -394,3 +399,35 @@ def test_clean_logs_whole_chain(spark):
     assert "**Resultant Generated Table Markdown**\n\n| x | y |" in out                # X15
     assert "Bar-separated" not in out                                                  # X14
     assert "**DOCUMENT Reasoning Results -- GPTEval Prediction Evaluation**\nfine" in out  # X12
+
+
+def test_parse_quoted_cells_of_any_length(spark):
+    long = 'x"|\n' * 250_000
+    rows = [(1, 1, ["a", "b"], [long, "NA"]), (1, 2, ["a", "b"], ['"', "v"])]
+    df = spark.createDataFrame(rows, "table_id int, row_idx int, header array<string>, cells array<string>")
+    for mode in ("plain", "indexed"):
+        back = tt.parse_tables(tt.render_tables(df, mode), "table").orderBy("row_idx").collect()
+        assert [r["cells"][-2:] for r in back] == [[long, None], ['"', "v"]]
+    stray = tt.parse_tables(_table(spark, '|a|b|\n|5" nail|x|\n|6" nail|y|'), "table").orderBy("row_idx").collect()
+    assert [r["cells"] for r in stray] == [['5" nail', "x"], ['6" nail', "y"]]
+
+
+def test_profile_leaves_out_empty_columns(spark):
+    df = spark.createDataFrame([(1, "|index|a|b|\n|1|x||\n|2||NA|", "d")], "table_id int, table string, documents string")
+    assert tt.table_profile(df).collect()[0]["num_cols"] == 1
+
+
+def test_token_count_unicode_blanks(spark):
+    df = spark.createDataFrame([("a b c　d",)], "t string")
+    assert df.select(tx.token_count("t")).collect()[0][0] == 4
+
+
+def test_large_scores_are_kept(spark):
+    df = spark.createDataFrame([("99999999999",)], "t string")
+    assert df.select(tx.parse_int("t")).collect()[0][0] == 99999999999
+
+
+def test_provider_names_are_case_sensitive(spark):
+    from quire.operators.prompts import provider_for
+    df = spark.createDataFrame([("gemini-pro",), ("Gemini-Pro",)], "m string")
+    assert [r[0] for r in df.select(provider_for(F.col("m"), strict=False)).collect()] == ["google", None]

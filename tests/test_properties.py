@@ -12,7 +12,7 @@ from quire.operators import tables as tt
 
 SETTINGS = settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
-cell = st.text(alphabet='abcXYZ019 .-:|"', min_size=1, max_size=6).map(str.strip).filter(lambda s: s != "")
+cell = st.text(alphabet='abcXYZ019 .-:|"\n', min_size=1, max_size=6).map(str.strip).filter(lambda s: s != "")
 table = st.integers(min_value=1, max_value=4).flatmap(
     lambda ncol: st.lists(st.lists(cell, min_size=ncol, max_size=ncol), min_size=1, max_size=5))
 
@@ -67,8 +67,10 @@ def test_hot_table_is_rejected_not_collected(spark):
                                       F.array(F.col("row_idx").cast("string")).alias("cells"))
     gate = {r["table_id"]: r for r in tt.size_gate(df).collect()}
     assert gate[-1]["accepted"] is False and gate[-1]["reason"] == "rows 3000 > 11"
-    texts = tt.render_tables(df, "plain")
+    texts = tt.render_tables(tt.gated(df), "plain")
     assert texts.count() == 1000 and texts.where("table_id = -1").count() == 0
+    whole = tt.render_tables(df, "plain")  # without the gate every table is rendered
+    assert whole.count() == 1001 and len(whole.where("table_id = -1").collect()[0]["table"].split("\n")) == 3002
 
 
 def test_hot_run_statistics_exact(spark):
