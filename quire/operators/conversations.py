@@ -29,13 +29,12 @@ def chat_text(conv: DataFrame, key: str = "conv_id") -> DataFrame:
 def transition_violations(conv: DataFrame, allowed: DataFrame, key: str = "conv_id") -> DataFrame:
     """Z3: turns whose (previous role -> role) edge is not in the allowed graph.
 
-    ``allowed`` is ``(src, dst)`` rows; a config-sized table (bounded by the number of
-    roles squared), so it is broadcast.
+    ``allowed`` is ``(src, dst)`` rows; the planner broadcasts them when they are small.
     """
     w = Window.partitionBy(key).orderBy("turn")
     t = conv.select(key, "turn", F.lag("role").over(w).alias("src"), F.col("role").alias("dst"))
     t = t.where(F.col("src").isNotNull())
-    return t.join(F.broadcast(allowed), ["src", "dst"], "left_anti").select(key, "turn", "src", "dst")
+    return t.join(allowed, ["src", "dst"], "left_anti").select(key, "turn", "src", "dst")
 
 
 def edges_from_map(spark, graph: dict[str, list[str]]) -> DataFrame:

@@ -199,18 +199,19 @@ def prompt_token_stats(examples: DataFrame, k: int = 1, seed=0, key: str = "exam
     the text scanned.
     """
     from quire.functions.text import token_count
+    from quire.session import materialize
 
     c_ctx, c_q, c_a = (_literal_tokens(x) for x in (CONTEXT_KEY, INPUT_KEY, OUTPUT_KEY))
     c_zero, c_few, c_cot = (_literal_tokens(PROMPTS["zero-shot"]), _literal_tokens(PROMPTS["few-shot"]),
                             _literal_tokens(COT))
 
-    def counts(df):
-        return df.select(key, token_count("question").alias("tq"), token_count("ground_truth").alias("ta"),
-                         token_count(F.coalesce(F.col("documents"), F.lit(""))).alias("td"),
-                         token_count(F.coalesce(F.col("table"), F.lit(""))).alias("tt"))
-
-    test = counts(examples.where(F.col("split") == "test"))
-    train = counts(examples.where(F.col("split") == "train")).withColumnRenamed(key, "train_id")
+    # texts are read and counted once; from here on there are ids and integers only
+    counts = materialize(examples.select(
+        key, "split", token_count("question").alias("tq"), token_count("ground_truth").alias("ta"),
+        token_count(F.coalesce(F.col("documents"), F.lit(""))).alias("td"),
+        token_count(F.coalesce(F.col("table"), F.lit(""))).alias("tt")), "token_counts")
+    test = counts.where(F.col("split") == "test").drop("split")
+    train = counts.where(F.col("split") == "train").drop("split").withColumnRenamed(key, "train_id")
     draw = few_shot_draw(test.select(key), train.select(F.col("train_id").alias(key)), key, k, seed)
     shot = F.lit(c_ctx + c_q + c_a) + F.col("tq") + F.col("ta")
     shots = draw.join(train, "train_id").groupBy(key).agg(F.sum(shot + F.col("td")).alias("sd"),

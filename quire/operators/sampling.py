@@ -39,27 +39,51 @@ def dense_index(df: DataFrame, key: str, seed=0, digits: int = 4, out: str = "id
     return j.select(*keep, (F.col("_off") + F.col("_rn") - 1).cast("bigint").alias(out))
 
 
+def seeded_cut(df: DataFrame, key: str, k: int, seed=0, digits: int = 4):
+    """(cut, n): the ``k``-th ``(hash, key)`` in seeded order (NULL with fewer rows) and the row count,
+    as scalar subqueries.
+
+    Only keys are read: hash buckets are counted (at most ``16**digits`` counts), the bucket that holds
+    the ``k``-th row is found, and that bucket's keys alone are ranked. Rows are then compared with the
+    cut where they are, so no row of ``df`` is shuffled. Keys must be distinct.
+    """
+    h = seeded_hash(seed, key)
+    x = df.select(h.alias("_h"), F.coalesce(F.substring(h, 1, digits), F.lit("")).alias("_b"), F.col(key).alias("_k"))
+    counts = x.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
+    upto = counts.select("_b", "_c", F.sum("_c").over(Window.orderBy("_b")).alias("_upto"))  # bounded: the buckets
+    edge = upto.where(F.col("_upto") >= k).agg(F.min(F.struct("_b", (F.col("_upto") - F.col("_c")).alias("before"))).alias("e"))
+    at = x.join(F.broadcast(edge), F.col("_b") == F.col("e._b"))  # one row
+    rank = F.row_number().over(Window.partitionBy("_b").orderBy("_h", "_k"))
+    cut = at.select("_h", "_k", "e", rank.alias("_rn")).where(F.col("_rn") == k - F.col("e.before"))
+    return (cut.agg(F.max(F.struct("_h", "_k"))).scalar(), df.select(F.count(F.lit(1))).scalar())
+
+
+def _first(df: DataFrame, key: str, k: int, seed):
+    """(condition: the row is one of the first ``k`` in seeded order, row count)."""
+    cut, n = seeded_cut(df, key, k, seed)
+    return F.coalesce(F.struct(seeded_hash(seed, key), F.col(key)) <= cut, F.lit(False)), n
+
+
 def train_test_split(df: DataFrame, key: str, n_train: int = 1, seed=0, append: bool = False) -> DataFrame:
     """The first ``n_train`` rows in seeded order are train, the rest test; in
-    append mode everything is test."""
-    if append:
+    append mode everything is test. Rows are flagged in place."""
+    if append or n_train <= 0:
         return df.withColumn("split", F.lit("test"))
-    x = dense_index(df, key, seed)
-    return x.withColumn("split", F.when(F.col("idx") < n_train, "train").otherwise("test")).drop("idx", "_n")
+    first, n = _first(df, key, n_train, seed)
+    return df.withColumn("split", F.when(first | (n <= n_train), "train").otherwise("test"))
 
 
 def seeded_sample(df: DataFrame, key: str, k: int = 50, seed=0, strict: bool = False) -> DataFrame:
     """Exactly ``k`` rows without replacement (the first ``k`` in seeded order).
 
     With fewer than ``k`` rows nothing is selected (``strict`` raises instead), as the
-    original does. The cut is on the dense index, so ``k`` may be any size without a
-    single-task top-k.
+    original does. Rows are compared with the seeded cut where they are, so ``k`` may be any
+    size without a single-task top-k, and no row is shuffled.
     """
-    x = dense_index(df, key, seed)
+    first, n = _first(df, key, k, seed)
     if strict:
-        x = x.withColumn("_n", F.when(F.col("_n") >= k, F.col("_n"))
-                         .otherwise(F.raise_error(F.lit(f"fewer rows than the sample size {k}"))))
-    return x.where((F.col("idx") < k) & (F.col("_n") >= k)).drop("idx", "_n")
+        first = F.when(n >= k, first).otherwise(F.raise_error(F.lit(f"fewer rows than the sample size {k}")).cast("boolean"))
+    return df.where(first)
 
 
 def last_n(df: DataFrame, key: str, n: int) -> DataFrame:

@@ -51,6 +51,11 @@ SELECT conv_id * 100 + turn AS example_id,
        CASE WHEN turn % 3 = 2 THEN text
             WHEN turn % 5 = 3 THEN concat(text, 'ANSWER: ', string_split(text, chr(10))[1], 'ANSWER: ', 'again')
             ELSE concat('Q: x A: ', text, 'ANSWER: ', string_split(text, chr(10))[1]) END AS model_response
+FROM conversations""",
+    "messages": """
+SELECT conv_id, turn, CASE WHEN conv_id % 4 = 1 AND turn % 4 = 1 THEN 'system' ELSE role END AS role,
+       CASE WHEN conv_id % 7 = 3 OR (conv_id % 5 = 1 AND turn = max(turn) OVER (PARTITION BY conv_id)) THEN 'TERMINATE'
+            ELSE text END AS text
 FROM conversations""",
     "table_rows": """
 SELECT l_orderkey AS table_id,
@@ -76,7 +81,7 @@ FIXTURE_DEPS = {
     "binned": ["characteristics"],
 }
 FIXTURE_ORDER = ["evaluations", "scored", "tracker", "examples", "characteristics", "binned",
-                 "responses", "table_rows", "raw_json", "log_text"]
+                 "responses", "messages", "table_rows", "raw_json", "log_text"]
 
 
 #: expressions that several parts of an oracle read: computed once

@@ -132,17 +132,17 @@ def n4_map_roundtrip(spark, d):
 
 @query("e3_final_answer")
 def e3_final_answer(spark, d):
-    return cv.final_answers(tb.table(spark, d, "conversations"))
+    return cv.final_answers(tb.messages(spark, d))
 
 
 @query("z2_chat_text")
 def z2_chat_text(spark, d):
-    return cv.chat_text(tb.table(spark, d, "conversations"))
+    return cv.chat_text(tb.messages(spark, d))
 
 
 @query("z3_transition_violations")
 def z3_transition_violations(spark, d):
-    return cv.transition_violations(tb.table(spark, d, "conversations"), cv.edges_from_map(spark, ALLOWED_TURNS))
+    return cv.transition_violations(tb.messages(spark, d), cv.edges_from_map(spark, ALLOWED_TURNS))
 
 
 @query("r5_flatten_batches")
@@ -249,16 +249,16 @@ SELECT event_id, raw, 'malformed json' AS reason FROM raw_json WHERE NOT json_va
 ORACLE["n3_reply_scores"] = W("characteristics") + "SELECT example_id, characteristic, score FROM characteristics"
 ORACLE["n4_map_roundtrip"] = ORACLE["n3_reply_scores"]
 
-ORACLE["e3_final_answer"] = """
+ORACLE["e3_final_answer"] = W("messages") + """
 SELECT c.conv_id, coalesce(a.answer, 'I don''t know how to answer this question') AS answer
-FROM (SELECT DISTINCT conv_id FROM conversations) c
-LEFT JOIN (SELECT conv_id, arg_max(text, turn) AS answer FROM conversations WHERE text <> 'TERMINATE'
+FROM (SELECT DISTINCT conv_id FROM messages) c
+LEFT JOIN (SELECT conv_id, arg_max(text, turn) AS answer FROM messages WHERE text <> 'TERMINATE'
            GROUP BY conv_id) a ON a.conv_id = c.conv_id"""
-ORACLE["z2_chat_text"] = f"SELECT conv_id, string_agg(text, {NL} ORDER BY turn) AS chat FROM conversations GROUP BY conv_id"
-ORACLE["z3_transition_violations"] = """
+ORACLE["z2_chat_text"] = W("messages") + f"SELECT conv_id, string_agg(text, {NL} ORDER BY turn) AS chat FROM messages GROUP BY conv_id"
+ORACLE["z3_transition_violations"] = W("messages") + """
 SELECT conv_id, turn, src, dst
 FROM (SELECT conv_id, turn, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS src, role AS dst
-      FROM conversations) t
+      FROM messages) t
 WHERE src IS NOT NULL
   AND (src, dst) NOT IN (SELECT * FROM (VALUES ('system', 'user'), ('user', 'assistant'), ('assistant', 'user')) e(s, d))"""
 ORACLE["r5_flatten_batches"] = """

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quire.constants import PROMPT_TYPES, REASONING_TYPES
 from quire.operators import characteristics as ch
 from quire.operators import scoring as sc
 from quire.operators import sampling as sm
@@ -15,11 +16,17 @@ from quire.sources import files as fs
 from quire.sources import tables as tb
 
 RUN_ROOT = "eval_output"
-SKIP_SUBSTRING = "model_c"
+SKIP_SUBSTRING = "src1"
+INCLUDE_SUBSTRING = "few-shot"
 
 
 def _runs(spark, d):
-    runs = tb.evaluations(spark, d).select("reasoning_type", "model", "prompt_type").distinct()
+    """Run files as a folder holds them: one per context type, model (a corpus name) and prompt type."""
+    docs = tb.table(spark, d, "documents")
+    pick = lambda names, i: F.element_at(F.array(*map(F.lit, names)), (i % len(names) + 1).cast("int"))
+    i = F.col("doc_id")
+    runs = docs.select(pick(REASONING_TYPES, i).alias("reasoning_type"), F.col("source").alias("model"),
+                       pick(PROMPT_TYPES, F.floor(i / 2)).alias("prompt_type")).distinct()
     return runs.select(fs.run_path(RUN_ROOT, F.lit("all"), F.lit("main")).alias("path"))
 
 
@@ -87,8 +94,15 @@ def f6_skip_list(spark, d):
 @query("f5_run_filter")
 def f5_run_filter(spark, d):
     runs = _runs(spark, d)
-    skip = runs.where(F.col("path").contains(SKIP_SUBSTRING))
-    return runs.join(F.broadcast(skip), "path", "left_anti")  # skip lists are config-sized
+    return fs.filter_runs(runs, skip=runs.where(F.col("path").contains(SKIP_SUBSTRING)))
+
+
+@query("f5_run_filter_include")
+def f5_run_filter_include(spark, d):
+    """An include list wins over the skip list."""
+    runs = _runs(spark, d)
+    return fs.filter_runs(runs, skip=runs.where(F.col("path").contains(SKIP_SUBSTRING)),
+                          include=runs.where(F.col("path").contains(INCLUDE_SUBSTRING)))
 
 
 @query("p2_example_id_from_path")
@@ -139,7 +153,10 @@ def j2_examples_tracker(spark, d):
 
 # ============================================================== oracle SQL
 RUNS = ("runs", """SELECT DISTINCT 'eval_output/all/main/' || reasoning_type || '/' || model || '/' || prompt_type
-                   || '_score.json' AS path, reasoning_type, model, prompt_type FROM evaluations""")
+                   || '_score.json' AS path, reasoning_type, model, prompt_type FROM (
+  SELECT ['documents', 'table'][CAST(doc_id % 2 + 1 AS INTEGER)] AS reasoning_type, source AS model,
+         ['zero-shot', 'zero-shot-CoT', 'few-shot', 'few-shot-CoT'][CAST((doc_id // 2) % 4 + 1 AS INTEGER)] AS prompt_type
+  FROM documents) r""")
 
 ORACLE["s1_json_roundtrip"] = W("examples") + """
 SELECT example_id, question, ground_truth, CAST(validity_scalar AS INTEGER) AS validity_scalar FROM examples"""
@@ -155,9 +172,10 @@ ORACLE["s8_keyed_upsert"] = W("examples") + """
 SELECT example_id, CASE WHEN example_id IN (SELECT example_id FROM examples ORDER BY example_id DESC LIMIT 25)
                         THEN 'v2: ' || question ELSE question END AS question
 FROM examples"""
-ORACLE["s11_path_params"] = W("evaluations", extra=[RUNS]) + "SELECT path, reasoning_type, model, prompt_type FROM runs"
-ORACLE["f6_skip_list"] = W("evaluations", extra=[RUNS]) + "SELECT path FROM runs WHERE contains(path, 'model_c')"
-ORACLE["f5_run_filter"] = W("evaluations", extra=[RUNS]) + "SELECT path FROM runs WHERE NOT contains(path, 'model_c')"
+ORACLE["s11_path_params"] = W(extra=[RUNS]) + "SELECT path, reasoning_type, model, prompt_type FROM runs"
+ORACLE["f6_skip_list"] = W(extra=[RUNS]) + "SELECT path FROM runs WHERE contains(path, 'src1')"
+ORACLE["f5_run_filter"] = W(extra=[RUNS]) + "SELECT path FROM runs WHERE NOT contains(path, 'src1')"
+ORACLE["f5_run_filter_include"] = W(extra=[RUNS]) + "SELECT path FROM runs WHERE contains(path, 'few-shot')"
 ORACLE["p2_example_id_from_path"] = """
 SELECT doc_id, source || '_' || lang || '_run_' || CAST(doc_id AS VARCHAR) AS example_id FROM documents"""
 ORACLE["p3_drop_fields"] = W("examples") + """

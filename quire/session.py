@@ -63,6 +63,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or local
 
 
+#: intermediate tables by application
+_SCRATCH: dict[str, list[str]] = {}
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the intermediate tables this application wrote with :func:`materialize`; frames that
+    read them end with it. Returns their number."""
+    paths = _SCRATCH.pop(spark.sparkContext.applicationId, [])
+    jvm = spark.sparkContext._jvm
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
+
+
+#: buckets of a stored table, whatever the number of shuffle partitions
+MAX_BUCKETS = 4096
+
+
 def materialize(df, name: str = "table", bucket_by: list[str] | None = None, buckets: int | None = None):
     """Cut lineage: write ``df`` as a parquet table in the shared checkpoint folder and
     read it back.
@@ -79,11 +98,13 @@ def materialize(df, name: str = "table", bucket_by: list[str] | None = None, buc
     spark = df.sparkSession
     tag = f"{name}_{uuid.uuid4().hex[:12]}"
     path = f"{checkpoint_dir(spark).rstrip('/')}/quire-tables/{tag}"
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
     if not bucket_by:
         df.write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (df.write.mode("overwrite").format("parquet").option("path", path)
+    n = buckets or min(int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_BUCKETS)
+    # one task writes one bucket: as many files as buckets
+    (df.repartition(n, *bucket_by).write.mode("overwrite").format("parquet").option("path", path)
        .bucketBy(n, *bucket_by).sortBy(*bucket_by).saveAsTable(f"quire_{tag}"))
     return spark.table(f"quire_{tag}")
 

@@ -113,6 +113,14 @@ def upsert(old: DataFrame, new: DataFrame, key: str | list[str]) -> DataFrame:
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new.select(*old.columns))
 
 
+def filter_runs(runs: DataFrame, skip: DataFrame | None = None, include: DataFrame | None = None, key: str = "path") -> DataFrame:
+    """the runs on the include list when one is given, else those not on the skip list.
+    Lists are one-column frames; they may grow with the runs, so the planner decides how to join."""
+    if include is not None:
+        return runs.join(include.select(key).distinct(), key, "left_semi")
+    return runs if skip is None else runs.join(skip.select(key).distinct(), key, "left_anti")
+
+
 def run_params(path) -> list[Column]:
     """``.../{reasoning_type}/{model}/{prompt_type}_score.json`` -> run columns."""
     p = F.col(path) if isinstance(path, str) else path

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.constants import CHARACTERISTICS, PROMPT_TYPES, REASONING_TYPES
+from quire.constants import CHARACTERISTICS, PROMPT_TYPES, REASONING_TYPES, TERMINATE
 
 FIXTURE_MODELS = ["model_a", "model_b", "model_c"]
 TABLE_COLUMNS = ["part", "supplier", "quantity", "price", "flag", "shipped"]
@@ -99,6 +99,15 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
                     resp.alias("model_response"))
 
 
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agent conversations: some end with the termination mark, some hold nothing else, and in
+    some a role speaks out of turn."""
+    c, i, t = table(spark, sf_dir, "conversations"), F.col("conv_id"), F.col("turn")
+    last = t == F.max("turn").over(Window.partitionBy("conv_id"))
+    return c.select("conv_id", "turn", F.when((i % 4 == 1) & (t % 4 == 1), "system").otherwise(F.col("role")).alias("role"),
+                    F.when((i % 7 == 3) | ((i % 5 == 1) & last), TERMINATE).otherwise(F.col("text")).alias("text"))
+
+
 def table_rows(spark: SparkSession, sf_dir: str, ids: DataFrame | None = None) -> DataFrame:
     """Small tables: one per order; all rendered columns take part in the row order.
 

@@ -431,3 +431,39 @@ def test_provider_names_are_case_sensitive(spark):
     from quire.operators.prompts import provider_for
     df = spark.createDataFrame([("gemini-pro",), ("Gemini-Pro",)], "m string")
     assert [r[0] for r in df.select(provider_for(F.col("m"), strict=False)).collect()] == ["google", None]
+
+
+def test_scratch_tables_and_buckets(spark):
+    import glob
+    from quire.session import clear_scratch, checkpoint_dir, materialize
+    df = spark.range(0, 1000).selectExpr("id", "id % 7 AS k").repartition(8)
+    t = materialize(df, "bucketed", bucket_by=["id"], buckets=4)
+    folder = [f for f in t.inputFiles()]
+    assert len(folder) == 4 and t.count() == 1000     # as many files as buckets
+    materialize(df, "plain")
+    root = checkpoint_dir(spark).removeprefix("file:")
+    assert clear_scratch(spark) >= 2 and not glob.glob(f"{root}/quire-tables/plain_*")
+
+
+def test_seeded_sample_does_not_shuffle_rows(spark):
+    from quire.operators import sampling as sm
+    df = spark.range(0, 5000).selectExpr("id", "repeat('x', 50) AS payload")
+    got = sm.seeded_sample(df, "id", k=37, seed=3)
+    idx = {r["id"] for r in sm.dense_index(df, "id", seed=3).where("idx < 37").collect()}
+    assert {r["id"] for r in got.collect()} == idx and got.count() == 37
+    assert sm.seeded_sample(df.limit(5), "id", k=6).count() == 0
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("payload" in ln for ln in plan.splitlines() if "Window" in ln or "Aggregate" in ln)
+    split = {r["split"]: r["count"] for r in sm.train_test_split(df, "id", n_train=3).groupBy("split").count().collect()}
+    assert split == {"train": 3, "test": 4997}
+    few = sm.train_test_split(df.where("id < 2"), "id", n_train=3)
+    assert few.where("split = 'train'").count() == 2
+
+
+def test_include_list_wins(spark):
+    from quire.sources import files as fs
+    runs = spark.createDataFrame([("a",), ("b",), ("c",)], "path string")
+    one = lambda x: runs.where(F.col("path") == x)
+    assert rows(fs.filter_runs(runs, skip=one("a")), "path") == [("b",), ("c",)]
+    assert rows(fs.filter_runs(runs, skip=one("a"), include=one("a")), "path") == [("a",)]
+    assert fs.filter_runs(runs).count() == 3
