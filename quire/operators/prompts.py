@@ -11,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.constants import (COMPLEXITY_LEVELS, CONTEXT_KEY, COT, DOMAINS, INPUT_KEY, JUDGE_COMPRESS, JUDGE_NORM,
-                             JUDGE_SCALAR, OUTPUT_KEY, PROMPT_TYPES, PROMPTS, PROVIDERS, REASONING_TYPES,
+from quire.constants import (AMBIGUITY_PROMPT, ANSWERABILITY_PROMPT, CANDIDATE_ANSWERS_PROMPT, COMPLEXITY_LEVELS,
+                             CONTEXT_KEY, COT, DOMAINS, EDIT_APPLICATION_PROMPT, EDIT_PLAN_PROMPT, INPUT_KEY,
+                             JUDGE_COMPRESS, JUDGE_NORM, JUDGE_SCALAR, QUESTION_PROMPT, OUTPUT_KEY, PROMPT_TYPES, PROMPTS, PROVIDERS, REASONING_TYPES,
                              REFINEMENT, SKILL_INSTRUCTION, SKILL_PREAMBLE)
 from quire.functions.text import fill_template
 from quire.operators.sampling import few_shot_draw
@@ -24,10 +25,11 @@ def context_for(reasoning_type: Column, documents: str = "documents", table: str
 
 
 def run_grid(df: DataFrame, reasoning_types: list[str] = REASONING_TYPES,
-             prompt_types: list[str] = PROMPT_TYPES) -> DataFrame:
-    """Every row times every (reasoning type, prompt type) cell."""
-    cells = F.array(*[F.struct(F.lit(r).alias("reasoning_type"), F.lit(p).alias("prompt_type"))
-                      for r in reasoning_types for p in prompt_types])
+             prompt_types: list[str] = PROMPT_TYPES, models: list[str] | None = None) -> DataFrame:
+    """Every row times every (reasoning type, prompt type) cell, and every model when given."""
+    cells = F.array(*[F.struct(F.lit(r).alias("reasoning_type"), F.lit(p).alias("prompt_type"),
+                               *([F.lit(m).alias("model")] if m is not None else []))
+                      for m in (models or [None]) for r in reasoning_types for p in prompt_types])
     return df.select("*", F.explode(cells).alias("_g")).select("*", "_g.*").drop("_g")
 
 
@@ -158,6 +160,23 @@ def judge_prompts(df: DataFrame, predicted: str, question: str, correct: str) ->
                                    correct=F.col(correct)).alias("scalar_prompt"))
 
 
+def verification_prompts(tables: DataFrame, keep: list[str], question: str = "question", answer: str = "answer",
+                         summary: str = "summary", edits: str = "edits", final_table: str = "final_table",
+                         demonstration: str = "demonstration", table: str = "table") -> DataFrame:
+    """The prompts around one table of the generation workflow: question proposals, edit plan, edit
+    application, answerability, candidate answers and ambiguity (over the proposed answer)."""
+    c = F.col
+    fill = lambda template, **s: fill_template(template, **{k: c(v) for k, v in s.items()})
+    return tables.select(
+        *keep, fill(QUESTION_PROMPT, seed_table=table).alias("question_prompt"),
+        fill(EDIT_PLAN_PROMPT, edit_demonstration=demonstration, seed_table=table, seed_table_summary=summary).alias("edit_plan_prompt"),
+        fill_template(EDIT_APPLICATION_PROMPT, edit_plan=c(edits), edit_number=F.lit("1"), edited_table=c(table)).alias("edit_application_prompt"),
+        fill(ANSWERABILITY_PROMPT, seed_table_summary=summary, seed_table=table, actual_edits=edits, final_table=final_table,
+             final_question=question, final_answer=answer).alias("answerability_prompt"),
+        fill(CANDIDATE_ANSWERS_PROMPT, table=final_table, question=question).alias("candidate_answers_prompt"),
+        fill(AMBIGUITY_PROMPT, question=question, solutions=answer).alias("ambiguity_prompt"))
+
+
 def comparison_prompt(instruction: str, docs: list[Column], questions: list[Column]) -> Column:
     """Instruction, two comparison candidates, then the evaluated example."""
     def cand(d, q):
@@ -167,6 +186,11 @@ def comparison_prompt(instruction: str, docs: list[Column], questions: list[Colu
                     F.lit("\n"), ex, F.lit("\nNow generate the relative scoring for the final context:"))
 
 
+def expand_skill_groups(groups: DataFrame, group: str = "skill_group", skills: str = "skills") -> DataFrame:
+    """Groups of skills (an array column) to one row per skill, in group order."""
+    return groups.select(group, F.posexplode(skills).alias("position", "description"))
+
+
 def skill_grid(skills: DataFrame, skill: str = "description") -> DataFrame:
     """J8 + X17: skill x complexity x domain cells and their generation prompt."""
     cells = F.array(*[F.struct(F.lit(ci).alias("complexity_idx"), F.lit(c).alias("complexity"),

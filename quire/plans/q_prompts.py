@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.constants import COMPLEXITY_LEVELS, COT, DOMAINS, JUDGE_COMPRESS, JUDGE_NORM, JUDGE_SCALAR, PROMPTS
-from quire.constants import SKILL_INSTRUCTION, SKILL_PREAMBLE
+from quire.constants import (AMBIGUITY_PROMPT, ANSWERABILITY_PROMPT, CANDIDATE_ANSWERS_PROMPT, EDIT_APPLICATION_PROMPT,
+                             EDIT_PLAN_PROMPT, QUESTION_PROMPT, SKILL_INSTRUCTION, SKILL_PREAMBLE)
 from quire.functions.ids import content_id, seeded_hash
 from quire.functions.text import answer_parts
 from quire.operators import completions as cp
@@ -17,7 +18,7 @@ from quire.operators import tables as tt
 from quire.plans.catalog import query
 from quire.plans.fixture_sql import with_fixtures as W
 from quire.plans.oracle import ORACLE
-from quire.plans.q_tables import INDEXED, tokens
+from quire.plans.q_tables import INDEXED, PLAIN_HEAD, PLAIN_ROW, tokens
 from quire.sources import tables as tb
 
 COMPARE_INSTRUCTION = ("Score each characteristic of the final example 0, 1 or 2 relative to the two "
@@ -219,6 +220,36 @@ def j8_skill_grid(spark, d):
     return pr.skill_grid(skills).select("item_id", "complexity_idx", "domain_idx", "prompt")
 
 
+@query("j8_skill_groups")
+def j8_skill_groups(spark, d):
+    """Skills come in groups; every skill of every group meets every complexity and domain."""
+    b = tb.table(spark, d, "benchmark")
+    groups = b.groupBy((F.col("item_id") % 5).alias("skill_group")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("item_id", "text"))), lambda x: x["text"]).alias("skills"))
+    skills = pr.expand_skill_groups(groups).select(
+        (F.col("skill_group") + 5 * F.col("position")).alias("item_id"), "description")
+    return pr.skill_grid(skills).select("item_id", "complexity_idx", "domain_idx", "prompt")
+
+
+@query("j7_run_grid")
+def j7_run_grid(spark, d):
+    """The grid of runs with its model axis."""
+    ex = _test(spark, d).select("example_id")
+    return pr.run_grid(ex, models=tb.FIXTURE_MODELS)
+
+
+@query("x8_verification_prompts")
+def x8_verification_prompts(spark, d):
+    """The generation workflow's prompts around every table, asked a benchmark question."""
+    texts = tt.render_tables(tb.table_cells(spark, d), "plain")
+    b = tb.table(spark, d, "benchmark")
+    n_items = b.agg(F.count("*")).scalar()
+    t = texts.join(b.select("item_id", F.col("text").alias("question")), F.col("item_id") == F.col("table_id") % n_items)
+    t = t.withColumns({"answer": F.substring_index("question", " ", -1), "summary": F.concat(F.lit("order "), F.col("table_id").cast("string")),
+                       "edits": F.concat(F.lit("edit_1: "), F.col("question")), "demonstration": F.lit("none"), "final_table": F.col("table")})
+    return pr.verification_prompts(t, ["table_id"])
+
+
 # ============================================================== oracle SQL
 def q(s: str) -> str:
     return s.replace("'", "''")
@@ -414,3 +445,28 @@ SELECT k.example_id, k.reasoning_type, k.prompt_type,
        'ANSWER: ' || e.question AS reply
 FROM kp k JOIN examples e ON e.example_id = k.example_id
 WHERE k.prompt_key NOT IN (SELECT prompt_key FROM store)"""
+
+ORACLE["j8_skill_groups"] = ORACLE["j8_skill_grid"]
+ORACLE["j7_run_grid"] = W("examples") + f"""
+SELECT e.example_id, g.reasoning_type, g.prompt_type, m.model
+FROM examples e CROSS JOIN (VALUES {GRID}) g(reasoning_type, prompt_type)
+CROSS JOIN (VALUES ('model_a'), ('model_b'), ('model_c')) m(model) WHERE e.split = 'test'"""
+
+
+def _slots(template: str, **slots: str) -> str:
+    """A template with its braces unescaped and its slots replaced (no value here holds a slot)."""
+    return fill(template.replace("{{", "{").replace("}}", "}"), **slots)
+
+
+ORACLE["x8_verification_prompts"] = W("table_rows", extra=[("tq", f"""
+  SELECT t.table_id, t.tab, b.text AS question, string_split(b.text, ' ')[-1] AS answer, 'order ' || CAST(t.table_id AS VARCHAR) AS summary
+  FROM (SELECT table_id, '{PLAIN_HEAD}' || chr(10) || string_agg({PLAIN_ROW}, chr(10) ORDER BY row_idx) || chr(10) AS tab
+        FROM table_rows GROUP BY table_id) t JOIN benchmark b ON b.item_id = t.table_id % (SELECT count(*) FROM benchmark)""")]) + f"""
+SELECT table_id, {_slots(QUESTION_PROMPT, seed_table='tab')} AS question_prompt,
+       {_slots(EDIT_PLAN_PROMPT, edit_demonstration="'none'", seed_table='tab', seed_table_summary='summary')} AS edit_plan_prompt,
+       {_slots(EDIT_APPLICATION_PROMPT, edit_plan="'edit_1: ' || question", edit_number="'1'", edited_table='tab')} AS edit_application_prompt,
+       {_slots(ANSWERABILITY_PROMPT, seed_table_summary='summary', seed_table='tab', actual_edits="'edit_1: ' || question",
+               final_table='tab', final_question='question', final_answer='answer')} AS answerability_prompt,
+       {_slots(CANDIDATE_ANSWERS_PROMPT, table='tab', question='question')} AS candidate_answers_prompt,
+       {_slots(AMBIGUITY_PROMPT, question='question', solutions='answer')} AS ambiguity_prompt
+FROM tq"""
