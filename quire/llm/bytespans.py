@@ -45,7 +45,7 @@ PHRASE_BITS = 5
 LOOK = 8
 HOT = 4096
 BUCKET_BYTES = 8 << 20
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 2 << 20
 PIECE = 1 << 20
 P_ONE, P_TWO = T.P_BYTE, 0xC2B2AE3D27D4EB4F
 BLOB = "kind int, blob binary"
@@ -78,12 +78,15 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(left[:n - w + 1], right[w - 1:n])
 
 
-def anchor_runs(buf: np.ndarray, off: np.ndarray, length: int, gram: int):
+def anchor_runs(buf: np.ndarray, off: np.ndarray, length: int, gram: int, known: np.ndarray | None = None):
     """Runs of windows with one anchor, over a buffer of texts: arrays (doc, first window, last window,
-    anchor hash), windows by their start in the buffer."""
+    anchor hash, two hashes of the stretch of bytes that holds the run), windows by their start in the
+    buffer. With ``known`` (sorted hashes) only the runs of these anchors. The buffer is taken in
+    pieces, so temporaries stay small."""
     out = []
     for a, b in _pieces(off, length):  # bytes a..b: whole texts, or a part of one long text
-        h = Hasher(buf[a:b], P_ONE).runs(gram)
+        one = Hasher(buf[a:b], P_ONE)
+        h = one.runs(gram)
         w = length - gram + 1
         if len(h) < w:
             continue
@@ -97,10 +100,18 @@ def anchor_runs(buf: np.ndarray, off: np.ndarray, length: int, gram: int):
             continue
         new = np.flatnonzero(np.concatenate([[True], (np.diff(anchor) != 0) | (np.diff(doc) != 0)]))
         last = np.append(new[1:], len(start)) - 1
-        out.append((doc[new], start[new], start[last], h[anchor[new]]))
+        name = h[anchor[new]]
+        if known is not None:
+            i = np.searchsorted(known, name)
+            i[i == len(known)] = 0
+            ok = known[i] == name
+            new, last, name = new[ok], last[ok], name[ok]
+        lo, hi = start[new], start[last]
+        two = Hasher(buf[a:b], P_TWO).ranges(lo - a, hi - a + length) if known is not None else np.zeros(len(new), np.uint64)
+        out.append((doc[new], lo, hi, name, one.ranges(lo - a, hi - a + length), two))
     if not out:
-        z = np.zeros(0, np.int64)
-        return z, z, z, np.zeros(0, np.uint64)
+        z, u = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return z, z, z, u, u, u
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -130,7 +141,7 @@ def _anchors(length, gram, n_groups, n_buckets):
             key, null, row = K.doc_keys(ids, rows)
             bucket = K.bucket_of(key, null, row, n_buckets)
             buf, off = T.flat(texts)
-            doc, _, _, h = anchor_runs(buf, off, length, gram)
+            doc, _, _, h, _, _ = anchor_runs(buf, off, length, gram)
             pair = np.rec.fromarrays([h, bucket[doc]], names="h,b")
             one, n = np.unique(pair, return_counts=True)
             g_out, blobs = [], []
@@ -169,32 +180,35 @@ def _stretches(length, gram, n_groups):
             ids, null, rows, buf, off = got
             keys, at = np.unique(np.concatenate([k[0] for k in known]), return_index=True)
             hot = np.concatenate([k[1] for k in known])[at]
-            doc, first, last, h = anchor_runs(buf, off, length, gram)
-            i = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            ok = np.flatnonzero(keys[i] == h)
-            doc, first, last, h, is_hot = doc[ok], first[ok], last[ok], h[ok], hot[i[ok]]
+            doc, first, last, h, one, two = anchor_runs(buf, off, length, gram, keys)
+            is_hot = hot[np.searchsorted(keys, h)] if len(h) else np.zeros(0, bool)
             own = lambda k: (ids[doc[k]], null[doc[k]], rows[doc[k]], (first[k] - off[doc[k]]).astype(np.int64))
             k = np.flatnonzero(~is_hot)
             if len(k):
                 size = (last - first + length).astype(np.int64)
-                sums = [Hasher(buf, p).ranges(first[k], first[k] + size[k]) for p in (P_ONE, P_TWO)]
-                mark = np.rec.fromarrays([*sums, size[k]], names="x,y,n")
+                mark = np.rec.fromarrays([one[k], two[k], size[k]], names="x,y,n")
                 _, rep, same = np.unique(mark, return_index=True, return_inverse=True)
                 target = (h[k] % np.uint64(n_groups)).astype(np.int64)
-                for g, part in K.by_group(target[rep], n_groups):  # part: distinct stretches
-                    who = np.flatnonzero(np.isin(same, part))
-                    who = who[np.argsort(same[who], kind="stable")]
-                    stretch, n = np.unique(same[who], return_counts=True)
-                    src = k[rep[stretch]]
+                by_stretch = np.argsort(same, kind="stable")
+                many = np.bincount(same, minlength=len(rep))
+                ends = np.cumsum(many)
+                for g, part in K.by_group(target[rep], n_groups):  # part: distinct stretches, ascending
+                    n = many[part]
+                    who = k[np.concatenate([by_stretch[ends[p] - c:ends[p]] for p, c in zip(part, n)])]
+                    src = k[rep[part]]
                     body = np.concatenate([buf[first[s]:first[s] + size[s]] for s in src])
-                    out.append((g, 2, K.dump(size[src], n, *own(k[who]), body)))
-            k = np.flatnonzero(is_hot)
-            if len(k):
+                    out.append((g, 2, K.dump(size[src], n, *own(who), body)))
+            every = np.flatnonzero(is_hot)
+            for at in range(0, len(every), 1024):  # under a megabyte of stretches at a time
+                k = every[at:at + 1024]
                 count = last[k] - first[k] + 1
                 who = np.repeat(k, count)
-                start = np.concatenate([np.arange(a, b + 1) for a, b in zip(first[k], last[k])])
-                x, y = (Hasher(buf, p).ranges(start, start + length) for p in (P_ONE, P_TWO))
-                place = start - off[doc[who]]
+                body = np.concatenate([buf[a:b + length] for a, b in zip(first[k], last[k])])
+                base = np.cumsum(count + length - 1) - (count + length - 1)
+                rel = np.arange(len(who)) - np.repeat(np.cumsum(count) - count, count)
+                start = np.repeat(base, count) + rel
+                x, y = (Hasher(body, p).ranges(start, start + length) for p in (P_ONE, P_TWO))
+                place = first[who] + rel - off[doc[who]]
                 for g, part in K.by_group((x % np.uint64(n_groups)).astype(np.int64), n_groups):
                     d = doc[who[part]]
                     out.append((g, 3, K.dump(x[part], y[part], ids[d], null[d], rows[d], place[part].astype(np.int64))))

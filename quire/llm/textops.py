@@ -30,7 +30,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64 (grown on demand, kept per process)."""
     have = _POW.get(base)
     if have is None or len(have) < n:
-        size = max(n, 1 << 16, 0 if have is None else 2 * len(have))
+        size = -(-n // (1 << 18)) * (1 << 18)
         out = np.full(size, base, np.uint64)
         out[0] = 1
         _POW[base] = have = np.multiply.accumulate(out)
