@@ -25,13 +25,13 @@ import numpy as np
 from quire.llm.shipping import ship
 
 MAGIC = b"QTB1"
-BLOCK_IDS = 4096
+BLOCK_IDS = 2048
 REG, SHIFT, LEAST = 48, 32, 1 << 20
 MASK = (1 << REG) - 1
 WHOLE = np.uint64(1 << SHIFT)
 #: a row of cumulative frequencies: 257 entries, searched by sixteens and then by ones
 CUM, TENS, UNITS = 257, np.arange(16, 256, 16), np.arange(1, 16)
-SLOTS = 4096
+SLOTS = 2048
 ONE = 1 << 16
 RATE = 5
 GAIN = 16
