@@ -131,7 +131,7 @@ def score_frequency(chars: DataFrame) -> DataFrame:
 def generation_score_stats(logs: DataFrame, kinds: dict[str, str], digits: int | None = 6) -> DataFrame:
     """Mean, min, max and sample stdev per score kind (unpivot, then one aggregate)."""
     stacked = logs.select(F.explode(F.array(*[
-        F.struct(F.lit(k).alias("kind"), F.col(c).cast("int").alias("score")) for k, c in kinds.items()
+        F.struct(F.lit(k).alias("kind"), F.col(c).cast("bigint").alias("score")) for k, c in kinds.items()
     ])).alias("s")).select("s.kind", "s.score").where(F.col("score").isNotNull())
     return stacked.groupBy("kind").agg(
         _round(F.avg("score"), digits).alias("mean"), F.min("score").alias("min"),

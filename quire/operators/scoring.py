@@ -103,7 +103,7 @@ def histogram_statistics(hist: DataFrame, keys: list[str], score: str = "accurac
         r(s1 / nn).alias("mean"),
         r((F.col("_m_lo") + F.col("_m_hi")) / 2.0).alias("median"),
         r(F.when(F.col("n") > 1, F.sqrt(F.greatest(var, F.lit(0.0))))).alias("stdev"),
-        F.col("max").cast("int").alias("max"), F.col("min").cast("int").alias("min"),
+        F.col("max").cast("bigint").alias("max"), F.col("min").cast("bigint").alias("min"),
         r(F.col("_em") / nn).alias("em_accuracy"))
 
 

@@ -44,7 +44,7 @@ EVALUATION = T.StructType([
     T.StructField("predicted_answer", T.StringType()),
     T.StructField("correct_answer", T.StringType()),
     T.StructField("judge_raw", T.StringType()),
-    T.StructField("accuracy", T.IntegerType()),
+    T.StructField("accuracy", T.LongType()),
     T.StructField("em_accuracy", T.IntegerType()),
     T.StructField("gpt_eval", T.StringType()),
 ])
@@ -57,8 +57,8 @@ RUN_SUMMARY = T.StructType([
     T.StructField("mean", T.DoubleType()),
     T.StructField("median", T.DoubleType()),
     T.StructField("stdev", T.DoubleType()),
-    T.StructField("max", T.IntegerType()),
-    T.StructField("min", T.IntegerType()),
+    T.StructField("max", T.LongType()),
+    T.StructField("min", T.LongType()),
     T.StructField("em_accuracy", T.DoubleType()),
 ])
 
