@@ -74,13 +74,12 @@ def components(edges: DataFrame, name: str = "components", max_rounds: int = 60)
         mark = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if mark == last or mark[0] == 0:
             return (e.select(F.col("a").alias("node"), F.col("b").alias("component"))
-                     .union(e.select(F.col("b"), F.col("b"))).distinct())
+                     .union(e.select(F.col("b"), F.col("b")).distinct()))
         last = mark
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-                      .union(low.select("a", F.col("m").alias("b"))).distinct())
-        e = written(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        e = written(small.union(low.select("a", F.col("m").alias("b"))).distinct(), name)
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

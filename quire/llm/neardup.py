@@ -14,8 +14,8 @@ Scale: equal texts are merged first, so copies are one candidate whatever their
 sketch's group up to ``ALL_PAIRS`` texts are compared pairwise; in a larger group every text is
 compared with the group's first text and its neighbours in length, and the group is divided again by
 the four and the six smallest shingles, where the same holds: the number of candidates is linear.
-Candidates of one class are verified once a representative link joins them: the second round takes only
-pairs that the first did not already connect. Texts meet only in pairs, never in groups.
+Every text is first aligned with its smallest candidate; the second round takes only pairs that those
+links have not already joined. Texts meet only in pairs, never in groups.
 
 Defined results: words are lower-cased (A-Z) runs of letters and digits; a null text is the empty text;
 texts without words are duplicates only of equal texts; a text of fewer than five words is one shingle;
@@ -229,14 +229,14 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, n_sketches: int = S
     pairs = written(candidates(sketched, n_sketches), "pairs")
     ends = pairs.select(F.col("a").alias("tid")).union(pairs.select("b")).distinct()
     texts = written(d.select("tid", "text").join(ends, "tid", "left_semi").dropDuplicates(["tid"]), "texts")
+    # first every text against its smallest candidate; then the pairs this has not joined already
     both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     first = both.groupBy("a").agg(F.min("b").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     found = links(first, texts, similarity, "links")
-    part = components(found)
-    left = (pairs.join(part.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
-                 .join(part.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-                 .where("ca is null or cb is null or ca <> cb").select("a", "b"))
-    left = written(left.join(first, ["a", "b"], "left_anti"), "left")
+    root = (found.union(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("r"))
+                 .select("a", F.least("a", "r").alias("r")))
+    left = (pairs.join(root.select("a", F.col("r").alias("ra")), "a", "left").join(root.select(F.col("a").alias("b"), F.col("r").alias("rb")), "b", "left")
+                 .where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).join(first, ["a", "b"], "left_anti").select("a", "b"))
     part = components(found.union(links(left, texts, similarity, "links")))
     t = copies.join(part, copies["tid"] == part["node"], "left").select(
         "tid", "doc", "docs", F.coalesce("component", "tid").alias("class_tid"))
