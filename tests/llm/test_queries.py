@@ -306,3 +306,26 @@ def test_pipeline(spark):
             want.append((d, at, len(x), zlib.crc32(np.array(x, "<u4").tobytes())))
             at += len(x)
     assert order(map(tuple, got)) == order(want)
+
+
+def test_very_long_texts(spark, edge_dir):
+    """Texts far beyond a piece, a unit and a block pass through every operator whole."""
+    words = [f"w{i % 50_021}x{i}" for i in range(250_000)]
+    text = " ".join(words)
+    docs = spark.createDataFrame([(1, text, "a"), (2, text + " end", "a"), (3, "short one", "b")], "doc_id long, text string, source string")
+    bench, labels = (spark.read.parquet(f"{edge_dir}/{t}.parquet") for t in ("benchmark", "labels"))
+    by_id = lambda df: {r.doc_id: r for r in df.collect()}
+    one = by_id(queries.decontaminate.digest(docs, bench))
+    assert one[1].n_words == 250_000 and one[2].n_words == 250_001
+    two = by_id(substrings.digest(docs))
+    assert (two[1].n_removed, two[2].n_removed) == (0, 250_000)
+    three = by_id(bytespans.digest(docs))
+    assert (three[1].n_removed, three[2].n_removed, three[2].n_bytes) == (len(text), len(text), len(text) + 4)
+    assert {d: r.class_id for d, r in by_id(neardup.digest(docs)).items()} == {1: 1, 2: 1, 3: 3}
+    five = by_id(tokens.digest(docs))
+    assert five[2].start == five[1].n_tokens and five[2].n_tokens == five[1].n_tokens + 1
+    assert by_id(queries.secrets.digest(docs))[1].n_assign == 0
+    assert by_id(queries.mixing.digest(docs))[2].size == 250_001
+    nine = by_id(fingerprints.digest(docs))
+    assert int(nine[1].fingerprint, 16) == fingerprint(text)
+    assert len(by_id(toxicity.digest(docs, labels))) == 3
