@@ -2,8 +2,8 @@
 
 Terms are pairs of neighbouring words (a text of one word: that word), weighted by how often they
 occur. Every term hash votes on each of 64 signed bits; a bit of the fingerprint is set when the votes
-for it are in the majority. Votes are counted as packed counters: a hash is cut into 16 longs of four
-16-bit counters, so one row per term is summed by a partial aggregate before anything is shuffled.
+for it are in the majority. Votes are counted in packed counters, within the row: eight longs hold eight
+8-bit counters each, over runs of at most 127 terms, and the runs' counters add up.
 
 Search: fingerprints at a Hamming distance of at most ``radius`` agree on all but ``radius`` of the
 ``blocks`` blocks; a table is kept for every choice of ``blocks - radius`` blocks (the permuted block
@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 from quire.llm.frames import ordered, pick, written
 
 WORD_GAP = r"[\x20\x09-\x0D]+"
-LANES = 16
-#: a packed counter holds 16 bits: terms are summed in runs of at most this many
-RUN = 1 << 15
-MASK = 0x0001000100010001
+LANES = 8
+#: a packed counter holds 7 bits (the sign of a long stays clear): terms are summed in runs of this many
+RUN = 127
+MASK = 0x0101010101010101
 RADIUS, BLOCKS = 3, 6
 QUERY_EVERY = 100
 
@@ -50,18 +50,18 @@ def term_hashes(text) -> F.Column:
 
 def fingerprint(text) -> F.Column:
     """The 64-bit SimHash of a text."""
-    def packed(h):  # per run of terms: 16 longs of four counters
-        runs = F.sequence(F.lit(0), F.greatest(F.ceil((F.size(h) - 1) / RUN) - 1, F.lit(0)).cast("int"))
+    def packed(h):  # per run of terms: eight longs of eight counters
+        runs = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(h) / RUN) - 1, F.lit(0)).cast("int"))
         lanes = F.sequence(F.lit(0), F.lit(LANES - 1))
-        return F.transform(runs, lambda r: F.transform(lanes, lambda j: F.aggregate(
-            F.slice(h, r * RUN + 1, F.lit(RUN)), F.lit(0).cast("bigint"),
-            lambda acc, x: acc + F.call_function("shiftrightunsigned", x, j).bitwiseAND(F.lit(MASK)))))
+        return F.transform(runs, lambda r: let(F.slice(h, r * RUN + 1, F.lit(RUN)), lambda part: F.transform(
+            lanes, lambda j: F.aggregate(part, F.lit(0).cast("bigint"), lambda acc, x: acc + F.call_function(
+                "shiftrightunsigned", x, j).bitwiseAND(F.lit(MASK))))))
 
     def bits(h):
         def majority(lanes):
-            def vote(i):  # bit i sits in long i % 16, counter i div 16
+            def vote(i):  # bit i sits in long i % 8, counter i div 8
                 n = F.aggregate(lanes, F.lit(0).cast("bigint"), lambda acc, run: acc + F.call_function(
-                    "shiftrightunsigned", F.element_at(run, i % LANES + 1), F.lit(16) * F.floor(i / LANES).cast("int")).bitwiseAND(F.lit(0xFFFF)))
+                    "shiftrightunsigned", F.element_at(run, i % LANES + 1), F.lit(8) * F.floor(i / LANES).cast("int")).bitwiseAND(F.lit(0xFF)))
                 return F.when(2 * n > F.size(h), F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))
             return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("bigint"), lambda acc, i: acc.bitwiseOR(vote(i)))
         return let(packed(h), majority)
@@ -105,18 +105,24 @@ def edited_texts(docs: DataFrame) -> DataFrame:
     the next document's text (ascending doc_id, then text hash; after the last the first). Rows equal
     in doc_id and text are one document and get the same values."""
     d = pick(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    d = d.withColumn("_row", F.xxhash64("text"))
-    ids = d.select(F.col("doc_id").alias("_id"), F.col("_row").alias("_id_row"), F.length("text").cast("bigint").alias("n")).distinct()
-    ids = written(ordered(ids, ["_id", "_id_row"], "order"), "ids")
+    known = F.col("doc_id").isNotNull()
+    d = d.select(known.alias("_known"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("_id"),
+                 F.xxhash64("text", ~known).alias("_row"), "text")
+    ids = d.select("_known", "_id", F.xxhash64("text").alias("_text"), "_row", F.length("text").cast("bigint").alias("n")).distinct()
+    ids = ordered(ids, ["_known", "_id", "_text"], "order").select("_known", "_id", "_row", "n", "_index")
+    ids = written(ids, "ids")
     total = max(ids.count(), 1)
-    # how much of this text the document before it needs
+    # for every document: how much of its text the document before it needs, and which that is
     before = ids.select(((F.col("_index") + 1) % total).alias("_index"), F.floor(F.col("n") / 2).alias("_need"),
-                        F.col("_index").alias("_before"))
+                        F.col("_id").alias("_before_id"), F.col("_row").alias("_before_row"))
     ids = written(ids.join(before, "_index"), "needs")
-    d = d.join(ids, d["doc_id"].eqNullSafe(ids["_id"]) & (d["_row"] == ids["_id_row"])).select(
-        "_index", "doc_id", "text", "n", "_before", F.expr("substr(text, 1, cast(_need as int))").alias("_head"))
-    heads = d.groupBy(F.col("_before").alias("_index")).agg(F.max("_head").alias("_head"))  # repeated rows: one
-    d = d.select("_index", "doc_id", "text", "n").join(heads, "_index")
+    # texts are shuffled once, by their key (both readers below take the same three columns, so they share
+    # the exchange); the heads then travel to the same partitions
+    d = d.select("_id", "_row", "text").join(ids, ["_id", "_row"]).select(
+        "_id", "_row", "_index", F.when(F.col("_known"), F.col("_id")).alias("doc_id"), "text", "n", "_before_id", "_before_row",
+        F.expr("substr(text, 1, cast(_need as int))").alias("_head"))
+    heads = d.groupBy(F.col("_before_id").alias("_id"), F.col("_before_row").alias("_row")).agg(F.max("_head").alias("_head"))  # repeated rows: one
+    d = d.select("_id", "_row", "_index", "doc_id", "text", "n").join(heads, ["_id", "_row"])
     return d.select("_index", ((F.col("_index") + 1) % total).alias("_next"), "doc_id", "n", "text",
                     F.expr("concat(substr(text, 1, cast(n - floor(n / 2) as int)), _head)").alias("edited"))
 
