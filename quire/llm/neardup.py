@@ -1,21 +1,23 @@
 """Near-duplicate documents by Order MinHash and banded alignment.
 
 A text's five-word shingles are labelled with their occurrence number. For each of ``SKETCHES`` random
-orders the smallest labelled shingles are taken and kept in text order; texts that agree on such an
-ordered tuple are candidates (agreement falls with the edit distance, not only with the shared
-shingles). Candidates are verified by a banded, bit-parallel alignment of their words: similarity =
-1 - edit distance / longer length, and pairs of 0.8 or more are links. Classes are the connected
-components of the links.
+orders the two smallest labelled shingles are taken and kept in text order; texts that agree on such an
+ordered pair are candidates (agreement falls with the edit distance, not only with the shared
+shingles). Candidates are verified by a banded,
+bit-parallel alignment of their words: similarity = 1 - edit distance / longer length, and pairs of 0.8
+or more are links. Classes are the connected components of the links.
 
-A pair with shingle Jaccard J agrees on one two-shingle sketch with a probability near J squared; with
-24 sketches a pair with J = 0.8 is missed with a probability below 1e-10, one with J = 0.5 below 0.002.
+A pair with shingle Jaccard J agrees on one sketch with a probability near J squared.
 
 Scale: equal texts are merged first, so copies are one candidate whatever their number. Within a
-sketch's group up to ``ALL_PAIRS`` texts are compared pairwise; in a larger group every text is
-compared with the group's first text and its neighbours in length, and the group is divided again by
-the four and the six smallest shingles, where the same holds: the number of candidates is linear.
+sketch's group up to ``ALL_PAIRS`` texts are compared pairwise. In a larger group every text is first
+compared with the group's first text and the next in length; what the links so far leave apart in it is
+then compared wholly, in blocks of about ``BLOCK`` texts, block by block: pairs of different components,
+each in the first group they share, that can reach the similarity by their lengths and common words.
+Blocks of one component are not compared with each other, so a group whose texts the first links join
+costs nothing more; one of many unlinked texts costs the square of its size, over many small tasks.
 Every text is first aligned with its smallest candidate; the second round takes only pairs that those
-links have not already joined. Texts meet only in pairs, never in groups.
+links have not already joined.
 
 Defined results: words are lower-cased (A-Z) runs of letters and digits; a null text is the empty text;
 texts without words are duplicates only of equal texts; a text of fewer than five words is one shingle;
@@ -24,7 +26,12 @@ rows equal in text are always in one class; rows with a null doc_id take part, a
 
 from __future__ import annotations
 
+import math
+from functools import lru_cache
+from itertools import combinations
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,9 +44,10 @@ from quire.llm.shipping import ship
 SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES = 24
-TAKEN = (2, 4, 6)
+TAKEN = 2
+SHORT = 0
 ALL_PAIRS = 16
-NEIGHBOURS = 3
+BLOCK = 256
 CHUNK_BYTES = 4 << 20
 
 
@@ -54,71 +62,177 @@ def occurrence_numbers(g: np.ndarray) -> np.ndarray:
 
 
 def sketch(h: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """The ordered tuples of a text with word hashes ``h``: one row a seed, one column for each size
-    in TAKEN."""
+    """The ordered tuples of a text with word hashes ``h``: one key a seed."""
     g = T.windows(h, min(SHINGLE, len(h)))
     x = T.mix(g + occurrence_numbers(g).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    n, most = len(x), max(TAKEN)
-    out = np.empty((len(seeds), len(TAKEN)), np.uint64)
+    n = len(x)
+    out = np.empty(len(seeds), np.uint64)
     step = max(1, (1 << 21) // n)
     for a in range(0, len(seeds), step):
         v = T.mix(x[None, :] ^ seeds[a:a + step, None])
-        if n > most:
-            at = np.argpartition(v, most - 1, axis=1)[:, :most]
-            at = np.take_along_axis(at, np.argsort(np.take_along_axis(v, at, 1), 1), 1)
-        else:
-            at = np.argsort(v, axis=1)
-        for k, size in enumerate(TAKEN):
-            took = g[np.sort(at[:, :size], axis=1)]  # in text order
-            key = seeds[a:a + step] + np.uint64(size)
-            for c in range(took.shape[1]):
-                key = T.mix(key * np.uint64(0xD6E8FEB86659FD93) + took[:, c])
-            out[a:a + step, k] = key
+        at = np.argpartition(v, TAKEN - 1, axis=1)[:, :TAKEN] if n > TAKEN else np.broadcast_to(np.arange(n), v.shape)
+        took = g[np.sort(at, axis=1)]  # in text order
+        key = seeds[a:a + step] + np.uint64(TAKEN)
+        for c in range(took.shape[1]):
+            key = T.mix(key * np.uint64(0xD6E8FEB86659FD93) + took[:, c])
+        out[a:a + step] = key
     return out
 
 
+@lru_cache(maxsize=None)
+def _left_out(n: int, k: int) -> np.ndarray:
+    """Every way to keep ``n`` - ``k`` of ``n`` positions, one row each."""
+    return np.array(list(combinations(range(n), n - k)), np.int64).reshape(-1, n - k)
+
+
+def shortened(h: np.ndarray, similarity: float) -> np.ndarray:
+    """Keys of a short text without up to as many of its words as it may differ in: two short texts that
+    are similar have one in common."""
+    n, out = len(h), []
+    for k in range(min(n - 1, int(n * (1 - similarity) + 1e-9)) + 1):
+        took = h[_left_out(n, k)]
+        key = np.full(len(took), n - k, np.uint64)
+        for c in range(n - k):
+            key = T.mix(key * np.uint64(0xD6E8FEB86659FD93) + took[:, c])
+        out.append(key)
+    return np.unique(np.concatenate(out))
+
+
 def seeds(n: int) -> np.ndarray:
     return T.mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
 
 
-def _sketches(n_sketches):
-    """(tid, text) to (tid, n, keys): the keys of all sketches, size by size."""
+def _lists(parts: list) -> pa.Array:
+    flat = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
+    offs = np.concatenate([[0], np.cumsum([len(k) for k in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offs), pa.array(flat))
+
+
+def _sketches(n_sketches, similarity):
+    """(tid, text) to (tid, n, keys, short): the keys of all sketches, and those of a short text's shortenings."""
     def run(batches):
-        s = seeds(n_sketches)
+        s, none = seeds(n_sketches), np.zeros(0, np.uint64)
         for batch in batches:
             buf, off = T.flat(batch.column(1))
-            n_out, keys = [], []
+            n_out, keys, short = [], [], []
             for a, b in T.chunks(off, CHUNK_BYTES):
                 _, _, h, first = T.words(buf[off[a]:off[b]], off[a:b + 1] - off[a], T.ALNUM, fold=True)
                 for d in range(b - a):
                     w = h[first[d]:first[d + 1]]
                     n_out.append(len(w))
-                    keys.append(sketch(w, s).T.ravel().view(np.int64) if len(w) else np.zeros(0, np.int64))
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            offs = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_out, pa.int64()),
-                                              pa.ListArray.from_arrays(pa.array(offs), pa.array(flat))], names=["tid", "n", "keys"])
+                    keys.append(sketch(w, s) if len(w) else none)
+                    short.append(shortened(w, similarity) if 0 < len(w) <= SHORT else none)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_out, pa.int64()), _lists(keys), _lists(short)],
+                                             names=["tid", "n", "keys", "short"])
+    return run
+
+
+def memberships(sketched: DataFrame, *more: str) -> DataFrame:
+    """(band, key, tid, n) of texts(tid, n, keys, short): band -1 holds the shortenings."""
+    long = sketched.select("tid", "n", *more, F.posexplode("keys").alias("band", "key"))
+    return long.select("band", "key", "tid", "n", *more).union(
+        sketched.select("tid", "n", *more, F.explode("short").alias("key")).select(F.lit(-1).alias("band"), "key", "tid", "n", *more))
+
+
+def candidates(sketched: DataFrame) -> DataFrame:
+    """Distinct candidate pairs (a < b) of texts(tid, n, keys, short): all pairs of groups up to ALL_PAIRS; in
+    larger ones each text's first pairs, :func:`apart` does the rest."""
+    w = W.partitionBy("band", "key")
+    rows = memberships(sketched).withColumn("_group", F.count("*").over(w)).where("_group > 1")
+    o = w.orderBy("n", "tid")
+    near = [F.lag("tid", d).over(o) for d in range(1, ALL_PAIRS)]
+    wide = F.array(near[0], F.first("tid").over(o))
+    mates = rows.select("tid", F.when(F.col("_group") <= ALL_PAIRS, F.array(*near)).otherwise(wide).alias("mates"))
+    pairs = mates.select("tid", F.explode(F.array_distinct("mates")).alias("mate")).where("mate is not null and mate <> tid")
+    return pairs.select(F.least("tid", "mate").alias("a"), F.greatest("tid", "mate").alias("b")).distinct()
+
+
+def _common(x: list, y: list) -> np.ndarray:
+    """How many words, repeats counted, each text of ``x`` has in common with each of ``y``."""
+    labelled = [T.mix(h + occurrence_numbers(h).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for h in x + y]
+    owner = np.repeat(np.arange(len(labelled)), [len(h) for h in labelled])
+    _, word, times = np.unique(np.concatenate(labelled), return_inverse=True, return_counts=True)
+    owner, word = owner[times[word] > 1], word[times[word] > 1]
+    order = np.argsort(word, kind="stable")
+    _, word = np.unique(word[order], return_inverse=True)
+    owner, out = owner[order], np.zeros((len(x), len(y)), np.float32)
+    step = 8192
+    for a in range(0, int(word[-1]) + 1 if len(word) else 0, step):
+        i, j = np.searchsorted(word, [a, a + step])
+        has = np.zeros((len(labelled), step), np.float32)
+        has[owner[i:j], word[i:j] - a] = 1
+        out += has[:len(x)] @ has[len(x):].T
+    return out
+
+
+def _compare(similarity):
+    """Two blocks of a group (side 0 and 1, or side 0 alone with itself) to the links that join its components."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["side", "tid"]).reset_index(drop=True)
+        buf, off = T.flat(pa.array(pdf["text"], pa.large_string()))
+        _, _, h, first = T.words(buf, off, T.ALNUM, fold=True)
+        words = [h[first[i]:first[i + 1]] for i in range(len(pdf))]
+        left = np.flatnonzero(pdf["side"] == 0)
+        right = np.flatnonzero(pdf["side"] == 1)
+        own = not len(right)
+        right = left if own else right
+        n, comp = np.array([len(w) for w in words]), pd.factorize(pdf["component"])[0]
+        longer = np.maximum(n[left][:, None], n[right][None, :])
+        spare = (longer * (1 - similarity) + 1e-9).astype(np.int64) - longer + _common([words[i] for i in left], [words[i] for i in right]).astype(np.int64)
+        ok = (spare >= 0) & (comp[left][:, None] != comp[right][None, :])
+        if own:
+            ok &= left[:, None] < right[None, :]
+        before = np.stack(pdf["before"].to_numpy()) if len(pdf) else np.zeros((0, 0))
+        for c in range(before.shape[1]):  # such a pair is compared in an earlier band's group
+            ok &= before[left, c][:, None] != before[right, c][None, :]
+        x, y = np.nonzero(ok)
+        up, tid, a, b = list(range(len(pdf))), pdf["tid"].tolist(), [], []
+
+        def root(c):
+            while up[c] != c:
+                up[c] = c = up[up[c]]
+            return c
+
+        for k in np.argsort(-spare[x, y], kind="stable"):  # the likeliest first
+            i, j = int(left[x[k]]), int(right[y[k]])
+            p, q = root(comp[i]), root(comp[j])
+            if p != q and similar(words[i], words[j], similarity):
+                up[p] = q
+                a.append(min(tid[i], tid[j]))
+                b.append(max(tid[i], tid[j]))
+        return pd.DataFrame({"a": a, "b": b})
     return run
 
 
-def candidates(sketched: DataFrame, n_sketches: int = SKETCHES) -> DataFrame:
-    """Distinct candidate pairs (a < b) of texts(tid, n, keys)."""
-    band = F.transform(F.sequence(F.lit(0), F.lit(n_sketches - 1)), lambda j: F.struct(
-        j.alias("band"), *[F.element_at("keys", j + (n_sketches * k + 1)).alias(f"k{s}") for k, s in enumerate(TAKEN)]))
-    rows = sketched.where("size(keys) > 0").select("tid", "n", F.explode(band).alias("s")).select("tid", "n", "s.*")
-    out = None
-    for size in TAKEN:
-        w = W.partitionBy("band", f"k{size}")
-        rows = rows.withColumn("_group", F.count("*").over(w)).where("_group > 1")
-        o = w.orderBy("n", "tid")
-        near = [F.lag("tid", d).over(o) for d in range(1, ALL_PAIRS)]
-        wide = F.array(*near[:NEIGHBOURS], F.first("tid").over(o))
-        mates = rows.select("tid", "n", F.when(F.col("_group") <= ALL_PAIRS, F.array(*near)).otherwise(wide).alias("mates"))
-        pairs = mates.select("tid", F.explode(F.array_distinct("mates")).alias("mate")).where("mate is not null and mate <> tid")
-        pairs = pairs.select(F.least("tid", "mate").alias("a"), F.greatest("tid", "mate").alias("b"))
-        out = pairs if out is None else out.union(pairs)
-        rows = rows.where(F.col("_group") > ALL_PAIRS)
-    return out.distinct()
+def apart(sketched: DataFrame, part: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links between components(node, component) inside the groups of more than ALL_PAIRS texts: all pairs of a
+    group that are not in one component, in pairs of blocks."""
+    key = ["band", "key"]
+    large = memberships(sketched).groupBy(*key).count().where(F.col("count") > ALL_PAIRS).select(*key)
+    rows = memberships(sketched, "keys").join(large, key, "left_semi")
+    rows = rows.join(part, rows["tid"] == part["node"], "left").withColumn("component", F.coalesce("component", "tid")).drop("node")
+    divided = rows.groupBy(*key).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select(*key)
+    # lengths that can be similar are at most one class apart
+    rows = rows.join(divided, key, "left_semi").withColumn("len", F.floor(F.log("n") / math.log(1 / min(similarity, 0.999))))
+    rows = written(rows.withColumn("before", F.expr("slice(keys, 1, greatest(band, 0))")).drop("keys"), "apart")
+    # a block: texts of one large component, or of several small ones
+    held = rows.groupBy(*key, "len", "component").agg(F.count("*").alias("of"))
+    held = held.withColumn("big", F.when(F.col("of") > BLOCK, F.hex("component")).otherwise(""))
+    total = held.groupBy(*key, "len", "big").agg(F.ceil(F.sum("of") / BLOCK).alias("salts"))
+    block = held.drop("of").join(total, [*key, "len", "big"])
+    rows = rows.join(block, [*key, "len", "component"])
+    rows = rows.withColumn("block", F.concat_ws("/", "big", "len", F.pmod(F.xxhash64("tid"), F.col("salts"))))
+    blocks = rows.select(*key, "len", "big", "block").distinct()
+    other = blocks.select(*key, F.col("len").alias("len2"), F.col("big").alias("big2"), F.col("block").alias("block2"))
+    cells = blocks.join(other, key).where("block <= block2 and abs(len - len2) <= 1 and (big <> big2 or big = '')")
+    cells = cells.select(*key, F.col("block").alias("x"), F.col("block2").alias("y"))
+    member = rows.select(*key, "block", "tid", "component", "before")
+    sides = [member.join(c.withColumnRenamed(at, "block"), [*key, "block"]).select(
+        *key, F.col("block").alias("x") if at == "x" else "x", F.col("block").alias("y") if at == "y" else "y",
+        F.lit(side).alias("side"), "tid", "component", "before")
+        for at, side, c in (("x", 0, cells), ("y", 1, cells.where("x <> y")))]
+    full = sides[0].union(sides[1]).join(texts, "tid")
+    return written(full.groupBy(*key, "x", "y").applyInPandas(_compare(similarity), "a binary, b binary").distinct(), "links")
 
 
 def banded_distance(a: list, b: list, limit: int) -> int:
@@ -225,8 +339,10 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, n_sketches: int = S
     d = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     d = d.select("doc_id", text_id(F.col("text")).alias("tid"), "text")
     copies = d.groupBy("tid").agg(F.min("doc_id").alias("doc"), F.count("*").alias("docs"))
-    sketched = d.select("tid", "text").mapInArrow(_sketches(n_sketches), "tid binary, n bigint, keys array<bigint>").dropDuplicates(["tid"])
-    pairs = written(candidates(sketched, n_sketches), "pairs")
+    sketched = d.select("tid", "text").mapInArrow(
+        _sketches(n_sketches, similarity), "tid binary, n bigint, keys array<bigint>, short array<bigint>").dropDuplicates(["tid"])
+    sketched = written(sketched, "sketches")
+    pairs = written(candidates(sketched), "pairs")
     ends = pairs.select(F.col("a").alias("tid")).union(pairs.select("b")).distinct()
     texts = written(d.select("tid", "text").join(ends, "tid", "left_semi").dropDuplicates(["tid"]), "texts")
     # first every text against its smallest candidate; then the pairs this has not joined already
@@ -237,7 +353,10 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, n_sketches: int = S
                  .select("a", F.least("a", "r").alias("r")))
     left = (pairs.join(root.select("a", F.col("r").alias("ra")), "a", "left").join(root.select(F.col("a").alias("b"), F.col("r").alias("rb")), "b", "left")
                  .where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).join(first, ["a", "b"], "left_anti").select("a", "b"))
-    part = components(found.union(links(left, texts, similarity, "links")))
+    part = written(components(found.union(links(left, texts, similarity, "links"))), "parts")
+    more = apart(sketched, part, texts, similarity)
+    if not more.isEmpty():
+        part = components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     t = copies.join(part, copies["tid"] == part["node"], "left").select(
         "tid", "doc", "docs", F.coalesce("component", "tid").alias("class_tid"))
     t = written(t, "texts")

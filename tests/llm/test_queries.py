@@ -160,6 +160,38 @@ def test_near_duplicates_large_group(spark):
     assert {r.doc_id: r.class_id for r in got} == {d: 0 if d < 100 else d for d, _ in rows}
 
 
+def test_near_duplicates_star(spark):
+    """A large group that holds together through one text: copies of a base that are mostly no links of each other."""
+    rng = np.random.default_rng(5)
+    base, rows = [f"w{i}" for i in range(100)], []
+    for i in range(800):
+        w = list(base)
+        for j in rng.choice(100, 17, replace=False):
+            w[j] = f"x{i}y{j}"
+        rows.append((i + 1, " ".join(w)))
+    rows.append((0, " ".join(base)))
+    got = {r.doc_id: r.class_id for r in neardup.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # links of the candidates, by brute force
+    key = {}
+    for d, t in rows:
+        _, _, h, _ = T.words(*T.flat(pa.array([t])), T.ALNUM, fold=True)
+        key[d] = (h, neardup.sketch(h, neardup.seeds(neardup.SKETCHES)))
+    sketches = np.stack([key[d][1] for d, _ in rows])
+    up = {d: d for d in key}
+
+    def root(d):
+        while up[d] != d:
+            d = up[d]
+        return d
+
+    for i, (d, _) in enumerate(rows):
+        for j in np.flatnonzero((sketches[:i] == sketches[i]).any(1)):
+            a, b = root(d), root(rows[j][0])
+            if a != b and neardup.similar(key[d][0], key[rows[j][0]][0]):
+                up[max(a, b)] = min(a, b)
+    assert got == {d: root(d) for d in key}
+
+
 def test_keep_one(spark, edge_dir):
     docs = spark.read.parquet(f"{edge_dir}/documents.parquet")
     kept = neardup.keep_one(docs)
