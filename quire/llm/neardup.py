@@ -1,13 +1,15 @@
 """Near-duplicate documents by Order MinHash and banded alignment.
 
-A text's five-word shingles are labelled with their occurrence number. For each of ``SKETCHES`` random
+A text's three-word shingles are labelled with their occurrence number. For each of ``SKETCHES`` random
 orders the two smallest labelled shingles are taken and kept in text order; texts that agree on such an
 ordered pair are candidates (agreement falls with the edit distance, not only with the shared
-shingles). Candidates are verified by a banded,
+shingles). Texts of at most ``SHORT`` words also meet by what is left of them when up to as many words as
+they may differ in are left out: that finds every pair of them. Candidates are verified by a banded,
 bit-parallel alignment of their words: similarity = 1 - edit distance / longer length, and pairs of 0.8
 or more are links. Classes are the connected components of the links.
 
-A pair with shingle Jaccard J agrees on one sketch with a probability near J squared.
+A pair with shingle Jaccard J agrees on one sketch with a probability near J squared; scattered word edits
+of similarity s leave about J = s^3 / (2 - s^3). README has the recall measured against brute force.
 
 Scale: equal texts are merged first, so copies are one candidate whatever their number. Within a
 sketch's group up to ``ALL_PAIRS`` texts are compared pairwise. In a larger group every text is first
@@ -20,7 +22,7 @@ Every text is first aligned with its smallest candidate; the second round takes
 links have not already joined.
 
 Defined results: words are lower-cased (A-Z) runs of letters and digits; a null text is the empty text;
-texts without words are duplicates only of equal texts; a text of fewer than five words is one shingle;
+texts without words are duplicates only of equal texts; a text of fewer than three words is one shingle;
 rows equal in text are always in one class; rows with a null doc_id take part, and are kept last.
 """
 
@@ -41,11 +43,11 @@ from quire.llm import textops as T
 from quire.llm.frames import components, pick, written
 from quire.llm.shipping import ship
 
-SHINGLE = 5
+SHINGLE = 3
 SIMILARITY = 0.8
-SKETCHES = 24
+SKETCHES = 40
 TAKEN = 2
-SHORT = 0
+SHORT = 14
 ALL_PAIRS = 16
 BLOCK = 256
 CHUNK_BYTES = 4 << 20
@@ -127,24 +129,28 @@ def _sketches(n_sketches, similarity):
     return run
 
 
-def memberships(sketched: DataFrame, *more: str) -> DataFrame:
+def memberships(sketched: DataFrame) -> DataFrame:
     """(band, key, tid, n) of texts(tid, n, keys, short): band -1 holds the shortenings."""
-    long = sketched.select("tid", "n", *more, F.posexplode("keys").alias("band", "key"))
-    return long.select("band", "key", "tid", "n", *more).union(
-        sketched.select("tid", "n", *more, F.explode("short").alias("key")).select(F.lit(-1).alias("band"), "key", "tid", "n", *more))
+    long = sketched.select("tid", "n", F.posexplode("keys").alias("band", "key")).select("band", "key", "tid", "n")
+    return long.union(sketched.select("tid", "n", F.explode("short").alias("key")).select(F.lit(-1).alias("band"), "key", "tid", "n"))
 
 
 def candidates(sketched: DataFrame) -> DataFrame:
-    """Distinct candidate pairs (a < b) of texts(tid, n, keys, short): all pairs of groups up to ALL_PAIRS; in
-    larger ones each text's first pairs, :func:`apart` does the rest."""
+    """Distinct candidate pairs (a < b) of texts(tid, n, keys, short): all pairs of groups up to ALL_PAIRS, each
+    text's first pairs in larger ones. A row (a, null, band, key, n) is text a's place in a larger group, for
+    :func:`apart`; the last three are null in pairs."""
     w = W.partitionBy("band", "key")
     rows = memberships(sketched).withColumn("_group", F.count("*").over(w)).where("_group > 1")
     o = w.orderBy("n", "tid")
     near = [F.lag("tid", d).over(o) for d in range(1, ALL_PAIRS)]
     wide = F.array(near[0], F.first("tid").over(o))
-    mates = rows.select("tid", F.when(F.col("_group") <= ALL_PAIRS, F.array(*near)).otherwise(wide).alias("mates"))
-    pairs = mates.select("tid", F.explode(F.array_distinct("mates")).alias("mate")).where("mate is not null and mate <> tid")
-    return pairs.select(F.least("tid", "mate").alias("a"), F.greatest("tid", "mate").alias("b")).distinct()
+    rows = rows.withColumn("mates", F.when(F.col("_group") <= ALL_PAIRS, F.array(*near)).otherwise(wide))
+    own = F.when(F.col("_group") > ALL_PAIRS, F.col("tid"))  # stands for the text's place
+    rows = rows.select("band", "key", "tid", "n", F.explode(F.concat(
+        F.filter(F.array_distinct("mates"), lambda m: m.isNotNull() & (m != F.col("tid"))), F.filter(F.array(own), lambda m: m.isNotNull()))).alias("mate"))
+    place = F.col("mate") == F.col("tid")
+    return rows.select(F.least("tid", "mate").alias("a"), F.when(~place, F.greatest("tid", "mate")).alias("b"),
+                       *[F.when(place, F.col(c)).alias(c) for c in ("band", "key", "n")]).distinct()
 
 
 def _common(x: list, y: list) -> np.ndarray:
@@ -204,17 +210,15 @@ def _compare(similarity):
     return run
 
 
-def apart(sketched: DataFrame, part: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Links between components(node, component) inside the groups of more than ALL_PAIRS texts: all pairs of a
-    group that are not in one component, in pairs of blocks."""
+def apart(places: DataFrame, sketched: DataFrame, part: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links between components(node, component) inside the groups of more than ALL_PAIRS texts, whose members are
+    places(tid, band, key, n): all pairs of a group that are not in one component, in pairs of blocks."""
     key = ["band", "key"]
-    large = memberships(sketched).groupBy(*key).count().where(F.col("count") > ALL_PAIRS).select(*key)
-    rows = memberships(sketched, "keys").join(large, key, "left_semi")
-    rows = rows.join(part, rows["tid"] == part["node"], "left").withColumn("component", F.coalesce("component", "tid")).drop("node")
+    rows = places.join(part, places["tid"] == part["node"], "left").withColumn("component", F.coalesce("component", "tid")).drop("node")
     divided = rows.groupBy(*key).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select(*key)
     # lengths that can be similar are at most one class apart
     rows = rows.join(divided, key, "left_semi").withColumn("len", F.floor(F.log("n") / math.log(1 / min(similarity, 0.999))))
-    rows = written(rows.withColumn("before", F.expr("slice(keys, 1, greatest(band, 0))")).drop("keys"), "apart")
+    rows = written(rows, "apart")
     # a block: texts of one large component, or of several small ones
     held = rows.groupBy(*key, "len", "component").agg(F.count("*").alias("of"))
     held = held.withColumn("big", F.when(F.col("of") > BLOCK, F.hex("component")).otherwise(""))
@@ -226,12 +230,13 @@ def apart(sketched: DataFrame, part: DataFrame, texts: DataFrame, similarity: fl
     other = blocks.select(*key, F.col("len").alias("len2"), F.col("big").alias("big2"), F.col("block").alias("block2"))
     cells = blocks.join(other, key).where("block <= block2 and abs(len - len2) <= 1 and (big <> big2 or big = '')")
     cells = cells.select(*key, F.col("block").alias("x"), F.col("block2").alias("y"))
-    member = rows.select(*key, "block", "tid", "component", "before")
+    member = rows.select(*key, "block", "tid", "component")
     sides = [member.join(c.withColumnRenamed(at, "block"), [*key, "block"]).select(
         *key, F.col("block").alias("x") if at == "x" else "x", F.col("block").alias("y") if at == "y" else "y",
-        F.lit(side).alias("side"), "tid", "component", "before")
+        F.lit(side).alias("side"), "tid", "component")
         for at, side, c in (("x", 0, cells), ("y", 1, cells.where("x <> y")))]
-    full = sides[0].union(sides[1]).join(texts, "tid")
+    full = sides[0].union(sides[1]).join(texts, "tid").join(sketched.select("tid", "keys"), "tid")
+    full = full.withColumn("before", F.expr("slice(keys, 1, greatest(band, 0))")).drop("keys")
     return written(full.groupBy(*key, "x", "y").applyInPandas(_compare(similarity), "a binary, b binary").distinct(), "links")
 
 
@@ -342,7 +347,9 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, n_sketches: int = S
     sketched = d.select("tid", "text").mapInArrow(
         _sketches(n_sketches, similarity), "tid binary, n bigint, keys array<bigint>, short array<bigint>").dropDuplicates(["tid"])
     sketched = written(sketched, "sketches")
-    pairs = written(candidates(sketched), "pairs")
+    met = written(candidates(sketched), "pairs")
+    pairs = met.where("b is not null").select("a", "b")
+    places = met.where("b is null").select(F.col("a").alias("tid"), "band", "key", "n")
     ends = pairs.select(F.col("a").alias("tid")).union(pairs.select("b")).distinct()
     texts = written(d.select("tid", "text").join(ends, "tid", "left_semi").dropDuplicates(["tid"]), "texts")
     # first every text against its smallest candidate; then the pairs this has not joined already
@@ -354,7 +361,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, n_sketches: int = S
     left = (pairs.join(root.select("a", F.col("r").alias("ra")), "a", "left").join(root.select(F.col("a").alias("b"), F.col("r").alias("rb")), "b", "left")
                  .where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).join(first, ["a", "b"], "left_anti").select("a", "b"))
     part = written(components(found.union(links(left, texts, similarity, "links"))), "parts")
-    more = apart(sketched, part, texts, similarity)
+    more = apart(places, sketched, part, texts, similarity)
     if not more.isEmpty():
         part = components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     t = copies.join(part, copies["tid"] == part["node"], "left").select(

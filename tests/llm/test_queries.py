@@ -160,6 +160,17 @@ def test_near_duplicates_large_group(spark):
     assert {r.doc_id: r.class_id for r in got} == {d: 0 if d < 100 else d for d, _ in rows}
 
 
+def test_near_duplicates_short(spark):
+    """Short texts a middle word apart (similarity 0.8 or 0.9) meet, though they share hardly a shingle."""
+    rows = []
+    for n, k in ((5, 2), (9, 4), (10, 5), (14, 7)):
+        for i in range(12):
+            w = [f"q{n}x{i}y{j}" for j in range(n)]
+            rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(w[:k] + ["other"] + w[k + 1:]))]
+    got = {r.doc_id: r.class_id for r in neardup.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: d - d % 2 for d, _ in rows}
+
+
 def test_near_duplicates_star(spark):
     """A large group that holds together through one text: copies of a base that are mostly no links of each other."""
     rng = np.random.default_rng(5)
@@ -190,6 +201,7 @@ def test_near_duplicates_star(spark):
             if a != b and neardup.similar(key[d][0], key[rows[j][0]][0]):
                 up[max(a, b)] = min(a, b)
     assert got == {d: root(d) for d in key}
+    assert sum(c == 0 for c in got.values()) > 760
 
 
 def test_keep_one(spark, edge_dir):
