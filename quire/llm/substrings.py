@@ -13,7 +13,8 @@ document but the smallest loses its words.
 
 Scale: suffixes travel packed (about nine bytes each: the path key and a position delta), texts travel
 compressed, once. Within one task repeats are resolved before the shuffle, so the node of a passage
-that a third of all documents share receives one document per task unit, not all of them. The width
+that a third of all documents share receives one document per task unit, not all of them. Windows lost
+that way need no group's suffixes; a unit's are dealt over all groups by its task and number. The width
 of path keys grows with the number of suffixes so that two different paths share one with
 a probability below 2**-12 over the whole input.
 
@@ -30,6 +31,7 @@ from itertools import compress
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -113,6 +115,7 @@ def _suffixes(depth, words, wide, plan_of):
     """Packed rows (group, kind, blob): kind 1 suffixes, kind 2 windows already known to be repeats."""
     def run(batches):
         first_group, parts, n_groups = plan_of()
+        task = TaskContext.get().partitionId() << 32
         for u, (ids, rows, texts) in enumerate(K.units(batches, 2, UNIT_BYTES)):
             key, null, row = K.doc_keys(ids, rows)
             buf, off = T.flat(texts)
@@ -148,7 +151,7 @@ def _suffixes(depth, words, wide, plan_of):
             i = np.flatnonzero(lost)
             if len(i):
                 d, inv = np.unique(doc[i], return_inverse=True)
-                out_g.append(u % n_groups)
+                out_g.append(int(T.mix(np.array([task + u], np.uint64))[0] % np.uint64(n_groups)))
                 out_k.append(2)
                 out_b.append(K.dump(key[d], row[d], first[d].astype(np.uint32), np.bincount(inv).astype(np.uint32), at[i].astype(np.uint32)))
             yield pa.RecordBatch.from_arrays([pa.array(out_g, pa.int64()), pa.array(out_k, pa.int32()), pa.array(out_b, pa.binary())],

@@ -160,6 +160,18 @@ def test_near_duplicates_large_group(spark):
     assert {r.doc_id: r.class_id for r in got} == {d: 0 if d < 100 else d for d, _ in rows}
 
 
+def test_unit_repeats_spread_over_groups(spark):
+    """Windows repeated inside a unit go to all groups, though every task's first unit has number 0."""
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(i, i, f"{passage} a{i} {passage}") for i in range(128)]
+    rows += [(1000 + i, i, f"{passage} b{i}") for i in range(128)]
+    plan = np.zeros(1 << 12, np.int64), np.ones(1 << 12, np.int64), 64
+    d = spark.createDataFrame(spark.sparkContext.parallelize(sorted(rows, key=lambda r: r[0] % 1000), 64), "doc_id long, row32 long, text string")
+    out = d.mapInArrow(substrings._suffixes(13, 2, False, lambda: plan), "group bigint, kind int, blob binary").where("kind = 2")
+    held = Counter(r.group for r in out.select("group").collect())
+    assert sum(held.values()) == 64 and len(held) > 24 and max(held.values()) <= 8
+
+
 def test_near_duplicates_short(spark):
     """Short texts a middle word apart (similarity 0.8 or 0.9) meet, though they share hardly a shingle."""
     rows = []
