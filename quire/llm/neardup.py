@@ -29,7 +29,6 @@ rows equal in text are always in one class; rows with a null doc_id take part, a
 from __future__ import annotations
 
 import math
-from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -81,10 +80,14 @@ def sketch(h: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     return out
 
 
-@lru_cache(maxsize=None)
+_LEFT_OUT: dict[tuple[int, int], np.ndarray] = {}  # a plain table: it travels with the functions that use it
+
+
 def _left_out(n: int, k: int) -> np.ndarray:
     """Every way to keep ``n`` - ``k`` of ``n`` positions, one row each."""
-    return np.array(list(combinations(range(n), n - k)), np.int64).reshape(-1, n - k)
+    if (n, k) not in _LEFT_OUT:
+        _LEFT_OUT[n, k] = np.array(list(combinations(range(n), n - k)), np.int64).reshape(-1, n - k)
+    return _LEFT_OUT[n, k]
 
 
 def shortened(h: np.ndarray, similarity: float) -> np.ndarray:
