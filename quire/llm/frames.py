@@ -63,6 +63,21 @@ def ordered(df: DataFrame, order: list, name: str, index: str = "_index") -> Dat
              .withColumn(index, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before"))
 
 
+#: a key with more than this part of all rows is joined map-side; there are at most so many of them
+HOT_KEYS = 4096
+
+
+def attach(df: DataFrame, groups: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """``df`` with the columns of ``groups`` (one row per non-null ``key``, ``n`` rows of ``df`` have it; ``total``
+    is their sum). Keys that hold more than ``total / HOT_KEYS`` rows are at most ``HOT_KEYS``, so their groups
+    are broadcast and their rows are not shuffled; no task of the other join gets more rows of one key than that."""
+    hot = groups.where(F.col(n) > total // HOT_KEYS)
+    names = hot.select(F.col(key).alias("_hot"))
+    rest = df.join(F.broadcast(names), F.col(key) == F.col("_hot"), "left_anti")
+    return (df.join(F.broadcast(hot), key)
+              .unionByName(rest.join(groups.where(F.col(n) <= total // HOT_KEYS), key)))
+
+
 def components(edges: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``edges(a, b)``: (node, component), the component being its
     smallest node. Alternating large-star and small-star rounds; each round is written to the shared

@@ -126,3 +126,41 @@ kept AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM wor
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM w LEFT JOIN kept USING (r)
 """
+
+ORACLE["op11_exact_dedup"] = r"""
+WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS h FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
+       row_number() OVER (PARTITION BY h ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, h AS text_sha256 FROM t
+"""
+
+#: one assignment of all parts to the entries of {book}
+_ASSIGNED = """SELECT r, p, x, best.k AS k, best.d AS d FROM (
+  SELECT r, p, any_value(x) AS x, min({{'d': d, 'k': k}}) AS best FROM (
+    SELECT a.r, a.p, a.x, b.k, CAST(list_sum(list_transform(list_zip(a.x, b.c), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS BIGINT) AS d
+    FROM parts a JOIN {book} b USING (p)) GROUP BY r, p)"""
+#: the codebooks of the members in {members}; entries without members stay as in {book}
+_UPDATED = """SELECT p, k, coalesce(m.c, b.c) AS c FROM {book} b LEFT JOIN (
+  SELECT p, k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM (
+    SELECT p, k, i, sum(v) AS s, count(*) AS n FROM (SELECT p, k, unnest(x) AS v, unnest(range(len(x))) AS i FROM {members}) GROUP BY p, k, i)
+  GROUP BY p, k) m USING (p, k)"""
+ORACLE["op13_vector_codes"] = r"""
+WITH raw AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, label,
+         list_transform(embedding, lambda x: CAST(greatest(least(floor(256 * CAST(x AS DOUBLE)), 536870912), -536870912) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) > 0 AND len(embedding) % 16 = 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+kept AS MATERIALIZED (SELECT * FROM raw WHERE len(v) = (SELECT n FROM (SELECT len(v) AS n, count(*) AS c FROM raw GROUP BY 1) ORDER BY c DESC, n LIMIT 1)),
+parts AS MATERIALIZED (SELECT r, p, v[p * len(v) // 16 + 1:(p + 1) * len(v) // 16] AS x FROM (SELECT r, v, unnest(range(16)) AS p FROM kept)),
+seeds AS (SELECT r, row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS k FROM kept QUALIFY k < 64),
+b0 AS MATERIALIZED (SELECT p, k, x AS c FROM parts JOIN seeds USING (r)),
+m0 AS MATERIALIZED (""" + _ASSIGNED.format(book="b0") + """),
+b1 AS MATERIALIZED (""" + _UPDATED.format(book="b0", members="m0") + """),
+m1 AS MATERIALIZED (""" + _ASSIGNED.format(book="b1") + """),
+b2 AS MATERIALIZED (""" + _UPDATED.format(book="b1", members="m1") + """),
+m2 AS MATERIALIZED (""" + _ASSIGNED.format(book="b2") + """),
+codes AS MATERIALIZED (SELECT r, string_agg(printf('%02x', k), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM m2 GROUP BY r),
+sha AS (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY p, k, i)) AS codebooks_sha256
+        FROM (SELECT p, k, unnest(c) AS v, unnest(range(len(c))) AS i FROM b2))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM kept JOIN codes USING (r), sha
+"""

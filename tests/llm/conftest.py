@@ -59,6 +59,14 @@ def edge_dir(tmp_path_factory):
     cols = list(zip(*pages))
     pq.write_table(pa.table({"page_id": pa.array(cols[0], pa.int64()), "url": pa.array(cols[1], pa.string()), "html": pa.array(cols[2], pa.string()),
                              "host": pa.array(["h"] * len(pages))}), d / "pages.parquet")
+    nan, inf, base = float("nan"), float("inf"), [[(i * 7 + j * 3) % 11 / 8 - 0.7 for j in range(32)] for i in range(90)]
+    vectors = [(i, base[i], i % 5) for i in range(90)] + [
+        (5, base[5], 0), (5, base[7], 1), (None, base[3], None), (None, base[4], 2), (200, None, 1), (201, [], 1), (202, [0.5] * 31, 1),
+        (203, [0.5] * 16, 1), (204, base[1][:31] + [nan], 1), (205, base[1][:31] + [inf], 1), (206, base[1][:31] + [None], 1),
+        (-7, [-0.0] * 32, None), (207, [1e30] + [0.0] * 31, 9), (208, [-1e30] * 32, 9), (209, [3e6, -3e6] * 16, 9)]
+    cols = list(zip(*vectors))
+    pq.write_table(pa.table({"vec_id": pa.array(cols[0], pa.int64()), "embedding": pa.array(cols[1], pa.list_(pa.float32())),
+                             "label": pa.array(cols[2], pa.int32()), "code": ["c"] * len(vectors), "row": [0] * len(vectors)}), d / "embeddings.parquet")
     return str(d)
 
 
@@ -66,6 +74,6 @@ def edge_dir(tmp_path_factory):
 def empty_dir(tmp_path_factory, edge_dir):
     """The same tables without rows."""
     d = tmp_path_factory.mktemp("empty")
-    for t in ("documents", "benchmark", "labels", "pages"):
+    for t in ("documents", "benchmark", "labels", "pages", "embeddings"):
         pq.write_table(pq.read_table(f"{edge_dir}/{t}.parquet").slice(0, 0), d / f"{t}.parquet")
     return str(d)

@@ -43,7 +43,11 @@ def test_clashing_columns(spark, edge_dir, name):
         "op3_suffix_array_dedup": bytespans.digest, "op4_order_minhash": neardup.digest, "op5_token_files": tokens.digest,
         "op7_secret_scan": queries.secrets.digest, "op8_mix_sources": queries.mixing.digest, "op9_fingerprints": fingerprints.digest,
         "op10_toxicity": lambda d: toxicity.digest(d, labels)}
-    if name == "op6_url_filter":
+    run |= {"op11_exact_dedup": queries.digestindex.digest, "op12_periodic_runs": lambda d: queries.periods.digest(queries.with_tails(d))}
+    if name == "op13_vector_codes":
+        vec = spark.read.parquet(f"{edge_dir}/embeddings.parquet")
+        a, b = queries.lloyd.digest(vec.toDF("vec_id", "embedding", "label", "VEC_ID", "label")), queries.lloyd.digest(vec)
+    elif name == "op6_url_filter":
         a, b = queries.urlfilter.digest(pages.toDF("page_id", "url", "html", "URL")), queries.urlfilter.digest(pages)
     else:
         a, b = run[name](clash), run[name](docs)
