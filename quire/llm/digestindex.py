@@ -72,8 +72,9 @@ class DigestIndex:
         """Append what is new in ``digests`` (see :func:`digests`), by a sort-merge anti-join. Returns the entries
         appended."""
         known = self.entries()
-        new = (digests.groupBy("digest").agg(F.max("doc_id").alias("keep_id"))
-                      .join(known.select("digest").hint("merge"), "digest", "left_anti").withColumn("batch", F.lit(batch)))
+        # written first: the optimizer would move the anti-join below the aggregation, and shuffle every row of a text
+        texts = written(digests.groupBy("digest").agg(F.max("doc_id").alias("keep_id")), "digest_batch")
+        new = texts.join(known.select("digest").hint("merge"), "digest", "left_anti").withColumn("batch", F.lit(batch))
         before = known.count()
         self.append(new)
         self.spark.catalog.refreshTable(self.table)
