@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm import textops as T
 from quire.llm.frames import attach, pick, shuffle_partitions, written
 from quire.llm.shipping import ship
 from quire.session import materialize
@@ -47,14 +48,17 @@ def limit(width: int) -> int:
     return 1 << ((62 - max(1, width).bit_length() + 1) // 2 - 1)
 
 
-def packed(x: np.ndarray) -> bytes:
-    """32-bit integers as bytes that sort like the integers."""
-    return (x.astype(np.int64) + (1 << 31)).astype(">u4").tobytes()
+def packed(x: np.ndarray) -> pa.Array:
+    """Rows of 32-bit integers as bytes that sort like the integers."""
+    n, width = x.shape
+    data = (x.astype(np.int64) + (1 << 31)).astype(">u4")
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, 4 * n * width + 1, max(1, 4 * width), dtype=np.int32)[:n + 1]),
+                                                  pa.py_buffer(data.tobytes())])
 
 
-def unpacked(data: list[bytes]) -> np.ndarray:
+def unpacked(column: pa.Array) -> np.ndarray:
     """Rows of integers from rows of bytes of one length."""
-    return (np.frombuffer(b"".join(data), ">u4").astype(np.int64) - (1 << 31)).reshape(len(data), -1)
+    return (T.flat(column)[0].view(">u4").astype(np.int64) - (1 << 31)).reshape(len(column), -1)
 
 
 def _integers(parts, scale):
@@ -75,13 +79,12 @@ def _integers(parts, scale):
             np.cumsum(~np.isfinite(x), out=bad[1:])
             ok = (size > 0) & (size % parts == 0) & (bad[ends] == bad[ends - size])
             keep = np.flatnonzero(ok)
-            out = []
-            for i in keep.tolist():
-                top = limit(int(size[i]) // parts)
-                out.append(packed(np.clip(np.floor(x[ends[i] - size[i]:ends[i]] * scale), -top, top)))
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(keep)), labels.take(pa.array(keep)), pa.array(out, pa.binary()), pa.array(size[keep], pa.int32())],
-                names=["vec_id", "label", "x", "n"])
+            for n in np.unique(size[keep]).tolist():  # vectors of one length together
+                own, top = keep[size[keep] == n], limit(n // parts)
+                v = np.clip(np.floor(x[(ends[own] - n)[:, None] + np.arange(n)] * scale), -top, top)
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(pa.array(own)), labels.take(pa.array(own)), packed(v), pa.array(size[own], pa.int32())],
+                    names=["vec_id", "label", "x", "n"])
     return run
 
 
@@ -89,11 +92,16 @@ def nearest(x: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(entry, squared distance) of the nearest entry of ``book`` to each row of ``x``; ties to the lower."""
     best = np.zeros(len(x), np.int64)
     least = np.full(len(x), TOP)
+    columns = np.ascontiguousarray(x.T)
     for k, entry in enumerate(book):
-        d = x - entry
-        d = np.einsum("ij,ij->i", d, d)
+        d = np.zeros(len(x), np.int64)
+        for c, e in zip(columns, entry.tolist()):
+            step = c - e
+            step *= step
+            d += step
         closer = d < least
-        best[closer], least[closer] = k, d[closer]
+        best[closer] = k
+        np.minimum(least, d, out=least)
     return best, least
 
 
@@ -102,16 +110,15 @@ def _deal(parts, book):
     def run(batches):
         for batch in batches:
             rows = batch.column(0)
-            data = batch.column(1).to_pylist()
-            for a in range(0, len(data), 4096):
-                x = unpacked(data[a:a + 4096])
+            for a in range(0, len(batch), 4096):
+                x = unpacked(batch.column(1).slice(a, 4096))
                 width = x.shape[1] // parts
                 for p in range(parts):
                     part = np.ascontiguousarray(x[:, p * width:(p + 1) * width])
                     entry, _ = nearest(part, book[p])
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(part), p, np.int32)), pa.array(entry.astype(np.int32)), rows.slice(a, len(part)),
-                         pa.array([packed(r) for r in part], pa.binary())], names=["position", "entry", "row", "x"])
+                         packed(part)], names=["position", "entry", "row", "x"])
     return run
 
 
@@ -124,7 +131,7 @@ def _resident(books, last):
                 continue
             pos = batch.column(0).to_numpy()
             old = batch.column(1).to_numpy()
-            x = unpacked(batch.column(3).to_pylist())
+            x = unpacked(batch.column(3))
             stays = np.ones(len(pos), bool)
             now, dist = old.astype(np.int64), np.zeros(len(pos), np.int64)
             for p in np.unique(pos):
@@ -151,7 +158,7 @@ def _sums(width):
             if not len(batch):
                 continue
             key = batch.column(0).to_numpy().astype(np.int64) << 32 | batch.column(1).to_numpy()
-            x = unpacked(batch.column(3).to_pylist())
+            x = unpacked(batch.column(3))
             names, inverse, counts = np.unique(key, return_inverse=True, return_counts=True)
             s = np.zeros((len(names), width), np.int64)  # at most an Arrow batch of 32-bit numbers
             np.add.at(s, inverse, x)
@@ -248,7 +255,7 @@ def compress(df: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rounds:
     seed = v.orderBy(F.col("vec_id").asc_nulls_last(), "x").select("x").limit(entries).collect()
     if not seed:
         return np.zeros((parts, 0, 0), np.int64), v.select("vec_id", "label", F.lit("").alias("code"), F.lit(0).cast("bigint").alias("error"))
-    first = np.stack([unpacked([r.x]).reshape(parts, -1) for r in seed], 1)
+    first = np.stack([x.reshape(parts, -1) for x in unpacked(pa.array([bytes(r.x) for r in seed], pa.binary()))], 1)
     book, final = train(v.select("row", "x"), first, parts, rounds)
     # eight parts' digits to a 64-bit word
     lanes = [F.bit_or(F.when((F.col("position") / 8).cast("int") == k, F.expr("shiftleft(cast(entry as bigint), cast(8 * (7 - position % 8) as int))"))

@@ -215,7 +215,7 @@ def test_hot_entries_are_dealt_to_many_owners(spark):
     first = np.zeros((16, 2, 1), np.int64)
     first[:, 1] = 5000
     members = df.selectExpr("vec_id AS row", "embedding").select("row").crossJoin(
-        spark.createDataFrame([(bytes(lloyd.packed(np.zeros(16))),)], "x binary"))
+        spark.createDataFrame([(lloyd.packed(np.zeros((1, 16)))[0].as_py(),)], "x binary"))
     dealt = members.mapInArrow(lloyd._deal(16, first), lloyd.PART)
     count = np.zeros((16, 2), np.int64)
     count[:, 0] = 4000
