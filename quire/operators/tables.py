@@ -180,6 +180,24 @@ def _value(cell: Column) -> Column:
     return F.when(cell.isin(MISSING_WORDS), None).otherwise(cell)
 
 
+def record_cells(record: Column, delimiter: str) -> Column:
+    """The cells of one delimited record: delimiters and line breaks inside double quotes do not split."""
+    esc = "\\" + delimiter if not delimiter.isalnum() else delimiter
+    return F.transform(F.split(_protect(record, delimiter), esc, -1), lambda c: _restore(c, delimiter))
+
+
+def parse_records(records: DataFrame, delimiter: str, key: str = "table_id") -> DataFrame:
+    """Records (key, row_idx, header_text, text, closed) of delimited files to table form: as :func:`parse_tables`, but
+    row by row, so a table may be of any size. ``error`` marks a row longer than its header, or of a record whose
+    quote stays open (no cells)."""
+    x = records.select(key, "row_idx", "closed", record_cells(F.col("header_text"), delimiter).alias("header"),
+                       record_cells(F.col("text"), delimiter).alias("_row"))
+    error = (F.when(~F.col("closed"), F.lit("open quote"))
+             .when(F.size("_row") > F.size("header"), F.lit("row longer than header")))
+    padded = F.transform(F.sequence(F.lit(1), F.size("header")), lambda j: _value(F.try_element_at(F.col("_row"), j)))
+    return x.select(key, "row_idx", "header", F.when(error.isNull(), padded).alias("cells"), error.alias("error"))
+
+
 def parse_tables(texts: DataFrame, text: str = "table", key: str = "table_id", delimiter: str = "|") -> DataFrame:
     """R2 + F8: delimited text back to table form.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.constants import PROMPT_TYPES, REASONING_TYPES
+from quire.constants import MISSING_WORDS, PROMPT_TYPES, REASONING_TYPES
 from quire.operators import characteristics as ch
 from quire.operators import scoring as sc
 from quire.operators import sampling as sm
@@ -44,6 +44,30 @@ def s1_json_roundtrip(spark, d):
                        "validity_scalar")
 
 
+SEED_BATCH = 2000  # documents in one seed file: files of several splits, with quoted line breaks
+SEED_SPLIT = "1m"
+
+
+@query("s5_seed_tables")
+def s5_seed_tables(spark, d):
+    """Documents written as seed tables (one file per run of ids) and read by byte ranges."""
+    docs = tb.table(spark, d, "documents").select("doc_id", "source", "text", F.floor(F.col("doc_id") / SEED_BATCH).alias("batch"))
+    path = fs.scratch_dir(spark, "seed_tables")
+    (docs.repartition("batch").sortWithinPartitions("batch", "doc_id").write.partitionBy("batch").option("header", True).option("sep", "#")
+         .option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    split = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", SEED_SPLIT)
+    try:
+        t = fs.accepted_tables(fs.read_seed_tables(spark, path))
+        t.schema
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    cell = lambda i: F.element_at("cells", i)
+    return t.select(F.regexp_extract("table_id", "batch=([0-9]+)", 1).cast("bigint").alias("batch"), "row_idx",
+                    cell(1).cast("bigint").alias("doc_id"), cell(2).alias("source"), cell(3).alias("text"),
+                    F.array_join("header", ",").alias("header"))
+
+
 @query("s2_tolerant_read")
 def s2_tolerant_read(spark, d):
     path = fs.scratch_dir(spark, "raw")
@@ -160,6 +184,11 @@ RUNS = ("runs", """SELECT DISTINCT 'eval_output/all/main/' || reasoning_type ||
 
 ORACLE["s1_json_roundtrip"] = W("examples") + """
 SELECT example_id, question, ground_truth, CAST(validity_scalar AS INTEGER) AS validity_scalar FROM examples"""
+ORACLE["s5_seed_tables"] = f"""
+SELECT doc_id // {SEED_BATCH} AS batch, CAST(row_number() OVER (PARTITION BY doc_id // {SEED_BATCH} ORDER BY doc_id) AS INTEGER) AS row_idx,
+       doc_id, source, CASE WHEN text IN ('', {", ".join(f"'{w}'" for w in MISSING_WORDS)}) THEN NULL ELSE text END AS text,
+       'doc_id,source,text' AS header
+FROM documents"""
 ORACLE["s2_tolerant_read"] = W("raw_json") + """
 SELECT CASE WHEN json_valid(raw) THEN CAST(json_extract(raw, '$.k') AS BIGINT) END AS k,
        CASE WHEN NOT json_valid(raw) THEN raw END AS corrupt FROM raw_json"""

@@ -79,17 +79,31 @@ def write_csv(df: DataFrame, path: str, header: bool = True, mode: str = "overwr
 
 
 def read_seed_tables(spark: SparkSession, path: str, delimiter: str = "#", glob: str = "*.csv") -> DataFrame:
-    """``#``-delimited tables with a header line, one table per file, in table form.
+    """``#``-delimited tables with a header line, one table per file, in table form (table_id, row_idx,
+    header, cells, error).
 
-    Each file is one row (``wholetext``); tables may have different headers. The table
-    id is the file path. Callers apply the size gate (F3) before any per-table work.
+    Files of any size are read by byte ranges, quoted line breaks included (:mod:`quire.sources.records`); tables
+    may have different headers. The table id is the file path. A row longer than its header, or a record whose
+    quote stays open, has ``error`` set and no cells; :func:`accepted_tables` leaves such tables out. Callers apply
+    the size gate (F3) before any per-table work.
     """
-    from quire.operators.tables import parse_tables
-
-    # ``wholetext`` must go through ``text()``: its default argument overrides an ``option``
-    raw = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-           .text(path, wholetext=True).select(F.col("_metadata.file_path").alias("table_id"), F.col("value").alias("text")))
-    return parse_tables(raw, "text", "table_id", delimiter)
+    from quire.operators.tables import parse_records
+    from quire.sources.records import read_records
+
+    r = read_records(spark, path, glob).withColumnRenamed("source_file", "table_id")
+    # the header is known where a file's first split is read; rows of its later splits fetch it by a join
+    body = r.where("record_no > 0").withColumn("row_idx", F.col("record_no").cast("int"))
+    here = body.where("first IS NOT NULL").select("table_id", "row_idx", F.col("first").alias("header_text"), "text", "closed")
+    headers = r.where("record_no = 0").select("table_id", F.col("text").alias("header_text"))
+    away = body.where("first IS NULL").join(headers, "table_id").select(*here.columns)
+    rows = here.unionByName(away)
+    return parse_records(rows, delimiter)
+
+
+def accepted_tables(tables: DataFrame) -> DataFrame:
+    """F8 for tables read row by row: the rows of tables without any error."""
+    bad = tables.where("error IS NOT NULL").select("table_id").distinct()
+    return tables.join(bad, "table_id", "left_anti").drop("error")
 
 
 def tracker_for_write(df: DataFrame) -> DataFrame:
