@@ -16,6 +16,7 @@ import re
 
 from quire.constants import BAR_TABLE_SECTION, HTML_HEAD, JSON_FENCED_SECTIONS, LOG_FIELDS, TABLE_MARKDOWN_SECTIONS
 from quire.functions.text import html_escape, md_header_fix
+from quire.operators.ranges import text_chunks, whole_texts
 
 SEP = "\n\n"
 
@@ -145,7 +146,8 @@ def html_report(items: DataFrame, key: str, order: str, title: str = "title", co
     """One HTML page per key from ordered ``(title, content)`` items.
 
     JSON content is pretty-printed (sorted keys, four-space indent) into a ``<pre>`` block;
-    all content is HTML-escaped with ``<br>`` line breaks. The group is one report's items.
+    all content is HTML-escaped with ``<br>`` line breaks. Ranges of a report's items are joined where they lie, so
+    the items of a long report are never gathered in one task.
     """
     from quire.operators.jsonops import is_json as json_test
     from quire.operators.jsonops import pretty_json
@@ -155,6 +157,6 @@ def html_report(items: DataFrame, key: str, order: str, title: str = "title", co
     body = F.when(is_json, F.concat(F.lit("<pre>"), html_escape(pretty), F.lit("</pre>"))).otherwise(html_escape(content))
     div = F.concat(F.lit("<div><strong>"), F.coalesce(F.col(title), F.lit("")), F.lit("</strong><p>"),
                    F.coalesce(body, F.lit("")), F.lit("</p></div>"))
-    g = items.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), div.alias("d")))).alias("_d"))
-    return g.select(key, F.concat(F.lit(HTML_HEAD), F.array_join(F.transform("_d", lambda x: x["d"]), ""),
-                                  F.lit("</body></html>")).alias("html"))
+    chunks = text_chunks(items, key, [order], div, sep="")
+    return whole_texts(chunks, sep="").select(F.col("key").alias(key), F.concat(
+        F.lit(HTML_HEAD), F.col("text"), F.lit("</body></html>")).alias("html"))

@@ -3,9 +3,9 @@
 Table form: ``(table_id, row_idx INT, header ARRAY<STRING>, cells ARRAY<STRING>)``,
 one row per table row; many tables live in one DataFrame.
 
-Per-table text is assembled with one ``groupBy(table_id)`` whose group is a single table:
-the result is one text per table, so a table must fit in one row. No function drops tables;
-:func:`size_gate` (F3) reports the large ones and :func:`gated` leaves them out on request.
+Per-table text is assembled with one ``groupBy(table_id)`` whose group is a single table, for tables within the size
+gate; :func:`render_large_tables` puts it together from ranges of rows, for tables of any size. No function drops
+tables; :func:`size_gate` (F3) reports the large ones and :func:`gated` leaves them out on request.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from quire.constants import DOC_RANDOM_SEED, MAX_TABLE_COLS, MAX_TABLE_ROWS, MIN_ALPHA_COLUMNS, MISSING_WORDS
 from quire.functions.ids import hash_choice, seeded_hash
 from quire.functions.text import csv_cell, strip_ws, token_count
+from quire.operators.ranges import CHUNK_BYTES, ranged, text_chunks, whole_texts
 
 # ---------------------------------------------------------------- F3 / F4 gates
 
@@ -104,8 +105,32 @@ def markdown_text(grid: Column, widths: Column) -> Column:
     return F.array_join(F.concat(F.slice(lines, 1, 1), F.array(ruler), F.slice(lines, 2, F.size(lines))), "\n")
 
 
+def table_chunks(rows: DataFrame, mode: str = "plain", delimiter: str = "|", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """R1 for tables of any size: chunks (key, seq, head, n_lines, whole, text) of a table's lines in row order, ``head``
+    being its header line (``plain`` or ``indexed``). Rows are numbered and joined by ranges, never gathered by table."""
+    d = F.lit(delimiter)
+    cells, header = _join_cells(F.col("cells"), delimiter), _join_cells(F.col("header"), delimiter)
+    if mode == "plain":
+        return text_chunks(rows, "table_id", ["row_idx"], cells, head=header, chunk_bytes=chunk_bytes)
+    if mode != "indexed":
+        raise ValueError(mode)
+    t = ranged(rows.select("table_id", "row_idx", "header", "cells"), "table_id", ["row_idx"], name="table_rows")
+    # a table's rows are in the order of their position now: ties in row_idx keep it
+    line = F.concat(d, F.col("position").cast("string"), d, cells, d)
+    return text_chunks(t, "table_id", ["position"], line, head=F.concat(d, F.lit("index"), d, header, d), chunk_bytes=chunk_bytes)
+
+
+def render_large_tables(rows: DataFrame, mode: str = "plain", delimiter: str = "|", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """R1 (``plain`` or ``indexed``) with tables of any number of rows: the texts of :func:`render_tables`, put together
+    from ranges of lines."""
+    t = whole_texts(table_chunks(rows, mode, delimiter, chunk_bytes))
+    end = "\n" if mode == "plain" else ""
+    return t.select(F.col("key").alias("table_id"), F.concat("head", F.lit("\n"), "text", F.lit(end)).alias("table"))
+
+
 def render_tables(rows: DataFrame, mode: str = "plain", delimiter: str = "|") -> DataFrame:
-    """One text per table (``plain``, ``indexed`` or ``markdown``), of every table."""
+    """One text per table (``plain``, ``indexed`` or ``markdown``), of every table. One collect per table: for tables
+    within the size gate; :func:`render_large_tables` takes any."""
     g = _collected(rows)
     if mode == "plain":
         text = plain_text(F.col("header"), F.col("_rows"), delimiter)

@@ -34,6 +34,22 @@ def r1_indexed_text(spark, d):
     return tt.render_tables(tb.table_cells(spark, d), "indexed").withColumnRenamed("table", "table_text")
 
 
+def _long_tables(spark, d):
+    """One table per ship flag: a third of all rows and more in one table."""
+    r = tb.table_cells(spark, d)
+    return r.select(F.element_at("cells", 5).alias("table_id"), F.concat_ws("-", F.lpad("table_id", 12, "0"), F.lpad("row_idx", 6, "0")).alias("row_idx"), "header", "cells")
+
+
+@query("r1_large_tables")
+def r1_large_tables(spark, d):
+    """Tables of hundreds of thousands of rows, numbered and rendered by ranges; digests of the texts."""
+    rows = _long_tables(spark, d)
+    out = [tt.render_large_tables(rows, m, chunk_bytes=1 << 20).select(
+        "table_id", F.lit(m).alias("mode"), F.length("table").cast("bigint").alias("chars"), F.sha2("table", 256).alias("text_sha256"))
+        for m in ("plain", "indexed")]
+    return out[0].unionByName(out[1])
+
+
 @query("r2_parse_roundtrip")
 def r2_parse_roundtrip(spark, d):
     texts = tt.render_tables(tb.table_cells(spark, d), "indexed")
@@ -136,6 +152,16 @@ FROM table_rows GROUP BY table_id"""
 ORACLE["r1_indexed_text"] = W("table_rows") + f"""
 SELECT table_id, {INDEXED} AS table_text FROM table_rows GROUP BY table_id"""
 
+ORACLE["r1_large_tables"] = W("table_rows", extra=[("lt", f"""
+  SELECT flag, chr(10) || string_agg({PLAIN_ROW}, chr(10) ORDER BY k) || chr(10) AS plain,
+         string_agg(chr(10) || '|' || CAST(n AS VARCHAR) || '|' || {PLAIN_ROW} || '|', '' ORDER BY k) AS indexed
+  FROM (SELECT *, row_number() OVER (PARTITION BY flag ORDER BY k) AS n FROM (
+    SELECT *, lpad(CAST(table_id AS VARCHAR), 12, '0') || '-' || lpad(CAST(row_idx AS VARCHAR), 6, '0') AS k FROM table_rows))
+  GROUP BY flag"""), ("lx", f"""
+  SELECT flag AS table_id, 'plain' AS mode, '{PLAIN_HEAD}' || plain AS t FROM lt
+  UNION ALL SELECT flag, 'indexed', '|index|{PLAIN_HEAD}|' || indexed FROM lt""")]) + """
+SELECT table_id, mode, length(t) AS chars, sha256(t) AS text_sha256 FROM lx"""
+
 LONG = " UNION ALL ".join(
     ["SELECT table_id, row_idx, 1 AS col_idx, 'index' AS column_name, CAST(row_idx AS VARCHAR) AS value FROM table_rows"]
     + [f"SELECT table_id, row_idx, {i + 2}, '{c}', {c} FROM table_rows" for i, c in enumerate(COLS)])
