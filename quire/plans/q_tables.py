@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.constants import CONTEXTUAL_OUTLINE
 from quire.functions import text as tx
+from quire.functions import words as wd
 from quire.operators import tables as tt
 from quire.plans.catalog import query
 from quire.plans.fixture_sql import with_fixtures as W
@@ -95,6 +96,19 @@ def x3_token_estimate(spark, d):
         "doc_id", tx.token_count("text").cast("bigint").alias("n_tokens"))
 
 
+@query("x4_word_tokens")
+def x4_word_tokens(spark, d):
+    w = tb.table(spark, d, "documents").select("doc_id", wd.word_tokens("text").alias("w"))
+    return w.select("doc_id", F.size("w").cast("bigint").alias("n_words"), F.sha2(F.array_join("w", " "), 256).alias("tokens_sha256"))
+
+
+@query("x4_answer_totals")
+def x4_answer_totals(spark, d):
+    """Word tokens of the test answers: total, mean and largest, as the token report prints them."""
+    a = tb.examples(spark, d).where("split = 'test'").select(wd.word_count("ground_truth").cast("bigint").alias("n"))
+    return a.agg(F.sum("n").alias("total_tokens"), F.round(F.avg("n"), 6).alias("avg_tokens"), F.max("n").alias("max_tokens"))
+
+
 @query("x5_answer_extraction")
 def x5_answer_extraction(spark, d):
     r = tb.responses(spark, d)
@@ -205,6 +219,26 @@ FROM ex"""
 
 ORACLE["x3_token_estimate"] = f"SELECT doc_id, {tokens('text')} AS n_tokens FROM documents"
 
+def words_sql(x: str) -> str:
+    """The word rules in the oracle's regex engine: its own blank class, and ``\\1`` for a group."""
+    for name, pattern, to in wd.RULES:
+        if name == "one blank":
+            pattern = f"[{BLANK}]+"
+        for i in range(1, 10):
+            to = to.replace(f"${i}", f"\\{i}")
+        lit = lambda v: "'" + v.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+        x = f"regexp_replace({x}, {lit(pattern)}, {lit(to)}, 'g')"
+    return x
+
+
+ORACLE["x4_word_tokens"] = f"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array({words_sql('text')}, '[ \n]+'), lambda x: x <> '') AS w FROM documents)
+SELECT doc_id, len(w) AS n_words, sha256(array_to_string(w, ' ')) AS tokens_sha256 FROM w"""
+ORACLE["x4_answer_totals"] = W("examples") + f"""
+SELECT CAST(sum(n) AS BIGINT) AS total_tokens, round(avg(n), 6) AS avg_tokens, max(n) AS max_tokens
+FROM (SELECT len(list_filter(regexp_split_to_array({words_sql('ground_truth')}, '[ \n]+'), lambda x: x <> '')) AS n
+      FROM examples WHERE split = 'test') a"""
+
 ORACLE["x5_answer_extraction"] = W("responses") + """
 SELECT example_id, prompt_type,
        CASE WHEN contains(prompt_type, 'CoT') AND contains(model_response, 'ANSWER: ')
