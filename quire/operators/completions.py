@@ -1,9 +1,12 @@
 """Completions: lookup of stored replies, the caller-supplied batch scorer, keyed
 assembly of outputs (J11, Z1, E1, J4, J5).
 
-The stored-reply lookup is a join on ``sha256(model || prompt)``: prompts with a
-stored reply are done, the rest are pending and go to the scorer. Only the pending
-prompts enter Python, as Arrow batches through ``mapInPandas``.
+The stored-reply lookup is a join on a prompt key: prompts with a stored reply are done, the rest are pending and go to
+the scorer. A key is the SHA-256 of model and prompt (:func:`prompt_key`), or of the hashes of the prompt's parts
+(:func:`quire.operators.prompts.grid_keys`): then the lookup reads no text, and prompts are built for pending rows only.
+Only pending prompts enter Python, as Arrow batches through ``mapInPandas``. Stores are kept bucketed by key
+(:func:`reply_store`), so they are not shuffled; where a store is large and few keys are asked, the engine's
+runtime filters (a Bloom filter of the keys) prune its scan.
 """
 
 from __future__ import annotations
@@ -38,6 +41,13 @@ def lookup(prompts: DataFrame, store: DataFrame, key: str = "prompt_key") -> tup
     return done, pending
 
 
+def reply_store(replies: DataFrame, key: str = "prompt_key") -> DataFrame:
+    """Replies (key, reply) as a stored table with one reply per key, bucketed by key."""
+    from quire.session import materialize
+
+    return materialize(replies.groupBy(key).agg(F.max("reply").alias("reply")), "replies", [key])
+
+
 def with_fallback(prompts: DataFrame, store: DataFrame, key: str = "prompt_key") -> DataFrame:
     """Every prompt with its reply, ``No Response`` where none exists."""
     st = store.groupBy(key).agg(F.max("reply").alias("reply"))
@@ -57,39 +67,91 @@ def offline_scorer(prompts: pd.Series) -> pd.Series:
     return prompts.map(one)
 
 
-def score_batches(pending: DataFrame, scorer: Callable[[pd.Series], pd.Series] = offline_scorer,
-                  prompt: str = "prompt", keep: list[str] | None = None) -> DataFrame:
-    """Z1 + E1: run a batch scorer over pending prompts with ``mapInPandas``.
+#: prompts in one call of the scorer (the batch size of the original)
+BATCH_SIZE = 10
+#: a task stops when so many prompts in a row fail and none was answered: the scorer itself is broken
+GIVE_UP_AFTER = 100
+
+
+class ScorerError(RuntimeError):
+    """A scorer that answers nothing."""
+
 
-    A batch whose call fails is retried row by row; a row that still fails gets
-    ``No Response``, so one bad prompt never loses the rest of its batch. Batch size is
-    ``spark.sql.execution.arrow.maxRecordsPerBatch``; order inside a batch is kept.
+def _answer(scorer, prompts: list, counts: dict) -> list[tuple]:
+    """(reply, calls, error) of every prompt: a failed call is split in halves until single prompts are left."""
+    counts["calls"] += 1
+    try:
+        replies = list(scorer(pd.Series(prompts)))
+        if len(replies) != len(prompts):
+            raise ValueError(f"scorer returned {len(replies)} replies for {len(prompts)} prompts")
+        return [(r, 1, None) for r in replies]
+    except Exception as e:  # noqa: BLE001  (any failure of the caller's function is counted and reported)
+        if len(prompts) == 1:
+            return [(NO_RESPONSE, 1, f"{type(e).__name__}: {e}"[:500])]
+    half = len(prompts) // 2
+    out = _answer(scorer, prompts[:half], counts) + _answer(scorer, prompts[half:], counts)
+    return [(r, n + 1, e) for r, n, e in out]
+
+
+def score_batches(pending: DataFrame, scorer: Callable[[pd.Series], pd.Series] = offline_scorer,
+                  prompt: str = "prompt", keep: list[str] | None = None, batch_size: int = BATCH_SIZE,
+                  accounts: bool = False, give_up_after: int = GIVE_UP_AFTER) -> DataFrame:
+    """Z1 + E1: run a batch scorer over pending prompts with ``mapInPandas``, ``batch_size`` prompts a call.
+
+    A batch whose call fails (or returns another number of replies) is split in halves until the failing prompts
+    stand alone; such a prompt gets ``No Response``, so it never loses the rest of its batch. With ``accounts``, each
+    row carries ``calls`` (how many calls held its prompt: more than one if it was retried) and ``error`` (the reason
+    its prompt was lost, else NULL); :func:`scoring_summary` adds them up. A task whose first ``give_up_after`` prompts
+    are all lost raises :class:`ScorerError` with the last reason. Order inside a batch is kept.
     """
     keep = keep or [c for c in pending.columns if c != prompt]
     cols = keep + [prompt]
     # the prompt goes to Python but does not come back: only the keys and the reply do
     schema = pending.select(*keep).schema.add("reply", "string")
+    if accounts:
+        schema = schema.add("calls", "integer").add("error", "string")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        answered, lost, counts = False, 0, {"calls": 0}
         for pdf in batches:
-            try:
-                replies = list(scorer(pdf[prompt]))
-                if len(replies) != len(pdf):
-                    raise ValueError("scorer returned a different number of replies")
-            except Exception:  # noqa: BLE001
-                replies = []
-                for p in pdf[prompt]:
-                    try:
-                        replies.append(list(scorer(pd.Series([p])))[0])
-                    except Exception:  # noqa: BLE001
-                        replies.append(NO_RESPONSE)
+            prompts = pdf[prompt].tolist()
+            got = []
+            for i in range(0, len(prompts), batch_size):
+                part = _answer(scorer, prompts[i:i + batch_size], counts)
+                got += part
+                answered = answered or any(e is None for _, _, e in part)
+                lost += len(part)
+                if not answered and lost >= give_up_after:
+                    raise ScorerError(f"no reply to the first {lost} prompts of a task; the last reason: {part[-1][2]}")
             out = pdf[keep].copy()
-            out["reply"] = replies
+            out["reply"] = [r for r, _, _ in got]
+            if accounts:
+                out["calls"] = [n for _, n, _ in got]
+                out["error"] = [e for _, _, e in got]
             yield out
 
     return pending.select(*cols).mapInPandas(run, schema)
 
 
+def scoring_summary(scored: DataFrame, *by: str) -> DataFrame:
+    """What ``score_batches(accounts=True)`` lost and retried, per group: n_prompts, n_retried, n_lost, and the most
+    frequent reason (ties: the smaller text)."""
+    reasons = scored.groupBy(*by, "error").agg(F.count("*").alias("n"), F.count_if(F.col("calls") > 1).alias("r"))
+    why = F.when(F.col("error").isNotNull(), F.struct((-F.col("n")).alias("n"), F.col("error").alias("e")))
+    return reasons.groupBy(*by).agg(F.sum("n").alias("n_prompts"), F.sum("r").alias("n_retried"),
+                                    F.coalesce(F.sum(F.when(F.col("error").isNotNull(), F.col("n"))), F.lit(0)).alias("n_lost"),
+                                    F.min(why)["e"].alias("reason"))
+
+
+def ensure_scored(scored: DataFrame) -> DataFrame:
+    """``scored`` itself, unless every prompt of it was lost: then :class:`ScorerError`. Runs one aggregation, so pass a
+    stored frame."""
+    n, lost, reason = scored.agg(F.count("*"), F.count("error"), F.max("error")).first()
+    if n and n == lost:
+        raise ScorerError(f"no reply to any of {n} prompts; a reason: {reason}")
+    return scored
+
+
 def latest_per_key(outputs: DataFrame, key: str, order: str) -> DataFrame:
     """J4 helper: one output per key, the latest by ``order`` (a later duplicate wins).
 

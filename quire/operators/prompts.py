@@ -45,9 +45,7 @@ def shot_strings(test: DataFrame, train: DataFrame, k: int = 1, seed=0, key: str
 
     ``(key, shots_documents, shots_table)`` with ``Context: c\\nQ: q\\nA: a\\n`` per shot.
     """
-    draw = few_shot_draw(test.select(key), train.select(key), key, k, seed)
-    tr = train.select(F.col(key).alias("train_id"), "question", "ground_truth", "documents", "table")
-    j = draw.join(tr, "train_id")
+    j = few_shot_draw(test.select(key), train, key, k, seed, payload=("question", "ground_truth", "documents", "table"))
 
     def block(ctx: str) -> Column:
         return F.concat(F.lit(f"{CONTEXT_KEY} "), F.coalesce(F.col(ctx), F.lit("")), F.lit(f"\n{INPUT_KEY} "),
@@ -69,7 +67,11 @@ def _prompt_inputs(examples: DataFrame, k: int, seed, key: str, extra: tuple[str
     else:  # no few-shot cell: no draw, no join
         test = test.select("*", F.lit(None).cast("string").alias("shots_documents"),
                            F.lit(None).cast("string").alias("shots_table"))
-    g = run_grid(test, reasoning_types, prompt_types)
+    return _with_context(run_grid(test, reasoning_types, prompt_types), key, extra)
+
+
+def _with_context(g: DataFrame, key: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Grid rows with their context and few-shot block."""
     rt, pt = F.col("reasoning_type"), F.col("prompt_type")
     return g.select(key, "reasoning_type", "prompt_type", "question", *extra,
                     F.coalesce(context_for(rt), F.lit("")).alias("context"),
@@ -106,6 +108,52 @@ def assemble_text_prompts(inputs: DataFrame, key: str = "example_id", extra: tup
     return inputs.select(key, "reasoning_type", "prompt_type", *extra, prompt.alias("prompt"))
 
 
+def prompt_parts(examples: DataFrame, key: str = "example_id") -> DataFrame:
+    """(key, split, q, a, d, t): SHA-256 of each example's question, answer, documents and table, stored. Texts are read
+    here, once; :func:`grid_keys` works on these alone."""
+    from quire.session import materialize
+
+    part = lambda c: F.unhex(F.sha2(c, 256))
+    empty = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return materialize(examples.select(key, "split", part(F.col("question")).alias("q"), part(F.col("ground_truth")).alias("a"),
+                                       part(empty("documents")).alias("d"), part(empty("table")).alias("t")), "prompt_parts")
+
+
+def grid_keys(parts: DataFrame, model: str, k: int = 1, seed=0, key: str = "example_id",
+              reasoning_types: list[str] = REASONING_TYPES, prompt_types: list[str] = PROMPT_TYPES) -> DataFrame:
+    """(key, reasoning_type, prompt_type, prompt_key) of the text prompts of :func:`text_prompts`, without them.
+
+    A prompt's key is the SHA-256 of the model, its instruction and the hashes of its parts, so equal prompts (of equal
+    parts) have equal keys. Only hashes are joined and drawn."""
+    test, train = parts.where("split = 'test'"), parts.where("split = 'train'")
+    block = lambda c: F.concat(c, F.col("q"), F.col("a"))  # noqa: E731  (NULL, as the prompt's block, if a part is)
+    if any("few" in p for p in prompt_types):
+        shots = few_shot_draw(test.select(key), train, key, k, seed, payload=("q", "a", "d", "t")).groupBy(key).agg(
+            F.array_sort(F.collect_list(F.struct("shot", block(F.col("d")).alias("bd"), block(F.col("t")).alias("bt")))).alias("_s"))
+        test = test.join(shots, key, "left")
+    else:
+        test = test.withColumn("_s", F.lit(None).cast("array<struct<shot:int,bd:binary,bt:binary>>"))
+    rt, pt = F.col("reasoning_type"), F.col("prompt_type")
+    mine = F.filter(F.transform("_s", lambda x: F.when(rt == "table", x["bt"]).otherwise(x["bd"])), lambda b: b.isNotNull())
+    drawn = F.when(pt.contains("few"), F.coalesce(F.array_join(F.transform(mine, F.hex), ""), F.lit(""))).otherwise(F.lit(""))
+    cot = F.when(pt.contains("CoT"), F.lit(COT)).otherwise(F.lit(""))
+    whole = F.concat(F.lit(model), F.lit("\u001f"), instruction_for(pt), F.lit("\u001f"), cot, F.lit("\u001f"), drawn, F.lit("\u001f"),
+                     F.hex(F.when(rt == "table", F.col("t")).otherwise(F.col("d"))), F.hex("q"))
+    return run_grid(test, reasoning_types, prompt_types).select(
+        key, "reasoning_type", "prompt_type", F.coalesce(F.sha2(whole, 256), F.lit("")).alias("prompt_key"))
+
+
+def prompts_for(examples: DataFrame, cells: DataFrame, k: int = 1, seed=0, key: str = "example_id") -> DataFrame:
+    """The text prompts of the grid cells (key, reasoning_type, prompt_type) of ``cells`` only; examples without a cell are
+    not read into prompts, and each example's texts are joined once."""
+    asked = cells.groupBy(key).agg(F.collect_set(F.struct("reasoning_type", "prompt_type")).alias("_cells"))  # at most the grid
+    test = examples.where("split = 'test'").select(key, "question", "documents", "table").join(asked, key)
+    few = asked.where(F.exists("_cells", lambda c: c["prompt_type"].contains("few"))).select(key)
+    test = test.join(shot_strings(few, examples.where("split = 'train'"), k, seed, key), key, "left")
+    g = test.select("*", F.explode("_cells").alias("_g")).select("*", "_g.*")
+    return assemble_text_prompts(_with_context(g, key), key)
+
+
 def _msg(role: str, content: Column) -> Column:
     return F.struct(F.lit(role).alias("role"), content.alias("content"))
 
@@ -116,9 +164,8 @@ def chat_prompts(examples: DataFrame, k: int = 1, seed=0, key: str = "example_id
     context, question, CoT line for CoT types, and ``A:``."""
     test = examples.where(F.col("split") == "test")
     train = examples.where(F.col("split") == "train")
-    draw = few_shot_draw(test.select(key), train.select(key), key, k, seed)
-    tr = train.select(F.col(key).alias("train_id"), "question", "ground_truth", "documents", "table")
-    shots = draw.join(tr, "train_id").groupBy(key).agg(
+    draw = few_shot_draw(test.select(key), train, key, k, seed, payload=("question", "ground_truth", "documents", "table"))
+    shots = draw.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("shot", "documents", "table", "question", "ground_truth"))).alias("_s"))
     g = run_grid(test.select(key, "question", "documents", "table").join(shots, key, "left"))
     rt, pt = F.col("reasoning_type"), F.col("prompt_type")

@@ -39,29 +39,66 @@ def dense_index(df: DataFrame, key: str, seed=0, digits: int = 4, out: str = "id
     return j.select(*keep, (F.col("_off") + F.col("_rn") - 1).cast("bigint").alias(out))
 
 
+def _order_hash(key: str, seed):
+    """Seeded hash that orders the rows; NULL keys come last (no hex digit is greater than ``~``)."""
+    return F.coalesce(seeded_hash(seed, key), F.lit("~"))
+
+
+def _edge(counts: DataFrame, order: list[str], k: int):
+    """(values, rows before, rows at) of the first entry of ``counts`` (order.., c) whose running count reaches ``k``."""
+    w = Window.orderBy(*order)
+    up = counts.select(*order, "c", F.sum("c").over(w).alias("u")).where(F.col("u") >= k)
+    r = up.agg(F.min(F.struct(*order, "u", "c")).alias("e")).first()["e"]
+    return None if r is None else ([r[o] for o in order], r["u"] - r["c"], r["c"])
+
+
 def seeded_cut(df: DataFrame, key: str, k: int, seed=0, digits: int = 4):
-    """(cut, n): the ``k``-th ``(hash, key)`` in seeded order (NULL with fewer rows) and the row count,
-    as scalar subqueries.
+    """Where the first ``k`` rows in seeded order end: (hash, rows with a smaller hash, rows with this hash), or None with
+    fewer rows than ``k``; and the row count.
 
-    Only keys are read: hash buckets are counted (at most ``16**digits`` counts), the bucket that holds
-    the ``k``-th row is found, and that bucket's keys alone are ranked. Rows are then compared with the
-    cut where they are, so no row of ``df`` is shuffled. Keys must be distinct.
+    Only keys are read: hash buckets are counted (at most ``16**digits`` + 1 counts), the bucket that holds the ``k``-th
+    row is found, and that bucket's distinct keys alone are ordered. Repeated keys are combined before any shuffle.
     """
-    h = seeded_hash(seed, key)
-    x = df.select(h.alias("_h"), F.coalesce(F.substring(h, 1, digits), F.lit("")).alias("_b"), F.col(key).alias("_k"))
-    counts = x.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
-    upto = counts.select("_b", "_c", F.sum("_c").over(Window.orderBy("_b")).alias("_upto"))  # bounded: the buckets
-    edge = upto.where(F.col("_upto") >= k).agg(F.min(F.struct("_b", (F.col("_upto") - F.col("_c")).alias("before"))).alias("e"))
-    at = x.join(F.broadcast(edge), F.col("_b") == F.col("e._b"))  # one row
-    rank = F.row_number().over(Window.partitionBy("_b").orderBy("_h", "_k"))
-    cut = at.select("_h", "_k", "e", rank.alias("_rn")).where(F.col("_rn") == k - F.col("e.before"))
-    return (cut.agg(F.max(F.struct("_h", "_k"))).scalar(), df.select(F.count(F.lit(1))).scalar())
+    h = _order_hash(key, seed)
+    x = df.select(F.substring(h, 1, digits).alias("b"), h.alias("h"))
+    buckets = x.groupBy("b").agg(F.count(F.lit(1)).alias("c")).orderBy("b").collect()
+    n, before = sum(r.c for r in buckets), 0
+    for r in buckets:
+        if before + r.c >= k:
+            (cut,), less, at = _edge(x.where(F.col("b") == r.b).groupBy("h").agg(F.count(F.lit(1)).alias("c")), ["h"], k - before)
+            return (cut, before + less, at), n
+        before += r.c
+    return None, n
 
 
 def _first(df: DataFrame, key: str, k: int, seed):
-    """(condition: the row is one of the first ``k`` in seeded order, row count)."""
+    """(``df`` with a boolean ``_first``: the row is one of the first ``k`` in seeded order, row count). Rows are flagged in
+    place. Of rows with the key at the cut, as many are first as fit, in the order of a hash of their content; of
+    equal rows there, the right number."""
     cut, n = seeded_cut(df, key, k, seed)
-    return F.coalesce(F.struct(seeded_hash(seed, key), F.col(key)) <= cut, F.lit(False)), n
+    h = _order_hash(key, seed)
+    if cut is None or k <= 0:
+        return df.withColumn("_first", F.lit(False)), n
+    last, before, at = cut
+    if before + at == k:
+        return df.withColumn("_first", h <= last), n
+    # several rows have the key at the cut: the same again, over hashes of whole rows (maps as their entries)
+    whole = F.xxhash64(*[F.to_json(F.struct(c)) if t.startswith("map") else F.col(c) for c, t in df.dtypes])
+    here = df.where(h == last).select(F.shiftright(whole, 48).alias("b"), whole.alias("w"))
+    left = k - before
+    for r in here.groupBy("b").agg(F.count(F.lit(1)).alias("c")).orderBy("b").collect():  # at most 65,536 buckets
+        if left <= r.c:
+            (row,), less, same = _edge(here.where(F.col("b") == r.b).groupBy("w").agg(F.count(F.lit(1)).alias("c")), ["w"], left)
+            left -= less
+            break
+        left -= r.c
+    flagged = df.withColumn("_first", (h < last) | ((h == last) & ((whole < row) | ((whole == row) & F.lit(left == same)))))
+    if left == same:
+        return flagged, n
+    # equal rows on both sides of the cut: one of them, as often as they are
+    one = df.where((h == last) & (whole == row)).limit(1).withColumn("_i", F.explode(F.sequence(F.lit(1), F.lit(same))))
+    return (flagged.where((h != last) | (whole != row))
+            .unionByName(one.withColumn("_first", F.col("_i") <= left).drop("_i"))), n
 
 
 def train_test_split(df: DataFrame, key: str, n_train: int = 1, seed=0, append: bool = False) -> DataFrame:
@@ -70,20 +107,21 @@ def train_test_split(df: DataFrame, key: str, n_train: int = 1, seed=0, append:
     if append or n_train <= 0:
         return df.withColumn("split", F.lit("test"))
     first, n = _first(df, key, n_train, seed)
-    return df.withColumn("split", F.when(first | (n <= n_train), "train").otherwise("test"))
+    return first.withColumn("split", F.when(F.col("_first") | F.lit(n <= n_train), "train").otherwise("test")).drop("_first")
 
 
 def seeded_sample(df: DataFrame, key: str, k: int = 50, seed=0, strict: bool = False) -> DataFrame:
-    """Exactly ``k`` rows without replacement (the first ``k`` in seeded order).
+    """Exactly ``k`` rows without replacement (the first ``k`` in seeded order; NULL keys last), also where keys or
+    whole rows repeat.
 
     With fewer than ``k`` rows nothing is selected (``strict`` raises instead), as the
     original does. Rows are compared with the seeded cut where they are, so ``k`` may be any
     size without a single-task top-k, and no row is shuffled.
     """
     first, n = _first(df, key, k, seed)
-    if strict:
-        first = F.when(n >= k, first).otherwise(F.raise_error(F.lit(f"fewer rows than the sample size {k}")).cast("boolean"))
-    return df.where(first)
+    if strict and n < k:
+        raise ValueError(f"fewer rows than the sample size {k}")
+    return first.where("_first").drop("_first")
 
 
 def last_n(df: DataFrame, key: str, n: int) -> DataFrame:
@@ -91,21 +129,30 @@ def last_n(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.orderBy(F.col(key).desc()).limit(n)
 
 
-def few_shot_draw(test: DataFrame, train: DataFrame, key: str, k: int = 1, seed=0) -> DataFrame:
+#: test rows that meet one copy of a train row
+DRAWS_PER_COPY = 10_000
+
+
+def few_shot_draw(test: DataFrame, train: DataFrame, key: str, k: int = 1, seed=0, payload: tuple[str, ...] = (),
+                  draws_per_copy: int = DRAWS_PER_COPY) -> DataFrame:
     """For each test row, ``k`` distinct train rows: positions
-    ``(h(test) + j) mod n`` for ``j < k`` in the dense train index.
+    ``(h(test) + j) mod n`` for ``j < k`` in the dense train index. ``payload`` columns of the train row come along.
 
-    ``n`` is a scalar subquery (computed once); the draw is an equi-join on the
-    position, uniform across partitions.
+    ``n`` and the number of draws are scalar subqueries (computed once). The draw is an equi-join on the position and a
+    salt: with few train rows each is copied as often as its draws ask for (at most one copy per ``draws_per_copy``
+    draws), so one train row for all test rows is no hot key.
     """
-    tr = dense_index(train.select(F.col(key).alias("train_id")), "train_id", seed).drop("_n")
+    tr = dense_index(train.select(F.col(key).alias("train_id"), *payload), "train_id", seed).drop("_n")
     n = train.select(F.count(F.lit(1))).scalar()
-    start = hash_int32(seeded_hash(seed, key))
     # one draw per distinct test id: repeated ids cannot inflate a per-example group downstream
-    t = test.select(key).distinct().select(key, start.alias("_s"))
-    t = t.select(key, F.explode(F.sequence(F.lit(0), F.least(F.lit(k), n) - 1)).alias("shot"), "_s")
-    t = t.withColumn("idx", F.pmod(F.col("_s") + F.col("shot"), n))
-    return t.join(tr, "idx").select(key, F.col("shot").cast("int").alias("shot"), "train_id")
+    ids = test.select(key).distinct()
+    copies = F.lit(1) + F.floor(F.try_divide(ids.select(F.count(F.lit(1)) * k).scalar(), n * draws_per_copy)).cast("bigint")
+    salts = F.coalesce(copies, F.lit(1).cast("bigint"))
+    tr = tr.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)).alias("_salt"))
+    t = ids.select(key, hash_int32(seeded_hash(seed, key)).alias("_s"))
+    t = t.select(key, F.explode(F.when(n > 0, F.sequence(F.lit(0), F.least(F.lit(k), n) - 1))).alias("shot"), "_s")
+    t = t.withColumns({"idx": F.pmod(F.col("_s") + F.col("shot"), n), "_salt": F.pmod(F.xxhash64(key), salts)})
+    return t.join(tr, ["idx", "_salt"]).select(key, F.col("shot").cast("int").alias("shot"), "train_id", *payload)
 
 
 def ring_neighbours(df: DataFrame, key: str, seed=12345, offsets: tuple[int, ...] = (1, 2),

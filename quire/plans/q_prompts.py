@@ -10,6 +10,7 @@ from quire.constants import (AMBIGUITY_PROMPT, ANSWERABILITY_PROMPT, CANDIDATE_A
                              EDIT_PLAN_PROMPT, QUESTION_PROMPT, SKILL_INSTRUCTION, SKILL_PREAMBLE)
 from quire.functions.ids import content_id, seeded_hash
 from quire.functions.text import answer_parts
+from quire.operators import cells as cl
 from quire.operators import completions as cp
 from quire.operators import prompts as pr
 from quire.operators import sampling as sm
@@ -19,6 +20,7 @@ from quire.plans.catalog import query
 from quire.plans.fixture_sql import with_fixtures as W
 from quire.plans.oracle import ORACLE
 from quire.plans.q_tables import INDEXED, PLAIN_HEAD, PLAIN_ROW, tokens
+from quire.sources import files as fs
 from quire.sources import tables as tb
 
 COMPARE_INSTRUCTION = ("Score each characteristic of the final example 0, 1 or 2 relative to the two "
@@ -31,14 +33,6 @@ def _test(spark, d):
     return tb.examples(spark, d).where(F.col("split") == "test")
 
 
-def _examples_table(spark, d):
-    """Examples with tables as a stored table (written once to the shared checkpoint
-    folder): the prompt grid reads it for the test side and again for the few-shot side."""
-    from quire.session import materialize
-
-    return materialize(tb.examples_with_tables(spark, d), "examples")
-
-
 @query("w1_train_test_split")
 def w1_train_test_split(spark, d):
     return sm.train_test_split(tb.examples(spark, d).select("example_id"), "example_id", n_train=1, seed=0)
@@ -109,7 +103,7 @@ def p4_context_choice(spark, d):
 
 @query("x1_text_prompts")
 def x1_text_prompts(spark, d):
-    return pr.text_prompts(_examples_table(spark, d), k=1, seed=0)
+    return pr.text_prompts(tb.examples_with_tables(spark, d), k=1, seed=0)
 
 
 @query("a9_token_totals")
@@ -119,7 +113,7 @@ def a9_token_totals(spark, d):
 
 @query("x2_chat_prompts")
 def x2_chat_prompts(spark, d):
-    c = pr.chat_prompts(_examples_table(spark, d), k=1, seed=0)
+    c = pr.chat_prompts(tb.examples_with_tables(spark, d), k=1, seed=0)
     return c.select("example_id", "reasoning_type", "prompt_type", F.size("messages").alias("n_messages"),
                     F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"])),
                                  "\n").alias("chat_text"))
@@ -135,6 +129,23 @@ def p5_provider_routing(spark, d):
                     F.when(prov.isNull(), F.lit("Not a valid model.")).alias("error"))
 
 
+@query("e4_isolated_cells")
+def e4_isolated_cells(spark, d):
+    """One job per model family, counting the corpora it was tuned on; families without a provider fail alone."""
+    docs = tb.table(spark, d, "documents").where(F.col("doc_id").isNotNull())
+
+    def cell(family):
+        model = F.concat(F.lit(family + "-"), F.col("source"))
+        return lambda: docs.groupBy("source").agg(F.count("*").alias("n_docs")).select(
+            "source", pr.provider_for(model).alias("provider"), "n_docs")
+
+    rows, errors = cl.run_cells(spark, {f: cell(f) for f in MODEL_FAMILIES}, fs.scratch_dir(spark, "cells"),
+                                "source string, provider string, n_docs bigint")
+    return rows.withColumn("reason", F.lit(None).cast("string")).unionByName(
+        errors.select("cell", F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("provider"),
+                      F.lit(None).cast("bigint").alias("n_docs"), "reason"))
+
+
 def _answers(spark, d):
     r = tb.responses(spark, d)
     _, answer = answer_parts("model_response", "prompt_type")
@@ -169,49 +180,53 @@ def j4_outputs_by_key(spark, d):
     return cp.key_outputs(outs, meta, "example_id", "turn").drop("turn")
 
 
-def _keyed_prompts(spark, d):
-    p = pr.text_prompts(_examples_table(spark, d), k=1, seed=0)
-    return p.withColumn("prompt_key", cp.prompt_key(F.lit(MODEL), F.col("prompt")))
-
-
-def _store(spark, d, prompts=None):
-    """Stored replies: the responses table answered the zero-shot document prompts of its ids.
-
-    Those prompts are rebuilt for just that cell (no few-shot draw, no tables), not taken
-    from the full grid, so the grid is built once per query.
-    """
-    ex = tb.examples(spark, d).withColumn("table", F.lit(None).cast("string"))
-    z = pr.text_prompts(ex, k=1, seed=0, reasoning_types=["documents"], prompt_types=["zero-shot"])
-    z = z.withColumn("prompt_key", cp.prompt_key(F.lit(MODEL), F.col("prompt")))
-    return z.join(tb.responses(spark, d).select("example_id", F.col("model_response").alias("reply")),
-                  "example_id").select("prompt_key", "reply")
+def _keys_and_store(spark, d):
+    """Prompt keys of the whole grid, and stored replies: the responses answered the zero-shot document prompts of
+    their ids. Texts are hashed part by part; no prompt is built."""
+    parts = pr.prompt_parts(tb.examples_with_tables(spark, d))
+    keys = pr.grid_keys(parts, MODEL, k=1, seed=0)
+    cell = pr.grid_keys(parts, MODEL, k=1, seed=0, reasoning_types=["documents"], prompt_types=["zero-shot"])
+    replies = cell.join(tb.responses(spark, d).select("example_id", F.col("model_response").alias("reply")), "example_id")
+    return keys, cp.reply_store(replies.select("prompt_key", "reply"))
 
 
 @query("j11_completions_done")
 def j11_completions_done(spark, d):
-    p = _keyed_prompts(spark, d)
-    done, _ = cp.lookup(p, _store(spark, d, p))
+    done, _ = cp.lookup(*_keys_and_store(spark, d))
     return done.select("example_id", "reasoning_type", "prompt_type", "reply")
 
 
 @query("j11_completions_pending")
 def j11_completions_pending(spark, d):
-    p = _keyed_prompts(spark, d)
-    _, pending = cp.lookup(p, _store(spark, d, p))
+    _, pending = cp.lookup(*_keys_and_store(spark, d))
     return pending.select("example_id", "reasoning_type", "prompt_type")
 
 
 @query("e1_reply_fallback")
 def e1_reply_fallback(spark, d):
-    p = _keyed_prompts(spark, d)
-    return cp.with_fallback(p, _store(spark, d, p)).select("example_id", "reasoning_type", "prompt_type", "reply")
+    return cp.with_fallback(*_keys_and_store(spark, d)).select("example_id", "reasoning_type", "prompt_type", "reply")
+
+
+def _pending_prompts(spark, d):
+    _, pending = cp.lookup(*_keys_and_store(spark, d))
+    return pr.prompts_for(tb.examples_with_tables(spark, d), pending, k=1, seed=0)
 
 
 @query("z1_batch_scorer")
 def z1_batch_scorer(spark, d):
-    p = _keyed_prompts(spark, d)
-    _, pending = cp.lookup(p, _store(spark, d, p))
-    return cp.score_batches(pending.select("example_id", "reasoning_type", "prompt_type", "prompt"))
+    return cp.score_batches(_pending_prompts(spark, d))
+
+
+@query("z1_failure_accounting")
+def z1_failure_accounting(spark, d):
+    """A scorer that refuses some prompts (whose length is a multiple of 7) and whole calls that hold one."""
+    def picky(prompts):
+        if any(len(p) % 7 == 0 for p in prompts):
+            raise ValueError("refused")
+        return prompts.str.len().astype(str)
+
+    scored = cp.score_batches(_pending_prompts(spark, d), picky, accounts=True)
+    return cp.scoring_summary(scored, "reasoning_type", "prompt_type").drop("n_retried")
 
 
 @query("j8_skill_grid")
@@ -385,6 +400,12 @@ SELECT model,
             THEN 'Not a valid model.' END AS error
 FROM (SELECT DISTINCT {MODEL_FAMILIES!r}[CAST(doc_id % {len(MODEL_FAMILIES)} + 1 AS INTEGER)] || '-' || source AS model FROM documents) m"""
 
+_ROUTED = [("gpt", "azure_openai"), ("claude", "anthropic"), ("gemini", "google"), ("llama", "replicate"), ("multiagent", "multiagent")]
+ORACLE["e4_isolated_cells"] = " UNION ALL ".join(
+    f"SELECT '{f}' AS cell, source, '{next(p for s, p in _ROUTED if s in f)}' AS provider, count(*) AS n_docs, CAST(NULL AS VARCHAR) AS reason "
+    "FROM documents WHERE doc_id IS NOT NULL GROUP BY source" if any(s in f for s, _ in _ROUTED) else
+    f"SELECT '{f}', NULL, NULL, NULL, 'Not a valid model.'" for f in MODEL_FAMILIES)
+
 ANSWERS = ("answers", """SELECT example_id, CASE WHEN contains(prompt_type, 'CoT') AND contains(model_response, 'ANSWER: ')
              THEN split_part(model_response, 'ANSWER: ', 2) ELSE model_response END AS predicted_answer FROM responses""")
 
@@ -446,6 +467,11 @@ SELECT k.example_id, k.reasoning_type, k.prompt_type,
 FROM kp k JOIN examples e ON e.example_id = k.example_id
 WHERE k.prompt_key NOT IN (SELECT prompt_key FROM store)"""
 
+ORACLE["z1_failure_accounting"] = W(*SFIX, extra=[EXT] + PROMPT_INPUTS + STORE) + """
+SELECT reasoning_type, prompt_type, count(*) AS n_prompts, CAST(count(*) FILTER (WHERE length(prompt) % 7 = 0) AS BIGINT) AS n_lost,
+       CASE WHEN count(*) FILTER (WHERE length(prompt) % 7 = 0) > 0 THEN 'ValueError: refused' END AS reason
+FROM kp WHERE prompt_key NOT IN (SELECT prompt_key FROM store) GROUP BY reasoning_type, prompt_type"""
+
 ORACLE["j8_skill_groups"] = ORACLE["j8_skill_grid"]
 ORACLE["j7_run_grid"] = W("examples") + f"""
 SELECT e.example_id, g.reasoning_type, g.prompt_type, m.model
