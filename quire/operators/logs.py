@@ -66,41 +66,32 @@ def sections(logs: DataFrame, text: str = "log_text", key: str = "log_id", field
                      F.col("_x.header").alias("section"), F.col("_x.body").alias("body"))
 
 
-def _with_span(df: DataFrame, col: str, name: str, fields: list[str]) -> DataFrame:
-    """Add ``_found, _before, _body, _after`` for the first ``**name**`` section of ``col``.
-
-    The body starts after the ``**name**`` line and ends before the next blank line that
-    precedes a known header (or at the end of the text); ``_after`` keeps that separator
-    and ``_before`` ends just before the header. Positions and pieces are computed in
-    their own projections, once per row.
-    """
-    marker = f"**{name}**\n"
-    t = F.col(col)
-    x = df.withColumn("_pos", F.instr(t, marker))
-    x = x.withColumn("_rest", F.when(F.col("_pos") > 0, t.substr(F.col("_pos") + F.lit(len(marker)),
-                                                                 F.length(t) + F.lit(1))))
-    x = x.withColumn("_body", F.element_at(F.split(F.col("_rest"), rf"\n\n(?=\*\*{_names(fields)}\*\*)", 2), 1))
-    rest = F.col("_rest")
-    return x.select(
-        *df.columns, (F.col("_pos") > 0).alias("_found"),
-        t.substr(F.lit(1), F.col("_pos") - F.lit(1)).alias("_before"), "_body",
-        rest.substr(F.length("_body") + F.lit(1), F.length(rest) + F.lit(1)).alias("_after"))
+def _section_end(fields: list[str]) -> str:
+    return rf"\n\n(?=\*\*{_names(fields)}\*\*)"
 
 
-_SPAN = ["_found", "_before", "_body", "_after"]
+def _cut(df: DataFrame, col: str, name: str, fields: list[str]):
+    """(``df`` with the cuts, found, before, body, after) of the first ``**name**`` section of ``col``: its body goes up to
+    the blank line before the next known header, or to the end of the text. Cuts are columns of their own, so each is
+    made once per row."""
+    x = df.withColumn("_two", F.split(col, rf"\*\*{re.escape(name)}\*\*\n", 2))
+    # a leading mark keeps the cut apart from an empty body
+    rest = F.concat(F.lit("\u0001"), F.element_at("_two", 2))
+    x = x.withColumn("_part", F.when(F.size("_two") == 2, F.split(rest, rf"(?=\n\n\*\*{_names(fields)}\*\*)", 2)))
+    first = F.element_at("_part", 1)
+    return (x, F.size("_two") == 2, F.element_at("_two", 1), first.substr(F.lit(2), F.length(first)),
+            F.coalesce(F.try_element_at("_part", F.lit(2)), F.lit("")))
 
 
 def fence_section(df: DataFrame, col: str, name: str, fields: list[str] = LOG_FIELDS) -> DataFrame:
-    """X13 for one section: wrap its body in a json fence when it starts with ``{`` or ``[``."""
-    x = _with_span(df, col, name, fields)
-    b = F.col("_body")
-    return x.withColumn(col, F.when(F.col("_found") & b.rlike(r"^[\[{]"), F.concat(
-        F.col("_before"), F.lit(f"**{name}**\n```json\n"), b, F.lit("\n```"), F.col("_after")))
-        .otherwise(F.col(col))).drop(*_SPAN)
+    """X13 for one section: wrap its body in a json fence when it starts with ``{`` or ``[``. One pass: the pattern goes to
+    the first ``**name**`` line and tries no later one."""
+    to = rf"(?s)\A((?>.*?\*\*{re.escape(name)}\*\*\n))"
+    return df.withColumn(col, F.regexp_replace(col, to + rf"([\[{{].*?)(?={_section_end(fields)}|\z)", "$1```json\n$2\n```"))
 
 
 def fence_json(df: DataFrame, col: str, names: list[str] = JSON_FENCED_SECTIONS, fields: list[str] = LOG_FIELDS) -> DataFrame:
-    """Fence each named section in turn (one set of projections per section)."""
+    """Fence each named section in turn."""
     for name in names:
         df = fence_section(df, col, name, fields)
     return df
@@ -108,17 +99,15 @@ def fence_json(df: DataFrame, col: str, names: list[str] = JSON_FENCED_SECTIONS,
 
 def delete_section(df: DataFrame, col: str, name: str = BAR_TABLE_SECTION, fields: list[str] = LOG_FIELDS) -> DataFrame:
     """Drop one section (header, body and the blank line after it); unchanged if absent."""
-    x = _with_span(df, col, name, fields)
-    return x.withColumn(col, F.when(F.col("_found"), F.concat(
-        F.col("_before"), F.regexp_replace(F.col("_after"), r"^\n\n", ""))).otherwise(F.col(col))).drop(*_SPAN)
+    before = rf"(?s)\A((?>.*?(?=\*\*{re.escape(name)}\*\*\n)))\*\*{re.escape(name)}\*\*\n"
+    return df.withColumn(col, F.regexp_replace(col, before + rf".*?(?:{_section_end(fields)}|\z)", "$1"))
 
 
 def strip_table_colons(df: DataFrame, col: str, name: str, fields: list[str] = LOG_FIELDS) -> DataFrame:
     """Remove ``:`` from a section body and put a blank line before it."""
-    x = _with_span(df, col, name, fields)
-    return x.withColumn(col, F.when(F.col("_found"), F.concat(
-        F.col("_before"), F.lit(f"**{name}**\n\n"), F.replace(F.col("_body"), F.lit(":"), F.lit("")),
-        F.col("_after"))).otherwise(F.col(col))).drop(*_SPAN)
+    x, found, before, body, after = _cut(df, col, name, fields)
+    return x.withColumn(col, F.when(found, F.concat(
+        before, F.lit(f"**{name}**\n\n"), F.replace(body, F.lit(":"), F.lit("")), after)).otherwise(F.col(col))).drop("_two", "_part")
 
 
 def normalize_header(text: Column, bad: str, good: str) -> Column:
