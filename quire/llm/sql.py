@@ -46,13 +46,23 @@ targets AS (SELECT source, source_size,
                    CASE WHEN level * weight > cap THEN CAST(cap AS DOUBLE) ELSE level * weight END AS target FROM caps, lev),
 parts AS (SELECT *, CASE WHEN source_size > 0 THEN least(CAST(floor(target / source_size) AS BIGINT), 3) ELSE 0 END AS whole FROM targets),
 rests AS (SELECT *, greatest(target - whole * source_size, 0.0) AS rest FROM parts),
+classes AS (SELECT k.source, length(bin(k.size)) AS w, sum(k.size) AS words, any_value(r.rest) AS rest
+            FROM keyed k JOIN rests r ON k.source IS NOT DISTINCT FROM r.source WHERE k.size > 0 GROUP BY k.source, w),
+fills AS (SELECT source, w, greatest(rest - coalesce(sum(words) OVER (PARTITION BY source ORDER BY w DESC
+                                              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0.0)
+                 / sum(w * words) OVER (PARTITION BY source ORDER BY w DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS c FROM classes),
+level_c AS (SELECT source, arg_max(c, w) AS c FROM fills WHERE c * w <= 1 GROUP BY source),
+likely AS (
+  SELECT k.*, r.source_size, r.target, r.whole, r.rest,
+         CASE WHEN k.size > 0 THEN least(1.0, coalesce(l.c, 0.0) * length(bin(k.size))) ELSE 0.0 END AS p,
+         (CAST(k.u >> 8 AS DOUBLE) + 0.5) / 4503599627370496.0 AS x
+  FROM keyed k JOIN rests r ON k.source IS NOT DISTINCT FROM r.source LEFT JOIN level_c l ON k.source IS NOT DISTINCT FROM l.source),
+odds AS (SELECT *, CASE WHEN p >= 1 THEN 0.0 WHEN p > 0 THEN (x / (1 - x)) / (p / (1 - p)) END AS odds_ratio FROM likely),
 runs AS (
-  SELECT k.doc_id, k.size, r.source_size, r.target, r.whole, r.rest,
-         coalesce(sum(CASE WHEN k.size > 0 THEN k.size END) OVER (PARTITION BY k.source ORDER BY k.size = 0, k.u, k.doc_id
-           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-  FROM keyed k JOIN rests r ON k.source IS NOT DISTINCT FROM r.source)
+  SELECT *, coalesce(sum(CASE WHEN size > 0 THEN size END) OVER (PARTITION BY source ORDER BY size = 0, odds_ratio, u, doc_id, size
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM odds)
 SELECT doc_id, size, source_size, target,
-       CAST(size * (whole + CASE WHEN rest > 0 AND 2 * before + size <= 2 * rest THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM runs
+       CAST(size * (whole + CASE WHEN rest > 0 AND p > 0 AND 2 * before + size <= 2 * rest THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM runs
 """
 
 ORACLE["op6_url_filter"] = r"""
