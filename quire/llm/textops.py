@@ -37,6 +37,21 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def release() -> None:
+    """Give back what earlier stages left in this worker process: power tables, Arrow's pool, freed heap pages. Workers are
+    reused, and the stages' working sets would add up."""
+    import ctypes
+    import gc
+
+    _POW.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def inverse(base: int) -> int:
     return pow(base, -1, 1 << 64)
 

@@ -104,6 +104,7 @@ class WordIds:
 
 def _write(path, block_ids):
     def run(batches):
+        T.release()
         store = worker_store()
         known = store.__dict__.setdefault("words", {})
         if path not in known:
@@ -180,6 +181,7 @@ def crc_shift(crc: int, n: int) -> int:
 
 def _read(with_ids):
     def run(batches):
+        T.release()
         for batch in batches:
             blocks = R.decode(batch.column(3).to_pylist())
             part, first = batch.column(0).to_pylist(), batch.column(1).to_pylist()
