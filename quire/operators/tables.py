@@ -82,27 +82,56 @@ def indexed_text(header: Column, rows: Column, delimiter: str = "|") -> Column:
     return F.array_join(F.concat(F.array(head), body), "\n")
 
 
-def markdown_grid(header: Column, rows: Column) -> tuple[Column, Column]:
-    """(grid, widths): the cell matrix with a 0-based index column, and column widths."""
-    grid = F.concat(F.array(F.concat(F.array(F.lit("")), header)),
-                    F.transform(rows, lambda r, i: F.concat(F.array(i.cast("string")),
-                                                            F.transform(r["cells"], lambda c: F.coalesce(c, F.lit(""))))))
-    ncols = F.size(header) + 1
-    widths = F.transform(F.sequence(F.lit(1), ncols),
-                         lambda j: F.array_max(F.transform(grid, lambda line: F.length(F.try_element_at(line, j)))))
-    return grid, widths
-
-
-def markdown_text(grid: Column, widths: Column) -> Column:
-    """Markdown pipe table from :func:`markdown_grid` (widths must be a plain column)."""
+#: a cell that reads as a number
+NUMBER = r"^[+-]?(?:[0-9]+(?:[.][0-9]*)?|[.][0-9]+)(?:[eE][+-]?[0-9]+)?$"
+
+
+def markdown_columns(header: Column, rows: Column) -> Column:
+    """The columns of a markdown table, a 0-based index first: ``array<struct<name, cells, number>>``. A column whose cells
+    all read as numbers (empty ones aside) is a number column."""
+    def column(j):
+        cells = F.transform(rows, lambda r: F.coalesce(F.try_element_at(r["cells"], j), F.lit("")))
+        return F.struct(F.element_at(header, j).alias("name"), cells.alias("cells"))
+
+    index = F.struct(F.lit("").alias("name"), F.transform(rows, lambda r, i: i.cast("string")).alias("cells"))
+    named = F.when(F.size(header) > 0, F.transform(F.sequence(F.lit(1), F.size(header)), column))
+    cols = F.concat(F.array(index), F.coalesce(named, F.array().cast("array<struct<name:string,cells:array<string>>>")))
+    return F.transform(cols, lambda c: F.struct(
+        F.coalesce(c["name"], F.lit("")).alias("name"), c["cells"].alias("cells"),
+        (F.exists(c["cells"], lambda x: x != "") & F.forall(c["cells"], lambda x: (x == "") | x.rlike(NUMBER))).alias("number")))
+
+
+def markdown_aligned(cols: Column) -> Column:
+    """:func:`markdown_columns` with decimal points under each other in number columns, and their widths: two more than the
+    name at least."""
+    def places(x):  # digits after the point; a cell without a point is one shorter still
+        return F.when(F.instr(x, ".") > 0, F.length(x) - F.instr(x, ".")).otherwise(F.lit(-1))
+
+    def align(c):
+        most = F.array_max(F.transform(c["cells"], places))
+        cells = F.when(c["number"], F.transform(c["cells"], lambda x: F.concat(x, F.repeat(F.lit(" "), most - places(x))))).otherwise(c["cells"])
+        return F.struct(c["name"].alias("name"), cells.alias("cells"), c["number"].alias("number"))
+
+    return F.transform(F.transform(cols, align), lambda c: F.struct(
+        c["name"].alias("name"), c["cells"].alias("cells"), c["number"].alias("number"),
+        F.greatest(F.length(c["name"]) + 2, F.coalesce(F.array_max(F.transform(c["cells"], F.length)), F.lit(0))).alias("width")))
+
+
+def markdown_text(cols: Column, n_rows: Column) -> Column:
+    """Markdown pipe table from :func:`markdown_aligned` columns: number columns to the right, others to the left, and an
+    alignment row."""
+    def put(x, c):
+        return F.when(c["number"], F.lpad(x, c["width"], F.lit(" "))).otherwise(F.rpad(x, c["width"], F.lit(" ")))
+
     def line(cells):
-        padded = F.transform(cells, lambda c, j: F.rpad(c, F.element_at(widths, j + 1), F.lit(" ")))
-        return F.concat(F.lit("| "), F.array_join(padded, " | "), F.lit(" |"))
+        return F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
 
-    ruler = F.concat(F.lit("|"), F.array_join(F.transform(widths, lambda w: F.repeat(F.lit("-"), w + 2)), "|"),
-                     F.lit("|"))
-    lines = F.transform(grid, line)
-    return F.array_join(F.concat(F.slice(lines, 1, 1), F.array(ruler), F.slice(lines, 2, F.size(lines))), "\n")
+    dashes = lambda c: F.repeat(F.lit("-"), c["width"] + 1)
+    ruler = F.transform(cols, lambda c: F.when(c["number"], F.concat(dashes(c), F.lit(":"))).otherwise(F.concat(F.lit(":"), dashes(c))))
+    head = F.array(line(F.transform(cols, lambda c: put(c["name"], c))), F.concat(F.lit("|"), F.array_join(ruler, "|"), F.lit("|")))
+    body = F.when(n_rows > 0, F.transform(F.sequence(F.lit(1), n_rows), lambda i: line(
+        F.transform(cols, lambda c: put(F.element_at(c["cells"], i), c)))))
+    return F.array_join(F.concat(head, F.coalesce(body, F.array().cast("array<string>"))), "\n")
 
 
 def table_chunks(rows: DataFrame, mode: str = "plain", delimiter: str = "|", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -137,9 +166,9 @@ def render_tables(rows: DataFrame, mode: str = "plain", delimiter: str = "|") ->
     elif mode == "indexed":
         text = indexed_text(F.col("header"), F.col("_rows"), delimiter)
     elif mode == "markdown":
-        grid, widths = markdown_grid(F.col("header"), F.col("_rows"))
-        g = g.select("table_id", grid.alias("_grid"), widths.alias("_w"))
-        text = markdown_text(F.col("_grid"), F.col("_w"))
+        g = g.select("table_id", F.size("_rows").alias("_n"), markdown_columns(F.col("header"), F.col("_rows")).alias("_c"))
+        g = g.select("table_id", "_n", markdown_aligned(F.col("_c")).alias("_c"))
+        text = markdown_text(F.col("_c"), F.col("_n"))
     else:
         raise ValueError(mode)
     return g.select("table_id", text.alias("table"))
@@ -244,9 +273,9 @@ def parse_tables(texts: DataFrame, text: str = "table", key: str = "table_id", d
 
 
 def parse_markdown_tables(texts: DataFrame, text: str = "table", key: str = "table_id") -> DataFrame:
-    """Markdown grid to table form; ruler lines ``^[+-|= ]+$`` are dropped, the
+    """Markdown grid to table form; ruler and alignment lines ``^[+-|=: ]+$`` are dropped, the
     first and last pipe-split pieces are discarded and cells are trimmed."""
-    lines = F.filter(F.split(F.col(text), "\r?\n"), lambda ln: ~ln.rlike(r"^[+\-|= ]+$"))
+    lines = F.filter(F.split(F.col(text), "\r?\n"), lambda ln: ~ln.rlike(r"^[+\-|=: ]+$"))
     pieces = F.transform(lines, lambda ln: F.split(ln, "\\|", -1))
     split = F.transform(pieces, lambda p: F.transform(
         F.slice(p, 2, F.greatest(F.size(p) - 2, F.lit(0))), lambda c: strip_ws(c)))

@@ -12,6 +12,7 @@ from quire.operators import sampling as sm
 from quire.plans.catalog import query
 from quire.plans.fixture_sql import with_fixtures as W
 from quire.plans.oracle import ORACLE
+from quire.sources import collections as co
 from quire.sources import files as fs
 from quire.sources import tables as tb
 
@@ -44,6 +45,15 @@ def s1_json_roundtrip(spark, d):
                        "validity_scalar")
 
 
+@query("s4_merge")
+def s4_merge(spark, d):
+    """Examples, one JSON object each, merged into one ordered collection, and read back by position."""
+    ex = tb.examples(spark, d).select("example_id", "question", "ground_truth", "validity_scalar")
+    path = fs.scratch_dir(spark, "collection")
+    co.write_collection(ex, path, ["example_id"])
+    return co.read_collection(spark, path, "example_id bigint, question string, ground_truth string, validity_scalar bigint")
+
+
 SEED_BATCH = 2000  # documents in one seed file: files of several splits, with quoted line breaks
 SEED_SPLIT = "1m"
 
@@ -184,6 +194,9 @@ RUNS = ("runs", """SELECT DISTINCT 'eval_output/all/main/' || reasoning_type ||
 
 ORACLE["s1_json_roundtrip"] = W("examples") + """
 SELECT example_id, question, ground_truth, CAST(validity_scalar AS INTEGER) AS validity_scalar FROM examples"""
+ORACLE["s4_merge"] = W("examples") + """
+SELECT row_number() OVER (ORDER BY example_id) - 1 AS position, example_id, question, ground_truth, CAST(validity_scalar AS BIGINT) AS validity_scalar
+FROM examples"""
 ORACLE["s5_seed_tables"] = f"""
 SELECT doc_id // {SEED_BATCH} AS batch, CAST(row_number() OVER (PARTITION BY doc_id // {SEED_BATCH} ORDER BY doc_id) AS INTEGER) AS row_idx,
        doc_id, source, CASE WHEN text IN ('', {", ".join(f"'{w}'" for w in MISSING_WORDS)}) THEN NULL ELSE text END AS text,

@@ -51,6 +51,11 @@ def r1_large_tables(spark, d):
     return out[0].unionByName(out[1])
 
 
+@query("r1_markdown_text")
+def r1_markdown_text(spark, d):
+    return tt.render_tables(tb.table_cells(spark, d), "markdown").withColumnRenamed("table", "table_text")
+
+
 @query("r2_parse_roundtrip")
 def r2_parse_roundtrip(spark, d):
     texts = tt.render_tables(tb.table_cells(spark, d), "indexed")
@@ -176,6 +181,18 @@ ORACLE["r1_large_tables"] = W("table_rows", extra=[("lt", f"""
   UNION ALL SELECT flag, 'indexed', '|index|{PLAIN_HEAD}|' || indexed FROM lt""")]) + """
 SELECT table_id, mode, length(t) AS chars, sha256(t) AS text_sha256 FROM lx"""
 
+# number columns (the index too) to the right, the others to the left; a width is the name's and two at least
+_MD = [("''", "CAST(row_idx - 1 AS VARCHAR)", True)] + [(f"'{c}'", c, c not in ("flag", "shipped")) for c in COLS]
+_WIDTHS = ", ".join(f"greatest(length({h}) + 2, max(length({x}))) AS w{i}" for i, (h, x, _) in enumerate(_MD))
+_PAD = lambda x, i, right: f"{'lpad' if right else 'rpad'}({x}, CAST(w{i} AS INTEGER), ' ')"
+_MD_LINE = lambda of: "'| ' || " + " || ' | ' || ".join(_PAD(of(h, x), i, r) for i, (h, x, r) in enumerate(_MD)) + " || ' |'"
+_MD_RULER = "'|' || " + " || '|' || ".join(
+    f"repeat('-', CAST(w{i} AS INTEGER) + 1) || ':'" if r else f"':' || repeat('-', CAST(w{i} AS INTEGER) + 1)" for i, (_, _, r) in enumerate(_MD)) + " || '|'"
+ORACLE["r1_markdown_text"] = W("table_rows", extra=[("wd", f"SELECT table_id, {_WIDTHS} FROM table_rows GROUP BY table_id")]) + f"""
+SELECT table_id, any_value({_MD_LINE(lambda h, x: h)}) || chr(10) || any_value({_MD_RULER}) || chr(10)
+       || string_agg({_MD_LINE(lambda h, x: x)}, chr(10) ORDER BY row_idx) AS table_text
+FROM table_rows JOIN wd USING (table_id) GROUP BY table_id"""
+
 LONG = " UNION ALL ".join(
     ["SELECT table_id, row_idx, 1 AS col_idx, 'index' AS column_name, CAST(row_idx AS VARCHAR) AS value FROM table_rows"]
     + [f"SELECT table_id, row_idx, {i + 2}, '{c}', {c} FROM table_rows" for i, c in enumerate(COLS)])

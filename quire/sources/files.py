@@ -57,7 +57,8 @@ def read_json_tolerant(spark: SparkSession, path: str, schema: str, multiline: b
 
 def write_json(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "overwrite",
                single_file: bool = False) -> None:
-    """Write rows as JSON lines (partitioned by run columns when given)."""
+    """Write rows as JSON lines (partitioned by run columns when given). ``single_file`` is for small results; one
+    ordered collection of any size is :func:`quire.sources.collections.write_collection` (S4)."""
     out = df.coalesce(1) if single_file else df
     w = out.write.mode(mode)
     if partition_by:

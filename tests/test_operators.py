@@ -467,3 +467,15 @@ def test_include_list_wins(spark):
     assert rows(fs.filter_runs(runs, skip=one("a")), "path") == [("b",), ("c",)]
     assert rows(fs.filter_runs(runs, skip=one("a"), include=one("a")), "path") == [("a",)]
     assert fs.filter_runs(runs).count() == 3
+
+
+def test_markdown_as_printed(spark):
+    """The layout of pipe tables: names padded by two, an alignment row, numbers to the right by their points."""
+    rows_ = [(1, 1, ["animal_1", "animal_2"], ["elk", "dog"]), (1, 2, ["animal_1", "animal_2"], ["pig", "quetzal"]),
+             (2, 1, ["a", "b", "c"], ["1", "1.5", None]), (2, 2, ["a", "b", "c"], ["20", "22.25", "x|y"])]
+    df = spark.createDataFrame(rows_, "table_id int, row_idx int, header array<string>, cells array<string>")
+    got = {r["table_id"]: r["table"] for r in tt.render_tables(df, "markdown").collect()}
+    assert got[1] == ("|    | animal_1   | animal_2   |\n|---:|:-----------|:-----------|\n"
+                      "|  0 | elk        | dog        |\n|  1 | pig        | quetzal    |")
+    assert got[2] == ("|    |   a |     b | c   |\n|---:|----:|------:|:----|\n"
+                      "|  0 |   1 |  1.5  |     |\n|  1 |  20 | 22.25 | x|y |")
