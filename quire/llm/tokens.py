@@ -38,6 +38,7 @@ from quire.llm.shipping import ship
 
 END = 2
 VOCABULARY = "word_bpe_49k.json"
+UNIT_BYTES = 10 << 20  # text that is coded together
 KNOWN_WORDS = 1_500_000
 SCHEMA = "part bigint, seq bigint, first_id bigint, n_ids bigint, docs binary, block binary"
 
@@ -111,7 +112,7 @@ def _write(path, block_ids):
             known[path] = WordIds(path)
         words = known[path]
         part, seq, done, doc_no = TaskContext.get().partitionId(), 0, 0, 0
-        for ids, texts in K.units(batches, 1, 24 << 20):
+        for ids, texts in K.units(batches, 1, UNIT_BYTES):
             key = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             null = np.asarray(ids.is_null()).astype(np.uint8)
             buf, off = T.flat(texts)
