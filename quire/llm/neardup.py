@@ -13,11 +13,14 @@ of similarity s leave about J = s^3 / (2 - s^3). README has the recall measured
 
 Scale: equal texts are merged first, so copies are one candidate whatever their number. Within a
 sketch's group up to ``ALL_PAIRS`` texts are compared pairwise. In a larger group every text is first
-compared with the group's first text and the next in length; what the links so far leave apart in it is
-then compared wholly, in blocks of about ``BLOCK`` texts, block by block: pairs of different components,
-each in the first group they share, that can reach the similarity by their lengths and common words.
-Blocks of one component are not compared with each other, so a group whose texts the first links join
-costs nothing more; one of many unlinked texts costs the square of its size, over many small tasks.
+compared with the group's first text and the next in length. The texts of groups these links leave
+apart are then compared with each other by an exact filter: a text's words are put in order from the rarest, and
+similar texts share a word among the first of each, as many as they may differ in and one more. Rows are
+these words with the text's length and a bag of 128 counts; pairs that pass both and have a sketch in common
+are aligned, and texts travel for these alone. The
+passage that brought a group together is none of its texts' rarest words, so it brings no pairs. A word that is
+rarest for more than ``WORD_ROWS`` texts is spread over cells: its rows grow with the square of its texts over
+``WORD_ROWS``, which is left of the square; no pair is left out at any size.
 Every text is first aligned with its smallest candidate; the second round takes only pairs that those
 links have not already joined.
 
@@ -28,18 +31,16 @@ rows equal in text are always in one class; rows with a null doc_id take part, a
 
 from __future__ import annotations
 
-import math
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from quire.llm import textops as T
-from quire.llm.frames import components, pick, written
+from quire.llm.frames import components, pick, shuffle_partitions, written
 from quire.llm.shipping import ship
 
 SHINGLE = 3
@@ -48,7 +49,9 @@ SKETCHES = 40
 TAKEN = 2
 SHORT = 14
 ALL_PAIRS = 16
-BLOCK = 256
+WORD_BITS = 18  # hash buckets of word counts: 1 MB of 32-bit counts, whatever the input
+WORD_ROWS = 4096  # rows of one word in a cell
+MEETINGS = 1 << 20
 CHUNK_BYTES = 4 << 20
 
 
@@ -156,91 +159,161 @@ def candidates(sketched: DataFrame) -> DataFrame:
                        *[F.when(place, F.col(c)).alias(c) for c in ("band", "key", "n")]).distinct()
 
 
-def _common(x: list, y: list) -> np.ndarray:
-    """How many words, repeats counted, each text of ``x`` has in common with each of ``y``."""
-    labelled = [T.mix(h + occurrence_numbers(h).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for h in x + y]
-    owner = np.repeat(np.arange(len(labelled)), [len(h) for h in labelled])
-    _, word, times = np.unique(np.concatenate(labelled), return_inverse=True, return_counts=True)
-    owner, word = owner[times[word] > 1], word[times[word] > 1]
-    order = np.argsort(word, kind="stable")
-    _, word = np.unique(word[order], return_inverse=True)
-    owner, out = owner[order], np.zeros((len(x), len(y)), np.float32)
-    step = 8192
-    for a in range(0, int(word[-1]) + 1 if len(word) else 0, step):
-        i, j = np.searchsorted(word, [a, a + step])
-        has = np.zeros((len(labelled), step), np.float32)
-        has[owner[i:j], word[i:j] - a] = 1
-        out += has[:len(x)] @ has[len(x):].T
-    return out
+def _labelled(h: np.ndarray) -> np.ndarray:
+    """A text's words, repeats told apart by their number: what two texts share of these is what they have in common."""
+    return T.mix(h + occurrence_numbers(h).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _texts_words(column):
+    """The labelled words of each text of a column."""
+    buf, off = T.flat(column)
+    for a, b in T.chunks(off, CHUNK_BYTES):
+        _, _, h, first = T.words(buf[off[a]:off[b]], off[a:b + 1] - off[a], T.ALNUM, fold=True)
+        for d in range(b - a):
+            yield _labelled(h[first[d]:first[d + 1]])
+
 
+def _count_words(batches):
+    """(text) to (bucket, n): how many texts hold words of each of the ``1 << WORD_BITS`` hash buckets."""
+    total = np.zeros(1 << WORD_BITS, np.int64)
+    for batch in batches:
+        for x in _texts_words(batch.column(0)):
+            np.add.at(total, x >> np.uint64(64 - WORD_BITS), 1)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
 
-def _compare(similarity):
-    """Two blocks of a group (side 0 and 1, or side 0 alone with itself) to the links that join its components."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["side", "tid"]).reset_index(drop=True)
-        buf, off = T.flat(pa.array(pdf["text"], pa.large_string()))
-        _, _, h, first = T.words(buf, off, T.ALNUM, fold=True)
-        words = [h[first[i]:first[i + 1]] for i in range(len(pdf))]
-        left = np.flatnonzero(pdf["side"] == 0)
-        right = np.flatnonzero(pdf["side"] == 1)
-        own = not len(right)
-        right = left if own else right
-        n, comp = np.array([len(w) for w in words]), pd.factorize(pdf["component"])[0]
-        longer = np.maximum(n[left][:, None], n[right][None, :])
-        spare = (longer * (1 - similarity) + 1e-9).astype(np.int64) - longer + _common([words[i] for i in left], [words[i] for i in right]).astype(np.int64)
-        ok = (spare >= 0) & (comp[left][:, None] != comp[right][None, :])
-        if own:
-            ok &= left[:, None] < right[None, :]
-        before = np.stack(pdf["before"].to_numpy()) if len(pdf) else np.zeros((0, 0))
-        for c in range(before.shape[1]):  # such a pair is compared in an earlier band's group
-            ok &= before[left, c][:, None] != before[right, c][None, :]
-        x, y = np.nonzero(ok)
-        up, tid, a, b = list(range(len(pdf))), pdf["tid"].tolist(), [], []
-
-        def root(c):
-            while up[c] != c:
-                up[c] = c = up[up[c]]
-            return c
-
-        for k in np.argsort(-spare[x, y], kind="stable"):  # the likeliest first
-            i, j = int(left[x[k]]), int(right[y[k]])
-            p, q = root(comp[i]), root(comp[j])
-            if p != q and similar(words[i], words[j], similarity):
-                up[p] = q
-                a.append(min(tid[i], tid[j]))
-                b.append(max(tid[i], tid[j]))
-        return pd.DataFrame({"a": a, "b": b})
+
+def _rare_words(similarity, counts):
+    """(tid, text) to (word, x, y, side, n, at, tid, bag): the rarest words of a text that other texts may hold, as many
+    as it may differ in and one more; ``at`` is the word's place among the text's words from the rarest. Words of more
+    than ``WORD_ROWS`` texts have cells (x, y) of two sides each; ``bag`` counts the text's words by 128 hash classes."""
+    def run(batches):
+        held = counts()
+        for batch in batches:
+            out = [[] for _ in range(6)]
+            bags, tids = [], []
+            ids = _fixed(batch.column(0))
+            for i, w in enumerate(_texts_words(batch.column(1))):
+                n = len(w)
+                took = int(n * (1 - similarity) + 1e-9) + 1
+                of = held[w >> np.uint64(64 - WORD_BITS)]
+                rarest = np.lexsort((w, of))[:took]
+                at = np.flatnonzero(of[rarest] > 1)
+                word, cells = w[rarest[at]], -(-of[rarest[at]] // WORD_ROWS)
+                bag = np.minimum(np.bincount((w & np.uint64(127)).astype(np.int64), minlength=128), 255).astype(np.uint8)
+                if bag.max(initial=0) == 255:  # no longer a count: let all pairs pass
+                    bag[:] = 255
+                side = (word ^ ids[i].view(">u8")[0].astype(np.uint64)) % cells.astype(np.uint64)
+                r = np.repeat(np.arange(len(at)), cells)
+                other = np.arange(len(r)) - np.repeat(np.cumsum(cells) - cells, cells)
+                side = side.astype(np.int64)[r]
+                for c, v in zip(out, (word[r].view(np.int64), np.minimum(side, other), np.maximum(side, other), side, np.full(len(r), n), at[r])):
+                    c.append(v)
+                bags.append(np.broadcast_to(bag, (len(r), 128)))
+                tids.append(np.broadcast_to(ids[i], (len(r), 16)))
+            if bags:
+                yield pa.RecordBatch.from_arrays([*[pa.array(np.concatenate(c)) for c in out], _binary(np.concatenate(tids)), _binary(np.concatenate(bags))],
+                                                 names=["word", "x", "y", "side", "n", "at", "tid", "bag"])
+    return run
+
+
+def _fixed(column) -> np.ndarray:
+    """The bytes of a binary column whose values are equally long, one row each."""
+    buf, off = T.flat(column)
+    return buf[off[0]:off[-1]].reshape(len(column), -1) if len(column) else np.zeros((0, 16), np.uint8)
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    rows = np.ascontiguousarray(rows)
+    off = (np.arange(len(rows) + 1) * rows.shape[1]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(off), pa.py_buffer(rows)])
+
+
+def _meet(similarity, whole):
+    """Rows (word, x, y, side, n, at, tid, bag, component), cell by cell and by length, to pairs (a, b, t, c) of different
+    components that can reach the similarity by length, words and bag: text ``t`` and component ``c`` name the pair. All
+    of them, or (not ``whole``) one of each text and component in a batch."""
+    def pairs(t):
+        word, x, y, side, n, at = (t.column(c).to_numpy() for c in range(6))
+        tid, bag, comp = (_fixed(t.column(c).combine_chunks()) for c in (6, 7, 8))
+        ids, comps = (np.ascontiguousarray(v).view(">u8").astype(np.uint64) for v in (tid, comp))
+        fresh = np.concatenate([[True], (word[1:] != word[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+        cell = np.cumsum(fresh) - 1
+        need = n - (n * (1 - similarity) + 1e-9).astype(np.int64)  # words in common with a text no longer than this
+        r = np.arange(len(n))
+        low = np.searchsorted((cell << 32) | n, (cell << 32) | need)
+        of, full = r - low, bag.min(axis=1) == 255
+        ends = np.cumsum(of)
+        start = 0
+        while start < len(n):
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + MEETINGS, side="right")))
+            q = np.repeat(r[start:stop], of[start:stop])
+            p = np.arange(len(q)) - np.repeat(np.cumsum(of[start:stop]) - of[start:stop], of[start:stop]) + low[q]
+            ok = (comps[q] != comps[p]).any(axis=1) & (np.minimum(n[p] - at[p], n[q] - at[q]) >= need[q])
+            ok &= (x[q] == y[q]) | (side[q] != side[p])
+            q, p = q[ok], p[ok]
+            common = np.concatenate([np.minimum(bag[q[a:a + 8192]], bag[p[a:a + 8192]]).sum(axis=1, dtype=np.int64)
+                                     for a in range(0, len(q), 8192)] or [np.zeros(0, np.int64)])
+            ok = full[q] | full[p] | (common >= need[q])
+            q, p = q[ok], p[ok]
+            second = comps[p] if not whole else ids[p]
+            order = np.lexsort((second[:, 1], second[:, 0], ids[q, 1], ids[q, 0]))
+            key = np.concatenate([ids[q], second], axis=1)[order]
+            one = order[np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)])] if len(q) else order
+            q, p = q[one], p[one]
+            less = (ids[q, 0] < ids[p, 0]) | ((ids[q, 0] == ids[p, 0]) & (ids[q, 1] < ids[p, 1]))
+            a, b = np.where(less, q, p), np.where(less, p, q)
+            yield pa.RecordBatch.from_arrays([_binary(tid[a]), _binary(tid[b]), _binary(tid[q]), _binary(comp[p])], names=["a", "b", "t", "c"])
+            start = stop
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            held = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+            if held.num_rows < 1 << 15:
+                continue
+            held = held.combine_chunks()
+            last = [held.column(c).to_numpy() for c in range(3)]
+            cut = np.flatnonzero(np.any([v != v[-1] for v in last], axis=0))
+            if len(cut):  # the last cell may go on
+                yield from pairs(held.slice(0, int(cut[-1]) + 1).combine_chunks())
+                held = held.slice(int(cut[-1]) + 1)
+        if held is not None and held.num_rows:
+            yield from pairs(held.combine_chunks())
     return run
 
 
 def apart(places: DataFrame, sketched: DataFrame, part: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Links between components(node, component) inside the groups of more than ALL_PAIRS texts, whose members are
-    places(tid, band, key, n): all pairs of a group that are not in one component, in pairs of blocks."""
+    """components(node, component) joined by the links between the texts of groups of more than ALL_PAIRS texts,
+    places(tid, band, key), that lie in more than one component: texts with a sketch in common that are similar. Two
+    similar texts share one of the rarest words of each, of which as many are taken as they may differ in and one
+    more. First one pair of a text and a component is compared, then every pair these links leave apart."""
     key = ["band", "key"]
     rows = places.join(part, places["tid"] == part["node"], "left").withColumn("component", F.coalesce("component", "tid")).drop("node")
     divided = rows.groupBy(*key).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select(*key)
-    # lengths that can be similar are at most one class apart
-    rows = rows.join(divided, key, "left_semi").withColumn("len", F.floor(F.log("n") / math.log(1 / min(similarity, 0.999))))
-    rows = written(rows, "apart")
-    # a block: texts of one large component, or of several small ones
-    held = rows.groupBy(*key, "len", "component").agg(F.count("*").alias("of"))
-    held = held.withColumn("big", F.when(F.col("of") > BLOCK, F.hex("component")).otherwise(""))
-    total = held.groupBy(*key, "len", "big").agg(F.ceil(F.sum("of") / BLOCK).alias("salts"))
-    block = held.drop("of").join(total, [*key, "len", "big"])
-    rows = rows.join(block, [*key, "len", "component"])
-    rows = rows.withColumn("block", F.concat_ws("/", "big", "len", F.pmod(F.xxhash64("tid"), F.col("salts"))))
-    blocks = rows.select(*key, "len", "big", "block").distinct()
-    other = blocks.select(*key, F.col("len").alias("len2"), F.col("big").alias("big2"), F.col("block").alias("block2"))
-    cells = blocks.join(other, key).where("block <= block2 and abs(len - len2) <= 1 and (big <> big2 or big = '')")
-    cells = cells.select(*key, F.col("block").alias("x"), F.col("block2").alias("y"))
-    member = rows.select(*key, "block", "tid", "component")
-    sides = [member.join(c.withColumnRenamed(at, "block"), [*key, "block"]).select(
-        *key, F.col("block").alias("x") if at == "x" else "x", F.col("block").alias("y") if at == "y" else "y",
-        F.lit(side).alias("side"), "tid", "component")
-        for at, side, c in (("x", 0, cells), ("y", 1, cells.where("x <> y")))]
-    full = sides[0].union(sides[1]).join(texts, "tid").join(sketched.select("tid", "keys"), "tid")
-    full = full.withColumn("before", F.expr("slice(keys, 1, greatest(band, 0))")).drop("keys")
-    return written(full.groupBy(*key, "x", "y").applyInPandas(_compare(similarity), "a binary, b binary").distinct(), "links")
+    ids = rows.join(divided, key, "left_semi").select("tid").distinct()
+    open_texts = written(texts.join(ids, "tid", "left_semi").select("tid", "text"), "open")
+    keys = sketched.join(ids, "tid", "left_semi").select("tid", F.concat("keys", "short").alias("keys"))
+    seen = open_texts.select("text").mapInArrow(_count_words, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
+    held = np.zeros(1 << WORD_BITS, np.uint32)
+    for r in seen.toLocalIterator():  # at most 1 << WORD_BITS rows
+        held[r.bucket] = min(r.n, 0xFFFFFFFF)
+    sent = places.sparkSession.sparkContext.broadcast(held.tobytes())
+    words = open_texts.mapInArrow(_rare_words(similarity, lambda: np.frombuffer(sent.value, np.uint32).astype(np.int64)),
+                                  "word bigint, x bigint, y bigint, side bigint, n bigint, at bigint, tid binary, bag binary")
+    words = written(words, "words")
+    columns = [F.col(c) for c in ("word", "x", "y", "side", "n", "at", "tid", "bag")]
+    for whole in (False, True):
+        met = words.join(part, words["tid"] == part["node"], "left").select(*columns, F.coalesce("component", "tid").alias("component"))
+        met = met.repartition(shuffle_partitions(places.sparkSession), "word", "x", "y").sortWithinPartitions("word", "x", "y", "n")
+        met = met.mapInArrow(_meet(similarity, whole), "a binary, b binary, t binary, c binary")
+        pairs = met.select("a", "b").distinct() if whole else met.groupBy("t", "c").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b").distinct()
+        pairs = (written(pairs, "pairs").join(keys.select(F.col("tid").alias("a"), F.col("keys").alias("ka")), "a")
+                 .join(keys.select(F.col("tid").alias("b"), F.col("keys").alias("kb")), "b").where(F.arrays_overlap("ka", "kb")))
+        found = links(written(pairs.select("a", "b"), "pairs"), texts, similarity, "links")
+        if not found.isEmpty():
+            part = written(components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found)), "parts")
+    return part
 
 
 def banded_distance(a: list, b: list, limit: int) -> int:
@@ -364,9 +437,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, n_sketches: int = S
     left = (pairs.join(root.select("a", F.col("r").alias("ra")), "a", "left").join(root.select(F.col("a").alias("b"), F.col("r").alias("rb")), "b", "left")
                  .where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).join(first, ["a", "b"], "left_anti").select("a", "b"))
     part = written(components(found.union(links(left, texts, similarity, "links"))), "parts")
-    more = apart(places, sketched, part, texts, similarity)
-    if not more.isEmpty():
-        part = components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    part = apart(places, sketched, part, texts, similarity)
     t = copies.join(part, copies["tid"] == part["node"], "left").select(
         "tid", "doc", "docs", F.coalesce("component", "tid").alias("class_tid"))
     t = written(t, "texts")

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quire.llm import decontaminate, packing, rangecoder, suffixarray, tokens
+from quire.llm import decontaminate, neardup, packing, rangecoder, suffixarray, tokens
 from quire.llm import textops as T
 from quire.llm.neardup import banded_distance
 
@@ -104,3 +104,38 @@ def test_sliced_benchmark(spark, edge_dir):
     assert sorted(map(repr, a)) == sorted(map(repr, b)) and any(r.contaminated for r in a)
     spans = decontaminate.decontaminate(docs, bench, mode="spans")
     assert spans.columns == docs.columns and spans.count() == docs.count()
+
+
+def test_rare_words_meet_all_similar(monkeypatch):
+    """Every pair of different components that is similar passes the rare-word filter, also when words have several
+    cells and bags are full; a passage that all texts share brings no pairs."""
+    monkeypatch.setattr(neardup, "WORD_ROWS", 7)
+    monkeypatch.setattr(neardup, "MEETINGS", 50)
+    rng = np.random.default_rng(11)
+    texts = []
+    for _ in range(6):
+        base = [f"w{k}" for k in rng.integers(0, 40, int(rng.integers(20, 90)))]
+        for _ in range(20):
+            w = list(base)
+            for j in rng.integers(0, len(w), int(rng.integers(0, len(w) // 5 + 2))):
+                w[j] = f"w{rng.integers(0, 40)}"
+            texts.append(" ".join(w))
+    long = ["again"] * 400 + [f"v{i}" for i in range(80)]
+    texts += [" ".join(long), " ".join(long[:-20])]
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts += [passage + " " + " ".join(f"u{i}_{j}" for j in range(30)) for i in range(20)]
+    texts = sorted(set(texts))
+    words = [T.words(*T.flat(pa.array([t])), T.ALNUM, fold=True)[2] for t in texts]
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if neardup.similar(words[i], words[j])}
+    tid = [i.to_bytes(16, "big") for i in range(len(texts))]
+    counts = np.zeros(1 << neardup.WORD_BITS, np.int64)
+    for b in neardup._count_words([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])]):
+        counts[b.column(0).to_numpy()] = b.column(1).to_numpy()
+    rows = pa.Table.from_batches(list(neardup._rare_words(0.8, lambda: counts)(
+        [pa.RecordBatch.from_arrays([pa.array(tid, pa.binary()), pa.array(texts)], names=["tid", "text"])])))
+    rows = rows.append_column("component", rows.column("tid")).sort_by([(c, "ascending") for c in ("word", "x", "y", "n")])
+    got = {(int.from_bytes(r["a"], "big"), int.from_bytes(r["b"], "big"))
+           for b in neardup._meet(0.8, True)(rows.combine_chunks().to_batches()) for r in b.to_pylist()}
+    assert len(want) > 300 and want <= got
+    shared = {i for i, t in enumerate(texts) if t.startswith(passage)}
+    assert not any(i in shared and j in shared for i, j in got)
