@@ -16,7 +16,7 @@ sketch's group up to ``ALL_PAIRS`` texts are compared pairwise. In a larger grou
 compared with the group's first text and the next in length. The texts of groups these links leave
 apart are then compared with each other by an exact filter: a text's words are put in order from the rarest, and
 similar texts share a word among the first of each, as many as they may differ in and one more. Rows are
-these words with the text's length and a bag of 128 counts; pairs that pass both and have a sketch in common
+these words with the text's length and a bag of ``BAG`` counts; pairs that pass both and have a sketch in common
 are aligned, and texts travel for these alone. The
 passage that brought a group together is none of its texts' rarest words, so it brings no pairs. A word that is
 rarest for more than ``WORD_ROWS`` texts is spread over cells: its rows grow with the square of its texts over
@@ -49,7 +49,8 @@ SKETCHES = 40
 TAKEN = 2
 SHORT = 14
 ALL_PAIRS = 16
-WORD_BITS = 18  # hash buckets of word counts: 1 MB of 32-bit counts, whatever the input
+WORD_BITS = 20  # hash buckets of word counts: 4 MB of 32-bit counts, whatever the input
+BAG = 256
 WORD_ROWS = 4096  # rows of one word in a cell
 MEETINGS = 1 << 20
 CHUNK_BYTES = 4 << 20
@@ -173,34 +174,44 @@ def _texts_words(column):
             yield _labelled(h[first[d]:first[d + 1]])
 
 
-def _count_words(batches):
-    """(text) to (bucket, n): how many texts hold words of each of the ``1 << WORD_BITS`` hash buckets."""
-    total = np.zeros(1 << WORD_BITS, np.int64)
-    for batch in batches:
-        for x in _texts_words(batch.column(0)):
-            np.add.at(total, x >> np.uint64(64 - WORD_BITS), 1)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
+def _rarest(w: np.ndarray, similarity: float, held: np.ndarray) -> np.ndarray:
+    """The places of a text's rarest words: as many as it may differ in and one more."""
+    return np.lexsort((w, held[w >> np.uint64(64 - WORD_BITS)]))[:int(len(w) * (1 - similarity) + 1e-9) + 1]
 
 
-def _rare_words(similarity, counts):
-    """(tid, text) to (word, x, y, side, n, at, tid, bag): the rarest words of a text that other texts may hold, as many
-    as it may differ in and one more; ``at`` is the word's place among the text's words from the rarest. Words of more
-    than ``WORD_ROWS`` texts have cells (x, y) of two sides each; ``bag`` counts the text's words by 128 hash classes."""
+def _count_words(similarity, counts):
+    """(text) to (bucket, n): how many texts hold words of each of the ``1 << WORD_BITS`` hash buckets; with ``counts``,
+    hold them among their rarest."""
     def run(batches):
-        held = counts()
+        total = np.zeros(1 << WORD_BITS, np.int64)
+        held = counts() if counts else None
+        for batch in batches:
+            for x in _texts_words(batch.column(0)):
+                x = x if held is None else x[_rarest(x, similarity, held)]
+                np.add.at(total, x >> np.uint64(64 - WORD_BITS), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
+    return run
+
+
+def _rare_words(similarity, counts, met):
+    """(tid, text) to (word, x, y, side, n, at, tid, bag): a text's rarest words that may be (``met``)
+    among the rarest of another text; ``at`` is the word's place among the text's words from the rarest. Words of more
+    than ``WORD_ROWS`` texts have cells (x, y) of two sides each; ``bag`` counts the text's words by ``BAG`` hash
+    classes."""
+    def run(batches):
+        held, others = counts(), met()
         for batch in batches:
             out = [[] for _ in range(6)]
             bags, tids = [], []
             ids = _fixed(batch.column(0))
             for i, w in enumerate(_texts_words(batch.column(1))):
                 n = len(w)
-                took = int(n * (1 - similarity) + 1e-9) + 1
-                of = held[w >> np.uint64(64 - WORD_BITS)]
-                rarest = np.lexsort((w, of))[:took]
-                at = np.flatnonzero(of[rarest] > 1)
-                word, cells = w[rarest[at]], -(-of[rarest[at]] // WORD_ROWS)
-                bag = np.minimum(np.bincount((w & np.uint64(127)).astype(np.int64), minlength=128), 255).astype(np.uint8)
+                rarest = w[_rarest(w, similarity, held)]
+                of = others[rarest >> np.uint64(64 - WORD_BITS)]
+                at = np.flatnonzero(of > 1)
+                word, cells = rarest[at], -(-of[at] // WORD_ROWS)
+                bag = np.minimum(np.bincount((w & np.uint64(BAG - 1)).astype(np.int64), minlength=BAG), 255).astype(np.uint8)
                 if bag.max(initial=0) == 255:  # no longer a count: let all pairs pass
                     bag[:] = 255
                 side = (word ^ ids[i].view(">u8")[0].astype(np.uint64)) % cells.astype(np.uint64)
@@ -209,7 +220,7 @@ def _rare_words(similarity, counts):
                 side = side.astype(np.int64)[r]
                 for c, v in zip(out, (word[r].view(np.int64), np.minimum(side, other), np.maximum(side, other), side, np.full(len(r), n), at[r])):
                     c.append(v)
-                bags.append(np.broadcast_to(bag, (len(r), 128)))
+                bags.append(np.broadcast_to(bag, (len(r), BAG)))
                 tids.append(np.broadcast_to(ids[i], (len(r), 16)))
             if bags:
                 yield pa.RecordBatch.from_arrays([*[pa.array(np.concatenate(c)) for c in out], _binary(np.concatenate(tids)), _binary(np.concatenate(bags))],
@@ -283,6 +294,10 @@ def _meet(similarity, whole):
     return run
 
 
+def _counts(sent):
+    return lambda: np.frombuffer(sent.value, np.uint32).astype(np.int64)
+
+
 def apart(places: DataFrame, sketched: DataFrame, part: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """components(node, component) joined by the links between the texts of groups of more than ALL_PAIRS texts,
     places(tid, band, key), that lie in more than one component: texts with a sketch in common that are similar. Two
@@ -292,25 +307,27 @@ def apart(places: DataFrame, sketched: DataFrame, part: DataFrame, texts: DataFr
     rows = places.join(part, places["tid"] == part["node"], "left").withColumn("component", F.coalesce("component", "tid")).drop("node")
     divided = rows.groupBy(*key).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select(*key)
     ids = rows.join(divided, key, "left_semi").select("tid").distinct()
-    open_texts = written(texts.join(ids, "tid", "left_semi").select("tid", "text"), "open")
-    keys = sketched.join(ids, "tid", "left_semi").select("tid", F.concat("keys", "short").alias("keys"))
-    seen = open_texts.select("text").mapInArrow(_count_words, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
-    held = np.zeros(1 << WORD_BITS, np.uint32)
-    for r in seen.toLocalIterator():  # at most 1 << WORD_BITS rows
-        held[r.bucket] = min(r.n, 0xFFFFFFFF)
-    sent = places.sparkSession.sparkContext.broadcast(held.tobytes())
-    words = open_texts.mapInArrow(_rare_words(similarity, lambda: np.frombuffer(sent.value, np.uint32).astype(np.int64)),
-                                  "word bigint, x bigint, y bigint, side bigint, n bigint, at bigint, tid binary, bag binary")
+    mine = sketched.select("tid", F.concat("keys", "short").alias("keys")).join(ids, "tid", "left_semi")
+    open_texts = written(texts.select("tid", "text").join(mine, "tid"), "open")
+    spark = places.sparkSession
+    sent: list = []
+    for _ in range(2):  # texts that hold a word; texts that hold it among their rarest
+        counted = open_texts.select("text").mapInArrow(_count_words(similarity, _counts(sent[0]) if sent else None), "bucket bigint, n bigint")
+        table = counted.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most 1 << WORD_BITS rows
+        held = np.zeros(1 << WORD_BITS, np.uint32)
+        held[table.column("bucket").to_numpy()] = np.minimum(table.column("n").to_numpy(), 0xFFFFFFFF)
+        sent.append(spark.sparkContext.broadcast(held.tobytes()))
+    words = open_texts.select("tid", "text").mapInArrow(
+        _rare_words(similarity, *map(_counts, sent)),
+        "word bigint, x bigint, y bigint, side bigint, n bigint, at bigint, tid binary, bag binary")
     words = written(words, "words")
-    columns = [F.col(c) for c in ("word", "x", "y", "side", "n", "at", "tid", "bag")]
+    columns = [F.col(c) for c in words.columns]
     for whole in (False, True):
         met = words.join(part, words["tid"] == part["node"], "left").select(*columns, F.coalesce("component", "tid").alias("component"))
-        met = met.repartition(shuffle_partitions(places.sparkSession), "word", "x", "y").sortWithinPartitions("word", "x", "y", "n")
+        met = met.repartition(shuffle_partitions(spark), "word", "x", "y").sortWithinPartitions("word", "x", "y", "n")
         met = met.mapInArrow(_meet(similarity, whole), "a binary, b binary, t binary, c binary")
         pairs = met.select("a", "b").distinct() if whole else met.groupBy("t", "c").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b").distinct()
-        pairs = (written(pairs, "pairs").join(keys.select(F.col("tid").alias("a"), F.col("keys").alias("ka")), "a")
-                 .join(keys.select(F.col("tid").alias("b"), F.col("keys").alias("kb")), "b").where(F.arrays_overlap("ka", "kb")))
-        found = links(written(pairs.select("a", "b"), "pairs"), texts, similarity, "links")
+        found = links(pairs, open_texts, similarity, "links")
         if not found.isEmpty():
             part = written(components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found)), "parts")
     return part
@@ -404,10 +421,12 @@ def _verify(similarity):
 
 
 def links(pairs: DataFrame, texts: DataFrame, similarity: float, name: str) -> DataFrame:
-    """The pairs whose texts align."""
-    a = pairs.join(texts.select(F.col("tid").alias("a"), F.col("text").alias("ta")), "a")
-    both = a.join(texts.select(F.col("tid").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-    return written(both.mapInArrow(_verify(similarity), "a binary, b binary"), name)
+    """The pairs whose texts align; if the texts have ``keys``, those with a key in common."""
+    sides = [texts.select(F.col("tid").alias(c), *[F.col(v).alias(v[0] + c) for v in texts.columns if v != "tid"]) for c in "ab"]
+    both = pairs.join(sides[0], "a").join(sides[1], "b")
+    if "keys" in texts.columns:
+        both = both.where(F.arrays_overlap("ka", "kb"))
+    return written(both.select("a", "b", "ta", "tb").mapInArrow(_verify(similarity), "a binary, b binary"), name)
 
 
 def text_id(text) -> F.Column:
