@@ -52,7 +52,7 @@ ALL_PAIRS = 16
 WORD_BITS = 20  # hash buckets of word counts: 4 MB of 32-bit counts, whatever the input
 BAG = 256
 WORD_ROWS = 4096  # rows of one word in a cell
-MEETINGS = 1 << 20
+MEETINGS = 1 << 17
 CHUNK_BYTES = 4 << 20
 
 
@@ -183,32 +183,32 @@ def _count_words(similarity, counts):
     """(text) to (bucket, n): how many texts hold words of each of the ``1 << WORD_BITS`` hash buckets; with ``counts``,
     hold them among their rarest."""
     def run(batches):
-        total = np.zeros(1 << WORD_BITS, np.int64)
+        total = np.zeros(1 << WORD_BITS, np.uint32)
         held = counts() if counts else None
         for batch in batches:
             for x in _texts_words(batch.column(0)):
                 x = x if held is None else x[_rarest(x, similarity, held)]
                 np.add.at(total, x >> np.uint64(64 - WORD_BITS), 1)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], names=["bucket", "n"])
+        T.release()
     return run
 
 
 def _rare_words(similarity, counts, met):
-    """(tid, text) to (word, x, y, side, n, at, tid, bag): a text's rarest words that may be (``met``)
+    """(tid, text, component) to (word, x, y, side, n, at, tid, bag, component): a text's rarest words that may be (``met``)
     among the rarest of another text; ``at`` is the word's place among the text's words from the rarest. Words of more
     than ``WORD_ROWS`` texts have cells (x, y) of two sides each; ``bag`` counts the text's words by ``BAG`` hash
     classes."""
     def run(batches):
         held, others = counts(), met()
         for batch in batches:
-            out = [[] for _ in range(6)]
-            bags, tids = [], []
-            ids = _fixed(batch.column(0))
+            out = [[] for _ in range(9)]
+            ids, comp = _fixed(batch.column(0)), _fixed(batch.column(2))
             for i, w in enumerate(_texts_words(batch.column(1))):
                 n = len(w)
                 rarest = w[_rarest(w, similarity, held)]
-                of = others[rarest >> np.uint64(64 - WORD_BITS)]
+                of = others[rarest >> np.uint64(64 - WORD_BITS)].astype(np.int64)
                 at = np.flatnonzero(of > 1)
                 word, cells = rarest[at], -(-of[at] // WORD_ROWS)
                 bag = np.minimum(np.bincount((w & np.uint64(BAG - 1)).astype(np.int64), minlength=BAG), 255).astype(np.uint8)
@@ -218,13 +218,15 @@ def _rare_words(similarity, counts, met):
                 r = np.repeat(np.arange(len(at)), cells)
                 other = np.arange(len(r)) - np.repeat(np.cumsum(cells) - cells, cells)
                 side = side.astype(np.int64)[r]
-                for c, v in zip(out, (word[r].view(np.int64), np.minimum(side, other), np.maximum(side, other), side, np.full(len(r), n), at[r])):
+                for c, v in zip(out, (word[r].view(np.int64), np.minimum(side, other), np.maximum(side, other), side, np.full(len(r), n), at[r],
+                                      *[np.broadcast_to(b, (len(r), len(b))) for b in (ids[i], bag, comp[i])])):
                     c.append(v)
-                bags.append(np.broadcast_to(bag, (len(r), BAG)))
-                tids.append(np.broadcast_to(ids[i], (len(r), 16)))
-            if bags:
-                yield pa.RecordBatch.from_arrays([*[pa.array(np.concatenate(c)) for c in out], _binary(np.concatenate(tids)), _binary(np.concatenate(bags))],
-                                                 names=["word", "x", "y", "side", "n", "at", "tid", "bag"])
+                if i + 1 == len(ids) or sum(map(len, out[0])) > 1 << 14:  # rows are wide
+                    whole = [np.concatenate(c) for c in out]
+                    out = [[] for _ in range(9)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) if c.ndim == 1 else _binary(c) for c in whole],
+                                                     names=["word", "x", "y", "side", "n", "at", "tid", "bag", "component"])
+        T.release()
     return run
 
 
@@ -291,11 +293,13 @@ def _meet(similarity, whole):
                 held = held.slice(int(cut[-1]) + 1)
         if held is not None and held.num_rows:
             yield from pairs(held.combine_chunks())
+        held = None
+        T.release()
     return run
 
 
 def _counts(sent):
-    return lambda: np.frombuffer(sent.value, np.uint32).astype(np.int64)
+    return lambda: np.frombuffer(sent.value, np.uint32)
 
 
 def apart(places: DataFrame, sketched: DataFrame, part: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -317,13 +321,10 @@ def apart(places: DataFrame, sketched: DataFrame, part: DataFrame, texts: DataFr
         held = np.zeros(1 << WORD_BITS, np.uint32)
         held[table.column("bucket").to_numpy()] = np.minimum(table.column("n").to_numpy(), 0xFFFFFFFF)
         sent.append(spark.sparkContext.broadcast(held.tobytes()))
-    words = open_texts.select("tid", "text").mapInArrow(
-        _rare_words(similarity, *map(_counts, sent)),
-        "word bigint, x bigint, y bigint, side bigint, n bigint, at bigint, tid binary, bag binary")
-    words = written(words, "words")
-    columns = [F.col(c) for c in words.columns]
+    rare = _rare_words(similarity, *map(_counts, sent))
     for whole in (False, True):
-        met = words.join(part, words["tid"] == part["node"], "left").select(*columns, F.coalesce("component", "tid").alias("component"))
+        now = open_texts.join(part, open_texts["tid"] == part["node"], "left").select("tid", "text", F.coalesce("component", "tid").alias("component"))
+        met = now.mapInArrow(rare, "word bigint, x bigint, y bigint, side bigint, n bigint, at bigint, tid binary, bag binary, component binary")
         met = met.repartition(shuffle_partitions(spark), "word", "x", "y").sortWithinPartitions("word", "x", "y", "n")
         met = met.mapInArrow(_meet(similarity, whole), "a binary, b binary, t binary, c binary")
         pairs = met.select("a", "b").distinct() if whole else met.groupBy("t", "c").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b").distinct()

@@ -135,8 +135,8 @@ def test_rare_words_meet_all_similar(monkeypatch):
             counts[b.column(0).to_numpy()] = b.column(1).to_numpy()
         held.append(counts)
     rows = pa.Table.from_batches(list(neardup._rare_words(0.8, lambda: held[0], lambda: held[1])(
-        [pa.RecordBatch.from_arrays([pa.array(tid, pa.binary()), pa.array(texts)], names=["tid", "text"])])))
-    rows = rows.append_column("component", rows.column("tid")).sort_by([(c, "ascending") for c in ("word", "x", "y", "n")])
+        [pa.RecordBatch.from_arrays([pa.array(tid, pa.binary()), pa.array(texts), pa.array(tid, pa.binary())], names=["tid", "text", "component"])])))
+    rows = rows.sort_by([(c, "ascending") for c in ("word", "x", "y", "n")])
     got = {(int.from_bytes(r["a"], "big"), int.from_bytes(r["b"], "big"))
            for b in neardup._meet(0.8, True)(rows.combine_chunks().to_batches()) for r in b.to_pylist()}
     assert len(want) > 300 and want <= got
