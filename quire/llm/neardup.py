@@ -133,6 +133,7 @@ def _sketches(n_sketches, similarity):
                     short.append(shortened(w, similarity) if 0 < len(w) <= SHORT else none)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_out, pa.int64()), _lists(keys), _lists(short)],
                                              names=["tid", "n", "keys", "short"])
+        T.release()
     return run
 
 
@@ -418,6 +419,7 @@ def _verify(similarity):
                 keep.append(similar(h[f[i]:f[i + 1]], g[e[i]:e[i + 1]], similarity))
             part = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"])
+        T.release()
     return run
 
 
