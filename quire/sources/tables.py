@@ -118,10 +118,13 @@ def table_rows(spark: SparkSession, sf_dir: str, ids: DataFrame | None = None) -
     if ids is not None:
         li = li.join(ids.select(ids.columns[0]).withColumnRenamed(ids.columns[0], "l_orderkey"), "l_orderkey",
                      "left_semi")
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey",
-                                                 "l_quantity", "l_extendedprice")
+    li = li.select(F.col("l_orderkey").alias("table_id"), "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
+                   "l_returnflag", "l_shipdate")
+    w = Window.partitionBy("table_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    # numbered before anything is rendered: only the raw columns are shuffled, and by the name that later steps group by
+    li = li.select("*", F.row_number().over(w).cast("int").alias("row_idx"))
     return li.select(
-        F.col("l_orderkey").alias("table_id"), F.row_number().over(w).cast("int").alias("row_idx"),
+        "table_id", "row_idx",
         F.col("l_partkey").cast("string").alias("part"), F.col("l_suppkey").cast("string").alias("supplier"),
         F.col("l_quantity").cast("int").cast("string").alias("quantity"),
         F.col("l_extendedprice").cast("decimal(18,2)").cast("string").alias("price"),
