@@ -8,6 +8,7 @@ row per partition:
 * :func:`text_chunks`, :func:`whole_texts`: ordered concatenation. A range of lines becomes one chunk of at most
   ``CHUNK_BYTES``; chunks of one group are joined in order. Only groups that cross a border or fill several chunks
   are shuffled again, chunk by chunk. Readers of very large groups take the chunks, which come in order.
+* :func:`stored_lines`, :func:`joined_lines`: the same of lines that hold their positions. :func:`text_digests` streams chunks.
 * :func:`ranged`: position in the group and the previous row's values (a segmented ``row_number`` and ``lag``).
 
 What goes to the driver or to all tasks is one row per partition, of narrow columns.
@@ -15,13 +16,14 @@ What goes to the driver or to all tasks is one row per partition, of narrow colu
 
 from __future__ import annotations
 
+import hashlib
 import sys as _sys
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark import cloudpickle as _cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
 
@@ -92,14 +94,18 @@ def _chunk_types(key_type):
 
 
 def text_chunks(rows: DataFrame, key: str, order: list[str], line: Column, sep: str = "\n", head: Column | None = None,
-                chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+                chunk_bytes: int = CHUNK_BYTES, ties: list[str] | None = None) -> DataFrame:
     """Chunks (key, seq, head, n_lines, whole, text) of the ``line`` s of every group, joined by ``sep`` in the order of
-    ``order`` (ties: of the line). ``seq`` orders a group's chunks; ``head`` is taken from a chunk's first row; ``whole``
+    ``order`` (ties: of the line, or of the columns ``ties``). ``seq`` orders a group's chunks; ``head`` is taken from a chunk's first row; ``whole``
     marks a chunk that is its group's only one. Rows come out in the order of (key, seq)."""
-    d = rows.select(F.col(key).alias("key"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)],
-                    (head if head is not None else F.lit(None).cast("string")).alias("head"), line.alias("line"))
-    o = [f"_o{i}" for i in range(len(order))]
-    d = d.repartitionByRange("key", *o).sortWithinPartitions("key", *o, "line")
+    head = head if head is not None else F.lit(None).cast("string")
+    if ties is None:
+        d = rows.select(F.col(key).alias("key"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], head.alias("head"), line.alias("line"))
+        o = [f"_o{i}" for i in range(len(order))]
+        d = d.repartitionByRange("key", *o).sortWithinPartitions("key", *o, "line")
+    else:
+        d = rows.repartitionByRange(key, *order).sortWithinPartitions(key, *order, *ties)
+        d = d.select(F.col(key).alias("key"), head.alias("head"), line.alias("line"))
     key_type = d.schema["key"].dataType.simpleString()
     return d.select("key", F.xxhash64("key").alias("h"), "head", "line").mapInArrow(
         _joiner(sep, chunk_bytes), f"key {key_type}, seq bigint, head string, n_lines bigint, whole boolean, text string")
@@ -114,6 +120,80 @@ def whole_texts(chunks: DataFrame, sep: str = "\n") -> DataFrame:
     return chunks.where("whole").select("key", "head", "text").unionByName(joined)
 
 
+#: code points that no text holds (Unicode noncharacters): between lines that are still to be numbered, and for a NULL line
+_BREAK, _NULL = "\ufdd4", "\ufdd5"
+
+
+def stored_lines(rows: DataFrame, key: str, order: list[str], ties: list[str], line: Column, head: Column | None = None,
+                 chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """:func:`text_chunks` of lines that are still to be numbered, NULL lines too, written once to the shared folder: rows are
+    shuffled once, whatever is made of them with :func:`joined_lines`."""
+    return materialize(text_chunks(rows, key, order, F.coalesce(line, F.lit(_NULL)), _BREAK, head, chunk_bytes, ties), "lines")
+
+
+def joined_lines(lines: DataFrame, numbered, sep: str = "\n") -> DataFrame:
+    """Chunks as of :func:`text_chunks` from :func:`stored_lines`: ``numbered(position, line)``, a Column, is made of every line
+    and its 1-based position in the group (NULL lines count, and are left out). Lines are counted by chunk."""
+    w = Window.partitionBy("key").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    before = lines.where("NOT whole").select(F.col("seq").alias("_seq"), F.coalesce(F.sum("n_lines").over(w), F.lit(0)).alias("_before"))
+    # one narrow row per chunk of a group that fills several, or crosses a border
+    t = lines.join(F.broadcast(before), lines["seq"] == before["_seq"], "left")
+    first = F.coalesce("_before", F.lit(0)) + 1
+    made = F.transform(F.split("text", _BREAK, -1), lambda x, i: F.when(x != _NULL, numbered(first + i, x)))
+    t = t.select("key", "seq", "head", "whole", F.when(F.col("n_lines") > 0, F.filter(made, lambda x: x.isNotNull())).alias("_l"))
+    return t.select("key", "seq", "head", F.coalesce(F.size("_l"), F.lit(0)).cast("bigint").alias("n_lines"), "whole",
+                    F.coalesce(F.array_join("_l", sep), F.lit("")).alias("text"))
+
+
+def _digester(sep: str, start: str, end: str):
+    """Sorted (key, hash, head, n_lines, text) to (key, chars, sha256) of head, ``start``, the texts joined by ``sep`` and ``end``."""
+    def run(batches):
+        now, out = None, []
+
+        def close():
+            now["sha"].update(end.encode())
+            ok = now["head"] is not None
+            out.append((now["key"], now["chars"] + len(end) if ok else None, now["sha"].hexdigest() if ok else None))
+
+        key_type = None
+        for batch in batches:
+            keys, h, heads, n_lines, texts = batch.columns
+            key_type = keys.type
+            for i in range(len(batch)):
+                x = h[i].as_py()
+                if now is None or now["h"] != x:
+                    if now is not None:
+                        close()
+                    head = heads[i].as_py()
+                    first = (head or "") + start
+                    now = {"h": x, "key": keys[i].as_py(), "head": head, "chars": len(first), "sha": hashlib.sha256(first.encode()), "any": False}
+                if n_lines[i].as_py():
+                    text = texts[i].as_py()
+                    if now["any"]:
+                        text = sep + text
+                    now["any"] = True
+                    now["chars"] += len(text)
+                    now["sha"].update(text.encode())
+            if len(out) > 4096:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [key_type, pa.int64(), pa.string()])], names=_DIGEST)
+                out.clear()
+        if now is not None:
+            close()
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [key_type, pa.int64(), pa.string()])], names=_DIGEST)
+    return run
+
+
+_DIGEST = ["key", "chars", "text_sha256"]
+
+
+def text_digests(chunks: DataFrame, sep: str = "\n", start: str = "", end: str = "") -> DataFrame:
+    """(key, chars, text_sha256) of every group's head, ``start``, its chunks joined in order, and ``end``. Chunks are streamed:
+    a group's text may be of any size, and is never in one row. A NULL head makes both NULL."""
+    d = chunks.select("key", F.xxhash64("key").alias("_h"), "head", "n_lines", "text", "seq").repartition("key").sortWithinPartitions("key", "seq")
+    key_type = d.schema["key"].dataType.simpleString()
+    return d.drop("seq").mapInArrow(_digester(sep, start, end), f"key {key_type}, chars bigint, text_sha256 string")
+
+
 def _placer(lag_at: list[int]):
     """Sorted rows (.., hash) with their partition, run, place in the run, and the previous row's values in the run."""
     def run(batches):

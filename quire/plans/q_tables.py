@@ -44,10 +44,9 @@ def _long_tables(spark, d):
 @query("r1_large_tables")
 def r1_large_tables(spark, d):
     """Tables of hundreds of thousands of rows, numbered and rendered by ranges; digests of the texts."""
-    rows = _long_tables(spark, d)
-    out = [tt.render_large_tables(rows, m, chunk_bytes=1 << 20).select(
-        "table_id", F.lit(m).alias("mode"), F.length("table").cast("bigint").alias("chars"), F.sha2("table", 256).alias("text_sha256"))
-        for m in ("plain", "indexed")]
+    lines = tt.table_lines(_long_tables(spark, d), chunk_bytes=1 << 20)
+    out = [tt.digest_large_tables(lines, m).select("table_id", F.lit(m).alias("mode"), "chars", "text_sha256")
+           for m in ("plain", "indexed")]
     return out[0].unionByName(out[1])
 
 
