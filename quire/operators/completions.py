@@ -4,7 +4,7 @@ assembly of outputs (J11, Z1, E1, J4, J5).
 The stored-reply lookup is a join on a prompt key: prompts with a stored reply are done, the rest are pending and go to
 the scorer. A key is the SHA-256 of model and prompt (:func:`prompt_key`), or of the hashes of the prompt's parts
 (:func:`quire.operators.prompts.grid_keys`): then the lookup reads no text, and prompts are built for pending rows only.
-Only pending prompts enter Python, as Arrow batches through ``mapInPandas``. Stores are kept bucketed by key
+Only pending prompts enter Python, as Arrow batches through ``mapInArrow``. Stores are kept bucketed by key
 (:func:`reply_store`), so they are not shuffled; where a store is large and few keys are asked, the engine's
 runtime filters (a Bloom filter of the keys) prune its scan.
 """
@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 import sys as _sys
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle as _cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -96,7 +97,7 @@ def _answer(scorer, prompts: list, counts: dict) -> list[tuple]:
 def score_batches(pending: DataFrame, scorer: Callable[[pd.Series], pd.Series] = offline_scorer,
                   prompt: str = "prompt", keep: list[str] | None = None, batch_size: int = BATCH_SIZE,
                   accounts: bool = False, give_up_after: int = GIVE_UP_AFTER) -> DataFrame:
-    """Z1 + E1: run a batch scorer over pending prompts with ``mapInPandas``, ``batch_size`` prompts a call.
+    """Z1 + E1: run a batch scorer over pending prompts with ``mapInArrow``, ``batch_size`` prompts a call.
 
     A batch whose call fails (or returns another number of replies) is split in halves until the failing prompts
     stand alone; such a prompt gets ``No Response``, so it never loses the rest of its batch. With ``accounts``, each
@@ -111,26 +112,28 @@ def score_batches(pending: DataFrame, scorer: Callable[[pd.Series], pd.Series] =
     if accounts:
         schema = schema.add("calls", "integer").add("error", "string")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [f.name for f in schema]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         answered, lost, counts = False, 0, {"calls": 0}
-        for pdf in batches:
-            prompts = pdf[prompt].tolist()
+        for batch in batches:
+            prompts = batch.column(len(keep))
             got = []
-            for i in range(0, len(prompts), batch_size):
-                part = _answer(scorer, prompts[i:i + batch_size], counts)
+            for i in range(0, len(prompts), batch_size):  # the prompts of one call at a time leave Arrow
+                part = _answer(scorer, prompts.slice(i, batch_size).to_pylist(), counts)
                 got += part
                 answered = answered or any(e is None for _, _, e in part)
                 lost += len(part)
                 if not answered and lost >= give_up_after:
                     raise ScorerError(f"no reply to the first {lost} prompts of a task; the last reason: {part[-1][2]}")
-            out = pdf[keep].copy()
-            out["reply"] = [r for r, _, _ in got]
+            out = [pa.array([r for r, _, _ in got], pa.string(), from_pandas=True)]
             if accounts:
-                out["calls"] = [n for _, n, _ in got]
-                out["error"] = [e for _, _, e in got]
-            yield out
+                out += [pa.array([n for _, n, _ in got], pa.int32()), pa.array([e for _, _, e in got], pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + out, names=names)
+            del batch, prompts, got, out
+            pa.default_memory_pool().release_unused()  # batches of long prompts differ in size
 
-    return pending.select(*cols).mapInPandas(run, schema)
+    return pending.select(*cols).mapInArrow(run, schema)
 
 
 def scoring_summary(scored: DataFrame, *by: str) -> DataFrame:
