@@ -40,7 +40,10 @@ def token_count(text) -> Column:
 
 def strip_ws(text) -> Column:
     """Trim all leading/trailing whitespace (not only spaces, as ``trim`` does)."""
-    return F.regexp_replace(_c(text), r"^\s+|\s+$", "")
+    t = _c(text)
+    # the pattern's end also stands before a last line break of these kinds; all other texts need no pattern
+    odd = t.endswith("\u0085") | t.endswith("\u2028") | t.endswith("\u2029")
+    return F.when(odd, F.regexp_replace(t, r"^\s+|\s+$", "")).otherwise(F.btrim(t, F.lit(" \t\n\x0b\f\r")))
 
 
 def parse_int(text) -> Column:
