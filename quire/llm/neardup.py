@@ -13,12 +13,15 @@ of similarity s leave about J = s^3 / (2 - s^3). README has the recall measured
 
 Scale: equal texts are merged first, so copies are one candidate whatever their number. Within a
 sketch's group up to ``ALL_PAIRS`` texts are compared pairwise. In a larger group every text is first
-compared with the group's first text and the next in length. The texts of groups these links leave
-apart are then compared with each other by an exact filter: a text's words are put in order from the rarest, and
-similar texts share a word among the first of each, as many as they may differ in and one more. Rows are
-these words with the text's length and a bag of ``BAG`` counts; pairs that pass both and have a sketch in common
-are aligned, and texts travel for these alone. The
-passage that brought a group together is none of its texts' rarest words, so it brings no pairs. A word that is
+compared with the group's smallest text, which is the same one in most groups of near copies. The texts of groups
+these links leave apart are then compared with each other by an exact filter: a text's words are put in order from the
+rarest, and similar texts share a word among the first of each, as many as they may differ in and one more. Pairs that
+share one and pass by length and a bag of ``BAG`` counts are aligned, and texts travel for these alone. The passage
+that brought a group together is none of its texts' rarest words, so it brings no pairs.
+
+A group of up to ``GROUP_ROWS`` texts and ``GROUP_WORDS`` words meets whole in one task: a row is a text's place in it
+with the text's words, so rows grow with the places, and a pair of texts meets in the first group it has in common. The
+texts of larger groups meet by a row for each of their rarest words, whatever the group. A word that is
 rarest for more than ``WORD_ROWS`` texts is spread over cells: its rows grow with the square of its texts over
 ``WORD_ROWS``, which is left of the square; no pair is left out at any size.
 Every text is first aligned with its smallest candidate; the second round takes only pairs that those
@@ -52,6 +55,8 @@ ALL_PAIRS = 16
 WORD_BITS = 20  # hash buckets of word counts: 4 MB of 32-bit counts, whatever the input
 BAG = 256
 WORD_ROWS = 4096  # rows of one word in a cell
+GROUP_ROWS = 4096  # texts and words of a group that meets whole in one task
+GROUP_WORDS = 1 << 20
 MEETINGS = 1 << 17
 CHUNK_BYTES = 4 << 20
 
@@ -145,13 +150,13 @@ def memberships(sketched: DataFrame) -> DataFrame:
 
 def candidates(sketched: DataFrame) -> DataFrame:
     """Distinct candidate pairs (a < b) of texts(tid, n, keys, short): all pairs of groups up to ALL_PAIRS, each
-    text's first pairs in larger ones. A row (a, null, band, key, n) is text a's place in a larger group, for
+    text with the smallest in larger ones. A row (a, null, band, key, n) is text a's place in a larger group, for
     :func:`apart`; the last three are null in pairs."""
     w = W.partitionBy("band", "key")
     rows = memberships(sketched).withColumn("_group", F.count("*").over(w)).where("_group > 1")
     o = w.orderBy("n", "tid")
     near = [F.lag("tid", d).over(o) for d in range(1, ALL_PAIRS)]
-    wide = F.array(near[0], F.first("tid").over(o))
+    wide = F.array(F.min("tid").over(w))
     rows = rows.withColumn("mates", F.when(F.col("_group") <= ALL_PAIRS, F.array(*near)).otherwise(wide))
     own = F.when(F.col("_group") > ALL_PAIRS, F.col("tid"))  # stands for the text's place
     rows = rows.select("band", "key", "tid", "n", F.explode(F.concat(
@@ -303,18 +308,133 @@ def _counts(sent):
     return lambda: np.frombuffer(sent.value, np.uint32)
 
 
+def _text_words(batches):
+    """(tid, keys, text) to (tid, keys, words): a text's labelled words as 32-bit hashes; equal words have equal ones."""
+    for batch in batches:
+        words = [(w >> np.uint64(32)).astype("<u4").tobytes() for w in _texts_words(batch.column(2))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.binary())], names=["tid", "keys", "words"])
+    T.release()
+
+
+def _groups(batches):
+    """The rows of sorted batches as a table for each value of their first two columns."""
+    held = None
+    for batch in batches:
+        held = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+        band, key = held.column(0).to_numpy(), held.column(1).to_numpy()
+        cuts = np.flatnonzero((band[1:] != band[:-1]) | (key[1:] != key[:-1])) + 1
+        for a, b in zip(np.concatenate([[0], cuts[:-1]]), cuts):
+            yield held.slice(int(a), int(b - a)).combine_chunks()
+        held = held.slice(int(cuts[-1]) if len(cuts) else 0)  # the last group may go on
+    if held is not None and held.num_rows:
+        yield held.combine_chunks()
+
+
+def _within(similarity, whole):
+    """Rows (band, key, n, tid, component, keys, words), group by group, to pairs (a, b) of different components that can
+    reach the similarity by length, words and bag and have no group of an earlier band in common: all of them, or
+    (not ``whole``) each text's most promising one in the group."""
+    def pairs(t):
+        n, m = t.column(2).to_numpy(), t.num_rows
+        tid, comp = (_fixed(t.column(c).combine_chunks()) for c in (3, 4))
+        part = np.unique(np.ascontiguousarray(comp).view("V16").ravel(), return_inverse=True)[1]
+        keys = t.column(5).combine_chunks().flatten().to_numpy().reshape(m, -1)[:, :max(0, t.column(0)[0].as_py())]
+        buf, off = T.flat(t.column(6))
+        w, first = np.frombuffer(buf.tobytes(), "<u4"), off // 4
+        text = np.repeat(np.arange(m), np.diff(first))
+        bag = np.minimum(np.bincount(text * BAG + (w & np.uint32(BAG - 1)), minlength=m * BAG).reshape(m, BAG), 255).astype(np.uint8)
+        full = bag.max(axis=1) == 255  # no longer a count
+        # the words of every text from the rarest of the group, as many as it may differ in and one more
+        uniq, inv, count = np.unique(w, return_inverse=True, return_counts=True)
+        rarest = np.argsort(count, kind="stable")
+        rank = np.empty(len(uniq), np.int64)
+        rank[rarest] = np.arange(len(uniq))
+        word = np.sort(text * len(uniq) + rank[inv]) - text * len(uniq)
+        at = np.arange(len(w)) - first[text]
+        keep = np.flatnonzero((at <= (n * (1 - similarity) + 1e-9).astype(np.int64)[text]) & (count[rarest[word]] > 1))
+        keep = keep[np.lexsort((part[text[keep]], word[keep]))]
+        word, at, text = word[keep], at[keep], text[keep]
+        # a row meets the rows of its word whose components come before its own
+        low = np.searchsorted(word, word)
+        mine = word * m + part[text]
+        of = np.searchsorted(mine, mine) - low
+        ends = np.cumsum(of)
+        best, mate = np.full(m, -1.0), np.zeros(m, np.int64)
+        start = 0
+        while start < len(of):
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + MEETINGS, side="right")))
+            q = np.repeat(np.arange(start, stop), of[start:stop])
+            p = np.arange(len(q)) - np.repeat(np.cumsum(of[start:stop]) - of[start:stop], of[start:stop]) + low[q]
+            start = stop
+            x, y = text[q], text[p]
+            longer = np.maximum(n[x], n[y])
+            ok = np.minimum(n[x] - at[q], n[y] - at[p]) >= longer - (longer * (1 - similarity) + 1e-9).astype(np.int64)
+            one = np.unique(np.minimum(x, y)[ok] * m + np.maximum(x, y)[ok])
+            for a in range(0, len(one), 8192):
+                x, y = one[a:a + 8192] // m, one[a:a + 8192] % m
+                new = ~(keys[x] == keys[y]).any(axis=1)
+                x, y = x[new], y[new]
+                longer = np.maximum(n[x], n[y])
+                common = np.minimum(bag[x], bag[y]).sum(axis=1, dtype=np.int64)
+                ok = full[x] | full[y] | (common >= longer - (longer * (1 - similarity) + 1e-9).astype(np.int64))
+                x, y, share = x[ok], y[ok], common[ok] / longer[ok]
+                if whole and len(x):
+                    yield pa.RecordBatch.from_arrays([_binary(tid[x]), _binary(tid[y])], names=["a", "b"])
+                for i, j in ((x, y), (y, x)):
+                    top = np.lexsort((-share, i))
+                    top = top[np.concatenate([[True], i[top][1:] != i[top][:-1]])] if len(top) else top
+                    top = top[share[top] > best[i[top]]]
+                    best[i[top]], mate[i[top]] = share[top], j[top]
+        x = np.flatnonzero(best >= 0)
+        if not whole and len(x):
+            yield pa.RecordBatch.from_arrays([_binary(tid[x]), _binary(tid[mate[x]])], names=["a", "b"])
+
+    def run(batches):
+        for t in _groups(batches):
+            yield from pairs(t)
+        T.release()
+    return run
+
+
+def _joined(part: DataFrame, pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """components(node, component) joined by the pairs whose texts align."""
+    found = links(pairs, texts, similarity, "links")
+    if found.isEmpty():
+        return part
+    return written(components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found)), "parts")
+
+
 def apart(places: DataFrame, sketched: DataFrame, part: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """components(node, component) joined by the links between the texts of groups of more than ALL_PAIRS texts,
-    places(tid, band, key), that lie in more than one component: texts with a sketch in common that are similar. Two
+    places(tid, band, key, n), that lie in more than one component: texts with a sketch in common that are similar. Two
     similar texts share one of the rarest words of each, of which as many are taken as they may differ in and one
-    more. First one pair of a text and a component is compared, then every pair these links leave apart."""
+    more. First each text's most promising pairs are compared, then every pair these links leave apart."""
     key = ["band", "key"]
     rows = places.join(part, places["tid"] == part["node"], "left").withColumn("component", F.coalesce("component", "tid")).drop("node")
-    divided = rows.groupBy(*key).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select(*key)
-    ids = rows.join(divided, key, "left_semi").select("tid").distinct()
+    size = rows.groupBy(*key).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.sum("n").alias("words"))
+    fits = (F.col("size") <= GROUP_ROWS) & (F.col("words") <= GROUP_WORDS)
+    divided = written(size.where("lo <> hi").select(*key, fits.alias("fits")), "divided")
+    open_rows = written(places.join(divided, key), "places")
+    spark = places.sparkSession
+    mine = open_rows.where("fits").select("tid").distinct()
+    words = sketched.select("tid", "keys").join(mine, "tid").join(texts.select("tid", "text"), "tid")
+    words = written(words.mapInArrow(_text_words, "tid binary, keys array<bigint>, words binary"), "words")
+    for whole in (False, True):
+        now = words.join(part, words["tid"] == part["node"], "left").select("tid", "keys", "words", F.coalesce("component", "tid").alias("component"))
+        met = open_rows.where("fits").select(*key, "n", "tid").join(now, "tid").select(*key, "n", "tid", "component", "keys", "words")
+        met = met.repartition(shuffle_partitions(spark), *key).sortWithinPartitions(*key)
+        met = met.mapInArrow(_within(similarity, whole), "a binary, b binary")
+        part = _joined(part, met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), texts, similarity)
+    large = open_rows.where("not fits").select("tid").distinct()
+    return part if large.isEmpty() else _by_words(large, sketched, part, texts, similarity)
+
+
+def _by_words(ids: DataFrame, sketched: DataFrame, part: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """components(node, component) joined by the links between texts ``ids`` that have a sketch in common. First one pair
+    of a text and a component is compared, then every pair these links leave apart."""
     mine = sketched.select("tid", F.concat("keys", "short").alias("keys")).join(ids, "tid", "left_semi")
     open_texts = written(texts.select("tid", "text").join(mine, "tid"), "open")
-    spark = places.sparkSession
+    spark = ids.sparkSession
     sent: list = []
     for _ in range(2):  # texts that hold a word; texts that hold it among their rarest
         counted = open_texts.select("text").mapInArrow(_count_words(similarity, _counts(sent[0]) if sent else None), "bucket bigint, n bigint")
@@ -329,9 +449,7 @@ def apart(places: DataFrame, sketched: DataFrame, part: DataFrame, texts: DataFr
         met = met.repartition(shuffle_partitions(spark), "word", "x", "y").sortWithinPartitions("word", "x", "y", "n")
         met = met.mapInArrow(_meet(similarity, whole), "a binary, b binary, t binary, c binary")
         pairs = met.select("a", "b").distinct() if whole else met.groupBy("t", "c").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b").distinct()
-        found = links(pairs, open_texts, similarity, "links")
-        if not found.isEmpty():
-            part = written(components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found)), "parts")
+        part = _joined(part, pairs, open_texts, similarity)
     return part
 
 

@@ -142,3 +142,74 @@ def test_rare_words_meet_all_similar(monkeypatch):
     assert len(want) > 300 and want <= got
     shared = {i for i, t in enumerate(texts) if t.startswith(passage)}
     assert not any(i in shared and j in shared for i, j in got)
+
+
+def test_groups_meet_all_similar(monkeypatch):
+    """Every similar pair of different components that shares a group is found, once for all its groups, and a row a text
+    at most comes of a first look; neither a passage that all texts share nor one component's own pairs bring any."""
+    rng = np.random.default_rng(12)
+    texts = []
+    for _ in range(4):
+        base = [f"w{k}" for k in rng.integers(0, 40, int(rng.integers(20, 90)))]
+        for _ in range(25):
+            w = list(base)
+            for j in rng.integers(0, len(w), int(rng.integers(0, len(w) // 5 + 2))):
+                w[j] = f"w{rng.integers(0, 40)}"
+            texts.append(" ".join(w))
+    long = ["again"] * 400 + [f"v{i}" for i in range(80)]
+    texts += [" ".join(long), " ".join(long[:-20])]
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts += [passage + " " + " ".join(f"u{i}_{j}" for j in range(30)) for i in range(20)]
+    texts = sorted(set(texts))
+    words = [T.words(*T.flat(pa.array([t])), T.ALNUM, fold=True)[2] for t in texts]
+    tid = [i.to_bytes(16, "big") for i in range(len(texts))]
+    part = [max(0, i - i % 3).to_bytes(16, "big") for i in range(len(texts))]  # three texts a component
+    keys = [[i % 2, 7, 7] for i in range(len(texts))]  # a band of two groups, and two bands of one
+    sent = pa.Table.from_batches(list(neardup._text_words([pa.RecordBatch.from_arrays(
+        [pa.array(tid, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(texts)], names=["tid", "keys", "text"])])))
+    sent = sent.column("words").to_pylist()
+    places = sorted((band, keys[i][band], len(words[i]), i) for i in range(len(texts)) for band in range(3))
+    of = [i for *_, i in places]
+    cols = [pa.array([r[c] for r in places], pa.int64()) for c in range(3)]
+    cols += [pa.array([v[i] for i in of], t) for v, t in ((tid, pa.binary()), (part, pa.binary()), (keys, pa.list_(pa.int64())), (sent, pa.binary()))]
+    rows = pa.table(cols, names=["band", "key", "n", "tid", "component", "keys", "words"]).to_batches(max_chunksize=50)
+
+    def met(whole):
+        return [tuple(sorted((int.from_bytes(r["a"], "big"), int.from_bytes(r["b"], "big"))))
+                for b in neardup._within(0.8, whole)(rows) for r in b.to_pylist()]
+
+    got = met(True)
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if part[i] != part[j] and neardup.similar(words[i], words[j])}
+    assert len(want) > 200 and want <= set(got) and len(got) == len(set(got))
+    assert all(part[i] != part[j] for i, j in got)
+    shared = {i for i, t in enumerate(texts) if t.startswith(passage)}
+    assert not any(i in shared and j in shared for i, j in got)
+    first = met(False)
+    assert len(first) <= len(places) and set(first) <= set(got)
+    assert {i for p in got for i in p} == {i for p in first for i in p}
+    monkeypatch.setattr(neardup, "MEETINGS", 50)  # a pair may come again in another piece
+    assert set(met(True)) == set(got) and len(met(False)) <= len(places)
+
+
+@pytest.mark.parametrize("group_rows", [0, 30, 4096])
+def test_large_groups_by_either_way(spark, monkeypatch, group_rows):
+    """A group that meets whole and one that is too large for it have the same classes."""
+    monkeypatch.setattr(neardup, "GROUP_ROWS", group_rows)
+    rng = np.random.default_rng(6)
+    rows = []
+    for c in range(3):
+        head = " ".join(f"h{c % 2}x{i}" for i in range(40))  # the first and the third kind share a passage
+        for i in range(40):
+            tail = [f"t{c}x{j}" for j in range(60)]
+            for j in rng.choice(60, 11 + i % 5, replace=False):
+                tail[j] = f"y{c}x{i}x{j}"
+            rows.append((len(rows), head + " " + " ".join(tail)))
+    got = {r.doc_id: r.class_id for r in neardup.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    words = [T.words(*T.flat(pa.array([t])), T.ALNUM, fold=True)[2] for _, t in rows]
+    sketches = np.stack([neardup.sketch(w, neardup.seeds(neardup.SKETCHES)) for w in words])
+    want = list(range(len(rows)))
+    for j in range(len(rows)):
+        for i in range(j):
+            if want[i] != want[j] and (sketches[i] == sketches[j]).any() and neardup.similar(words[i], words[j]):
+                want = [min(want[i], want[j]) if v in (want[i], want[j]) else v for v in want]
+    assert got == dict(enumerate(want)) and 3 < len(set(want)) < 100
