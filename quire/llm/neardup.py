@@ -16,11 +16,12 @@ sketch's group up to ``ALL_PAIRS`` texts are compared pairwise. In a larger grou
 compared with the group's smallest text, which is the same one in most groups of near copies. The texts of groups
 these links leave apart are then compared with each other by an exact filter: a text's words are put in order from the
 rarest, and similar texts share a word among the first of each, as many as they may differ in and one more. Pairs that
-share one and pass by length and a bag of ``BAG`` counts are aligned, and texts travel for these alone. The passage
+share one and pass by length and a bag of ``BAG`` counts are aligned. The passage
 that brought a group together is none of its texts' rarest words, so it brings no pairs.
 
 A group of up to ``GROUP_ROWS`` texts and ``GROUP_WORDS`` words meets whole in one task: a row is a text's place in it
-with the text's words, so rows grow with the places, and a pair of texts meets in the first group it has in common. The
+with hashes of the text's words, so rows grow with the places. Hashes are aligned there, in one of the groups that a pair
+has in common, and texts travel only for pairs that do align: the rest cost time, but no rows. The
 texts of larger groups meet by a row for each of their rarest words, whatever the group. A word that is
 rarest for more than ``WORD_ROWS`` texts is spread over cells: its rows grow with the square of its texts over
 ``WORD_ROWS``, which is left of the square; no pair is left out at any size.
@@ -150,8 +151,8 @@ def memberships(sketched: DataFrame) -> DataFrame:
 
 def candidates(sketched: DataFrame) -> DataFrame:
     """Distinct candidate pairs (a < b) of texts(tid, n, keys, short): all pairs of groups up to ALL_PAIRS, each
-    text with the smallest in larger ones. A row (a, null, band, key, n) is text a's place in a larger group, for
-    :func:`apart`; the last three are null in pairs."""
+    text with the smallest in larger ones (``star``). A row (a, null, band, key, n) is text a's place in a larger group,
+    for :func:`apart`; these three are null in pairs."""
     w = W.partitionBy("band", "key")
     rows = memberships(sketched).withColumn("_group", F.count("*").over(w)).where("_group > 1")
     o = w.orderBy("n", "tid")
@@ -159,11 +160,11 @@ def candidates(sketched: DataFrame) -> DataFrame:
     wide = F.array(F.min("tid").over(w))
     rows = rows.withColumn("mates", F.when(F.col("_group") <= ALL_PAIRS, F.array(*near)).otherwise(wide))
     own = F.when(F.col("_group") > ALL_PAIRS, F.col("tid"))  # stands for the text's place
-    rows = rows.select("band", "key", "tid", "n", F.explode(F.concat(
+    rows = rows.select("band", "key", "tid", "n", (F.col("_group") > ALL_PAIRS).alias("star"), F.explode(F.concat(
         F.filter(F.array_distinct("mates"), lambda m: m.isNotNull() & (m != F.col("tid"))), F.filter(F.array(own), lambda m: m.isNotNull()))).alias("mate"))
     place = F.col("mate") == F.col("tid")
     return rows.select(F.least("tid", "mate").alias("a"), F.when(~place, F.greatest("tid", "mate")).alias("b"),
-                       *[F.when(place, F.col(c)).alias(c) for c in ("band", "key", "n")]).distinct()
+                       *[F.when(place, F.col(c)).alias(c) for c in ("band", "key", "n")], "star").distinct()
 
 
 def _labelled(h: np.ndarray) -> np.ndarray:
@@ -309,9 +310,13 @@ def _counts(sent):
 
 
 def _text_words(batches):
-    """(tid, keys, text) to (tid, keys, words): a text's labelled words as 32-bit hashes; equal words have equal ones."""
+    """(tid, keys, text) to (tid, keys, words): the hashes of a text's words in order."""
     for batch in batches:
-        words = [(w >> np.uint64(32)).astype("<u4").tobytes() for w in _texts_words(batch.column(2))]
+        words = []
+        buf, off = T.flat(batch.column(2))
+        for a, b in T.chunks(off, CHUNK_BYTES):
+            _, _, h, first = T.words(buf[off[a]:off[b]], off[a:b + 1] - off[a], T.ALNUM, fold=True)
+            words += [h[first[d]:first[d + 1]].tobytes() for d in range(b - a)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.binary())], names=["tid", "keys", "words"])
     T.release()
 
@@ -331,19 +336,35 @@ def _groups(batches):
 
 
 def _within(similarity, whole):
-    """Rows (band, key, n, tid, component, keys, words), group by group, to pairs (a, b) of different components that can
-    reach the similarity by length, words and bag and have no group of an earlier band in common: all of them, or
-    (not ``whole``) each text's most promising one in the group."""
+    """Rows (band, key, n, tid, component, keys, words), group by group, to links (a, b, ca, cb) of different components
+    ca < cb: pairs whose words align, one of two components in a group. All pairs that can by length, words and bag are
+    looked at, or (not ``whole``) each text's most promising one; each in one of the groups it has in common, by its ids."""
     def pairs(t):
         n, m = t.column(2).to_numpy(), t.num_rows
         tid, comp = (_fixed(t.column(c).combine_chunks()) for c in (3, 4))
-        part = np.unique(np.ascontiguousarray(comp).view("V16").ravel(), return_inverse=True)[1]
-        keys = t.column(5).combine_chunks().flatten().to_numpy().reshape(m, -1)[:, :max(0, t.column(0)[0].as_py())]
+        part = np.unique(np.ascontiguousarray(comp).view("V16").ravel(), return_inverse=True)[1]  # in their order
+        joined = set()
+        band, keys = t.column(0)[0].as_py(), t.column(5).combine_chunks().flatten().to_numpy().reshape(m, -1)
+        lot = np.ascontiguousarray(tid).view(">u8")[:, 0].astype(np.uint64)
         buf, off = T.flat(t.column(6))
-        w, first = np.frombuffer(buf.tobytes(), "<u4"), off // 4
+        plain, first = np.frombuffer(buf.tobytes(), np.uint64), off // 8
+        w = np.concatenate([_labelled(plain[a:b]) for a, b in zip(first[:-1], first[1:])])
         text = np.repeat(np.arange(m), np.diff(first))
-        bag = np.minimum(np.bincount(text * BAG + (w & np.uint32(BAG - 1)), minlength=m * BAG).reshape(m, BAG), 255).astype(np.uint8)
+        bag = text * BAG + (w & np.uint64(BAG - 1)).astype(np.int64)
+        bag = np.minimum(np.bincount(bag, minlength=m * BAG).reshape(m, BAG), 255).astype(np.uint8)
         full = bag.max(axis=1) == 255  # no longer a count
+
+        def aligned(x, y):
+            found = []
+            for i, j in zip(x.tolist(), y.tolist()):
+                i, j = (i, j) if part[i] < part[j] else (j, i)
+                if (part[i], part[j]) not in joined and similar(plain[first[i]:first[i + 1]], plain[first[j]:first[j + 1]], similarity):
+                    joined.add((part[i], part[j]))
+                    found.append((i, j))
+            if found:
+                i, j = np.array(found).T
+                yield pa.RecordBatch.from_arrays([_binary(v) for v in (tid[i], tid[j], comp[i], comp[j])], names=["a", "b", "ca", "cb"])
+
         # the words of every text from the rarest of the group, as many as it may differ in and one more
         uniq, inv, count = np.unique(w, return_inverse=True, return_counts=True)
         rarest = np.argsort(count, kind="stable")
@@ -372,22 +393,26 @@ def _within(similarity, whole):
             one = np.unique(np.minimum(x, y)[ok] * m + np.maximum(x, y)[ok])
             for a in range(0, len(one), 8192):
                 x, y = one[a:a + 8192] // m, one[a:a + 8192] % m
-                new = ~(keys[x] == keys[y]).any(axis=1)
-                x, y = x[new], y[new]
+                if band >= 0:  # short texts meet by all they have in common
+                    shared = keys[x] == keys[y]
+                    turn = T.mix(lot[x] ^ lot[y]) % shared.sum(axis=1).astype(np.uint64)
+                    here = shared[:, band] & (shared[:, :band].sum(axis=1) == turn)
+                    x, y = x[here], y[here]
                 longer = np.maximum(n[x], n[y])
                 common = np.minimum(bag[x], bag[y]).sum(axis=1, dtype=np.int64)
                 ok = full[x] | full[y] | (common >= longer - (longer * (1 - similarity) + 1e-9).astype(np.int64))
                 x, y, share = x[ok], y[ok], common[ok] / longer[ok]
-                if whole and len(x):
-                    yield pa.RecordBatch.from_arrays([_binary(tid[x]), _binary(tid[y])], names=["a", "b"])
+                if whole:
+                    yield from aligned(x, y)
                 for i, j in ((x, y), (y, x)):
                     top = np.lexsort((-share, i))
                     top = top[np.concatenate([[True], i[top][1:] != i[top][:-1]])] if len(top) else top
                     top = top[share[top] > best[i[top]]]
                     best[i[top]], mate[i[top]] = share[top], j[top]
         x = np.flatnonzero(best >= 0)
-        if not whole and len(x):
-            yield pa.RecordBatch.from_arrays([_binary(tid[x]), _binary(tid[mate[x]])], names=["a", "b"])
+        if not whole:
+            one = np.unique(np.minimum(x, mate[x]) * m + np.maximum(x, mate[x]))
+            yield from aligned(one // m, one % m)
 
     def run(batches):
         for t in _groups(batches):
@@ -423,8 +448,8 @@ def apart(places: DataFrame, sketched: DataFrame, part: DataFrame, texts: DataFr
         now = words.join(part, words["tid"] == part["node"], "left").select("tid", "keys", "words", F.coalesce("component", "tid").alias("component"))
         met = open_rows.where("fits").select(*key, "n", "tid").join(now, "tid").select(*key, "n", "tid", "component", "keys", "words")
         met = met.repartition(shuffle_partitions(spark), *key).sortWithinPartitions(*key)
-        met = met.mapInArrow(_within(similarity, whole), "a binary, b binary")
-        part = _joined(part, met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), texts, similarity)
+        met = met.mapInArrow(_within(similarity, whole), "a binary, b binary, ca binary, cb binary")
+        part = _joined(part, met.groupBy("ca", "cb").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b"), texts, similarity)
     large = open_rows.where("not fits").select("tid").distinct()
     return part if large.isEmpty() else _by_words(large, sketched, part, texts, similarity)
 
@@ -564,17 +589,18 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, n_sketches: int = S
         _sketches(n_sketches, similarity), "tid binary, n bigint, keys array<bigint>, short array<bigint>").dropDuplicates(["tid"])
     sketched = written(sketched, "sketches")
     met = written(candidates(sketched), "pairs")
-    pairs = met.where("b is not null").select("a", "b")
+    pairs = met.where("b is not null")
     places = met.where("b is null").select(F.col("a").alias("tid"), "band", "key", "n")
     ends = pairs.select(F.col("a").alias("tid")).union(pairs.select("b")).distinct()
     texts = written(d.select("tid", "text").join(ends, "tid", "left_semi").dropDuplicates(["tid"]), "texts")
-    # first every text against its smallest candidate; then the pairs this has not joined already
+    # first every text against its smallest candidate; then the pairs of small groups that this has not joined already
+    small, pairs = pairs.where("not star").select("a", "b"), pairs.select("a", "b")
     both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     first = both.groupBy("a").agg(F.min("b").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     found = links(first, texts, similarity, "links")
     root = (found.union(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("r"))
                  .select("a", F.least("a", "r").alias("r")))
-    left = (pairs.join(root.select("a", F.col("r").alias("ra")), "a", "left").join(root.select(F.col("a").alias("b"), F.col("r").alias("rb")), "b", "left")
+    left = (small.join(root.select("a", F.col("r").alias("ra")), "a", "left").join(root.select(F.col("a").alias("b"), F.col("r").alias("rb")), "b", "left")
                  .where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).join(first, ["a", "b"], "left_anti").select("a", "b"))
     part = written(components(found.union(links(left, texts, similarity, "links"))), "parts")
     part = apart(places, sketched, part, texts, similarity)

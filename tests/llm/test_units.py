@@ -145,8 +145,8 @@ def test_rare_words_meet_all_similar(monkeypatch):
 
 
 def test_groups_meet_all_similar(monkeypatch):
-    """Every similar pair of different components that shares a group is found, once for all its groups, and a row a text
-    at most comes of a first look; neither a passage that all texts share nor one component's own pairs bring any."""
+    """All components with a similar pair that shares a group are linked, by similar pairs alone and once a group; a row a
+    text at most comes of a first look."""
     rng = np.random.default_rng(12)
     texts = []
     for _ in range(4):
@@ -180,15 +180,13 @@ def test_groups_meet_all_similar(monkeypatch):
 
     got = met(True)
     want = {(i, j) for j in range(len(texts)) for i in range(j) if part[i] != part[j] and neardup.similar(words[i], words[j])}
-    assert len(want) > 200 and want <= set(got) and len(got) == len(set(got))
-    assert all(part[i] != part[j] for i, j in got)
-    shared = {i for i, t in enumerate(texts) if t.startswith(passage)}
-    assert not any(i in shared and j in shared for i, j in got)
+    linked = {(part[i], part[j]) for i, j in want}
+    assert len(linked) > 100 and set(got) <= want and {(part[i], part[j]) for i, j in got} == linked
+    assert len(got) <= 4 * len(linked)  # four groups
     first = met(False)
-    assert len(first) <= len(places) and set(first) <= set(got)
-    assert {i for p in got for i in p} == {i for p in first for i in p}
-    monkeypatch.setattr(neardup, "MEETINGS", 50)  # a pair may come again in another piece
-    assert set(met(True)) == set(got) and len(met(False)) <= len(places)
+    assert 40 < len(first) <= len(places) and set(first) <= want
+    monkeypatch.setattr(neardup, "MEETINGS", 50)  # pieces of a group
+    assert {(part[i], part[j]) for i, j in met(True)} == linked and len(met(False)) <= len(places)
 
 
 @pytest.mark.parametrize("group_rows", [0, 30, 4096])
