@@ -29,7 +29,7 @@ NGRAM = 13
 #: a document is contaminated when RATIO * hit words >= words
 RATIO = 20
 MAX_BROADCAST_BYTES = 16 << 20
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def build_index(rows: list[tuple[object, str]], ngram: int) -> dict:
@@ -83,29 +83,30 @@ def _marks(index_of, n_in: int):
     def run(batches):
         index = index_of()
         for batch in batches:
-            buf, off = T.flat(batch.column(n_in - 3))
-            old_spans, old_items = batch.column(n_in - 2).to_pylist(), batch.column(n_in - 1).to_pylist()
-            spans_out, items_out, words_out = [], [], []
-            for a, b in T.chunks(off, BATCH_BYTES):
-                first, items, hit, s, e = scan(buf[off[a]:off[b]], off[a:b + 1] - off[a], index)
-                counts = np.diff(first)
-                words_out.extend(counts.tolist())
-                for d in range(b - a):
-                    lo, hi = int(first[d]), int(first[d + 1])
-                    got = hit[lo:hi]
-                    if got.any():
-                        step = np.diff(np.concatenate([[0], got.view(np.int8), [0]]))
-                        spans = np.stack([np.flatnonzero(step == 1), np.flatnonzero(step == -1)], 1).ravel().tolist()
-                    else:
-                        spans = []
-                    spans_out.append(merged((old_spans[a + d] or []), spans))
-                    items_out.append(sorted(set(old_items[a + d] or []) | items[d]))
-            cols = [batch.column(i) for i in range(n_in - 2)]
-            yield pa.RecordBatch.from_arrays(
-                cols + [pa.array(spans_out, pa.list_(pa.int64())), pa.array(items_out, pa.list_(pa.string())),
-                        pa.array(words_out, pa.int64())],
-                names=[f"c{i}" for i in range(n_in + 1)])
-    return run
+            _, off = T.flat(batch.column(n_in - 3))
+            for a, b in T.chunks(off, BATCH_BYTES):  # each part leaves before the next is read
+                yield marked(batch.slice(a, b - a), index)
+
+    def marked(part, index):
+        buf, off = T.flat(part.column(n_in - 3))
+        old_spans, old_items = part.column(n_in - 2).to_pylist(), part.column(n_in - 1).to_pylist()
+        spans_out, items_out = [], []
+        first, items, hit, s, e = scan(buf, off, index)
+        for d in range(part.num_rows):
+            got = hit[int(first[d]):int(first[d + 1])]
+            if got.any():
+                step = np.diff(np.concatenate([[0], got.view(np.int8), [0]]))
+                spans = np.stack([np.flatnonzero(step == 1), np.flatnonzero(step == -1)], 1).ravel().tolist()
+            else:
+                spans = []
+            spans_out.append(merged((old_spans[d] or []), spans))
+            items_out.append(sorted(set(old_items[d] or []) | items[d]))
+        cols = [part.column(i) for i in range(n_in - 2)]
+        return pa.RecordBatch.from_arrays(
+            cols + [pa.array(spans_out, pa.list_(pa.int64())), pa.array(items_out, pa.list_(pa.string())),
+                    pa.array(np.diff(first), pa.int64())],
+            names=[f"c{i}" for i in range(n_in + 1)])
+    return T.lean(run)
 
 
 def merged(old: list[int], new: list[int]) -> list[int]:

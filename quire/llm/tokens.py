@@ -19,11 +19,10 @@ rows are written once each, in the order of their text hash; an empty table writ
 
 from __future__ import annotations
 
-import sys
-import types
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +39,7 @@ END = 2
 VOCABULARY = "word_bpe_49k.json"
 UNIT_BYTES = 10 << 20  # text that is coded together
 KNOWN_WORDS = 1_500_000
+CALL_WORDS = 4096  # words of one call of the tokenizer, whose results are large objects
 SCHEMA = "part bigint, seq bigint, first_id bigint, n_ids bigint, docs binary, block binary"
 
 
@@ -48,11 +48,6 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def worker_store() -> types.ModuleType:
-    """State that outlives a task in a reused Python worker."""
-    return sys.modules.setdefault("_quire_llm_worker", types.ModuleType("_quire_llm_worker"))
-
-
 class WordIds:
     """ids of words by their hash: a sorted table that grows up to KNOWN_WORDS words."""
 
@@ -63,16 +58,19 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.keys = np.zeros(0, np.uint64)
         self.at = np.zeros(0, np.int64)
-        self.n = np.zeros(0, np.int64)
+        self.n = np.zeros(0, np.int32)
         self.pool = np.zeros(0, np.int32)
 
     def ids(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return [e.ids for a in range(0, len(words), CALL_WORDS)
+                for e in self.tokenizer.encode_batch_fast(words[a:a + CALL_WORDS], add_special_tokens=False)]
 
     def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts with their end ids, first id per text) of a buffer of texts."""
         s, e, h, first = T.words(buf, off, T.NOT_SPACE)
-        uniq, pick_one, inv = np.unique(h, return_index=True, return_inverse=True)
+        inv, uniq = pd.factorize(h)
+        pick_one = np.zeros(len(uniq), np.int64)
+        pick_one[inv[::-1]] = np.arange(len(h))[::-1]  # where each word comes first
         at = np.searchsorted(self.keys, uniq)
         at[at == len(self.keys)] = 0
         new = np.flatnonzero(self.keys[at] != uniq) if len(self.keys) else np.arange(len(uniq))
@@ -92,7 +90,7 @@ class WordIds:
             order = np.argsort(keys, kind="stable")
             self.keys = keys[order]
             self.at = np.concatenate([self.at, fresh_at])[order]
-            self.n = np.concatenate([self.n, fresh_n])[order]
+            self.n = np.concatenate([self.n, fresh_n.astype(np.int32)])[order]
             self.pool = pool
         # words of all texts, with an end word after each text
         lengths = np.insert(n[inv], first[1:], 1)
@@ -105,9 +103,7 @@ class WordIds:
 
 def _write(path, block_ids):
     def run(batches):
-        T.release()
-        store = worker_store()
-        known = store.__dict__.setdefault("words", {})
+        known = T.worker_store().__dict__.setdefault("words", {})
         if path not in known:
             known[path] = WordIds(path)
         words = known[path]
@@ -140,7 +136,7 @@ def _write(path, block_ids):
                 cols = list(zip(*rows[a:a + 2000]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 4 + [pa.binary()] * 2)],
                                                  names=["part", "seq", "first_id", "n_ids", "docs", "block"])
-    return run
+    return T.lean(run, "words")
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, block_ids: int = R.BLOCK_IDS) -> None:
@@ -182,7 +178,6 @@ def crc_shift(crc: int, n: int) -> int:
 
 def _read(with_ids):
     def run(batches):
-        T.release()
         for batch in batches:
             blocks = R.decode(batch.column(3).to_pylist())
             part, first = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -202,7 +197,7 @@ def _read(with_ids):
             kinds = [pa.int64()] * 6 + [pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)],
                                              names=["part", "doc_no", "doc_id", "at", "n", "crc", "ids"])
-    return run
+    return T.lean(run)
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:

@@ -288,6 +288,7 @@ def _counts(batches):
 
 def _unit_trainer(model_of, n_pos: int, n_neg: int, passes: int):
     def run(rows: pa.Table) -> pa.Table:
+        T.release_once()
         rows = rows.sort_by([("h", "ascending"), ("toxic", "ascending"), ("text", "ascending")])
         unit, old = rows.column("unit")[0].as_py(), model_of()
         ids, first, _ = sample_features(rows.column("text").to_pylist())
@@ -314,7 +315,7 @@ def _logit_steps(model_of):
                 z = np.clip(np.rint(logits(model, pooled(model, ids, first)) * STEPS), -30 * STEPS, 30 * STEPS)
                 yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(z.astype(np.int32)), batch.column(1).slice(a, b - a)],
                                                  names=["lang", "step", "toxic"])
-    return run
+    return T.lean(run)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
@@ -333,7 +334,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
         if n.get((True, 0)) and n.get((True, 1)):
             check = rows.where("kept")
     pos, neg = np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32)
-    counts = part.select("text", "toxic").mapInArrow(_counts, "id int, pos bigint, neg bigint")
+    counts = part.select("text", "toxic").mapInArrow(T.lean(_counts), "id int, pos bigint, neg bigint")
     for r in counts.groupBy("id").agg(F.sum("pos"), F.sum("neg")).collect():  # one row a feature
         pos[r[0]], neg[r[0]] = r[1], r[2]
     model = start(pos, neg, n_pos, n_neg)
@@ -382,7 +383,7 @@ def _score(model_of, at: int):
             cols = [batch.column(i) for i in range(batch.num_columns)]
             yield pa.RecordBatch.from_arrays(cols + [pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())],
                                              names=[f"c{i}" for i in range(len(cols))] + ["score"])
-    return run
+    return T.lean(run)
 
 
 def score(docs: DataFrame, model: dict | None) -> DataFrame:

@@ -211,3 +211,62 @@ def test_large_groups_by_either_way(spark, monkeypatch, group_rows):
             if want[i] != want[j] and (sketches[i] == sketches[j]).any() and neardup.similar(words[i], words[j]):
                 want = [min(want[i], want[j]) if v in (want[i], want[j]) else v for v in want]
     assert got == dict(enumerate(want)) and 3 < len(set(want)) < 100
+
+
+def test_worker_gives_memory_back_before_and_after_its_task():
+    store = T.worker_store().__dict__
+    store.update(words={"a": 1}, other=[1])
+    seen = []
+
+    def run(batches):
+        T.powers(T.P_BYTE, 10)
+        seen.append(set(store) & {"words", "other"})
+        yield from batches
+
+    assert list(T.lean(run, "words")([1, 2])) == [1, 2]
+    assert seen == [{"words"}] and not T._POW and "words" in store
+    assert list(T.lean(run)([3])) == [3]
+    assert seen[1] == set() and not T._POW and "words" not in store
+
+
+def test_tokens_worker_keeps_its_words_and_the_next_stage_drops_them():
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["one two", "two three"])], names=["doc_id", "text"])
+    index = decontaminate.build_index([("i", "two three")], 13)
+    words = T.worker_store().__dict__
+    words["words"] = {"x": 1}
+    part = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([[], []], pa.list_(pa.int64())),
+                                       pa.array([[], []], pa.list_(pa.string()))], names=["c0", "c1", "spans", "items"])
+    out = list(decontaminate._marks(lambda: index, 4)([part]))
+    assert [r.as_py() for b in out for r in b.column(2)] == [[], [0, 2]]
+    assert [r.as_py() for b in out for r in b.column(3)] == [[], ["i"]]
+    assert "words" not in words
+
+
+def test_tokenizer_gets_bounded_calls():
+    class Counts:
+        def __init__(self):
+            self.calls = []
+
+        def encode_batch_fast(self, words, add_special_tokens):
+            self.calls.append(len(words))
+            return [type("E", (), {"ids": [len(w)]}) for w in words]
+
+    w = tokens.WordIds(tokens.vocabulary_path())
+    w.tokenizer = Counts()
+    texts = [" ".join("x" * (1 + i % 7) + str(i) for i in range(9000)), "", "x0 x0 xx1"]
+    buf, off = T.flat(pa.array(texts))
+    ids, first = w.encode(buf, off)
+    assert max(w.tokenizer.calls) <= tokens.CALL_WORDS and sum(w.tokenizer.calls) == 9000
+    assert ids.tolist() == [len(x) for x in texts[0].split()] + [2, 2] + [2, 2, 3, 2]
+    assert first.tolist() == [0, 9001, 9002, 9006]
+
+
+def test_marked_parts_are_bounded():
+    n = 40
+    text = "some words of a long text " * 5000  # 130 kB
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([text] * n), pa.array([[]] * n, pa.list_(pa.int64())),
+                                        pa.array([[]] * n, pa.list_(pa.string()))], names=["c0", "c1", "spans", "items"])
+    index = decontaminate.build_index([("i", "of a long text")], 13)
+    out = list(decontaminate._marks(lambda: index, 4)([batch]))
+    assert [x for b in out for x in b.column(0).to_pylist()] == list(range(n))
+    assert len(out) > 1 and max(len(b.column(1)[0].as_py()) * b.num_rows for b in out) <= decontaminate.BATCH_BYTES
