@@ -145,32 +145,29 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, bloc
     d.mapInArrow(_write(vocabulary or vocabulary_path(), block_ids), SCHEMA).write.option("compression", "none").parquet(path)
 
 
-def crc_shift(crc: int, n: int) -> int:
-    """What the crc32 of a message contributes once ``n`` bytes follow it: with it,
-    crc32(a + b) = crc_shift(crc32(a), len(b)) ^ crc32(b). The power of x**8 modulo the crc polynomial
-    is applied by square and multiply on its bit matrix."""
-    poly = 0xEDB88320
-    odd = [poly] + [1 << i for i in range(31)]  # one zero bit
-
-    def times(m, v):
-        out, k = 0, 0
-        while v:
-            if v & 1:
-                out ^= m[k]
-            v >>= 1
-            k += 1
-        return out
-
-    m = odd
-    for _ in range(3):  # one zero byte
-        m = [times(m, x) for x in m]
-    while n:
-        if n & 1:
-            crc = times(m, crc)
-        n >>= 1
-        if n:
-            m = [times(m, x) for x in m]
-    return crc
+def _times(a: int, b):
+    """Products modulo the crc polynomial, of one factor and an array of others (lowest powers first, as in a crc)."""
+    out = np.zeros_like(b)
+    for bit in range(31, -1, -1):
+        if a >> bit & 1:
+            out ^= b
+        b = (b >> 1) ^ (b & 1) * 0xEDB88320
+    return out
+
+
+def crc_shift(crc, n):
+    """What crc32s of messages contribute once ``n`` bytes follow each: with it,
+    crc32(a + b) = crc_shift(crc32(a), len(b)) ^ crc32(b). They are multiplied by x**(8 n) modulo the crc
+    polynomial, all together, a power of two of bytes at a time."""
+    shape = np.shape(crc)
+    out, n = np.array(crc, np.int64, ndmin=1), np.array(n, np.int64, ndmin=1)
+    power = 1 << 23  # x**8
+    for bit in range(int(n.max(initial=0)).bit_length()):
+        i = np.flatnonzero(n >> bit & 1)
+        if len(i):
+            out[i] = _times(power, out[i])
+        power = int(_times(power, np.array([power], np.int64))[0])
+    return out.reshape(shape)
 
 
 def _read(with_ids):
@@ -178,19 +175,17 @@ def _read(with_ids):
         for batch in batches:
             blocks = R.decode(batch.column(3).to_pylist())
             part, first = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out = []
-            shifts: dict[tuple[int, int], int] = {}
+            out, crcs, after = [], [], []
             for i, (ids, table) in enumerate(zip(blocks, batch.column(2).to_pylist())):
                 at = 0
                 raw = ids.astype("<u4").tobytes()
                 for no, d, z, size, inside, here in zip(*(x.tolist() for x in K.load(table))):
-                    crc = zlib.crc32(raw[4 * at:4 * (at + here)])
-                    after = 4 * (size - inside - here)
-                    if after:
-                        crc = shifts.setdefault((crc, after), crc_shift(crc, after))
-                    out.append((part[i], no, None if z else d, first[i] + at, here, crc, ids[at:at + here].tolist() if with_ids else None))
+                    crcs.append(zlib.crc32(raw[4 * at:4 * (at + here)]))
+                    after.append(4 * (size - inside - here))
+                    out.append((part[i], no, None if z else d, first[i] + at, here, ids[at:at + here].tolist() if with_ids else None))
                     at += here
-            cols = list(zip(*out)) if out else [[]] * 7
+            cols = list(zip(*out)) if out else [[]] * 6
+            cols.insert(5, crc_shift(crcs, after))
             kinds = [pa.int64()] * 6 + [pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)],
                                              names=["part", "doc_no", "doc_id", "at", "n", "crc", "ids"])

@@ -71,6 +71,30 @@ def test_crc_shift(a, b):
     assert zlib.crc32(a + b) == tokens.crc_shift(zlib.crc32(a), len(b)) ^ zlib.crc32(b)
 
 
+def test_crc_shift_of_many():
+    """The crcs of all parts are shifted together; one by one they cost more than a block's decoding."""
+    parts = [bytes([i]) * (i * 37) for i in range(40)]
+    tails = [b"x" * (i * 811 % 9000) for i in range(40)]
+    got = tokens.crc_shift([zlib.crc32(a) for a in parts], [len(b) for b in tails])
+    assert [int(g) ^ zlib.crc32(b) for g, b in zip(got, tails)] == [zlib.crc32(a + b) for a, b in zip(parts, tails)]
+    assert len(tokens.crc_shift([], [])) == 0
+
+
+def test_range_coder_fills_once_a_token(monkeypatch):
+    """The registers are filled once a token, whatever was coded; carries reach the words before."""
+    calls = []
+    for kind in (rangecoder.Encoder, rangecoder.Decoder):
+        monkeypatch.setattr(kind, "fill", lambda self, k, f=kind.fill: (calls.append(k), f(self, k)))
+    rng = np.random.default_rng(5)
+    blocks = [np.where(rng.random(700) < 0.5, 65535, rng.integers(0, 65536, 700)) for _ in range(300)]
+    coded = rangecoder.encode(blocks)
+    assert calls == [300] * 700
+    assert all((a == b).all() for a, b in zip(blocks, rangecoder.decode(coded))) and len(calls) == 1400
+    e = rangecoder.Encoder(1, 5)
+    e.words[:3], e.next[0], e.reg[0] = [7, 65535, 65535], 3, ~rangecoder.U(0)
+    assert np.frombuffer(e.finish()[0], "<u2").tolist() == [8, 0, 0, 0]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.text(alphabet="aB9 é\t.\n漢", max_size=30), max_size=6), st.integers(3, 40))
 def test_words(texts, piece):
