@@ -210,7 +210,7 @@ def _run(lengths: np.ndarray, coder, ids: np.ndarray) -> None:
             miss = ~hit
             reg -= bound * miss
         else:
-            x = ids[t, :k]
+            x = ids[t, :k].astype(np.int32)
             before = reg.copy()
             hit = x == guess
             miss = ~hit
@@ -261,11 +261,12 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
         return []
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     lengths = np.array([len(blocks[i]) for i in order])
-    ids = np.zeros((len(blocks), max(1, int(lengths[0]))), np.int32)
+    ids = np.zeros((len(blocks), max(1, int(lengths[0]))), np.uint16)
     for row, i in enumerate(order):
         ids[row, :lengths[row]] = blocks[i]
     coder = Encoder(len(blocks), cap=3 * int(lengths[0]) + 2)  # less than three words an id, and the last one
-    _run(lengths, coder, np.ascontiguousarray(ids.T))
+    ids = np.ascontiguousarray(ids.T)
+    _run(lengths, coder, ids)
     coded = coder.finish()
     out: list[bytes] = [b""] * len(blocks)
     for row, i in enumerate(order):
