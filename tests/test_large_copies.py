@@ -1,6 +1,7 @@
 """What large tables cost: shuffles of raw columns only, no text in one row, small batches in Python."""
 
 import hashlib
+from itertools import groupby
 
 import pandas as pd
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as tx
 from quire.operators import completions as cp
 from quire.operators import tables as tt
+from quire.plans.q_prompts import x8_verification_prompts
 from quire.sources import tables as tb
 
 SF = "/root/testdata/sf0.001"
@@ -25,6 +27,29 @@ def test_tables_are_shuffled_once_by_raw_columns(spark):
     assert "as string" not in below  # cells are rendered above the shuffle
 
 
+def _orders(spark, path, n_tables, n_items):
+    """lineitem and benchmark: tables of one to four lines, and an order without a key."""
+    rows = [(t, 7 * t + i, i, i + 1, float(i), t + 0.5, "N") for t in range(n_tables) for i in range(1 + t % 4)] + [(None, 1, 1, 1, 1.0, 1.0, "N")]
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string"
+    li = spark.createDataFrame(rows, names).withColumn("l_shipdate", F.lit("1995-05-18").cast("timestamp_ntz"))
+    li.write.parquet(f"{path}/lineitem.parquet")
+    spark.createDataFrame([(i, f"Is it {i} of {n_items}") for i in range(n_items)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return str(path)
+
+
+def test_tables_asked_one_question_lie_together(spark, tmp_path):
+    """Written prompts repeat a question's text side by side, where a file's blocks pack it; every table has its prompts."""
+    df = x8_verification_prompts(spark, _orders(spark, tmp_path, 200, 5))
+    got = df.select(F.spark_partition_id().alias("part"), "table_id", "candidate_answers_prompt", "question_prompt").collect()
+    assert sorted(r.table_id for r in got) == list(range(200))
+    for r in got:
+        assert r.candidate_answers_prompt.endswith(f"Question: Is it {r.table_id % 5} of 5")
+        assert r.question_prompt.count("|1995-05-18\n") == 1 + r.table_id % 4
+    for _, rows in groupby(got, lambda r: r.part):
+        questions = [r.table_id % 5 for r in rows]
+        assert len([*groupby(questions)]) == len(set(questions))
+
+
 @pytest.mark.parametrize("mode", ["plain", "indexed"])
 def test_digests_equal_those_of_whole_texts(spark, mode):
     rows = [(t, i, ["h1", "h|2"], [f"c{i}é", 'say "x"\nnew' if i % 3 else None]) for t in range(30) for i in range(500 if t == 5 else 1 + t % 9)]
