@@ -256,7 +256,7 @@ def j7_run_grid(spark, d):
 @query("x8_verification_prompts")
 def x8_verification_prompts(spark, d):
     """The generation workflow's prompts around every table, asked a benchmark question."""
-    texts = tt.render_tables(tb.table_cells(spark, d), "plain")
+    texts = tt.render_tables(tb.table_cells(spark, d, spread=True), "plain")
     b = tb.table(spark, d, "benchmark")
     n_items = b.agg(F.count("*")).scalar()
     t = texts.join(b.select("item_id", F.col("text").alias("question")), F.col("item_id") == F.col("table_id") % n_items)

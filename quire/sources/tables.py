@@ -16,6 +16,8 @@ from quire.constants import CHARACTERISTICS, PROMPT_TYPES, REASONING_TYPES, TERM
 
 FIXTURE_MODELS = ["model_a", "model_b", "model_c"]
 TABLE_COLUMNS = ["part", "supplier", "quantity", "price", "flag", "shipped"]
+#: partitions that ``spread`` tables are dealt to, for each part of the input that Spark reads at once
+SPREAD = 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -108,18 +110,23 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when((i % 7 == 3) | ((i % 5 == 1) & last), TERMINATE).otherwise(F.col("text")).alias("text"))
 
 
-def table_rows(spark: SparkSession, sf_dir: str, ids: DataFrame | None = None) -> DataFrame:
+def table_rows(spark: SparkSession, sf_dir: str, ids: DataFrame | None = None, spread: bool = False) -> DataFrame:
     """Small tables: one per order; all rendered columns take part in the row order.
 
     ``ids`` (a one-column frame of table ids) restricts the tables before the row
-    numbering, so only the needed orders are sorted.
+    numbering, so only the needed orders are sorted. ``spread`` deals the tables to
+    partitions whose number follows the input, not the session's: for whole texts of
+    all tables, which are sorted several times and would be spilled each time.
     """
     li = table(spark, sf_dir, "lineitem")
+    parts = SPREAD * li.rdd.getNumPartitions() if spread else 0
     if ids is not None:
         li = li.join(ids.select(ids.columns[0]).withColumnRenamed(ids.columns[0], "l_orderkey"), "l_orderkey",
                      "left_semi")
     li = li.select(F.col("l_orderkey").alias("table_id"), "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
                    "l_returnflag", "l_shipdate")
+    if parts:
+        li = li.repartition(parts, "table_id")
     w = Window.partitionBy("table_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     # numbered before anything is rendered: only the raw columns are shuffled, and by the name that later steps group by
     li = li.select("*", F.row_number().over(w).cast("int").alias("row_idx"))
@@ -131,9 +138,9 @@ def table_rows(spark: SparkSession, sf_dir: str, ids: DataFrame | None = None) -
         F.col("l_returnflag").alias("flag"), F.col("l_shipdate").cast("date").cast("string").alias("shipped"))
 
 
-def table_cells(spark: SparkSession, sf_dir: str, ids: DataFrame | None = None) -> DataFrame:
+def table_cells(spark: SparkSession, sf_dir: str, ids: DataFrame | None = None, spread: bool = False) -> DataFrame:
     """table_rows in the engine's table form: ``(table_id, row_idx, header, cells)``."""
-    tr = table_rows(spark, sf_dir, ids)
+    tr = table_rows(spark, sf_dir, ids, spread)
     return tr.select("table_id", "row_idx",
                      F.array(*[F.lit(c) for c in TABLE_COLUMNS]).alias("header"),
                      F.array(*[F.col(c) for c in TABLE_COLUMNS]).alias("cells"))

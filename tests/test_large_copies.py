@@ -1,6 +1,7 @@
 """What large tables cost: shuffles of raw columns only, no text in one row, small batches in Python."""
 
 import hashlib
+import re
 from itertools import groupby
 
 import pandas as pd
@@ -32,7 +33,7 @@ def _orders(spark, path, n_tables, n_items):
     rows = [(t, 7 * t + i, i, i + 1, float(i), t + 0.5, "N") for t in range(n_tables) for i in range(1 + t % 4)] + [(None, 1, 1, 1, 1.0, 1.0, "N")]
     names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string"
     li = spark.createDataFrame(rows, names).withColumn("l_shipdate", F.lit("1995-05-18").cast("timestamp_ntz"))
-    li.write.parquet(f"{path}/lineitem.parquet")
+    li.coalesce(1).write.parquet(f"{path}/lineitem.parquet")
     spark.createDataFrame([(i, f"Is it {i} of {n_items}") for i in range(n_items)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     return str(path)
 
@@ -50,6 +51,24 @@ def test_tables_asked_one_question_lie_together(spark, tmp_path):
         assert len([*groupby(questions)]) == len(set(questions))
 
 
+def test_texts_of_all_tables_are_dealt_by_the_size_of_the_input(spark, tmp_path):
+    """Partitions that are sorted in memory grow in number with the input, whatever the session's number is."""
+    path = _orders(spark, tmp_path / "a", 200, 5)
+    _orders(spark, tmp_path / "b", 200, 5)
+    spark.read.parquet(f"{path}/lineitem.parquet").repartition(30).write.mode("append").parquet(f"{tmp_path}/b/lineitem.parquet")
+    kept, seen = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for name, n in (("a", "1"), ("a", "3"), ("b", "1")):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            seen += re.findall(r"Exchange hashpartitioning\(table_id#\d+L, (\d+)\)", _plan(x8_verification_prompts(spark, f"{tmp_path}/{name}")))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    one, other, more = map(int, seen)
+    assert one == other == tb.SPREAD * tb.table(spark, path, "lineitem").rdd.getNumPartitions() and more > one
+    rows = [sorted(map(tuple, tb.table_cells(spark, path, spread=x).collect()), key=str) for x in (False, True)]
+    assert rows[0] == rows[1] and len(rows[0]) == 501
+
+
 @pytest.mark.parametrize("mode", ["plain", "indexed"])
 def test_digests_equal_those_of_whole_texts(spark, mode):
     rows = [(t, i, ["h1", "h|2"], [f"c{i}é", 'say "x"\nnew' if i % 3 else None]) for t in range(30) for i in range(500 if t == 5 else 1 + t % 9)]
